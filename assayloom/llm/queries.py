@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import language, mixing, packing, simhash, substrings
+from assayloom.llm import language, mixing, packing, simhash, substrings, urls, warc
+from assayloom.llm.common import work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +39,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:x-page:(-?[0-9]+)>$', 1) as bigint)")
+    full = warc.read_archive(spark, path).filter("record_type = 'response'")
+    full = full.select(page("record_id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    again = warc.read_archive(spark, path, payload=False).filter("record_type = 'revisit'")
+    return full.unionAll(again.select(page("record_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", ""), "record_type", page("refers_to")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_simhash, op6_substrings, op7_language, op8_packing)}
+    return {f.__name__: f for f in (op2_mixing, op4_simhash, op6_substrings, op7_language, op8_packing, op9_urls, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
