@@ -19,8 +19,7 @@ GROUP_ITEMS = 1 << 20
 #: Text bytes whose items travel together; what repeats within them is known before the shuffle.
 TOGETHER = 8 << 20
 
-KEYED = "k1 long, k2 long, text string"
-ITEMS = "bucket long, hashes binary, k1 binary, k2 binary, at binary, known binary"
+ITEMS = "bucket long, hashes binary, k1 binary, k2 binary, doc binary, at binary, known binary"
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
@@ -42,27 +41,37 @@ class _Batch:
         return self.at + length <= self.counts[self.doc]
 
 
-def _pack(hashes: np.ndarray, k1: np.ndarray, k2: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row a bucket; of equal hashes one goes there, marked known, and the others travel under any bucket as known."""
+def _pack(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, k1: np.ndarray, k2: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row a bucket, its items in the order of documents: hash, place among the row's keys, place in the text, state.
+
+    Of equal hashes one goes to their bucket, marked 1; the others, 2, are known to repeat and go to any bucket.
+    """
     order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = h[1:] != h[:-1]
-    repeated = np.zeros(len(h), bool)
-    repeated[:-1] = ~fresh[1:]
-    known = repeated | ~fresh  # occurs again in this batch
-    bucket = np.where(fresh, h % np.uint64(buckets), (k2[order].astype(np.uint64) + at[order].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    state = np.where(fresh, known.astype(np.uint8), np.uint8(2))  # 2: known, and another stands for its hash
+    same = np.zeros(len(hashes), bool)
+    same[1:] = hashes[order[1:]] == hashes[order[:-1]]
+    state = np.zeros(len(hashes), np.uint8)
+    state[order[:-1][same[1:]]] = 1
+    state[order[same]] = 2
+    bucket = np.where(state < 2, hashes % np.uint64(buckets), (k2[doc].astype(np.uint64) + at.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-    columns = [x[by] for x in (h, k1[order], k2[order], at[order].astype(np.int32), state)]
-    parts = [np.split(x, cuts) for x in columns] if len(by) else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(bucket[by][np.concatenate(([0], cuts))] if len(by) else [], pa.int64()), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in parts)], ["bucket", "hashes", "k1", "k2", "at", "known"])
+    bucket = bucket[by]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows: dict[str, list] = {c: [] for c in ("hashes", "k1", "k2", "doc", "at", "known")}
+    for part in np.split(by, cuts[1:]) if len(by) else []:
+        own = doc[part]
+        new = np.diff(own, prepend=-1) != 0
+        keys = own[new]
+        for c, v in (("hashes", hashes[part]), ("k1", k1[keys]), ("k2", k2[keys]), ("doc", (np.cumsum(new) - 1).astype(np.uint16)), ("at", at[part].astype(np.int32)), ("known", state[part])):
+            rows[c].append(v.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), *(pa.array(v, pa.binary()) for v in rows.values())], ["bucket", *rows])
 
 
 def _repeats(table: pa.Table) -> pa.Table:
     """Of a bucket's items, those whose hash occurs elsewhere too, by document."""
-    h, k1, k2, at, state = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind) for c, kind in (("hashes", np.uint64), ("k1", np.int64), ("k2", np.int64), ("at", np.int32), ("known", np.uint8)))
+    read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
+    doc = read("doc", np.uint16)
+    h, at, state = (np.concatenate(read(c, kind)) for c, kind in (("hashes", np.uint64), ("at", np.int32), ("known", np.uint8)))
+    k1, k2 = (np.concatenate([keys[d] for keys, d in zip(read(c, np.int64), doc, strict=True)]) for c in ("k1", "k2"))
     dup = state == 2
     own = np.flatnonzero(~dup)
     _, index, counts = np.unique(h[own], return_inverse=True, return_counts=True)
@@ -76,21 +85,24 @@ def _repeats(table: pa.Table) -> pa.Table:
 
 
 class _Gather:
-    """Items of several slices, packed once their texts reach TOGETHER bytes."""
+    """Items of several slices, packed once their texts reach TOGETHER bytes or their number the room of a place."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.parts, self.size = buckets, [], 0
+        self.buckets, self.parts, self.size, self.docs = buckets, [], 0, 0
 
-    def add(self, size: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(columns)
-        self.size += size
+    def add(self, texts: list[bytes | None], hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.docs + len(texts) > 1 << 16:
+            yield from self.flush()
+        self.parts.append((hashes, doc + self.docs, at, k1, k2))
+        self.docs += len(texts)
+        self.size += sum(len(t or b"") for t in texts)
         if self.size >= TOGETHER:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             yield _pack(*(np.concatenate(x) for x in zip(*self.parts, strict=True)), self.buckets)
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.docs = [], 0, 0
 
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +120,7 @@ def _anchors(keyed: DataFrame, length: int, buckets: int) -> DataFrame:
             k1, k2 = _keys(batch)
             b = _Batch(texts)
             at = np.flatnonzero(member[b.at % period] & b.fits(length - period + 1) & (b.counts[b.doc] >= length))
-            yield from gather.add(sum(len(t or b"") for t in texts), run_hashes(b.hashes, at, length - period + 1), k1[b.doc[at]], k2[b.doc[at]], b.at[at])
+            yield from gather.add(texts, run_hashes(b.hashes, at, length - period + 1), b.doc[at], b.at[at], k1, k2)
         yield from gather.flush()
 
     return keyed.mapInArrow(emit, ITEMS).groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, places binary")
@@ -133,12 +145,12 @@ def _windows(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
             k1, k2 = _keys(batch)
             b = _Batch(texts)
             near = np.zeros(len(b.at) + 1, np.int64)  # a window holds an anchor up to period - 1 words after its start
-            for i, places in enumerate(batch.column(3).to_pylist()):
+            for i, places in enumerate(batch.column(batch.schema.get_field_index("places")).to_pylist()):
                 at = _places(places)
                 np.add.at(near, b.first[i] + np.maximum(at - period + 1, 0), 1)
                 np.add.at(near, b.first[i] + at + 1, -1)
             at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & b.fits(length))
-            yield from gather.add(sum(len(t or b"") for t in texts), run_hashes(b.hashes, at, length), k1[b.doc[at]], k2[b.doc[at]], b.at[at])
+            yield from gather.add(texts, run_hashes(b.hashes, at, length), b.doc[at], b.at[at], k1, k2)
         yield from gather.flush()
 
     return candidates.mapInArrow(emit, ITEMS).groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, places binary")
@@ -158,7 +170,8 @@ def repeated_windows(docs: DataFrame, length: int = 35, also: str | None = None)
     buckets = max(8, docs.sparkSession.sparkContext.defaultParallelism, -(-size // (24 * GROUP_ITEMS)))
     rows = keyed.select("k1", "k2", "text")
     anchors = _merge(_anchors(rows, length, buckets))
-    candidates = rows.join(anchors, ["k1", "k2"])
+    # The same columns as below, so that the texts are shuffled once and that exchange is used again.
+    candidates = keyed.join(anchors, ["k1", "k2"])
     windows = _merge(_windows(candidates, length, 4 * buckets))
     return keyed.join(windows, ["k1", "k2"], "left").select("doc_id", "text", "places", *([also] if also else []))
 
