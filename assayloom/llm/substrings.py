@@ -16,6 +16,8 @@ from assayloom.llm.common import chunks, pick, run_hashes, word_hashes, word_spa
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 #: Items that one group of the shuffle holds; groups are as many as that takes.
 GROUP_ITEMS = 1 << 20
+#: Groups of small inputs; a document's places come back in a piece a group at most.
+LEAST_GROUPS = 64
 #: Text bytes whose items travel together; what repeats within them is known before the shuffle.
 TOGETHER = 8 << 20
 
@@ -166,13 +168,13 @@ def repeated_windows(docs: DataFrame, length: int = 35, also: str | None = None)
     """(doc_id, text, places array<binary>) of every row of ``docs``: starts, as 32-bit integers, of windows that occur elsewhere too."""
     keyed = _keyed(docs, also)
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # About a word in six bytes, and a quarter of the words start an anchor.
-    buckets = max(8, docs.sparkSession.sparkContext.defaultParallelism, -(-size // (24 * GROUP_ITEMS)))
+    # About a word in six bytes, and a quarter of the words start an anchor; at most all of them a window.
+    buckets, more = max(LEAST_GROUPS, -(-size // (24 * GROUP_ITEMS))), max(LEAST_GROUPS, -(-size // (12 * GROUP_ITEMS)))
     rows = keyed.select("k1", "k2", "text")
     anchors = _merge(_anchors(rows, length, buckets))
     # The same columns as below, so that the texts are shuffled once and that exchange is used again.
     candidates = keyed.join(anchors, ["k1", "k2"])
-    windows = _merge(_windows(candidates, length, 4 * buckets))
+    windows = _merge(_windows(candidates, length, more))
     return keyed.join(windows, ["k1", "k2"], "left").select("doc_id", "text", "places", *([also] if also else []))
 
 
