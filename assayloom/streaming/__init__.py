@@ -1,0 +1 @@
+"""Nothing here: the analyses are of finished tables, and no operator consumes a stream."""
