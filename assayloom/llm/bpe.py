@@ -18,7 +18,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PLAIN = 0x250
 LETTER, DIGIT, SPACE, OTHER = range(4)
 #: Distinct words a process remembers; past that it starts over, which costs time only.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 
 
 def default_path() -> str:

@@ -20,7 +20,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Bytes of text that one vectorised step works on; arrays of 8 bytes a text byte stay small.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def work_dir(spark: SparkSession) -> str:

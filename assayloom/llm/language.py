@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ UNKNOWN = "und"
 #: Letter classes: code points share a class by their remainder; 0 is anything but a letter.
 CLASSES = 1 << 12
 SEED = 20240229
+#: N-grams whose vectors are held at once.
+BLOCK = 2048
 
 
 def _classes() -> np.ndarray:
@@ -33,7 +34,7 @@ class _Space:
     _have: dict[tuple[int, int], _Space] = {}
 
     def __init__(self, dims: int, n: int):
-        base = (np.random.default_rng(SEED).integers(0, 2, (CLASSES, dims), np.int8) * 2 - 1).astype(np.float32)
+        base = np.random.default_rng(SEED).integers(0, 2, (CLASSES, dims), np.int8) * 2 - 1
         self.dims, self.n, self.classes = dims, n, _classes()
         self.placed = [np.roll(base, n - 1 - k, axis=1) for k in range(n)]
 
@@ -62,10 +63,10 @@ class _Space:
 
     def vectors(self, packed: np.ndarray) -> np.ndarray:
         """The bound vectors of n-grams: the product of their letters' permuted vectors."""
-        out = np.ones((len(packed), self.dims), np.float32)
+        out = np.ones((len(packed), self.dims), np.int8)
         for k in range(self.n):
             out *= self.placed[k][(packed >> np.uint64(12 * (self.n - 1 - k))).astype(np.int64) % CLASSES]
-        return out
+        return out.astype(np.float32)
 
     def bundles(self, texts: list[bytes | None], owner: np.ndarray | None = None, owners: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Whether each text has a letter; the sum of the n-gram vectors of each text (or of each owner's texts)."""
@@ -73,10 +74,10 @@ class _Space:
         owner, owners = (doc, len(texts)) if owner is None else (owner[doc], owners)
         seen, index = np.unique(packed, return_inverse=True)
         total = np.zeros((owners, self.dims), np.float32)
-        for a in range(0, len(seen), 4096):  # bounds the vectors held at once
-            own = (index >= a) & (index < a + 4096)
-            part = np.bincount(owner[own] * 4096 + index[own] - a, minlength=owners * 4096).astype(np.float32).reshape(owners, 4096)
-            total += part[:, : len(seen) - a] @ self.vectors(seen[a : a + 4096])
+        for a in range(0, len(seen), BLOCK):  # bounds the vectors held at once
+            own = (index >= a) & (index < a + BLOCK)
+            part = np.bincount(owner[own] * BLOCK + index[own] - a, minlength=owners * BLOCK).astype(np.float32).reshape(owners, BLOCK)
+            total += part[:, : len(seen) - a] @ self.vectors(seen[a : a + BLOCK])
         return has, total
 
 
@@ -163,10 +164,6 @@ def identify(docs: DataFrame, **how) -> DataFrame:
     return predict(docs, fit(docs, **how)).select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score")
 
 
-def crc_fold(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % FOLDS
-
-
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None, least: float = 0.0) -> DataFrame:
     """``docs`` without the documents that language ID rejects: ``und``, or a score under ``least``. All columns and repeated rows stay.
 

@@ -26,7 +26,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.of(tokenizer)
         end = np.array([end_id], bpe.kind).tobytes()
-        for batch, texts in chunks(batches, most=2 << 20):
+        for batch, texts in chunks(batches, most=1 << 20):
             ids = bpe.encode([(t or b"").decode("utf-8", "replace") for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([x.tobytes() + end for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 

@@ -19,7 +19,7 @@ GROUP_ITEMS = 1 << 20
 #: Groups of small inputs; a document's places come back in a piece a group at most.
 LEAST_GROUPS = 64
 #: Text bytes whose items travel together; what repeats within them is known before the shuffle.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 ITEMS = "bucket long, hashes binary, k1 binary, k2 binary, doc binary, at binary, known binary"
 
