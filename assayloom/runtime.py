@@ -23,5 +23,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(home.rglob("*.py")):
                 z.write(p, p.relative_to(home.parent))
         sc.addPyFile(str(target))
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # its default; long texts make large batches
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
         sc._assayloom_sent = True
     return spark
