@@ -70,5 +70,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_embeddings, op2_mixing, op3_topk, op4_simhash, op5_toxicity, op6_substrings, op7_language, op8_packing, op9_urls, op10_warc)}
 
 
+def _op9_sql() -> str:
+    """The rules as one CASE, and ten rounds of both walks as ten tables."""
+    ordered = sorted(urls.RULES, key=lambda r: (-len(r.text), r.verdict != "block", r.text))
+    case = lambda what: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{what(r)}'" for r in ordered) + " END"
+    low = lambda x: f"translate({x}, '{urls.UPPER}', '{urls.LOW}')"
+    link = urls.LINK.replace("'", "''")
+    rounds = [f"""h{k} AS (SELECT side, host, sum(mass)::BIGINT AS mass FROM (SELECT side, host, seed // 100 * 15 AS mass FROM seeds UNION ALL SELECT e.side, e.dst, mass * 85 // 100 // total * w FROM edges e JOIN h{k - 1} h ON h.side = e.side AND h.host = e.src) GROUP BY ALL)""" for k in range(1, 11)]
+    return f"""WITH u AS (SELECT page_id, html, {low("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r AS (SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM u),
+seeds AS (SELECT ruled AS side, host, count(*) * {urls.UNIT} AS seed FROM r WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
+l AS (SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all({low("html")}, '{link}', 1)) AS dst FROM u), p AS (SELECT src, dst, count(*) AS w FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+b AS (SELECT 'allow' AS side, src, dst, w FROM p UNION ALL SELECT 'block', dst, src, w FROM p), edges AS (SELECT *, sum(w) OVER (PARTITION BY side, src)::BIGINT AS total FROM b),
+h0 AS (SELECT side, host, seed AS mass FROM seeds), {", ".join(rounds)},
+s AS (SELECT host, coalesce(sum(mass) FILTER (side = 'allow'), 0) AS t, coalesce(sum(mass) FILTER (side = 'block'), 0) AS d FROM h10 GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN t + d > 0 AND t - d < -0.5 * (t + d) THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN s USING (host)"""
+
+
+OP1_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+c AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id WHERE c.root < l.b),
+m AS (SELECT id, min(root) AS root FROM c GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+OP3_SQL = """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(k AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) WHERE k <= 20"""
+
+OP6_SQL = r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents), s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i FROM d),
+g AS (SELECT s.doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM s JOIN d USING (doc_id)), r AS (SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r), p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+k AS (SELECT p.doc_id, count(*) FILTER (x.j IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY p.j) FILTER (x.j IS NULL) AS kept FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.j = p.j GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+OP10_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Fingerprints (XXH64), seeded choices, learned models and token ids have no SQL."""
+    return {"op1_embeddings": OP1_SQL, "op3_topk": OP3_SQL, "op6_substrings": OP6_SQL, "op9_urls": _op9_sql(), "op10_warc": OP10_SQL}

@@ -6,7 +6,6 @@ not want a record goes to the next one without inflating it; members without tha
 
 from __future__ import annotations
 
-import hashlib
 import json
 import struct
 import uuid
@@ -278,7 +277,3 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     """The records under ``path`` in the columns of SCHEMA; without ``payload`` only headers are inflated and it is null."""
     register(spark)
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
-
-
-def sha1(data: bytes) -> str:
-    return hashlib.sha1(data).hexdigest()
