@@ -46,16 +46,26 @@ class SeverityModel:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def _learn(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int, rounds: int, rate: float, strength: float) -> SeverityModel:
-    """Proximal AdaGrad on the weighted mean loss with an L1 penalty that shrinks with the root of the rows."""
+def _learn(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int, rounds: int, rate: float, strengths: tuple[float, ...]) -> SeverityModel:
+    """One fit a strength; each keeps only the features that the one before gave a weight, so a strong penalty chooses and a weak one weighs."""
+    for strength in strengths:
+        model = _descend(counts, index, grade, weight, grades, rounds, rate, strength)
+        kept = model.weights[index] != 0
+        ends = np.concatenate(([0], np.cumsum(kept)))[np.cumsum(counts)]
+        counts, index = np.diff(ends, prepend=0), index[kept]
+    return model
+
+
+def _descend(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int, rounds: int, rate: float, strength: float) -> SeverityModel:
+    """Proximal Adam on the weighted mean loss with an L1 penalty that shrinks with the root of the rows."""
     n = len(grade)
     used, index = np.unique(index, return_inverse=True)
     starts = np.cumsum(counts) - counts
     some = counts > 0
     w, theta = np.zeros(len(used)), np.linspace(1, 2, grades - 1) if grades > 1 else np.zeros(0)
-    seen_w, seen_t = np.full(len(used), 1e-8), np.full(grades - 1, 1e-8)
+    mean_w, seen_w, mean_t, seen_t = np.zeros(len(used)), np.zeros(len(used)), np.zeros(grades - 1), np.zeros(grades - 1)
     weight, penalty = weight / weight.sum(), strength / np.sqrt(max(n, 1))
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
         score = np.zeros(n)
         if len(index):
             score[some] = np.add.reduceat(w[index], starts[some])
@@ -65,23 +75,34 @@ def _learn(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: np.
         gap = np.maximum(low - high, 1e-9)
         grad_w = np.bincount(index, np.repeat(slope, counts), len(used))
         grad_t = np.bincount(grade, weight * low * (1 - low) / gap, grades + 1)[1:grades] - np.bincount(grade + 1, weight * high * (1 - high) / gap, grades + 1)[1:grades]
-        seen_w += grad_w**2
-        seen_t += grad_t**2
-        step = rate / np.sqrt(seen_w)
-        w -= step * grad_w
+        fresh, old = 1 - 0.9**turn, 1 - 0.99**turn
+        mean_w, seen_w = 0.9 * mean_w + 0.1 * grad_w, 0.99 * seen_w + 0.01 * grad_w**2
+        mean_t, seen_t = 0.9 * mean_t + 0.1 * grad_t, 0.99 * seen_t + 0.01 * grad_t**2
+        step = rate / (np.sqrt(seen_w / old) + 1e-6)
+        w -= step * mean_w / fresh
         w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
-        theta = np.sort(theta - rate / np.sqrt(seen_t) * grad_t)
+        theta = np.sort(theta - rate / (np.sqrt(seen_t / old) + 1e-6) * mean_t / fresh)
         theta = np.maximum.accumulate(theta + np.arange(grades - 1) * 1e-6)
     weights = np.zeros(FEATURES)
     weights[used] = w
     return SeverityModel(weights, theta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int = 16_000, rounds: int = 300, rate: float = 1.0, strength: float = 0.01) -> SeverityModel:
+def _refined(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: np.ndarray, rounds: int, rate: float, strength: float) -> np.ndarray:
+    """Labels that only say toxic or not, as three grades of toxic: by how many words speak for it, cut at the thirds of those documents."""
+    model = _descend(counts, index, grade, weight, 2, rounds, rate, strength)
+    said = np.bincount(np.repeat(np.arange(len(counts)), counts), model.weights[index] > 0, len(counts))
+    cuts = np.unique(np.quantile(said[(grade == 1) & (said > 0)], (1 / 3, 2 / 3))) if ((grade == 1) & (said > 0)).any() else np.zeros(0)
+    fine = np.where(grade == 1, 1 + (said[:, None] > cuts[None, :]).sum(axis=1), 0)
+    return np.unique(fine, return_inverse=True)[1]  # no empty grade in between
+
+
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int = 16_000, rounds: int = 200, rate: float = 0.05, strengths: tuple[float, ...] = (0.1, 0.01)) -> SeverityModel:
     """A model of the severity ``grade`` (0, 1, ..; int) that ``labels`` (doc_id, grade) gives documents outside the held-out fold.
 
     Fitted on a bounded sample: about ``most_rows`` labelled rows, half of the room for grade 0 and the rest shared by the
-    others, chosen by a hash of the id and weighted back to their shares; whole texts of the chosen are read. Nulls and
+    others, chosen by a hash of the id and weighted back to their shares; whole texts of the chosen are read. Labels of two grades only
+    are refined to more by _refined. Nulls and
     negative grades are not learned from. Without labels, nothing is toxic.
     """
     rated = pick(labels, doc_id="long", **{grade: "int"}).toDF("doc_id", "grade").filter((fold_of() != 0) & (F.col("grade") >= 0)).groupBy("doc_id").agg(F.max("grade").alias("grade"))
@@ -96,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int
     within = F.lit(False)
     for g, share in rate_of.items():
         within |= (F.col("grade") == g) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    chosen = pick(docs, doc_id="long", text="string").join(rated.filter(within), "doc_id").select("doc_id", "text", "grade")
+    # About most_rows ids, whatever the input: sent to every task, so that no text is shuffled to find its label.
+    chosen = pick(docs, doc_id="long", text="string").join(F.broadcast(rated.filter(within)), "doc_id").select("doc_id", "text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -107,9 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int
     rows = sorted(chosen.mapInArrow(run, "doc_id long, grade int, features binary").collect(), key=lambda r: (r[0], bytes(r[2])))
     if not rows:
         return SeverityModel(np.zeros(FEATURES), np.full(1, 40.0))
-    index = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.int32)
-    grade_of = np.array([r[1] for r in rows])
-    return _learn(np.array([len(r[2]) // 4 for r in rows]), index, grade_of, np.array([1 / rate_of[g] for g in grade_of.tolist()]), grades, rounds, rate, strength)
+    index, counts = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.int32), np.array([len(r[2]) // 4 for r in rows])
+    grade_of, weight = np.array([r[1] for r in rows]), np.array([1 / rate_of[r[1]] for r in rows])
+    if grades == 2:
+        grade_of = _refined(counts, index, grade_of, weight, rounds, rate, strengths[0])
+    return _learn(counts, index, grade_of, weight, int(grade_of.max()) + 1, rounds, rate, strengths)
 
 
 def predict(docs: DataFrame, model: SeverityModel, toxic_from: float = 0.35) -> DataFrame:
@@ -129,9 +153,8 @@ def predict(docs: DataFrame, model: SeverityModel, toxic_from: float = 0.35) ->
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade): 0 not toxic, 1 toxic, 2 toxic in a document that is of low quality as well; null where toxic is null."""
-    low = F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0))
-    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") * (1 + low)).alias("grade"))
+    """(doc_id, grade): 1 toxic, 0 not; null where toxic is null. fit() refines such labels."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("grade"))
 
 
 def rate(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
