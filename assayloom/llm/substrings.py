@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayloom.llm.common import chunks, pick, run_hashes, word_hashes, word_spans
+from assayloom.llm.common import chunks, run_hashes, word_hashes, word_spans
 
 #: Perfect difference sets by their period; every difference modulo the period occurs once.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -198,15 +198,18 @@ def rewrite(docs: DataFrame, length: int = 35) -> DataFrame:
     follows the new text.
     """
     own = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = repeated_windows(docs.withColumn("__own", F.struct(*docs.columns)), length, "__own")
+    # All but the text, which travels once.
+    found = repeated_windows(docs.withColumn("__own", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))), length, "__own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            new = [_cleaned(t, v, length)[2] if v else t for t, v in zip(texts, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(new, pa.binary()).cast(pa.string()), pa.array([bool(v) for v in batch.column(1).to_pylist()])], ["__own", "__text", "__cut"])
+            places = batch.column(batch.schema.get_field_index("places")).to_pylist()
+            new = [_cleaned(t, v, length)[2] if v else t for t, v in zip(texts, places, strict=True)]
+            own = batch.column(batch.schema.get_field_index("__own"))
+            yield pa.RecordBatch.from_arrays([own, pa.array(new, pa.binary()).cast(pa.string()), pa.array([bool(v) for v in places])], ["__own", "__text", "__cut"])
 
     schema = T.StructType([T.StructField("__own", found.schema["__own"].dataType), T.StructField("__text", T.StringType()), T.StructField("__cut", T.BooleanType())])
-    new = found.select("text", "places", "__own").mapInArrow(run, schema)
+    new = found.mapInArrow(run, schema)  # all columns, so that the exchange of the texts is the one used before
     size = F.when(F.col("__cut"), F.char_length("__text")).otherwise(F.col("__own.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in own else None
     return new.select(*(F.col("__text").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"__own.`{c}`").alias(c) for c in docs.columns))
 
