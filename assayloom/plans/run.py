@@ -66,7 +66,7 @@ def panels(result: DataFrame, n: int, alpha: float) -> dict[str, list[int]]:
     return out
 
 
-def run(spark: SparkSession, options: Options, settings: Settings, model_id: str = "run", params: dict | None = None) -> dict[str, DataFrame]:
+def run(spark: SparkSession, options: Options, settings: Settings, model_id: str = "run", params: dict | None = None, boots: int = 1000) -> dict[str, DataFrame]:
     """A feature-selection run, its tables written to the target and returned by name."""
     s, seed, params = settings.feature_selection, settings.random_state, dict(params or {})
     data = load(spark, options, settings)
@@ -116,11 +116,11 @@ def run(spark: SparkSession, options: Options, settings: Settings, model_id: str
     for name, panel in panels(result, k * repeats, settings.stats.pvalue_thresh).items():
         panel = sorted(panel)
         for split, (fit, test) in {"semi_holdout": (part.filter("not test"), part.filter("test")), "holdout": (arrays, held)}.items():
-            scored = ranking.holdout_scores(fit, test, options.model, panel, seed, **params)
+            scored = ranking.holdout_scores(fit, test, options.model, panel, seed, **params).persist()
             points = metrics.roc_points(scored)
             tables[f"{name}_{split}_metrics"] = metrics.metrics_at(scored, metrics.thresholds(points))
             tables[f"{name}_{split}_roc"] = metrics.roc_grid(points)
-            tables[f"{name}_{split}_ci"] = ranking.bootstrap_report(scored, 1000, seed)
+            tables[f"{name}_{split}_ci"] = ranking.bootstrap_report(scored, boots, seed)
     save(spark, options, settings, model_id, tables, fmt="parquet")
     result.unpersist()
     return tables
