@@ -79,7 +79,7 @@ def _op9_sql() -> str:
     rounds = [f"""h{k} AS (SELECT side, host, sum(mass)::BIGINT AS mass FROM (SELECT side, host, seed // 100 * 15 AS mass FROM seeds UNION ALL SELECT e.side, e.dst, mass * 85 // 100 // total * w FROM edges e JOIN h{k - 1} h ON h.side = e.side AND h.host = e.src) GROUP BY ALL)""" for k in range(1, 11)]
     return f"""WITH u AS (SELECT page_id, html, {low("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 r AS (SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM u),
-seeds AS (SELECT ruled AS side, host, count(*) * {urls.UNIT} AS seed FROM r WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
+seeds AS (SELECT ruled AS side, host, count(*) * 1000000 AS seed FROM r WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
 l AS (SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all({low("html")}, '{link}', 1)) AS dst FROM u), p AS (SELECT src, dst, count(*) AS w FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
 b AS (SELECT 'allow' AS side, src, dst, w FROM p UNION ALL SELECT 'block', dst, src, w FROM p), edges AS (SELECT *, sum(w) OVER (PARTITION BY side, src)::BIGINT AS total FROM b),
 h0 AS (SELECT side, host, seed AS mass FROM seeds), {", ".join(rounds)},

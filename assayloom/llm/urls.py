@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from assayloom.llm.common import cut
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Mass of one seed page. Masses are whole numbers, so sums do not depend on their order.
-UNIT = 1_000_000
+#: Mass of one seed page. Masses are whole numbers, so sums do not depend on their order; they stay under 10**34 for 10**10 pages.
+UNIT = 10**24
+MASS = "decimal(38,0)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 MOST_RULES = 256
 
@@ -49,15 +51,21 @@ def _first(host: Column, path: Column, ordered: list[Rule], what) -> Column:
     return F.coalesce(*(F.when(_fits(host, path, r), F.lit(what(r))) for r in ordered), F.lit(None).cast("string"))
 
 
+def _share(mass: Column, times: Column, parts: Column) -> Column:
+    """floor(mass * times / parts), one at least, for times <= parts; products stay within 38 digits."""
+    whole = lambda a: ((a - a % parts) / parts).cast(MASS)  # noqa: E731  (div would give a long)
+    return F.greatest((whole(mass) * times).cast(MASS) + whole(((mass % parts) * times).cast(MASS)), F.lit(1)).cast(MASS)
+
+
 def judge(pages: DataFrame, rule_list: list[Rule] = RULES, rounds: int = 10, damping: int = 85, least: float = -0.5) -> DataFrame:
-    """(page_id long, host string, path string, rule string, verdict string, trust long, distrust long), one row per row of ``pages``.
+    """(page_id long, host string, path string, rule string, verdict string, trust decimal(38,0), distrust decimal(38,0)), one row per row of ``pages``.
 
     A rule fits its host and that host's subdomains where the path starts with the rule's; the longest wins (a block, between
     equals). Pages that no rule fits take their host's verdict: each page a rule allows (blocks) gives its host one unit of
     trust (distrust); trust walks along the links between hosts and distrust against them, ``rounds`` steps of personalised
     PageRank with ``damping`` percent (mass at a host without such links ends there). A host is blocked where
-    (trust - distrust) / (trust + distrust) is under ``least``; one that neither reaches is allowed. Links within a host say
-    nothing. Null urls and ones without ``://`` have an empty host, which has no links; null html has none; an empty table gives
+    (trust - distrust) / (trust + distrust) is under ``least``; one that neither reaches is allowed. A share of less than 1 / UNIT
+    of a page counts as that much, so whatever is reached stays reached. Links within a host say nothing. Null urls and ones without ``://`` have an empty host, which has no links; null html has none; an empty table gives
     no rows. At most MOST_RULES rules; more raise.
     """
     if len(rule_list) > MOST_RULES:
@@ -68,7 +76,7 @@ def judge(pages: DataFrame, rule_list: list[Rule] = RULES, rounds: int = 10, dam
     ruled = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     ruled = ruled.withColumns({"rule": _first(F.col("host"), F.col("path"), ordered, lambda r: r.text), "ruled": _first(F.col("host"), F.col("path"), ordered, lambda r: r.verdict)})
 
-    seeds = ruled.filter("ruled is not null and host <> ''").groupBy(F.col("ruled").alias("side"), "host").agg((F.count("*") * UNIT).alias("seed"))
+    seeds = ruled.filter("ruled is not null and host <> ''").groupBy(F.col("ruled").alias("side"), "host").agg((F.count("*") * F.lit(Decimal(UNIT))).cast(MASS).alias("seed"))
     seeds = cut(seeds)
     linked = pages.select(host.alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col("html").cast("string"), F.lit(LINK), F.lit(1)), lambda h: F.translate(h, UPPER, LOW)))).alias("dst"))
     edges = linked.filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("w"))
@@ -76,11 +84,12 @@ def judge(pages: DataFrame, rule_list: list[Rule] = RULES, rounds: int = 10, dam
     totals = edges.groupBy("side", "src").agg(F.sum("w").alias("all"))
     edges = cut(edges.join(totals, ["side", "src"]))
 
-    held, own = seeds.withColumnRenamed("seed", "mass"), seeds.select("side", "host", F.expr(f"seed div 100 * {100 - damping}").alias("mass"))
+    held, own = seeds.withColumnRenamed("seed", "mass"), seeds.select("side", "host", _share(F.col("seed"), F.lit(100 - damping).cast(MASS), F.lit(100).cast(MASS)).alias("mass"))
+    step = _share(F.col("mass"), F.col("w").cast("decimal(20,0)") * damping, F.col("all").cast("decimal(20,0)") * 100)
     if not edges.isEmpty():
         for _ in range(rounds):
-            sent = edges.join(held.withColumnRenamed("host", "src"), ["side", "src"]).select("side", F.col("dst").alias("host"), F.expr(f"mass * {damping} div 100 div `all` * w").alias("mass"))
-            held = cut(own.unionByName(sent).groupBy("side", "host").agg(F.sum("mass").alias("mass")))
-    scores = held.groupBy("host").agg(F.sum(F.when(F.col("side") == "allow", F.col("mass")).otherwise(0)).alias("trust"), F.sum(F.when(F.col("side") == "block", F.col("mass")).otherwise(0)).alias("distrust"))
-    bad = (F.col("trust") + F.col("distrust") > 0) & (F.col("trust") - F.col("distrust") < least * (F.col("trust") + F.col("distrust")))
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
+            sent = edges.join(held.withColumnRenamed("host", "src"), ["side", "src"]).select("side", F.col("dst").alias("host"), step.alias("mass"))
+            held = cut(own.unionByName(sent).groupBy("side", "host").agg(F.sum("mass").cast(MASS).alias("mass")))
+    scores = held.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("mass"))), F.lit(0)).cast(MASS).alias(name) for side, name in (("allow", "trust"), ("block", "distrust"))))
+    bad = (F.col("trust") + F.col("distrust") > 0) & (F.col("trust") - F.col("distrust") < F.lit(Decimal(str(least))) * (F.col("trust") + F.col("distrust")))
+    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), *(F.coalesce(c, F.lit(0).cast(MASS)).alias(c) for c in ("trust", "distrust")))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -166,6 +167,38 @@ def test_trust_and_distrust_walk_the_links(spark):
     assert got["feeder.io"].verdict == "block" and got["near.io"].verdict == "allow"
 
 
+def test_a_hub_host_passes_its_mass_on(spark):
+    link = lambda *hosts: "".join(f"<a href='//{h}/x'>" for h in hosts)
+    many = [f"m{i}.io" for i in range(400)]
+    html = [("spam.org", "/es/1", "")] + [("hub.io", "/", link("spam.org", *many))] * 2 + [("hub.io", "/", link("spam.org"))] * 8
+    html += [(h, "/", link("hub.io")) for h in many] + [("deep.io", "/", link("m0.io")), *((f"d{i}.io", "/", link("m0.io")) for i in range(400))] + [("tail.io", "/", link("deep.io"))]
+    html += [("good.net", "/de/1", link("hub.io", *many))]
+    rows = [(i, f"http://{h}{p}", x) for i, (h, p, x) in enumerate(html)]
+    got = {r.host: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    w = {}
+    for h, _, x in html:
+        for t in re.findall(r"//([^/]+)/", x):
+            w[h, t] = w.get((h, t), 0) + 1
+
+    def exact(seed, edges):
+        out, held = {}, {seed: Fraction(1)}
+        for (a, _), n in edges.items():
+            out[a] = out.get(a, 0) + n
+        for _ in range(10):
+            new = {seed: Fraction(15, 100)}
+            for (a, b), n in edges.items():
+                if a in held:
+                    new[b] = new.get(b, 0) + held[a] * 85 * n / (100 * out[a])
+            held = new
+        return held
+
+    trust, distrust = exact("good.net", w), exact("spam.org", {(b, a): n for (a, b), n in w.items()})
+    for h, r in got.items():
+        for found, want in ((r.trust, trust.get(h, 0)), (r.distrust, distrust.get(h, 0))):
+            assert abs(int(found) / urls.UNIT - float(want)) <= 1e-9 * float(want)
+    assert got["tail.io"].trust == 0 and got["tail.io"].verdict == "block"
+
+
 def test_query_9_has_no_python(spark):
     plan = op9_urls(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
