@@ -197,16 +197,14 @@ def _smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(cell: pa.Table, asked: pa.Table, width: int, least: float) -> pa.Table:
-    out_id, out_n, out_a, out_b = [], [], [], []
+    out_id, out_n, out_near, out_several, out_a, out_b = [], [], [], [], [], []
     if len(cell) and len(asked):
         cell, asked = cell.sort_by("rep"), asked.sort_by("rep")
-        ids, copies, here = (cell[c].to_numpy() for c in ("rep", "copies", "cell"))
+        ids, copies = (cell[c].to_numpy() for c in ("rep", "copies"))
         graph = _Cell(ids, _unit(_rows(cell["e"], width)), cell["near"].to_pylist(), cell["medoid"].to_numpy())
-        other, other_shards = cell["other"].to_numpy(), cell["other_shards"].to_pylist()
-        earlier = np.flatnonzero((other >= 0) & (other < here))  # these are also in an earlier cell, which counts pairs it is asked about
-        shard_mask = {}
-        for i in earlier:
-            for s in other_shards[i]:
+        shard_mask = {}  # vectors that are also in another cell, which members of the shard ask too
+        for i, shards in enumerate(cell["other_shards"].to_pylist()):
+            for s in shards:
                 shard_mask.setdefault(s, np.zeros(len(ids), bool))[i] = True
         q_ids, q_unit, q_shards = asked["rep"].to_numpy(), _unit(_rows(asked["e"], width)), asked["shards"].to_pylist()
         for a in range(0, len(q_ids), BATCH):
@@ -220,17 +218,19 @@ def _links(cell: pa.Table, asked: pa.Table, width: int, least: float) -> pa.Tabl
                 edges = _smallest(q_ids[a + qi], ids[vi])
                 out_a.append(edges[0])
                 out_b.append(edges[1])
-            counted = np.ones(len(qi), bool)
-            for k, shards in enumerate(q_shards[a : a + BATCH]):
-                for s in shards:
-                    if s in shard_mask:
-                        mine = qi == k
-                        counted[mine] &= ~shard_mask[s][vi[mine]]
-            n = np.bincount(qi[counted], copies[vi[counted]], len(part)).astype(np.int64)
+            several, mine = np.zeros(len(qi), bool), q_shards[a : a + BATCH]
+            for s, mask in shard_mask.items():
+                several |= np.array([s in shards for shards in mine])[qi] & mask[vi]
+            once, again = ~several, np.flatnonzero(several)
+            again = again[np.argsort(qi[again], kind="stable")]
+            pairs = np.stack((ids[vi[again]], copies[vi[again]]), axis=1).astype(np.int64)
+            ends = np.searchsorted(qi[again], np.arange(len(part) + 1))
+            out_several += [pairs[x:y].tobytes() if y > x else None for x, y in zip(ends[:-1], ends[1:], strict=True)]
             out_id.append(q_ids[a : a + BATCH])
-            out_n.append(n)
+            out_n.append(np.bincount(qi[once], copies[vi[once]], len(part)).astype(np.int64))
+            out_near.append(np.bincount(qi[once], minlength=len(part)).astype(np.int64))
     none = np.zeros(0, np.int64)
-    ids, n, a, b = (np.concatenate(v) if v else none for v in (out_id, out_n, out_a, out_b))
+    ids, n, near, a, b = (np.concatenate(v) if v else none for v in (out_id, out_n, out_near, out_a, out_b))
     own = a != b
     if own.any():
         a, b = _smallest(a[own], b[own])
@@ -238,25 +238,40 @@ def _links(cell: pa.Table, asked: pa.Table, width: int, least: float) -> pa.Tabl
     else:
         a = b = none
     blank = lambda k: pa.nulls(k, pa.int64())
-    return pa.table({"rep": pa.chunked_array([pa.array(ids), pa.array(a)]), "n": pa.chunked_array([pa.array(n), blank(len(a))]), "to": pa.chunked_array([blank(len(ids)), pa.array(b)])})
+    counts = {c: pa.chunked_array([pa.array(v), blank(len(a))]) for c, v in (("n", n), ("near", near))}
+    several = pa.chunked_array([pa.array(out_several, pa.binary()), pa.nulls(len(a), pa.binary())])
+    return pa.table({"rep": pa.chunked_array([pa.array(ids), pa.array(a)]), **counts, "several": several, "to": pa.chunked_array([blank(len(ids)), pa.array(b)])})
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the hits that several cells may have found, each once."""
+    for batch in batches:
+        n, near = [], []
+        for packed in batch.column(1).to_pylist():
+            pairs = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
+            _, first = np.unique(pairs[:, 0], return_index=True)
+            n.append(int(pairs[first, 1].sum()))
+            near.append(len(first))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(near, pa.int64())], ["rep", "n", "near"])
 
 
 def near_links(vectors: DataFrame, least: float = 0.95, overlap: int = 2, most_sample: int = 16_384) -> DataFrame:
-    """(vec_id long, n_links long, component_id long), one row per row of ``vectors`` with a vec_id.
+    """(vec_id long, n_links long, component_id long, n_near long), one row per row of ``vectors`` with a vec_id.
 
     Two vectors link at a cosine of ``least`` or more in double precision; vectors that are null, zero or hold null or
     non-finite components link with nothing. Shorter vectors count as if they ended in zeros. Equal vectors are one node with
     a number of copies. Nodes go to the ``overlap`` nearest of the centroids (learned on at most about ``most_sample`` vectors)
     and shards above GROUP nodes are split. Each group builds a robust-pruned graph; a node's lists from its groups are
     united; cells of GROUPS groups are searched for every member of their shards, greedily from the medoids and then outwards
-    while neighbours are in range, and hits are verified. A pair is counted in the earliest cell that holds it; a task
-    sends counts and one edge a node, never its pairs, so a dense group does not grow as its square. An empty table gives no rows.
+    while neighbours are in range, and hits are verified. A task sends counts and one edge a node; only hits
+    that the query may meet in a further cell are sent themselves, packed a query, and counted once. ``n_near`` counts the other
+    distinct vectors in range, n_links all rows. An empty table gives no rows.
     """
     rows = cut(usable(vectors))
     reps = cut(rows.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     n, width = reps.agg(F.count("*"), F.max(F.size("e"))).first()
     if not n:
-        return vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+        return vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_near"))
     sent = vectors.sparkSession.sparkContext.broadcast(_centres(reps, n, width, most_sample))  # 1024 centroids at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,28 +311,29 @@ def near_links(vectors: DataFrame, least: float = 0.95, overlap: int = 2, most_s
     for c, shards in by_cell.items():
         for s in shards:
             cells_of.setdefault(s, []).append(c)
-    cell_table = spark.createDataFrame([(c, sorted(s)) for c, s in by_cell.items()], "cell long, cell_shards array<long>")
-    seats = grouped.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("e").alias("e"), F.array_sort(F.collect_set("cell")).alias("cells"))
-    index = seats.join(united, "rep").select("*", F.explode("cells").alias("cell"))
-    index = index.withColumns({"other": F.coalesce(F.array_min(F.array_except("cells", F.array("cell"))), F.lit(-1)), "medoid": F.exists("heads", lambda g: F.floor(g / GROUPS) == F.col("cell"))})
-    index = index.join(cell_table.select(F.col("cell").alias("other"), F.col("cell_shards").alias("other_shards")), "other", "left").withColumn("other_shards", F.coalesce("other_shards", F.array().cast("array<long>")))
+    cell_table = F.broadcast(spark.createDataFrame([(c, sorted(s)) for c, s in by_cell.items()], "cell long, cell_shards array<long>"))
+    seats = grouped.join(cell_table, "cell").groupBy("rep").agg(F.first("copies").alias("copies"), F.first("e").alias("e"), F.collect_set(F.struct("cell", "cell_shards")).alias("homes"))
+    index = seats.join(united, "rep").select("*", F.explode("homes.cell").alias("cell"))
+    others = F.filter("homes", lambda h: h["cell"] != F.col("cell"))
+    index = index.withColumns({"other_shards": F.array_distinct(F.flatten(F.transform(others, lambda h: h["cell_shards"]))), "medoid": F.exists("heads", lambda g: F.floor(g / GROUPS) == F.col("cell"))})
 
     wanted = spark.createDataFrame([(s, c) for s, cs in cells_of.items() for c in cs], "shard long, cell long")
     asked = members.select("rep", "e", "shards", "shard").join(wanted, "shard").select("rep", "e", "shards", "cell").dropDuplicates(["rep", "cell"])
     loads = {r[0]: r[1] for r in members.join(wanted, "shard").groupBy("cell").count().collect()}
     tasks = F.broadcast(spark.createDataFrame([(c, max(1, -(-loads.get(c, 0) // QUERIES))) for c in by_cell], "cell long, turns long"))
     asked = asked.join(tasks, "cell").withColumn("turn", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("turns"))).select("cell", "turn", "rep", "e", "shards")
-    index = index.join(tasks, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "rep", "copies", "e", "near", "medoid", "other", "other_shards")
+    index = index.join(tasks, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "rep", "copies", "e", "near", "medoid", "other_shards")
     index, asked = (df.toDF(*df.columns) for df in (index, asked))  # both come from the same rows
-    found = index.groupBy("cell", "turn").cogroup(asked.groupBy("cell", "turn")).applyInArrow(lambda a, b: _links(a, b, width, least), "rep long, n long, to long")
+    found = index.groupBy("cell", "turn").cogroup(asked.groupBy("cell", "turn")).applyInArrow(lambda a, b: _links(a, b, width, least), "rep long, n long, near long, several binary, to long")
     found = cut(found)
-    counts = found.filter("n is not null").groupBy("rep").agg(F.sum("n").alias("n"))
+    again = found.filter("several is not null").groupBy("rep").agg(F.collect_list("several").alias("several")).mapInArrow(_settle, "rep long, n long, near long")
+    counts = found.filter("n is not null").select("rep", "n", "near").unionAll(again).groupBy("rep").agg(F.sum("n").alias("n"), F.sum("near").alias("n_near"))
     roots = connected_components(found.filter("to is not null").select(F.col("rep").alias("src"), F.col("to").alias("dst")))
-    nodes = reps.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.join(nodes, "e").select("vec_id", "n_links", "component_id")
+    nodes = reps.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    linked = rows.join(nodes, "e").select("vec_id", "n_links", "component_id", "n_near")
     alone = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter("vec_id is not null")
     odd = F.col("e").isNull() | F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("e", lambda x: F.coalesce(x, F.lit(0.0)) != 0)
-    return linked.unionAll(alone.filter(odd).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
+    return linked.unionAll(alone.filter(odd).select("vec_id", F.lit(0).cast("long"), F.col("vec_id"), F.lit(0).cast("long")))
 
 
 def audit(vectors: DataFrame, links: DataFrame, least: float = 0.95, queries: int = 256) -> float:

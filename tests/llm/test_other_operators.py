@@ -68,6 +68,37 @@ def test_a_dense_group_larger_than_a_build_group(spark, monkeypatch):
     assert {found[i][1] for i in range(400)} == {0}
 
 
+@pytest.mark.parametrize("overlap", [4, 15])
+def test_pairs_that_meet_in_several_cells_count_once(spark, monkeypatch, overlap):
+    import pyarrow as pa
+
+    for name, n in (("GROUP", 32), ("GROUPS", 1)):
+        monkeypatch.setattr(neardup_graph, name, n)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(8)
+    rows = [(i, (base + 0.1 * rng.standard_normal(8)).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = links(df.collect())
+    whole = neardup_graph._Cell.search
+    found = {r.vec_id: r.n_links for r in neardup_graph.near_links(df, overlap=overlap).collect()}
+    assert all(found[i] <= n for i, (n, _) in want.items())
+    if overlap == 15:  # every cell is asked
+        assert sum(found.values()) == sum(n for n, _ in want.values())
+    # A hit that the first cell misses and the second finds counts, and one that both find counts once.
+    table = lambda **c: pa.table({**c, "e": [[1.0, 0.1], [1.0, 0.0]]})
+    cell = table(rep=[1, 2], copies=[1, 5], near=pa.array([[2], [1]], pa.list_(pa.int64())), medoid=[True, False], other_shards=pa.array([[9], [9]], pa.list_(pa.int64())))
+    asked = table(rep=[1, 2], shards=pa.array([[7, 9], [7, 9]], pa.list_(pa.int64())))
+    full = neardup_graph._links(cell, asked, 2, 0.95)
+    monkeypatch.setattr(neardup_graph._Cell, "search", lambda *a: tuple(v[:0] for v in whole(*a)))
+    missed = neardup_graph._links(cell, asked, 2, 0.95)
+    sent = {1: [], 2: []}
+    for r in (*full.to_pylist(), *full.to_pylist(), *missed.to_pylist()):
+        if r["several"] is not None:
+            sent[r["rep"]].append(r["several"])
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([sent[1], sent[2]], pa.list_(pa.binary()))], ["rep", "several"])
+    assert [b.to_pydict() for b in neardup_graph._settle([batch])] == [{"rep": [1, 2], "n": [5, 1], "near": [1, 1]}]
+
+
 def test_query_1(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     got = {r.vec_id: (r.n_links, r.component_id) for r in op1_embeddings(spark, SF).collect()}
