@@ -99,6 +99,18 @@ def test_pairs_that_meet_in_several_cells_count_once(spark, monkeypatch, overlap
     assert [b.to_pydict() for b in neardup_graph._settle([batch])] == [{"rep": [1, 2], "n": [5, 1], "near": [1, 1]}]
 
 
+def test_the_audit_sees_lost_links_beside_many_copies(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal((100, 16))
+    rows = [(i, (centre[i % 100] + 0.03 * rng.standard_normal(16)).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 16) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neardup_graph.near_links(df)
+    assert neardup_graph.audit(df, got) >= 0.9
+    lost = got.withColumns({"n_links": F.when(F.col("vec_id") < 1000, 0).otherwise(F.col("n_links")), "n_near": F.lit(0).cast("long")})
+    assert neardup_graph.audit(df, lost) < 0.1
+    assert neardup_graph.audit(df, got.withColumn("n_near", F.col("n_near") * 2)) < 0.6
+
+
 def test_query_1(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     got = {r.vec_id: (r.n_links, r.component_id) for r in op1_embeddings(spark, SF).collect()}
