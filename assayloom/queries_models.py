@@ -139,7 +139,7 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def shap_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = patients(spark, sf)
-    return ranking.shap_report(rows.filter("holdout"), rows.filter("not holdout"), most_background=10, **SMALL)
+    return ranking.shap_report(rows.filter("holdout"), rows.filter("not holdout"), **SMALL)
 
 
 @query()

@@ -1,4 +1,5 @@
 import math
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -99,6 +100,29 @@ def test_trees_shapley_values_add_up():
         learner("other")
 
 
+def test_the_shap_report_adds_up_over_the_whole_background(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(x[1] > 0), x.tolist()) for i, x in enumerate(rng.standard_normal((300, 4)))]
+    df = spark.createDataFrame(rows, "id long, target int, x array<double>")
+    got = ranking.shap_report(df.filter("id < 20"), df, trees=20).groupBy("id").agg(F.sum("shap").alias("s")).collect()
+    x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    forest = learner("xgboost")(x, y, trees=20)
+    p = forest.predict(x)
+    assert len(got) == 20 and all(r.s == pytest.approx(p[r.id] - p.mean(), abs=1e-9) for r in got)
+
+    one = {r.fi: r.shap for r in ranking.shap_report(df.filter("id = 3"), df, model="random_forest", trees=10, depth=4).collect()}
+    trees = learner("random_forest")(x, y, trees=10, depth=4)
+
+    def worth(s):
+        z = x.copy()
+        z[:, s] = x[3, s]
+        return trees.predict(z).mean()
+
+    orders = list(permutations(range(4)))
+    want = [np.mean([worth(list(o[: o.index(f) + 1])) - worth(list(o[: o.index(f)])) for o in orders]) for f in range(4)]
+    assert [one[f] for f in range(4)] == pytest.approx(want, abs=1e-9)
+
+
 def test_selection_finds_the_feature_that_differs(spark):
     rng = np.random.default_rng(1)
     rows = [(i, i % 2, f, float(rng.standard_normal() + (3.0 if f == 2 and i % 2 else 0.0))) for i in range(80) for f in range(6)]
