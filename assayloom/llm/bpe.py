@@ -48,11 +48,12 @@ class Bpe:
 
     def __init__(self, path: str):
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
         self.slow.no_padding()
         self.slow.no_truncation()
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
+        #: The strings of added tokens, which the tokenizer finds before it cuts words.
+        self.added = [t["content"] for t in stored.get("added_tokens", ())]
         special = {t["content"] for t in stored.get("added_tokens", ())}
         to_byte = _bytes_of()
         ranks = {bytes(to_byte[c] for c in token): i for token, i in stored["model"]["vocab"].items() if token not in special}
@@ -94,8 +95,9 @@ class Bpe:
         """The ids of each whole text, no special ones added."""
         out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
         points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        plain = [i for i, p in enumerate(points) if len(p) and p.max() < PLAIN]
-        odd = [i for i, p in enumerate(points) if len(p) and p.max() >= PLAIN]
+        whole = [i for i, p in enumerate(points) if len(p)]
+        odd = [i for i in whole if points[i].max() >= PLAIN or any(t in texts[i] for t in self.added)]
+        plain = sorted(set(whole) - set(odd))
         for i in odd:
             out[i] = np.asarray(self.slow.encode(texts[i], add_special_tokens=False).ids, self.kind)
         if plain:

@@ -245,6 +245,17 @@ def test_ids_equal_the_tokenizer_on_awkward_text():
     assert [x.tolist() for x in bpe.encode(texts)] == [bpe.slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_are_those_of_the_file_as_given():
+    from tokenizers import Tokenizer
+
+    from assayloom.llm.bpe import default_path
+
+    fresh = Tokenizer.from_file(default_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>é", "<|endoftext", "日<|endoftext|>", "plain text"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in Bpe.of().encode(texts)] == want and want[0] == [64, 220, 50256, 275]
+
+
 def test_cutting_stock_covers_the_demand_closely():
     rng = np.random.default_rng(1)
     demand = {int(s): int(n) for s, n in zip(range(1, 31), rng.integers(1, 400, 30), strict=True)}
