@@ -1,19 +1,21 @@
-"""Byte-level BPE ids of many texts: words are cut with array operations and each distinct word is merged once."""
+"""Byte-level BPE ids of many texts: words are cut with array operations and each distinct word is merged once.
+
+Words are those of the pattern that files of this kind are made with: contractions, letters, digits or other signs with a space
+before them, and white space.
+"""
 
 from __future__ import annotations
 
 import json
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-from assayloom.llm.common import BASES, mix, powers
 
-#: The word pattern that byte-level BPE files of this kind are made with.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts whose code points all lie below this are cut here; others go through the tokenizer itself.
 PLAIN = 0x250
 LETTER, DIGIT, SPACE, OTHER = range(4)
@@ -43,6 +45,17 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """The ids of words, as bytes; a word asked for the first time is merged then."""
+
+    def __init__(self, merge: Callable[[str], list[int]], code: str):
+        self.merge, self.code = merge, code
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = array(self.code, self.merge(word)).tobytes()
+        return ids
+
+
 class Bpe:
     _have: dict[str, Bpe] = {}
 
@@ -57,9 +70,9 @@ class Bpe:
         special = {t["content"] for t in stored.get("added_tokens", ())}
         to_byte = _bytes_of()
         ranks = {bytes(to_byte[c] for c in token): i for token, i in stored["model"]["vocab"].items() if token not in special}
-        self.merge = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kind = np.uint16 if self.slow.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[int, bytes] = {}
+        self.known = _Known(merge, np.dtype(self.kind).char)
         self.kinds = _kinds()
 
     @classmethod
@@ -106,30 +119,17 @@ class Bpe:
             first = np.zeros(len(line), bool)
             first[begin[:-1]] = True
             starts = np.flatnonzero(self._starts(line, first))
-            ids, at = self._ids("".join(texts[i] for i in plain), line, starts)
+            ids, at = self._ids("".join(texts[i] for i in plain), starts)
             cuts = np.concatenate((at, [len(ids)]))[np.searchsorted(starts, begin)]
             for k, i in enumerate(plain):
                 out[i] = ids[cuts[k] : cuts[k + 1]]
         return out
 
-    def _ids(self, text: str, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each word's ids start."""
-        ends = np.append(starts[1:], len(points))
-        up, down = powers(BASES[0], len(points) + 1)
-        prefix = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=prefix[1:])
-        hashes = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        seen, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, merge, code, parts = self.known, self.merge, np.dtype(self.kind).char, []
-        for h, a, b in zip(seen.tolist(), starts[index].tolist(), ends[index].tolist(), strict=True):
-            ids = known.get(h)
-            if ids is None:
-                ids = known[h] = array(code, merge(text[a:b].encode())).tobytes()
-            parts.append(ids)
+        begins = starts.tolist()
+        parts = [self.known[text[a:b]] for a, b in zip(begins, [*begins[1:], len(text)], strict=True)]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(self.kind).itemsize
-        flat, where = np.frombuffer(b"".join(parts), self.kind), np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        own = sizes[inverse]
-        at = np.concatenate(([0], np.cumsum(own)[:-1]))
-        return flat[np.repeat(where[inverse] - at, own) + np.arange(own.sum())], at
+        return np.frombuffer(b"".join(parts), self.kind), np.cumsum(sizes) - sizes

@@ -7,16 +7,16 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-WHITE = np.zeros(256, bool)
-WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Bytes of text that one vectorised step works on; arrays of 8 bytes a text byte stay small.
@@ -24,11 +24,14 @@ CHUNK_BYTES = 1 << 19
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one is set only where the session names none (tests)."""
+    """The shared folder the cluster names. Where the session names none, a local master gets a local one (tests); others raise,
+    since their executors would each write to a disk of their own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="assayloom-"))
         named = sc._jsc.sc().getCheckpointDir().get()
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -42,6 +45,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that a larger share of the rows than one in so many carries are met by broadcast; there are at most as many.
+HOT_KEYS = 1024
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: str | list[str], copies: str = "copies", how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``keys`` with ``table``, which has each key once and in ``copies`` how many rows carry it (that column goes).
+
+    A key with more than one row in HOT_KEYS is met where its rows are: HOT_KEYS such rows of ``table`` at most are sent to all
+    tasks, and only rows with other keys are shuffled, so no task gets more of a hot key than its share. Null keys meet none.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    total = table.agg(F.sum(copies)).first()[0] or 0
+    hot, cold = (table.filter(f).drop(copies) for f in (F.col(copies) * HOT_KEYS > total, F.col(copies) * HOT_KEYS <= total))
+    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
+    near = marked.filter("__hot").drop("__hot").join(F.broadcast(hot), keys)
+    return near.unionByName(marked.filter("__hot is null").drop("__hot").join(cold, keys, how))
+
+
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; further columns, whatever their names, are left behind."""
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()))
@@ -63,29 +84,6 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             start = stop
 
 
-def odd_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, np.uint64(b), np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        have = odd_powers(base, max(n, 1 << 16))
-        if n <= 4 * CHUNK_BYTES:  # those of an unusually long text are not kept
-            _POWERS[base] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(31))
@@ -95,34 +93,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Odd bases of the polynomial hashes; fixed, so that all tasks agree.
-BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
-
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH3 hash of each word of the texts as two 64-bit halves, in two columns, and each text's number of words."""
+    words = [(t or b"").split() for t in texts]
+    raw = b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(words)))
+    return np.frombuffer(raw, "<u8").reshape(-1, 2), np.fromiter(map(len, words), np.int64, len(words))
 
-def word_spans(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined bytes of the texts, each word's start and end in them, and each text's first word (one more entry at the end)."""
-    buf = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
-    white = WHITE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], white))))
-    starts, ends = edge[0::2], edge[1::2]
-    sizes = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    return buf, starts, ends, np.searchsorted(starts, at)
 
+def _follow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of what ``a`` stands for followed by what ``b`` stands for."""
+    return mix(a * np.uint64(0x8CB92BA72F3D8DD7) + (b ^ (b >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95))
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, by prefix sums of a polynomial modulo 2**64."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(base, len(buf) + 1)
-    prefix = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
+def run_hashes(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the ``length`` words from each of the positions ``at``, from one half of the words' hashes.
 
-def run_hashes(words: np.ndarray, at: np.ndarray, length: int, base: int = BASES[1]) -> np.ndarray:
-    """A 64-bit hash of the ``length`` word hashes from each of the positions ``at``."""
-    up, down = powers(base, len(words) + 1)
-    prefix = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=prefix[1:])
-    return mix((prefix[at + length] - prefix[at]) * down[at])
+    Runs of twice the length are hashed from two halves, up to the largest power of two; the run asked for is hashed from two
+    of those, which overlap. No step is linear, so long regular sequences are as good as any other.
+    """
+    h, size = words, 1
+    while 2 * size <= length:
+        h = _follow(h[:-size], h[size:])
+        size *= 2
+    return _follow(h[at], h[at + (length - size)]) if size < length else h[at]

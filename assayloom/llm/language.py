@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +15,18 @@ from assayloom.llm.common import chunks, pick
 
 FOLDS = 5
 UNKNOWN = "und"
-#: Letter classes: code points share a class by their remainder; 0 is anything but a letter.
-CLASSES = 1 << 12
+#: A letter is its code point, in two parts with a vector each that are bound together; 0 is anything but a letter.
+LOW_BITS, POINT_BITS = 12, 21
 SEED = 20240229
 #: N-grams whose vectors are held at once.
 BLOCK = 2048
 
 
-def _classes() -> np.ndarray:
-    letters = np.zeros(0x110000, np.uint16)
+def _letters() -> np.ndarray:
+    """Each code point's lower-case letter, or 0."""
+    letters = np.zeros(0x110000, np.uint32)
     points = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]
-    letters[points] = 1 + np.asarray(points) % (CLASSES - 1)
+    letters[points] = points
     return letters
 
 
@@ -34,9 +36,13 @@ class _Space:
     _have: dict[tuple[int, int], _Space] = {}
 
     def __init__(self, dims: int, n: int):
-        base = np.random.default_rng(SEED).integers(0, 2, (CLASSES, dims), np.int8) * 2 - 1
-        self.dims, self.n, self.classes = dims, n, _classes()
-        self.placed = [np.roll(base, n - 1 - k, axis=1) for k in range(n)]
+        if not 1 <= n <= 64 // POINT_BITS:
+            raise ValueError(f"n-grams have 1 to {64 // POINT_BITS} letters")
+        rng = np.random.default_rng(SEED)
+        low, high = (rng.integers(0, 2, (1 << bits, dims), np.int8) * 2 - 1 for bits in (LOW_BITS, POINT_BITS - LOW_BITS))
+        high[0] = 1  # letters below 2**LOW_BITS need the one part only
+        self.dims, self.n, self.letters = dims, n, _letters()
+        self.placed = [tuple(np.roll(v, n - 1 - k, axis=1) for v in (low, high)) for k in range(n)]
 
     @classmethod
     def of(cls, dims: int, n: int) -> _Space:
@@ -48,8 +54,8 @@ class _Space:
         """Whether each text has a letter; and the n-grams as (text, packed n-gram), runs of other characters as one space."""
         points = [np.frombuffer((t or b"").decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32) for t in texts]
         has, doc = np.zeros(len(texts), bool), np.repeat(np.arange(len(texts)), [len(p) + 2 for p in points])
-        gap = np.zeros(1, np.uint16)
-        line = np.concatenate([x for p in points for x in (gap, self.classes[p], gap)]) if points else gap[:0]
+        gap = np.zeros(1, np.uint32)
+        line = np.concatenate([x for p in points for x in (gap, self.letters[p], gap)]) if points else gap[:0]
         keep = np.ones(len(line), bool)
         keep[1:] = (line[1:] != 0) | (line[:-1] != 0) | (doc[1:] != doc[:-1])
         line, doc = line[keep].astype(np.uint64), doc[keep]
@@ -57,15 +63,18 @@ class _Space:
         m = max(0, len(line) - self.n + 1)
         packed, same = np.zeros(m, np.uint64), doc[:m] == doc[len(line) - m :]
         for k in range(self.n):
-            packed = packed * np.uint64(CLASSES) + line[k : k + m]
+            packed = (packed << np.uint64(POINT_BITS)) + line[k : k + m]
         same &= packed != 0
         return has, doc[:m][same], packed[same]
 
     def vectors(self, packed: np.ndarray) -> np.ndarray:
         """The bound vectors of n-grams: the product of their letters' permuted vectors."""
         out = np.ones((len(packed), self.dims), np.int8)
-        for k in range(self.n):
-            out *= self.placed[k][(packed >> np.uint64(12 * (self.n - 1 - k))).astype(np.int64) % CLASSES]
+        for k, (low, high) in enumerate(self.placed):
+            point = (packed >> np.uint64(POINT_BITS * (self.n - 1 - k))).astype(np.int64) % (1 << POINT_BITS)
+            out *= low[point % (1 << LOW_BITS)]
+            if point.max(initial=0) >= 1 << LOW_BITS:
+                out *= high[point >> LOW_BITS]
         return out.astype(np.float32)
 
     def bundles(self, texts: list[bytes | None], owner: np.ndarray | None = None, owners: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +126,10 @@ def fit(docs: DataFrame, most_rows: int = 20_000, dims: int = 1024, n: int = 3,
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros((0, dims), np.float32), dims, n)
-    share, scale, part = most_rows / len(langs), 1_000_000, F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    share, part = most_rows / len(langs), F.shiftright(F.xxhash64("doc_id"), 1) + F.lit(1 << 62)  # 0 to 2**63
     within = F.lit(False)
     for lang in langs:
-        within |= (F.col("lang") == lang) & (part < int(min(1.0, share / counts[lang]) * scale))
+        within |= (F.col("lang") == lang) & (part < F.lit(min((1 << 63) - 1, int(share / counts[lang] * (1 << 63)))))
     place = {lang: i for i, lang in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +140,8 @@ def fit(docs: DataFrame, most_rows: int = 20_000, dims: int = 1024, n: int = 3,
         yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([t.tobytes() for t in total], pa.binary())], ["lang", "total"])
 
     sums = {lang: np.zeros(dims) for lang in langs}
-    for lang, total in rows.filter(within).select("text", "lang").coalesce(64).mapInArrow(run, "lang string, total binary").collect():
+    # All tasks filter; only the sample is dealt out anew, so 64 sums a language come to the driver whatever the input.
+    for lang, total in rows.filter(within).select("text", "lang").repartition(64).mapInArrow(run, "lang string, total binary").collect():
         sums[lang] += np.frombuffer(bytes(total), np.float64)  # whole numbers, so their order does not matter
     seen = [lang for lang in langs if np.linalg.norm(sums[lang])]
     unit = np.array([sums[lang] / np.linalg.norm(sums[lang]) for lang in seen], np.float32).reshape(len(seen), dims)
@@ -164,17 +174,30 @@ def identify(docs: DataFrame, **how) -> DataFrame:
     return predict(docs, fit(docs, **how)).select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel | None = None, least: float = 0.0) -> DataFrame:
-    """``docs`` without the documents that language ID rejects: ``und``, or a score under ``least``. All columns and repeated rows stay.
+#: Texts whose cosine with the nearest language is under this are in none of them.
+LEAST_SCORE = 0.05
+
 
-    The whole row passes through the prediction, so nothing is joined back and no id needs to be unique.
+def keep_identified(docs: DataFrame, model: LanguageModel | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without the documents that language ID rejects: ``und``, or a score under ``least``. All columns and repeated rows stay;
+    a null lang becomes the language found.
+
+    The whole row passes through the prediction, so nothing is joined back and no id needs to be unique. Where no language could
+    be learned (no row has a lang), only texts without a letter are rejected. An empty table gives no rows.
     """
     fitted = fit(docs) if model is None else model
     sent, place, schema = docs.sparkSession.sparkContext.broadcast(fitted), docs.columns.index("text"), docs.schema
+    named = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch, texts in chunks(batches, schema[place].name, 1 << 19):
-            lang, score = sent.value.predict(texts)
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang]) if least <= 0 else pa.array([x != UNKNOWN and y >= least for x, y in zip(lang, score, strict=True)]))
+            if not model.langs:
+                yield batch.filter(pa.array(_Space.of(model.dims, model.n).grams(texts)[0]))
+                continue
+            lang, score = model.predict(texts)
+            if named is not None:
+                batch = batch.set_column(named, batch.schema.field(named), pc.coalesce(batch.column(named), pa.array(lang, batch.schema.field(named).type)))
+            yield batch.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(lang, score, strict=True)]))
 
     return docs.mapInArrow(run, schema)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import WORD, cut, pick
+from assayloom.llm.common import WORD, cut, spread_join
 
 #: What a word's first, second and third use cost: convex, so repeats come last.
 COSTS = (0, 1, 3)
@@ -35,70 +33,93 @@ def shared_targets(sizes: dict, weights: dict, most: float = len(COSTS)) -> dict
 
 
 class _Flow:
-    """Successive shortest paths with potentials on a small graph of whole capacities."""
+    """Largest flows on a small graph of whole capacities, by blocking flows in layers."""
 
     def __init__(self, n: int):
         self.out: list[list[int]] = [[] for _ in range(n)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
 
-    def edge(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+    def edge(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
             self.out[x].append(len(self.to))
             self.to.append(y)
             self.room.append(r)
-            self.cost.append(c)
         return len(self.to) - 2
 
+    def _layers(self, s: int) -> list[int]:
+        layer, queue = [-1] * len(self.out), [s]
+        layer[s] = 0
+        for a in queue:
+            for e in self.out[a]:
+                if self.room[e] and layer[self.to[e]] < 0:
+                    layer[self.to[e]] = layer[a] + 1
+                    queue.append(self.to[e])
+        return layer
+
     def run(self, s: int, t: int) -> None:
-        high = [0] * len(self.out)
-        while True:
-            far, via, heap = {s: 0}, {}, [(0, s)]
-            while heap:
-                d, a = heapq.heappop(heap)
-                if d > far[a]:
+        """Add to the flow until no path is left."""
+        while (layer := self._layers(s))[t] >= 0:
+            turn, path, a = [0] * len(self.out), [], s
+            while True:
+                if a == t:
+                    step = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= step
+                        self.room[e ^ 1] += step
+                    full = next(i for i, e in enumerate(path) if not self.room[e])
+                    a = self.to[path[full] ^ 1]
+                    del path[full:]
                     continue
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.room[e] and (b not in far or d + self.cost[e] + high[a] - high[b] < far[b]):
-                        far[b] = d + self.cost[e] + high[a] - high[b]
-                        via[b] = e
-                        heapq.heappush(heap, (far[b], b))
-            if t not in far:
-                return
-            top = max(far.values())
-            for a in range(len(high)):
-                high[a] += far.get(a, top)
-            path, b = [], t
-            while b != s:
-                path.append(via[b])
-                b = self.to[via[b] ^ 1]
-            step = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= step
-                self.room[e ^ 1] += step
+                while turn[a] < len(self.out[a]):
+                    e = self.out[a][turn[a]]
+                    if self.room[e] and layer[self.to[e]] == layer[a] + 1:
+                        break
+                    turn[a] += 1
+                if turn[a] < len(self.out[a]):
+                    path.append(self.out[a][turn[a]])
+                    a = self.to[path[-1]]
+                elif path:
+                    a = self.to[path.pop() ^ 1]
+                    turn[a] += 1
+                else:
+                    break
 
 
 def route(patterns: dict[tuple, int], targets: dict) -> dict[tuple, dict]:
     """Words that each membership pattern (a tuple of sources) sends to each of its sources: as much of the targets as can be met,
-    at the least cost of repeats; a pattern's words can be used as often as there are costs."""
-    sources, keys = list(targets), list(patterns)
+    at the least cost of repeats; a pattern's words can be used as often as there are costs.
+
+    Only the edges into patterns cost, and what one use of a pattern's words costs rises. So a path of least cost never gives
+    such an edge's flow back, and the min-cost flow is the largest flow with the cheapest uses, then with the next ones, and so on.
+    """
+    name = lambda s: (s is None, s or "")
+    sources, keys = sorted(targets, key=name), sorted(patterns, key=lambda p: [name(s) for s in p])
     flow = _Flow(2 + len(keys) + len(sources))
     place = {s: 2 + len(keys) + i for i, s in enumerate(sources)}
     total = sum(patterns.values()) * len(COSTS)
     for s in sources:
-        flow.edge(place[s], 1, round(targets[s]), 0)
-    sent = {}
-    for i, p in enumerate(keys):
-        for c in COSTS:
-            flow.edge(0, 2 + i, patterns[p], c)
-        for s in p:
-            sent[p, s] = flow.edge(2 + i, place[s], total, 0)
-    flow.run(0, 1)
+        flow.edge(place[s], 1, round(targets[s]))
+    sent = {(p, s): flow.edge(2 + i, place[s], total) for i, p in enumerate(keys) for s in p}
+    for _ in COSTS:
+        for i, p in enumerate(keys):
+            flow.edge(0, 2 + i, patterns[p])
+        flow.run(0, 1)
     return {p: {s: flow.room[sent[p, s] ^ 1] for s in p} for p in keys}
 
 
+def _marks(docs: DataFrame, member: str, seed: int) -> list[Column]:
+    """doc_id, pattern (the sorted sources of a row) and h, a seeded hash of id, text and sources."""
+    source = F.col(f"`{member}`")
+    if dict(docs.dtypes)[member].startswith("array"):
+        groups = F.sort_array(F.array_distinct(F.coalesce(source.cast("array<string>"), F.array())))
+        groups = F.when(F.size(groups) > 0, groups).otherwise(F.array(F.lit(None).cast("string")))
+    else:
+        groups = F.array(source.cast("string"))
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.alias("doc_id"), groups.alias("pattern"), F.xxhash64(F.lit(seed), doc_id, F.col("text").cast("string"), groups).alias("h")]
+
+
 def mix(docs: DataFrame, member: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: int = 42, most_patterns: int = 50_000) -> DataFrame:
     """(doc_id long, size long, pattern array<string>, source_size long, target double, taken long), one row per row of ``docs``.
 
@@ -111,11 +132,7 @@ def mix(docs: DataFrame, member: str = "source", weights: tuple[float, ...] = WE
     A document belonging to several sources reports the size and target of the first. No document exceeds three times its
     size; empty ones take 0. Rows repeated whole are taken alike; reruns agree, however the rows are spread.
     """
-    kind = dict(docs.dtypes)[member]
-    base = pick(docs, doc_id="long", text="string", **{member: "array<string>" if kind.startswith("array") else "string"})
-    groups = F.sort_array(F.array_distinct(F.coalesce(F.col(member), F.array()))) if kind.startswith("array") else F.array(F.col(member))
-    groups = F.when(F.size(groups) > 0, groups).otherwise(F.array(F.lit(None).cast("string")))
-    rows = cut(base.select("doc_id", count_words().alias("size"), groups.alias("pattern"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")))
+    rows = cut(docs.select(*_marks(docs, member, seed), count_words("`text`").alias("size")))
 
     by = {tuple(r[0]): r[1] for r in rows.groupBy("pattern").agg(F.sum("size")).limit(most_patterns + 1).collect()}
     if len(by) > most_patterns:
@@ -156,10 +173,14 @@ def mix(docs: DataFrame, member: str = "source", weights: tuple[float, ...] = WE
     return chosen.unionByName(others).select("doc_id", "size", "pattern", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * (F.col("times") + F.coalesce("more", F.lit(0)))).otherwise(F.lit(0)).cast("long").alias("taken"), "h")
 
 
-def resample(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, not at all included; all columns stay. Rows without words go."""
-    taken = mix(docs, **how).filter("taken > 0").groupBy("doc_id", "h").agg(F.first(F.expr("taken div size")).alias("__times"))
-    h = F.xxhash64(F.lit(how.get("seed", 42)), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"))
-    met = keyed.alias("a").join(taken.alias("b"), F.col("a.h").eqNullSafe(F.col("b.h")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")))
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__n")).select("row.*")
+def resample(docs: DataFrame, member: str = "source", seed: int = 42, **how) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, not at all included; all columns stay. Rows without words go.
+
+    Rows equal in id, text and source are taken alike; an empty table gives no rows.
+    """
+    taken = mix(docs, member, seed=seed, **how).filter("taken > 0")
+    taken = cut(taken.groupBy(F.coalesce("doc_id", F.lit(0)).alias("i"), "h").agg(F.first(F.expr("taken div size")).alias("times"), F.count("*").alias("copies")))
+    doc_id, _, h = _marks(docs, member, seed)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(doc_id, F.lit(0)).alias("i"), h.alias("h"))
+    met = spread_join(keyed, taken, ["i", "h"])
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("n")).select("row.*")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +16,36 @@ from assayloom.llm.cutting import whole_patterns
 
 #: Remainders are grouped by this step; the program then has half as many rows, and padding grows by half a token a piece.
 STEP = 2
-#: monotonically_increasing_id keeps the partition above these bits.
+#: A row's number has the partition above these bits and the place in it below.
 PART_BITS = 33
 
 
-def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """(doc_id long, n_tokens long, ids binary): the ids of each whole text and then ``end_id``, as little-endian 16-bit integers
-    (32-bit for a vocabulary over 65,536). A null text is an empty one. One row per row of ``docs``."""
+NUMBERED = "doc_id long, n_tokens long, ids binary, part long, uid long, size long, own long, fulls long"
+
+
+def _numbered(docs: DataFrame, capacity: int, tokenizer: str | None, end_id: int) -> DataFrame:
+    """The ids of each whole text and then ``end_id``, as little-endian 16-bit integers (32-bit for a vocabulary over 65,536), with the
+    row's partition and number, the size class of its remainder, and what went before it in the partition: rows of that class (own)
+    and full sequences (fulls). A null text is an empty one. A task that is run again counts the same way; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe.of(tokenizer)
+        bpe, part = Bpe.of(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], bpe.kind).tobytes()
+        rows, fulls, seen = part << PART_BITS, 0, np.zeros(capacity // STEP + 1, np.int64)
         for batch, texts in chunks(batches, most=1 << 20):
-            ids = bpe.encode([(t or b"").decode("utf-8", "replace") for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([x.tobytes() + end for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            found = bpe.encode([(t or b"").decode("utf-8", "replace") for t in texts])
+            n, ids = np.array([len(x) + 1 for x in found], np.int64), [x.tobytes() + end for x in found]
+            full, size = n // capacity, (n % capacity + STEP - 1) // STEP
+            order, count = np.argsort(size, kind="stable"), np.bincount(size, minlength=len(seen))
+            own = np.zeros(len(n), np.int64)
+            own[order] = np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count) + seen[size[order]]
+            before = fulls + np.cumsum(full) - full
+            columns = [np.full(len(n), part), rows + np.arange(len(n)), size, own, before]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids, pa.binary()), *map(pa.array, columns)], names)
+            rows, fulls, seen = rows + len(n), fulls + int(full.sum()), seen + count
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    names = [c.split()[0] for c in NUMBERED.split(", ")]
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, NUMBERED)
 
 
 class _Slots:
@@ -73,17 +88,16 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
     """
     if capacity % STEP:
         raise ValueError(f"the capacity is a multiple of {STEP}")
-    tokens = cut(tokenise(docs, tokenizer, end_id).withColumn("uid", F.monotonically_increasing_id()))
-    rows = cut(tokens.select("uid", F.shiftright("uid", PART_BITS).alias("part"), F.expr(f"n_tokens div {capacity}").alias("full"), (F.col("n_tokens") % capacity).alias("rest")).withColumn("size", F.expr(f"(rest + {STEP - 1}) div {STEP}")))
-    counts = rows.groupBy("part", "size").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
-    counts = cut(counts)
+    tokens = cut(_numbered(docs, capacity, tokenizer, end_id))
+    rows = tokens.select("uid", "part", (F.col("n_tokens") % capacity).alias("rest"), "size", "own", F.expr(f"n_tokens div {capacity}").alias("full"))
+    counts = cut(rows.groupBy("part", "size").agg(F.count("*").alias("n"), F.sum("full").alias("full")))
     demand = {r[0]: r[1] for r in counts.filter("size > 0").groupBy("size").agg(F.sum("n")).collect()}
     slots = _Slots(whole_patterns(demand, capacity // STEP)[0])
     sent = docs.sparkSession.sparkContext.broadcast(slots)  # as many entries as sizes in the patterns
 
-    # Ranks: a count of the parts before, then the order within the part; both windows have bounded groups.
+    # Ranks: a count of the parts before, then the place within the part; the window has a row a part.
     before = counts.select("part", "size", (F.sum("n").over(Window.partitionBy("size").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = rows.filter("size > 0").withColumn("own", F.row_number().over(Window.partitionBy("part", "size").orderBy("uid"))).join(before, ["part", "size"]).select("uid", "rest", "size", (F.col("before") + F.col("own") - 1).alias("rank"))
+    ranked = rows.filter("size > 0").join(before, ["part", "size"]).select("uid", "rest", "size", (F.col("before") + F.col("own")).alias("rank"))
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,9 +113,7 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
     base = slots.sequences + -(-left // capacity)
     parts = counts.groupBy("part").agg(F.sum("full").alias("full"))
     parts = parts.select("part", (F.sum("full").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("full") + base).alias("base"))  # a row a partition
-    fulls = rows.filter("full > 0").join(parts, "part").select("uid", (F.col("base") + F.sum("full").over(Window.partitionBy("part").orderBy("uid")) - F.col("full")).alias("first"))
-    places = in_patterns.unionByName(stream).withColumn("first", F.lit(None).cast("long")).unionByName(fulls, allowMissingColumns=True)
-    places = places.groupBy("uid").agg(F.max("seq").alias("seq"), F.max("offset").alias("offset"), F.max("first").alias("first"))
+    places = in_patterns.unionByName(stream)
 
     def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = Bpe.of(tokenizer).kind
@@ -125,4 +137,5 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     types = [pa.binary() if c == "ids" else pa.int64() for c in names]
-    return tokens.join(places, "uid").select("doc_id", "n_tokens", "ids", "seq", "offset", "first").mapInArrow(slice_up, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    met = tokens.join(F.broadcast(parts), "part").withColumn("first", F.col("base") + F.col("fulls"))  # a row a partition is sent
+    return met.join(places, "uid", "left").select("doc_id", "n_tokens", "ids", "seq", "offset", "first").mapInArrow(slice_up, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

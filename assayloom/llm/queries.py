@@ -76,15 +76,16 @@ def _op9_sql() -> str:
     case = lambda what: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{what(r)}'" for r in ordered) + " END"
     low = lambda x: f"translate({x}, '{urls.UPPER}', '{urls.LOW}')"
     link = urls.LINK.replace("'", "''")
-    rounds = [f"""h{k} AS (SELECT side, host, sum(mass)::BIGINT AS mass FROM (SELECT side, host, seed // 100 * 15 AS mass FROM seeds UNION ALL SELECT e.side, e.dst, mass * 85 // 100 // total * w FROM edges e JOIN h{k - 1} h ON h.side = e.side AND h.host = e.src) GROUP BY ALL)""" for k in range(1, 11)]
+    share = lambda mass, times, parts: f"greatest({mass} // ({parts}) * ({times}) + {mass} % ({parts}) * ({times}) // ({parts}), 1)"
+    rounds = [f"""h{k} AS (SELECT side, host, sum(mass)::HUGEINT AS mass FROM (SELECT side, host, {share("seed", "15::HUGEINT", "100::HUGEINT")} AS mass FROM seeds UNION ALL SELECT e.side, e.dst, {share("mass", "w * 85", "total * 100")} FROM edges e JOIN h{k - 1} h ON h.side = e.side AND h.host = e.src) GROUP BY ALL)""" for k in range(1, 11)]
     return f"""WITH u AS (SELECT page_id, html, {low("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 r AS (SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM u),
-seeds AS (SELECT ruled AS side, host, count(*) * 1000000 AS seed FROM r WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
-l AS (SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all({low("html")}, '{link}', 1)) AS dst FROM u), p AS (SELECT src, dst, count(*) AS w FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
-b AS (SELECT 'allow' AS side, src, dst, w FROM p UNION ALL SELECT 'block', dst, src, w FROM p), edges AS (SELECT *, sum(w) OVER (PARTITION BY side, src)::BIGINT AS total FROM b),
+seeds AS (SELECT ruled AS side, host, count(*)::HUGEINT * 1000000000000000000000000::HUGEINT AS seed FROM r WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
+l AS (SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all({low("html")}, '{link}', 1)) AS dst FROM u), p AS (SELECT src, dst, count(*)::HUGEINT AS w FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+b AS (SELECT 'allow' AS side, src, dst, w FROM p UNION ALL SELECT 'block', dst, src, w FROM p), edges AS (SELECT *, sum(w) OVER (PARTITION BY side, src)::HUGEINT AS total FROM b),
 h0 AS (SELECT side, host, seed AS mass FROM seeds), {", ".join(rounds)},
 s AS (SELECT host, coalesce(sum(mass) FILTER (side = 'allow'), 0) AS t, coalesce(sum(mass) FILTER (side = 'block'), 0) AS d FROM h10 GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN t + d > 0 AND t - d < -0.5 * (t + d) THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN s USING (host)"""
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN t + d > 0 AND 2 * (t - d) < -(t + d) THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN s USING (host)"""
 
 
 OP1_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import LOWER, chunks, cut, pick
+from assayloom.llm.common import LOWER, chunks, cut, spread_join
 from assayloom.llm.components import connected_components
 
 BITS = 64
@@ -47,19 +47,22 @@ def _sketch(texts: list[bytes | None], words: int, seed: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, keyed: bool = False) -> DataFrame:
     """(doc_id long, fp long): the SimHash of each whole text, one row per row of ``docs``; fp holds the 64 bits, signed.
 
     A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles of ``words`` words with repeats are joined by one space
     and hashed by XXH64 of their UTF-8. A bit is set if more than half of the hashes have it. A text of fewer words has one
-    shingle; null and wordless texts get 0.
+    shingle; null and wordless texts get 0. ``keyed`` adds key long, a hash of id and text.
     """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sketch(texts, words, seed).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_sketch(texts, words, seed).view(np.int64))], [*names, "fp"])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    names = ["doc_id", "key"] if keyed else ["doc_id"]
+    sent = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text")).select(*names, "text")
+    return sent.mapInArrow(run, "".join(f"{c} long, " for c in names) + "fp long")
 
 
 def _masks(radius: int) -> list[int]:
@@ -83,6 +86,16 @@ def link_near(prints: DataFrame, radius: int = 2) -> DataFrame:
     return met.filter("node <> head.node").select(F.col("node").alias("src"), F.col("head.node").alias("dst"), "fp", F.col("head.fp").alias("head_fp")).distinct().filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= radius).select("src", "dst")
 
 
+def _labels(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, copies, root long, component_id long) of each distinct fingerprint of ``prints`` (doc_id, fp); root names the component."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    # The node of a fingerprint is the fingerprint itself, so rows repeating a doc_id under two fingerprints stay apart.
+    found = connected_components(link_near(nodes.select(F.col("fp").alias("node"), "fp"), radius))
+    joined = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "copies", "least", F.coalesce("component", "fp").alias("root"))
+    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return cut(spread_join(joined, roots, "root", "n").select("fp", "copies", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id long, fp long, component_id long), one row per row of ``docs``.
 
@@ -92,22 +105,29 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, seed: int
     fingerprint, null if only null ids carry it and nothing links to it. An empty table gives no rows.
     """
     prints = cut(fingerprints(docs, words, seed))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).select("fp", "least"))
-    # The node of a fingerprint is the fingerprint itself, so rows repeating a doc_id under two fingerprints stay apart.
-    found = connected_components(link_near(nodes.select(F.col("fp").alias("node"), "fp"), radius))
-    joined = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = joined.join(roots, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(prints, _labels(prints, radius).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it. All columns stay.
+def keep_one(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id (rows without one come last), among those the one with the
+    smallest hash of id and text. All columns stay.
 
-    Rows repeating that doc_id count as that document and one of them stays. Rows without a doc_id stay.
+    Rows repeating a doc_id with unlinked texts are of different components and each stays. Rows equal in id and text are one;
+    of their other columns those of the row with the smallest hash of all columns stay. An empty table gives no rows.
     """
     if "doc_id" not in docs.columns:
         raise ValueError("documents need a doc_id")
-    kept = near_duplicates(docs.filter("doc_id is not null"), **how).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    doc_id = F.col("doc_id").cast("long")
+    key = F.xxhash64(doc_id, F.col("text").cast("string"))
+    prints = cut(fingerprints(docs, words, seed, keyed=True))
+    labels = _labels(prints, radius).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("i"), "key")).alias("first")
+    # The best of each fingerprint first, so that copies are settled before anything is joined.
+    best = prints.groupBy("fp").agg(first).join(labels, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = best.select(F.col("first.i").alias("__id"), F.col("first.key").alias("__key"))
+    met = docs.withColumns({"__id": F.coalesce(doc_id, F.lit(0)), "__key": key}).join(chosen, ["__id", "__key"], "left_semi")
+    own = {c: F.col(f"`{c}`") for c in docs.columns}
+    rest = [c for c in own if c not in ("doc_id", "text")]
+    others = [F.min_by(F.struct(*(own[c] for c in rest)), F.xxhash64(*own.values())).alias("__rest")] if rest else []
+    once = met.groupBy("__id", "__key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), *others)
+    return once.select(*(own[c] if c in ("doc_id", "text") else F.col(f"__rest.`{c}`").alias(c) for c in own))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayloom.llm.common import chunks, run_hashes, word_hashes, word_spans
+from assayloom.llm.common import chunks, run_hashes, word_hashes
 
 #: Perfect difference sets by their period; every difference modulo the period occurs once.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -21,7 +21,11 @@ LEAST_GROUPS = 64
 #: Text bytes whose items travel together; what repeats within them is known before the shuffle.
 TOGETHER = 4 << 20
 
-ITEMS = "bucket long, hashes binary, k1 binary, k2 binary, doc binary, at binary, known binary"
+#: Bytes of an anchor's and a window's hash that travel. Anchors that collide only make more candidates; equal windows are those
+#: with 96 equal bits.
+ANCHOR_BYTES, WINDOW_BYTES = 6, 12
+
+ITEMS = "bucket long, hashes binary, k1 binary, k2 binary, new binary, at binary, known binary"
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
@@ -30,54 +34,74 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
 
 
 class _Batch:
-    """Words of a slice of texts: their two hashes' inputs and which text each belongs to."""
+    """Words of a slice of texts: their hashes and which text each belongs to."""
 
     def __init__(self, texts: list[bytes | None]):
-        buf, starts, ends, self.first = word_spans(texts)
-        self.counts = np.diff(self.first)
-        self.hashes = word_hashes(buf, starts, ends)
+        self.hashes, self.counts = word_hashes(texts)
+        self.first = np.concatenate(([0], np.cumsum(self.counts)))
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        self.at = np.arange(len(starts)) - self.first[:-1][self.doc]  # the word's place in its text
+        self.at = np.arange(len(self.doc)) - self.first[:-1][self.doc]  # the word's place in its text
 
     def fits(self, length: int) -> np.ndarray:
         return self.at + length <= self.counts[self.doc]
 
+    def runs(self, at: np.ndarray, length: int, size: int) -> np.ndarray:
+        """The first ``size`` bytes of the hashes of runs of words, a row a run."""
+        lanes = [run_hashes(self.hashes[:, k], at, length) for k in range(-(-size // 8))]
+        return np.stack(lanes, axis=1).view(np.uint8).reshape(len(at), 8 * len(lanes))[:, :size]
+
+
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """Bytes of hashes as 64-bit integers, a column eight bytes."""
+    wide = np.zeros((len(raw), -(-raw.shape[1] // 8) * 8), np.uint8)
+    wide[:, : raw.shape[1]] = raw
+    return wide.view("<u8")
+
 
 def _pack(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, k1: np.ndarray, k2: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row a bucket, its items in the order of documents: hash, place among the row's keys, place in the text, state.
+    """One row a bucket, its items in the order of documents: hash, whether a key starts, place in the text (16 bits where all of a
+    row's fit, else 32), state.
 
     Of equal hashes one goes to their bucket, marked 1; the others, 2, are known to repeat and go to any bucket.
     """
-    order = np.argsort(hashes, kind="stable")
+    lanes = _lanes(hashes)
+    order = np.argsort(lanes[:, 0], kind="stable")
     same = np.zeros(len(hashes), bool)
-    same[1:] = hashes[order[1:]] == hashes[order[:-1]]
+    same[1:] = (lanes[order[1:]] == lanes[order[:-1]]).all(axis=1)
     state = np.zeros(len(hashes), np.uint8)
     state[order[:-1][same[1:]]] = 1
     state[order[same]] = 2
-    bucket = np.where(state < 2, hashes % np.uint64(buckets), (k2[doc].astype(np.uint64) + at.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    bucket = np.where(state < 2, lanes[:, 0] % np.uint64(buckets), (k2[doc].astype(np.uint64) + at.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     bucket = bucket[by]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rows: dict[str, list] = {c: [] for c in ("hashes", "k1", "k2", "doc", "at", "known")}
+    rows: dict[str, list] = {c: [] for c in ("hashes", "k1", "k2", "new", "at", "known")}
     for part in np.split(by, cuts[1:]) if len(by) else []:
-        own = doc[part]
+        own, places = doc[part], at[part]
         new = np.diff(own, prepend=-1) != 0
         keys = own[new]
-        for c, v in (("hashes", hashes[part]), ("k1", k1[keys]), ("k2", k2[keys]), ("doc", (np.cumsum(new) - 1).astype(np.uint16)), ("at", at[part].astype(np.int32)), ("known", state[part])):
+        for c, v in (("hashes", hashes[part]), ("k1", k1[keys]), ("k2", k2[keys]), ("new", new), ("at", places.astype(np.uint16 if places.max() < 1 << 16 else np.uint32)), ("known", state[part])):
             rows[c].append(v.tobytes())
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), *(pa.array(v, pa.binary()) for v in rows.values())], ["bucket", *rows])
 
 
 def _repeats(table: pa.Table) -> pa.Table:
     """Of a bucket's items, those whose hash occurs elsewhere too, by document."""
-    read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
-    doc = read("doc", np.uint16)
-    h, at, state = (np.concatenate(read(c, kind)) for c, kind in (("hashes", np.uint64), ("at", np.int32), ("known", np.uint8)))
-    k1, k2 = (np.concatenate([keys[d] for keys, d in zip(read(c, np.int64), doc, strict=True)]) for c in ("k1", "k2"))
+    rows = [table.column(c).to_pylist() for c in ("hashes", "k1", "k2", "new", "at", "known")]
+    hashes, k1, k2, at, state = [], [], [], [], []
+    for h, a, b, new, places, known in zip(*rows, strict=True):
+        doc, n = np.cumsum(np.frombuffer(new, np.uint8).astype(np.int64)) - 1, len(new)
+        hashes.append(_lanes(np.frombuffer(h, np.uint8).reshape(n, -1)))
+        k1.append(np.frombuffer(a, np.int64)[doc])
+        k2.append(np.frombuffer(b, np.int64)[doc])
+        at.append(np.frombuffer(places, np.uint16 if len(places) == 2 * n else np.uint32).astype(np.int32))
+        state.append(np.frombuffer(known, np.uint8))
+    hashes, k1, k2, at, state = (np.concatenate(x) for x in (hashes, k1, k2, at, state))
     dup = state == 2
     own = np.flatnonzero(~dup)
-    _, index, counts = np.unique(h[own], return_inverse=True, return_counts=True)
-    dup[own] = (counts[index] > 1) | (state[own] == 1)
+    order = own[np.lexsort(hashes[own].T)]
+    group = np.cumsum(np.concatenate(([False], (hashes[order[1:]] != hashes[order[:-1]]).any(axis=1))))
+    dup[order] = (np.bincount(group, minlength=1)[group] > 1) | (state[order] == 1)
     k1, k2, at = k1[dup], k2[dup], at[dup]
     order = np.lexsort((at, k2, k1))
     k1, k2, at = k1[order], k2[order], at[order]
@@ -122,7 +146,7 @@ def _anchors(keyed: DataFrame, length: int, buckets: int) -> DataFrame:
             k1, k2 = _keys(batch)
             b = _Batch(texts)
             at = np.flatnonzero(member[b.at % period] & b.fits(length - period + 1) & (b.counts[b.doc] >= length))
-            yield from gather.add(texts, run_hashes(b.hashes, at, length - period + 1), b.doc[at], b.at[at], k1, k2)
+            yield from gather.add(texts, b.runs(at, length - period + 1, ANCHOR_BYTES), b.doc[at], b.at[at], k1, k2)
         yield from gather.flush()
 
     return keyed.mapInArrow(emit, ITEMS).groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, places binary")
@@ -152,7 +176,7 @@ def _windows(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
                 np.add.at(near, b.first[i] + np.maximum(at - period + 1, 0), 1)
                 np.add.at(near, b.first[i] + at + 1, -1)
             at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & b.fits(length))
-            yield from gather.add(texts, run_hashes(b.hashes, at, length), b.doc[at], b.at[at], k1, k2)
+            yield from gather.add(texts, b.runs(at, length, WINDOW_BYTES), b.doc[at], b.at[at], k1, k2)
         yield from gather.flush()
 
     return candidates.mapInArrow(emit, ITEMS).groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, places binary")
@@ -223,8 +247,8 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     whole repeat each other's windows, so all their windowed words go.
 
     Windows that match share an anchor: whatever their starts, some offset below the period puts both on cover positions.
-    Anchors that occur once are dropped; around the others whole windows are hashed and counted. Equal hashes of one batch
-    are settled there, so a passage in a third of all documents adds one item a batch to its group.
+    Anchors that occur once are dropped; around the others whole windows are hashed and counted. Windows are equal where 96 bits
+    of a hash made from their words' 128-bit hashes are. Equal hashes of one batch are settled there, so a passage in a third of all documents adds one item a batch to its group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import chunks, pick, word_hashes, word_spans
+from assayloom.llm.common import chunks, pick, word_hashes
 from assayloom.llm.language import fold_of
 
 FEATURES = 1 << 18
@@ -19,9 +20,9 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 els
 
 def _features(texts: list[bytes | None], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) pairs, each once; with ``weights`` only features that weigh something."""
-    buf, starts, ends, first = word_spans([(t or b"").translate(LETTERS) for t in texts])
-    feature = (word_hashes(buf, starts, ends) % np.uint64(FEATURES)).astype(np.int64)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    hashes, counts = word_hashes([(t or b"").translate(LETTERS) for t in texts])
+    feature = (hashes[:, 0] % np.uint64(FEATURES)).astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), counts)
     if weights is not None:
         own = weights[feature] != 0
         doc, feature = doc[own], feature[own]
@@ -97,12 +98,14 @@ def _refined(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: n
     return np.unique(fine, return_inverse=True)[1]  # no empty grade in between
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int = 16_000, rounds: int = 200, rate: float = 0.05, strengths: tuple[float, ...] = (0.1, 0.01)) -> SeverityModel:
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int = 16_000, most_bytes: int = 128 << 20, rounds: int = 200, rate: float = 0.05, strengths: tuple[float, ...] = (0.1, 0.01)) -> SeverityModel:
     """A model of the severity ``grade`` (0, 1, ..; int) that ``labels`` (doc_id, grade) gives documents outside the held-out fold.
 
     Fitted on a bounded sample: about ``most_rows`` labelled rows, half of the room for grade 0 and the rest shared by the
-    others, chosen by a hash of the id and weighted back to their shares; whole texts of the chosen are read. Labels of two grades only
-    are refined to more by _refined. Nulls and
+    others, chosen by a hash of the id and weighted back to their shares; whole texts of the chosen are read. Where those texts
+    are longer than ``most_bytes`` together, the same share of each grade's rows is left out, so what the driver gets is bounded in
+    bytes too (a word of the sample is four bytes there). Labels of two grades only are refined to more by _refined: their
+    severity then says how much of what marks toxic documents a text holds, since no such label says how bad it is. Nulls and
     negative grades are not learned from. Without labels, nothing is toxic.
     """
     rated = pick(labels, doc_id="long", **{grade: "int"}).toDF("doc_id", "grade").filter((fold_of() != 0) & (F.col("grade") >= 0)).groupBy("doc_id").agg(F.max("grade").alias("grade"))
@@ -114,11 +117,17 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int
         return SeverityModel(np.zeros(FEATURES), np.full(1, 40.0))
     room = {g: most_rows / 2 if g == 0 else most_rows / 2 / max(1, len(sizes) - (0 in sizes)) for g in sizes}
     rate_of = {g: min(1.0, room[g] / n) for g, n in sizes.items()}
-    within = F.lit(False)
-    for g, share in rate_of.items():
-        within |= (F.col("grade") == g) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+
+    def within(rates: dict[int, float]) -> Column:
+        part = F.shiftright(F.xxhash64("doc_id"), 1) + F.lit(1 << 62)  # 0 to 2**63
+        return reduce(lambda a, b: a | b, ((F.col("grade") == g) & (part < F.lit(min((1 << 63) - 1, int(r * (1 << 63))))) for g, r in rates.items()))
+
     # About most_rows ids, whatever the input: sent to every task, so that no text is shuffled to find its label.
-    chosen = pick(docs, doc_id="long", text="string").join(F.broadcast(rated.filter(within)), "doc_id").select("doc_id", "text", "grade")
+    texts_of = lambda rates: pick(docs, doc_id="long", text="string").join(F.broadcast(rated.filter(within(rates))), "doc_id").select("doc_id", "text", "grade")
+    size = texts_of(rate_of).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        rate_of = {g: r * most_bytes / size for g, r in rate_of.items()}
+    chosen = texts_of(rate_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -158,5 +167,9 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 
 def rate(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """Fit on the labelled documents outside the held-out fold, then predict all of ``docs``; see fit and predict."""
+    """Fit on the labelled documents outside the held-out fold, then predict all of ``docs``; see fit and predict.
+
+    Nulls, repeated rows and empty tables are as there: rows with a null doc_id are rated and not learned from, a row repeated is
+    rated each time, and labels that are missing altogether make nothing toxic.
+    """
     return predict(docs, fit(docs, grades_of(labels), **how))

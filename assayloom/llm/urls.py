@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import cut
+from assayloom.llm.common import cut, spread_join
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Mass of one seed page. Masses are whole numbers, so sums do not depend on their order; they stay under 10**34 for 10**10 pages.
@@ -65,8 +65,8 @@ def judge(pages: DataFrame, rule_list: list[Rule] = RULES, rounds: int = 10, dam
     trust (distrust); trust walks along the links between hosts and distrust against them, ``rounds`` steps of personalised
     PageRank with ``damping`` percent (mass at a host without such links ends there). A host is blocked where
     (trust - distrust) / (trust + distrust) is under ``least``; one that neither reaches is allowed. A share of less than 1 / UNIT
-    of a page counts as that much, so whatever is reached stays reached. Links within a host say nothing. Null urls and ones without ``://`` have an empty host, which has no links; null html has none; an empty table gives
-    no rows. At most MOST_RULES rules; more raise.
+    of a page counts as that much, so whatever is reached stays reached. Links within a host say nothing. Null urls and ones without
+    ``://`` have an empty host, which has no links; null html has none; rows that repeat count each; an empty table gives no rows. At most MOST_RULES rules; more raise.
     """
     if len(rule_list) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
@@ -92,4 +92,6 @@ def judge(pages: DataFrame, rule_list: list[Rule] = RULES, rounds: int = 10, dam
             held = cut(own.unionByName(sent).groupBy("side", "host").agg(F.sum("mass").cast(MASS).alias("mass")))
     scores = held.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("mass"))), F.lit(0)).cast(MASS).alias(name) for side, name in (("allow", "trust"), ("block", "distrust"))))
     bad = (F.col("trust") + F.col("distrust") > 0) & (F.col("trust") - F.col("distrust") < F.lit(Decimal(str(least))) * (F.col("trust") + F.col("distrust")))
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), *(F.coalesce(c, F.lit(0).cast(MASS)).alias(c) for c in ("trust", "distrust")))
+    # All hosts with their number of pages, so that those with many are known and are not dealt out by name.
+    hosts = cut(ruled.groupBy("host").agg(F.count("*").alias("copies")).join(scores, "host", "left"))
+    return spread_join(ruled, hosts, "host").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), *(F.coalesce(c, F.lit(0).cast(MASS)).alias(c) for c in ("trust", "distrust")))

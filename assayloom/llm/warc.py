@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
+from assayloom.llm.common import cut, spread_join
+
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 #: The header that carries each column; the payload comes after them.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "WARC-Payload-Length", "refers_to": "WARC-Refers-To"}
@@ -27,6 +29,9 @@ BATCH_BYTES = 4 << 20
 MANIFEST = "_committed.json"
 MAGIC = b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"
+#: Fixed values of the format: the kind of a block that is an HTTP message, and the profile of revisits of an equal payload.
+HTTP = "application/http; msgtype=response"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -76,7 +81,8 @@ class _Members:
         return self.stop
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], callable]]:
-        """Parsed headers, and a function that gives the block; a block not asked for is not inflated."""
+        """Parsed headers, and a function that gives the payload (of an HTTP message its body, else the block); one not asked for is
+        not inflated."""
         while self.at < self.stop:
             start, head, buffer = self.at, self._read(self.at, 8192), b""
             if head[:3] != MAGIC:
@@ -108,7 +114,8 @@ class _Members:
 
             def block(headers=headers, state=state, drain=drain) -> bytes:
                 drain(True)
-                return b"".join(state["rest"])[: int(headers["Content-Length"])]
+                whole = b"".join(state["rest"])[: int(headers["Content-Length"])]
+                return whole.partition(b"\r\n\r\n")[2] if headers.get("Content-Type", "").startswith("application/http") else whole
 
             yield headers, block
             if length:
@@ -204,7 +211,11 @@ class WarcWriter(DataSourceWriter):
                     out, size = fs.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                     out.write(record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
                 headers = {h: str(row[c]) for c, h in HEADERS.items() if row[c] is not None}
-                data = record({**headers, "Content-Type": "text/html"}, bytes(row["payload"] or b""))
+                payload = bytes(row["payload"] or b"")
+                if row["record_type"] == "revisit":
+                    data = record({**headers, "WARC-Profile": PROFILE, "Content-Type": HTTP}, b"")
+                else:
+                    data = record({**headers, "Content-Type": HTTP}, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload)
                 out.write(data)
                 size += len(data)
                 if size >= FILE_BYTES:
@@ -258,7 +269,7 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     base = base.withColumns({"payload_bytes": F.length("payload").cast("long"), "digest": F.sha1("payload")})
     narrow = base.filter(F.col("payload_bytes") >= least).select("page_id", "digest")
     heads = narrow.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1 and head is not null")
-    again = narrow.join(heads, "digest").filter(~F.col("page_id").eqNullSafe(F.col("head"))).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "head").distinct()
+    again = spread_join(narrow, cut(heads), "digest", "n").filter(~F.col("page_id").eqNullSafe(F.col("head"))).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "head").distinct()
     met = base.join(again, (F.col("digest") == F.col("again_digest")) & F.col("page_id").eqNullSafe(F.col("again_id")), "left")
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.col(c), F.lit(">"))
     return met.select(

@@ -55,10 +55,8 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("name", ["odd", "docs"])
-def test_simhash(name, request):
-    df = request.getfixturevalue(name)
-    rows = df.select("doc_id", "text").collect()
+def groups(rows):
+    """Each row's fingerprint and the place of the first row of its component, by comparing all pairs."""
     prints = [fingerprint(r.text) for r in rows]
     label = list(range(len(rows)))
     for a in range(len(rows)):
@@ -66,6 +64,14 @@ def test_simhash(name, request):
             if (prints[a] ^ prints[b]).bit_count() <= 2:
                 x, y = label[a], label[b]
                 label = [min(x, y) if v in (x, y) else v for v in label]
+    return prints, label
+
+
+@pytest.mark.parametrize("name", ["odd", "docs"])
+def test_simhash(name, request):
+    df = request.getfixturevalue(name)
+    rows = df.select("doc_id", "text").collect()
+    prints, label = groups(rows)
     least = {}
     for v, r in zip(label, rows, strict=True):
         least[v] = min((i for i in (least.get(v), r.doc_id) if i is not None), default=None)
@@ -84,13 +90,24 @@ def test_simhash_links_at_two_bits_and_not_at_three(spark):
         simhash.link_near(nodes, 3)
 
 
-def test_one_of_each_group_stays(odd, docs):
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(8) == 1 and None in ids and 9 not in ids
-    marked = simhash.near_duplicates(docs).filter("doc_id = component_id").count()
-    assert simhash.keep_one(docs).count() == marked
+def test_one_of_each_group_stays(spark, odd, docs):
+    # Rows that share an id or have none, with texts of their own, and columns with dots in their names.
+    more = spark.createDataFrame([(20, "alone one two three four"), (20, "another text here it is"), (None, "nobody knows this one"), (None, "nobody knows this one"), (None, "nor that one at all"), (1, "an id again")], "doc_id long, text string")
+    for df in (odd, docs, more.withColumn("a.b", F.lit(1)), more.select("text", "doc_id")):
+        rows = df.collect()
+        label, order = groups(rows)[1], lambda r: (r.doc_id is None, r.doc_id or 0)
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        best = {}
+        for v, r in zip(label, rows, strict=True):
+            best.setdefault(v, []).append(r)
+        got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+        for own in best.values():
+            first = min(map(order, own))
+            found = [(r.doc_id, r.text) for r in own if got[r.doc_id, r.text]]
+            assert len(set(found)) == 1 and order(next(r for r in own if (r.doc_id, r.text) == found[0])) == first
+        assert sum(got.values()) == len(best)
+        assert sorted(map(str, simhash.keep_one(df.repartition(3)).collect())) == sorted(map(str, kept.collect()))
 
 
 def test_components_of_a_long_chain(spark):
@@ -133,6 +150,26 @@ def test_substrings_within_one_document_and_at_every_shift(spark):
     assert substrings.remove_repeats(below).agg(F.sum("n_removed")).first()[0] == 0
 
 
+def thue_morse(n):
+    """Two words of ``n`` letters that polynomial hashes modulo a power of two confuse."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_windows_are_equal_only_if_their_words_are(spark):
+    first, second = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{first} {rest}"), (2, f"{second} {rest}")], "doc_id long, text string")
+    assert substrings.remove_repeats(df).agg(F.sum("n_removed")).first()[0] == 0
+    # The same with two words in that order, in windows of 1024.
+    one, other = (" ".join(w) for w in thue_morse(1024))
+    long = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert substrings.remove_repeats(long, 1024).agg(F.sum("n_removed")).first()[0] == 0
+    assert substrings.remove_repeats(long.unionAll(long), 1024).agg(F.sum("n_removed")).first()[0] == 4096
+
+
 def test_every_cover_meets_every_difference():
     for v, d in substrings.COVERS.items():
         assert {(a - b) % v for a in d for b in d} == set(range(v))
@@ -145,7 +182,7 @@ def test_rewriting_keeps_rows_and_columns(odd):
     assert by[1].text == "tail one" and by[1].n_chars == 8 and by[4].text == "" and by[3].text is None and by[5].text == " \t\n "
 
 
-def test_language(odd, docs, nothing):
+def test_language(spark, odd, docs, nothing):
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     held = [r for r in got if r.held_out]
@@ -155,7 +192,16 @@ def test_language(odd, docs, nothing):
     pred = {r.doc_id: r for r in language.predict(odd, model).collect()}
     assert all(pred[i].lang_pred == "und" and pred[i].score == 0 for i in (3, 4, 5, 11)) and pred[7].lang_pred != "und"
     kept = language.keep_identified(odd, model)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "None", "7", "8", "8", "9", "10", "-5"])
+    sure = {r.doc_id for r in language.predict(odd, model).filter(F.col("score") >= language.LEAST_SCORE).collect()}
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in odd.collect() if r.doc_id in sure)
+    assert {1, 8, 9} <= sure and not sure & {3, 4, 5, 11}
+    unnamed = language.keep_identified(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), model).collect()
+    named = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert all(r.lang == named[r.doc_id] for r in unnamed if r.doc_id % 2)
+    noise = spark.createDataFrame([(1, "zzqx qqzj xjqz"), (2, docs.first().text)], "doc_id long, text string")
+    assert [r.doc_id for r in language.keep_identified(noise, model).collect()] == [2]
+    unlearned = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language.keep_identified(unlearned).collect()} == {1, 2, None, 7, 8, 9, 10, -5}
     assert language.identify(nothing).count() == 0
     assert {r.lang_pred for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
@@ -163,11 +209,16 @@ def test_language(odd, docs, nothing):
 def test_language_vectors_are_bound_and_bundled():
     space = language._Space.of(64, 3)
     _, doc, packed = space.grams(["Ab c".encode()])
-    a, b, c = (space.classes[ord(x)] for x in "abc")
+    a, b, c = map(ord, "abc")
     shapes = [(0, a, b), (a, b, 0), (b, 0, c), (0, c, 0)]
-    want = sum(space.placed[0][x].astype(int) * space.placed[1][y] * space.placed[2][z] for x, y, z in shapes)
+    low = [p[0] for p in space.placed]
+    want = sum(low[0][x].astype(int) * low[1][y] * low[2][z] for x, y, z in shapes)
     assert (space.bundles([b"Ab c"])[1][0] == want).all() and len(packed) == 4 and set(doc) == {0}
-    assert (space.placed[0] == np.roll(space.placed[2], 2, axis=1)).all()
+    assert (low[0] == np.roll(low[2], 2, axis=1)).all()
+    one = space.vectors(space.grams(["日".encode()])[2])
+    assert (one[0] == low[0][0] * low[2][0] * low[1][ord("日") % 4096] * space.placed[1][1][ord("日") >> 12]).all()
+    far = space.vectors(space.grams([chr(ord("日") + 4095).encode()])[2])  # of another letter, whatever the distance
+    assert abs((one * far).sum()) < 64
 
 
 @pytest.mark.parametrize("name", ["odd", "docs"])
@@ -242,6 +293,7 @@ def test_ids_equal_the_tokenizer_on_awkward_text():
     bpe, rng = Bpe.of(), np.random.default_rng(0)
     texts = ["", " ", "'s", "don't  we'll\n\n x", "''s 'll'", "a\u0085b \u00a0 c", "日本 語's", "<|endoftext|>", "x" * 3000, "\x1c a\x1f"]
     texts += ["".join(rng.choice(list(" \n\t'aslmtdrev1!é "), 50)) for _ in range(500)]
+    texts += [*thue_morse(2048), " ".join(thue_morse(2048))]
     assert [x.tolist() for x in bpe.encode(texts)] == [bpe.slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
