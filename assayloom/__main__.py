@@ -1,4 +1,4 @@
-"""python -m assayloom --input-path DIR ...: one feature-selection run."""
+"""python -m assayloom --input-path DIR ...: one feature-selection run; with --runs TABLE a run a row."""
 
 from __future__ import annotations
 
@@ -10,15 +10,17 @@ from dataclasses import fields
 from pyspark.sql import SparkSession
 
 from assayloom.config import Options, Settings, read_settings
-from assayloom.plans.run import frames, parameter_combinations, prepare, run
+from assayloom.plans.run import frames, parameter_combinations, prepare, run, run_matrix
 from assayloom.runtime import ship
-from assayloom.sources.files import load
+from assayloom.sources.files import load, read_runs
 from assayloom.sources.sinks import save
 
 
-def parse(argv: list[str] | None = None) -> tuple[Options, str | None]:
+def parse(argv: list[str] | None = None) -> tuple[Options | None, str | None, str | None]:
+    """The options (none where a table of runs has them), the settings' file and the table of runs."""
     parser = argparse.ArgumentParser(prog="assayloom", description=__doc__)
     parser.add_argument("--config")
+    parser.add_argument("--runs")
     for f in fields(Options):
         flag = f"--{f.name.replace('_', '-')}"
         if isinstance(f.default, bool):
@@ -26,15 +28,18 @@ def parse(argv: list[str] | None = None) -> tuple[Options, str | None]:
         else:
             parser.add_argument(flag, default=f.default)
     given = vars(parser.parse_args(argv))
-    config = given.pop("config")
-    return Options(**given), config
+    config, runs = given.pop("config"), given.pop("runs")
+    return None if runs else Options(**given), config, runs
 
 
 def main(argv: list[str] | None = None) -> None:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
-    options, config = parse(argv)
+    options, config, runs = parse(argv)
     settings = read_settings(config) if config else Settings()
     spark = ship(SparkSession.builder.appName("assayloom").getOrCreate())
+    if runs:
+        logging.info("done: %s", ", ".join(run_matrix(spark, read_runs(spark, runs), settings)))
+        return
     name = f"{options.model}_{int(time.time())}"
     if options.prepare_data:
         long = frames(load(spark, options, settings)).train

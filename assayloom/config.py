@@ -6,11 +6,21 @@ import tomllib
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from typing import Any
 
+# The names of settings and options, their defaults, and the values they can have are those that configuration files of
+# this kind of analysis use, so that such files can be read.
+
 MODELS = ("xgboost", "balanced_random_forest", "random_forest")
 SELECTIONS = ("mutual_information", "multisurf", "univariate", "boruta")
 AUGMENTATIONS = ("none", "kde", "kde_balanced", "smote_balanced", "smote_tomek", "smote_enn", "ratio")
 STRATEGIES = ("mar", "mnar", "mixed")
 TESTS = ("ttest_independent",)
+ADDITIONS = ("feature_importance", "model_performance")
+IMPORTANCES = ("shap", "eject_shap", "tree_importance", "mutual_information", "permutation_importance")
+
+
+def _known(name: str, value: object, values: tuple[str, ...]) -> None:
+    if value not in values:
+        raise ValueError(f"{name}: {value!r} is none of {', '.join(values)}")
 
 
 @dataclass(frozen=True)
@@ -25,6 +35,10 @@ class Addition:
     method: str = "feature_importance"
     importance_selection: str = "shap"
 
+    def __post_init__(self) -> None:
+        _known("addition.method", self.method, ADDITIONS)
+        _known("addition.importance_selection", self.importance_selection, IMPORTANCES)
+
 
 @dataclass(frozen=True)
 class Selection:
@@ -95,8 +109,7 @@ class Options:
 
     def __post_init__(self) -> None:
         for name, known in (("model", MODELS), ("feature_selection", SELECTIONS), ("augmentation", AUGMENTATIONS), ("imputation_strategy", STRATEGIES), ("stats", TESTS)):
-            if getattr(self, name) not in known:
-                raise ValueError(f"{name}: {getattr(self, name)!r} is none of {', '.join(known)}")
+            _known(name, getattr(self, name), known)
         local, remote = self.input_path is not None, self.s3_bucket is not None and self.s3_input_path is not None
         if local == remote:
             raise ValueError("give either input_path, or both s3_bucket and s3_input_path")

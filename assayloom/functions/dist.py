@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 _NORMAL = NormalDist()
 
 
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
 def norm_cdf(x: np.ndarray) -> np.ndarray:
-    return np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), otypes=[float])(x)
+    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2))
 
 
 def norm_ppf(p: np.ndarray) -> np.ndarray:
@@ -24,75 +27,87 @@ def norm_ppf(p: np.ndarray) -> np.ndarray:
     return np.vectorize(one, otypes=[float])(p)
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """The continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    out = d
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+TINY = 1e-300
+
+
+def _nonzero(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) > TINY, x, TINY)
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, by Lentz's method, for all values at once."""
+    c, d = np.ones_like(x), 1 / _nonzero(1 - (a + b) * x / (a + 1))
+    out = d.copy()
     for m in range(1, 500):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            out *= d * c
-        if abs(d * c - 1) < 1e-15:
+            d, c = 1 / _nonzero(1 + num * d), _nonzero(1 + num / c)
+            out = out * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
     return out
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-def gamma_upper(a: float, x: float) -> float:
-    """The regularised upper incomplete gamma function."""
-    if x <= 0:
-        return 1.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
-            n += 1
-            term *= x / n
-            total += term
-        return 1 - front * total
-    b, c = x + 1 - a, 1e300
-    d = 1 / b
-    out = d
+def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, value by value."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    inner = np.clip(x, 1e-300, 1 - 1e-16)
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inner) + b * np.log1p(-inner))
+    low = inner < (a + 1) / (a + b + 2)
+    fraction = _beta_fraction(np.where(low, a, b), np.where(low, b, a), np.where(low, inner, 1 - inner))
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(low, front * fraction / a, 1 - front * fraction / b)))
+
+
+def gamma_upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised upper incomplete gamma function, value by value: a series for small x, else a continued fraction."""
+    a, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, x)))
+    inner = np.maximum(x, TINY)
+    front = np.exp(a * np.log(inner) - inner - _lgamma(a))
+    small = inner < a + 1
+    at = np.where(small, inner, 0.0)
+    term = total = 1 / a
+    for n in range(1, 10_000):
+        term = term * at / (a + n)
+        total = total + term
+        if (np.abs(term) <= np.abs(total) * 1e-16).all():
+            break
+    b = np.where(small, a + 2, inner) + 1 - a
+    c, d = np.full_like(b, 1e300), 1 / b
+    out = d.copy()
     for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        out *= d * c
-        if abs(d * c - 1) < 1e-15:
+        num, b = -i * (i - a), b + 2
+        d, c = 1 / _nonzero(num * d + b), _nonzero(b + num / c)
+        out = out * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
-    return front * out
+    return np.where(x <= 0, 1.0, np.where(small, 1 - front * total, front * out))
 
 
-def t_two_sided(t: float, df: float) -> float:
-    return beta_inc(df / 2, 0.5, df / (df + t * t)) if df > 0 and math.isfinite(t) else (0.0 if math.isinf(t) else math.nan)
+def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    fine = np.isfinite(t) & (df > 0)
+    size, n = np.where(fine, t, 0.0), np.where(fine, df, 1.0)
+    return np.where(fine, beta_inc(n / 2, 0.5, n / (n + size * size)), np.where(np.isinf(t), 0.0, np.nan))
 
 
-def f_upper(f: float, d1: float, d2: float) -> float:
-    return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+def f_upper(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    f, d1, d2 = (np.asarray(v, float) for v in (f, d1, d2))
+    at = np.maximum(f, 0)
+    return np.where(f > 0, beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * at)), 1.0)
 
 
-def chi2_upper(x: float, df: float) -> float:
-    return gamma_upper(df / 2, x / 2)
+def chi2_upper(x: np.ndarray, df: np.ndarray) -> np.ndarray:
+    return gamma_upper(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
 
 
 def _lift(f, *columns: str | Column) -> Column:
     @F.pandas_udf("double")
     def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([f(*v) if not any(pd.isna(x) for x in v) else None for v in zip(*series, strict=True)], dtype="float64")
+        table = np.array([v.to_numpy(float, na_value=np.nan) for v in series])
+        there = ~np.isnan(table).any(axis=0)
+        out = np.full(len(series[0]), np.nan)
+        out[there] = f(*table[:, there])
+        return pd.Series(out).where(there, None).astype("float64")
 
     return run(*columns)
 
@@ -116,7 +131,7 @@ def noncentral_t_power(effect: float, n: float, alpha: float) -> float:
     low, high = 0.0, 200.0
     for _ in range(200):  # the critical value
         mid = (low + high) / 2
-        low, high = (mid, high) if t_two_sided(mid, df) > alpha else (low, mid)
+        low, high = (mid, high) if float(t_two_sided(mid, df)) > alpha else (low, mid)
     crit, centre, spread = (low + high) / 2, math.sqrt(df), 1 / math.sqrt(2)
     s = np.linspace(max(1e-9, centre - 12 * spread), centre + 12 * spread, 4001)
     log_density = (df - 1) * np.log(s) - s**2 / 2 - (df / 2 - 1) * math.log(2) - math.lgamma(df / 2)

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def numeric_columns(df: DataFrame, but: tuple[str, ...] = ("target",)) -> list[str]:
-    """Numeric columns in source order; identifiers of integer kind are named in ``but`` by the caller."""
+#: Columns that say who or what a row is; whatever their type, they are no features.
+NOT_FEATURES = ("patient_id", "target", "label", "batch", "plate")
+
+
+def numeric_columns(df: DataFrame, but: tuple[str, ...] = NOT_FEATURES) -> list[str]:
+    """Numeric columns in source order, without those named in ``but``."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in but]
 
 

@@ -1,10 +1,12 @@
 """Small tree learners in NumPy, for tasks that fit many models on a few hundred rows each.
 
-Split rule: a row goes left where x <= threshold. Trees are arrays, node 0 the root; a leaf has feature -1.
+Split rule: a row goes left where x <= threshold; a missing value goes to the side that was better in the fit. Trees are arrays, node
+0 the root; a leaf has feature -1.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 from itertools import combinations
 from math import factorial
@@ -21,6 +23,12 @@ class Tree:
     value: np.ndarray
     cover: np.ndarray
     gain: np.ndarray
+    missing_left: np.ndarray | None = None
+
+    def goes_left(self, node: np.ndarray | int, x: np.ndarray) -> np.ndarray:
+        """Whether values go left at their nodes."""
+        low = x <= self.threshold[node]
+        return low if self.missing_left is None else np.where(np.isnan(x), self.missing_left[node], low)
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), np.int64)
@@ -29,7 +37,7 @@ class Tree:
             if not len(inner):
                 return at
             node = at[inner]
-            low = x[inner, self.feature[node]] <= self.threshold[node]
+            low = self.goes_left(node, x[inner, self.feature[node]])
             at[inner] = np.where(low, self.left[node], self.right[node])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -43,7 +51,7 @@ class Tree:
             if f < 0:
                 return float(self.value[n])
             if f in known:
-                return walk(self.left[n] if x[f] <= self.threshold[n] else self.right[n])
+                return walk(self.left[n] if self.goes_left(n, x[f]) else self.right[n])
             a, b = self.left[n], self.right[n]
             return (self.cover[a] * walk(a) + self.cover[b] * walk(b)) / (self.cover[a] + self.cover[b])
 
@@ -53,7 +61,7 @@ class Tree:
         """The value of the node at which the row leaves the tree: the first split on a feature that is not known, or a leaf."""
         n = 0
         while (f := self.feature[n]) >= 0 and f in known:
-            n = self.left[n] if x[f] <= self.threshold[n] else self.right[n]
+            n = self.left[n] if self.goes_left(n, x[f]) else self.right[n]
         return float(self.value[n])
 
     def shapley(self, x: np.ndarray, n_features: int, game: str = "expected") -> np.ndarray:
@@ -70,40 +78,90 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, columns: np.ndarray | None = None, least: float = 1.0, lam: float = 0.0, rng: np.random.Generator | None = None, mtry: int | None = None) -> Tree:
-    """A tree by second-order gain; leaf values are -sum(grad) / (sum(hess) + lam)."""
-    columns = np.arange(x.shape[1]) if columns is None else columns
-    nodes: list[list] = []
-
-    def build(rows: np.ndarray, level: int) -> int:
-        n = len(nodes)
-        g, h = grad[rows].sum(), hess[rows].sum()
-        nodes.append([-1, 0.0, -1, -1, -g / (h + lam) if h + lam > 0 else 0.0, h, 0.0])
-        if level >= depth or len(rows) < 2:
-            return n
-        use = columns if mtry is None else rng.choice(columns, min(mtry, len(columns)), replace=False)
-        part = x[np.ix_(rows, use)]
-        order = np.argsort(part, axis=0, kind="stable")
-        sorted_x = np.take_along_axis(part, order, axis=0)
-        gl, hl = np.cumsum(grad[rows][order], axis=0)[:-1], np.cumsum(hess[rows][order], axis=0)[:-1]
-        gr, hr = g - gl, h - hl
+@dataclass(frozen=True)
+class Shape:
+    """What limits and scores a tree. ``child`` is the least sum of hessians of a side, ``min_leaf`` its least rows, ``min_share`` its least
+    share of all hessians; a node with fewer rows than ``min_split`` is a leaf, and there are ``leaves`` leaves at most. ``lam``
+    and ``alpha`` are the L2 and L1 penalties of leaf values, ``gamma`` what half of a split's gain must exceed. ``criterion``
+    "square" scores by second-order gain (for 0/1 targets the Gini split), "entropy" by the entropy of those targets."""
+
+    depth: int = 6
+    child: float = 1.0
+    lam: float = 0.0
+    alpha: float = 0.0
+    gamma: float = 0.0
+    min_split: int = 2
+    min_leaf: int = 1
+    min_share: float = 0.0
+    leaves: int | None = None
+    criterion: str = "square"
+
+    def pull(self, g: np.ndarray) -> np.ndarray:
+        return np.sign(g) * np.maximum(np.abs(g) - self.alpha, 0) if self.alpha else g
+
+    def score(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         with np.errstate(invalid="ignore", divide="ignore"):
-            gain = gl**2 / (hl + lam) + gr**2 / (hr + lam) - g**2 / (h + lam)
-        gain[(sorted_x[1:] <= sorted_x[:-1]) | (hl < least) | (hr < least) | ~np.isfinite(gain)] = -np.inf
+            if self.criterion == "entropy":
+                p = np.clip(-g / h, 1e-12, 1 - 1e-12)
+                return h * (p * np.log(p) + (1 - p) * np.log(1 - p))
+            return self.pull(g) ** 2 / (h + self.lam)
+
+
+def _best_split(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, use: np.ndarray, total: float, shape: Shape) -> tuple | None:
+    """(gain, feature, threshold, missing left) of the rows' best split, all features and both sides for the missing at once."""
+    part = x[np.ix_(rows, use)]
+    order = np.argsort(part, axis=0, kind="stable")  # missing values come last
+    values = np.take_along_axis(part, order, axis=0)
+    gone, n = np.isnan(values), len(rows)
+    g, h = grad[rows], hess[rows]
+    gs, hs = np.where(gone, 0, g[order]), np.where(gone, 0, h[order])
+    gl, hl = np.cumsum(gs, axis=0)[:-1], np.cumsum(hs, axis=0)[:-1]
+    many = np.broadcast_to(np.arange(1, n)[:, None], gl.shape)
+    lost = gone.sum(axis=0)
+    step = (values[1:] > values[:-1]) & ~gone[1:]
+    sides = [(False, gl, hl, many)]
+    if lost.any():
+        sides.append((True, gl + (g.sum() - gs.sum(axis=0)), hl + (h.sum() - hs.sum(axis=0)), many + lost))
+    best = None
+    for left, a, b, count in sides:
+        gain = shape.score(a, b) + shape.score(g.sum() - a, h.sum() - b) - shape.score(g.sum(), h.sum())
+        least = max(shape.child, shape.min_share * total)
+        bad = ~step | (b < least) | (h.sum() - b < least) | (count < shape.min_leaf) | (n - count < shape.min_leaf) | ~np.isfinite(gain)
+        gain = np.where(bad, -np.inf, gain)
         k, j = np.unravel_index(int(gain.argmax()), gain.shape)
-        if not gain[k, j] > 1e-12:
-            return n
-        f, t = int(use[j]), float((sorted_x[k, j] + sorted_x[k + 1, j]) / 2)
-        low = x[rows, f] <= t
-        if low.all() or not low.any():
-            return n
-        a, b = build(rows[low], level + 1), build(rows[~low], level + 1)
-        nodes[n][:4], nodes[n][6] = [f, t, a, b], float(gain[k, j])
+        if gain[k, j] > 1e-12 and gain[k, j] / 2 > shape.gamma and (best is None or gain[k, j] > best[0]):
+            best = (float(gain[k, j]), int(use[j]), float((values[k, j] + values[k + 1, j]) / 2), left)
+    return best
+
+
+def grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, shape: Shape, columns: np.ndarray | None = None, rng: np.random.Generator | None = None, mtry: int | None = None) -> Tree:
+    """A tree that splits where most is gained next; leaf values are -sum(grad) / (sum(hess) + lam), grad drawn towards 0 by alpha."""
+    columns = np.arange(x.shape[1]) if columns is None else columns
+    nodes: list[list] = []
+    todo: list[tuple] = []
+
+    def add(rows: np.ndarray, level: int) -> int:
+        n, g, h = len(nodes), grad[rows].sum(), hess[rows].sum()
+        nodes.append([-1, 0.0, -1, -1, -float(shape.pull(g)) / (h + shape.lam) if h + shape.lam > 0 else 0.0, h, 0.0, False])
+        if level < shape.depth and len(rows) >= max(2, shape.min_split):
+            use = columns if mtry is None else rng.choice(columns, min(mtry, len(columns)), replace=False)
+            if len(use) and (split := _best_split(x, grad, hess, rows, use, float(hess.sum()), shape)):
+                heapq.heappush(todo, (-split[0], n, level, rows, split))
         return n
 
-    build(np.arange(len(x)), 0)
-    f, t, a, b, v, c, g = (np.array(col) for col in zip(*nodes, strict=True))
-    return Tree(f.astype(np.int64), t.astype(float), a.astype(np.int64), b.astype(np.int64), v.astype(float), c.astype(float), g.astype(float))
+    add(np.arange(len(x)), 0)
+    leaves = 1
+    while todo and (shape.leaves is None or leaves < shape.leaves):
+        _, n, level, rows, (gain, f, t, missing) = heapq.heappop(todo)
+        v = x[rows, f]
+        low = np.where(np.isnan(v), missing, v <= t)
+        if low.all() or not low.any():
+            continue
+        a, b = add(rows[low], level + 1), add(rows[~low], level + 1)
+        nodes[n][:4], nodes[n][6:] = [f, t, a, b], [gain, missing]
+        leaves += 1
+    f, t, a, b, v, c, g, m = (np.array(col) for col in zip(*nodes, strict=True))
+    return Tree(f.astype(np.int64), t.astype(float), a.astype(np.int64), b.astype(np.int64), v.astype(float), c.astype(float), g.astype(float), m.astype(bool))
 
 
 @dataclass
@@ -133,34 +191,46 @@ class Forest:
         return np.array([self.scale * sum((t.shapley(r, x.shape[1], game) for t in self.trees), np.zeros(x.shape[1])) for r in x])
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 200, rate: float = 0.05, depth: int = 2, lam: float = 0.0, balance: bool = True) -> Forest:
-    """Gradient-boosted trees on the logistic loss; positives weigh sqrt(n0 / n1)."""
-    w = np.where(y == 1, np.sqrt(max(1, (y == 0).sum()) / max(1, (y == 1).sum())) if balance else 1.0, 1.0)
-    margin, out = np.zeros(len(y)), []
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-        out.append(grow(x, w * (p - y), np.maximum(w * p * (1 - p), 1e-6), depth, lam=lam + 1e-9))
-        margin += rate * out[-1].predict(x)
-    return Forest(out, rate, 0.0, True)
-
-
-def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = 200, depth: int = 3, balanced: bool = False, seed: int = 0, features: str = "sqrt") -> Forest:
-    """A random forest on the squared loss (for 0/1 targets: the Gini split); balanced draws as many rows of either class for a tree."""
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 200, rate: float = 0.05, depth: int = 2, lam: float = 0.0, alpha: float = 0.0, gamma: float = 0.0, child_weight: float = 1.0, subsample: float = 1.0, columns: float = 1.0, balance: bool = True, logistic: bool = True, seed: int = 0) -> Forest:
+    """Gradient-boosted trees on the logistic loss, positives weighing sqrt(n0 / n1), or on the squared one. Each tree sees the shares
+    ``subsample`` of the rows and ``columns`` of the features, drawn anew; missing values take the better side."""
     rng, n = np.random.default_rng(seed), len(y)
-    mtry = {"sqrt": max(1, int(np.sqrt(x.shape[1]))), "all": None}[features]
+    w = np.where(y == 1, np.sqrt(max(1, (y == 0).sum()) / max(1, (y == 1).sum())) if balance else 1.0, 1.0) if logistic else np.ones(n)
+    base = 0.0 if logistic else float(y.mean())
+    margin, out, shape = np.full(n, base), [], Shape(depth, child_weight, lam + 1e-9, alpha, gamma)
+    for _ in range(trees):
+        if logistic:
+            p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+            grad, hess = w * (p - y), np.maximum(w * p * (1 - p), 1e-6)
+        else:
+            grad, hess = margin - y, np.ones(n)
+        rows = np.sort(rng.choice(n, max(1, round(subsample * n)), replace=False)) if subsample < 1 else np.arange(n)
+        own = np.sort(rng.choice(x.shape[1], max(1, int(columns * x.shape[1])), replace=False)) if columns < 1 else None
+        out.append(grow(x[rows], grad[rows], hess[rows], shape, own))
+        margin = margin + rate * out[-1].predict(x)
+    return Forest(out, rate, base, logistic)
+
+
+def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = 200, depth: int = 3, balanced: bool = False, seed: int = 0, features: str = "sqrt", criterion: str = "gini", min_split: int = 2, min_leaf: int = 1, min_share: float = 0.0, leaves: int | None = None) -> Forest:
+    """A random forest on the squared loss (for 0/1 targets: the Gini split) or, for those, the entropy ("entropy", "log_loss");
+    ``balanced`` gives each tree as many rows of either class, each once at most, else it draws with replacement."""
+    rng, n, m = np.random.default_rng(seed), len(y), x.shape[1]
+    mtry = {"sqrt": max(1, int(np.sqrt(m))), "log2": max(1, int(np.log2(max(1, m)))), "all": None}[features]
+    shape = Shape(depth, min_split=min_split, min_leaf=min_leaf, min_share=min_share, leaves=leaves, criterion={"gini": "square", "entropy": "entropy", "log_loss": "entropy"}[criterion])
     out = []
     for _ in range(trees):
         if balanced:
             least = max(1, int(min((y == 1).sum(), (y == 0).sum())))
-            rows = np.concatenate([rng.choice(np.flatnonzero(y == c), least) for c in (0, 1) if (y == c).any()])
+            rows = np.concatenate([rng.choice(own, min(least, len(own)), replace=False) for c in (0, 1) if len(own := np.flatnonzero(y == c))])
         else:
             rows = rng.integers(0, n, n)
-        out.append(grow(x[rows], -y[rows].astype(float), np.ones(len(rows)), depth, rng=rng, mtry=mtry))
+        out.append(grow(x[rows], -y[rows].astype(float), np.ones(len(rows)), shape, rng=rng, mtry=mtry))
     return Forest(out, 1 / max(1, trees))
 
 
+#: The settings of each learner where nothing is searched.
 LEARNERS = {
-    "xgboost": lambda x, y, seed=0, **p: boost(x, y, **{"trees": 200, "rate": 0.05, "depth": 2, **p}),
+    "xgboost": lambda x, y, seed=0, **p: boost(x, y, **{"trees": 200, "rate": 0.05, "depth": 2, "seed": seed, **p}),
     "balanced_random_forest": lambda x, y, seed=0, **p: grow_forest(x, y, **{"trees": 500, "depth": 10, "balanced": True, "seed": seed, **p}),
     "random_forest": lambda x, y, seed=0, **p: grow_forest(x, y, **{"trees": 200, "depth": 3, "seed": seed, **p}),
 }

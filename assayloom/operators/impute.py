@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.dist import norm_cdf, norm_ppf
-from assayloom.operators.forest import Forest, grow_forest
+from assayloom.operators.forest import Forest, boost, grow_forest
 from assayloom.operators.missing import detect_mnar
-from assayloom.operators.neighbours import nearest
+from assayloom.operators.neighbours import nearest_having
 
 
 def fill_mean(long: DataFrame) -> DataFrame:
@@ -34,23 +34,24 @@ def fill_mode(long: DataFrame) -> DataFrame:
 
 def fill_knn(long: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame:
     """The mean of the ``k`` nearest rows that have the feature, by distance over shared coordinates; weights may go by distance. A
-    feature nobody has becomes 0, and where no neighbour can be compared its mean is used."""
+    feature nobody has becomes 0, and where no neighbour can be compared its mean is used.
+
+    Blocks of rows meet blocks of rows, and each pair of blocks sends the best ``k`` offers for a gap, so what is shuffled grows
+    with the gaps and not with the pairs of rows."""
     from assayloom.matrix import array_from_long
 
-    rows = array_from_long(long, ["id"])
-    gaps = long.filter("value is null").select("id", "fi")
-    near = nearest(rows, rows.count())
-    have = long.filter("value is not null").select(F.col("id").alias("nid"), "fi", F.col("value").alias("nv"))
-    offers = gaps.join(near, "id").join(have, ["nid", "fi"])
-    best = offers.withColumn("k", F.row_number().over(Window.partitionBy("id", "fi").orderBy("rank"))).filter(F.col("k") <= k)
+    if weights not in ("uniform", "distance"):
+        raise ValueError(f"weights: {weights!r} is neither uniform nor distance")
+    best = nearest_having(array_from_long(long, ["id"]), k)
     if weights == "distance":
         zero = F.max(F.when(F.col("distance") == 0, 1).otherwise(0)).over(Window.partitionBy("id", "fi"))
         w = F.when(zero == 1, (F.col("distance") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("distance")))
     else:
         w = F.lit(1.0)
-    filled = best.withColumn("w", w).groupBy("id", "fi").agg((F.sum(F.col("w") * F.col("nv")) / F.sum("w")).alias("fill"))
-    mean = F.avg("value").over(Window.partitionBy("fi"))
-    return long.withColumn("mean", mean).join(filled, ["id", "fi"], "left").withColumn("value", F.coalesce("value", "fill", "mean", F.lit(0.0))).drop("fill", "mean")
+    filled = best.withColumn("w", w).groupBy("id", "fi").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("fill"))
+    means = F.broadcast(long.groupBy("fi").agg(F.avg("value").alias("mean")))  # a row a feature
+    met = long.join(means, "fi").join(filled, ["id", "fi"], "left").withColumn("value", F.coalesce("value", "fill", "mean", F.lit(0.0)))
+    return met.select(long.columns)
 
 
 def _seeded(seed: int, key: object) -> np.random.Generator:
@@ -166,15 +167,31 @@ def _whole(arrays: DataFrame, keep: list[str], fit, most: int, stop_early: bool,
     return arrays.select(*keep, "x").groupBy(F.lit(0).alias("all")).applyInPandas(run, f"{kinds}, x array<double>")
 
 
-def mice(arrays: DataFrame, keep: list[str], rounds: int = 10, ridge: float = 1e-3, most_cells: int = 50_000_000) -> DataFrame:
-    """Chained ridge regressions in rounds."""
-
+def _linear(ridge: float):
     def fit(a: np.ndarray, y: np.ndarray, b: np.ndarray, _: int) -> np.ndarray:
         mu, m = a.mean(axis=0), y.mean()
         w = np.linalg.solve((a - mu).T @ (a - mu) + ridge * len(a) * np.eye(a.shape[1]), (a - mu).T @ (y - m))
         return (b - mu) @ w + m
 
-    return _whole(arrays, keep, fit, rounds, False, most_cells)
+    return fit
+
+
+#: The regressions that MICE can chain.
+ESTIMATORS = ("linear", "forest", "boosted")
+
+
+def mice(arrays: DataFrame, keep: list[str], rounds: int = 10, estimator: str = "linear", ridge: float = 1e-3, trees: int | None = None, seed: int = 0, most_cells: int = 50_000_000) -> DataFrame:
+    """Chained regressions in rounds: "linear" ones with a small ridge, random "forest"s (100 ``trees``) or "boosted" trees (500)."""
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"estimator: {estimator!r} is none of {', '.join(ESTIMATORS)}")
+
+    def forest(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
+        return grow_forest(a, y, trees or 100, 32, seed=seed + j, features="all").predict(b)
+
+    def boosted(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
+        return boost(a, y, trees or 500, 0.3, 6, lam=1.0, logistic=False, seed=seed + j).predict(b)
+
+    return _whole(arrays, keep, {"linear": _linear(ridge), "forest": forest, "boosted": boosted}[estimator], rounds, False, most_cells)
 
 
 def miss_forest(arrays: DataFrame, keep: list[str], rounds: int = 4, trees: int = 20, depth: int = 6, seed: int = 0, most_cells: int = 5_000_000) -> DataFrame:
@@ -187,25 +204,32 @@ def miss_forest(arrays: DataFrame, keep: list[str], rounds: int = 4, trees: int
     return _whole(arrays, keep, fit, rounds, True, most_cells)
 
 
+#: The parameters that each method of the facade takes.
+PARAMETERS = {
+    "mean": (), "median": (), "mode": (), "knn": ("k", "weights"), "qrilc": ("tune_sigma", "seed"), "minprob": ("quantile_percent", "tune_sigma", "observed", "lower", "seed"),
+    "mice": ("rounds", "estimator", "ridge", "trees", "seed", "most_cells"), "miss_forest": ("rounds", "trees", "depth", "seed", "most_cells"),
+}
+
+
 def impute(long: DataFrame, method: str | None, strategy: str = "mar", keep: tuple[str, ...] = ("id", "target"), **how) -> DataFrame:
     """Facade: ``mar`` fills all features, ``mnar`` too, ``mixed`` with a censored method only those found missing not at random. The
-    statistics are those of the rows given, also when these are a holdout."""
+    statistics are those of the rows given, also when these are a holdout. A method not known and a parameter that it does not
+    take raise."""
     from assayloom.matrix import array_from_long, long_from_array
 
     if method in (None, "none"):
         return long
+    if method not in PARAMETERS:
+        raise ValueError(f"no such method: {method}")
+    if odd := sorted(set(how) - set(PARAMETERS[method])):
+        raise ValueError(f"{method} takes no {odd[0]}; it takes {', '.join(PARAMETERS[method]) or 'nothing'}")
     simple = {"mean": fill_mean, "median": fill_median, "mode": fill_mode, "knn": fill_knn}
     if method in simple:
         return simple[method](long, **how)
     arrays = array_from_long(long, list(keep))
-    if method == "qrilc":
-        done = qrilc(arrays, list(keep), **how)
-    elif method == "minprob":
-        done = minprob(long, arrays, list(keep), **how)
-    elif method in ("mice", "miss_forest"):
+    if method in ("mice", "miss_forest"):
         return long_from_array({"mice": mice, "miss_forest": miss_forest}[method](arrays, list(keep), **how), "x", list(keep))
-    else:
-        raise ValueError(f"no such method: {method}")
+    done = qrilc(arrays, list(keep), **how) if method == "qrilc" else minprob(long, arrays, list(keep), **how)
     filled = long_from_array(done, "x", list(keep))
     if strategy == "mixed":
         chosen = detect_mnar(long).filter("mnar").select("fi")

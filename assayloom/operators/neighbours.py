@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block; a task compares two blocks.
-BLOCK = 2048
+#: Rows of a block of queries and of a block of candidates; a task compares one of each.
+BLOCK, OTHERS = 4096, 2048
+#: Queries compared at once.
+STEP = 256
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array([[np.nan if v is None else v for v in row] for row in column.to_pylist()], float)
+    column = column.combine_chunks()
+    width = pc.max(pc.list_value_length(column)).as_py() or 0
+    return pc.fill_null(column.flatten(), np.nan).to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
 def masked_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -25,27 +32,74 @@ def masked_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(both > 0, np.sqrt(np.maximum(d, 0) * a.shape[1] / both), np.nan)
 
 
+def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the ``k`` smallest of each row of ``d``, equal ones by id; nan is none. Rows are only sorted as far as the kth goes."""
+    d = np.round(np.where(np.isnan(d), np.inf, d), 12)
+    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    row, place = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+    order = np.lexsort((ids[place], d[row, place], row))
+    row, place = row[order], place[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], place[rank < k]
+
+
+def _blocks(rows: DataFrame, other: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple]], names: dict[str, pa.DataType]) -> DataFrame:
+    """What ``kernel`` gives of (ids, matrix) of every block of ``rows`` and every block of ``other``. The blocks of ``other`` are sent to
+    each block of ``rows``, so with few rows to ask for, little is sent."""
+    parts, others = max(1, -(-rows.count() // BLOCK)), max(1, -(-other.count() // OTHERS))
+    here, there = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64("id"), F.lit(others))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = rows.select("id", "x", here.alias("p"), every(others).alias("o")).toDF("id", "x", "p", "o")
+    right = other.select("id", "x", every(parts).alias("p"), there.alias("o")).toDF("id", "x", "p", "o")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            ida, idb, xa, xb = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(a["x"]), _matrix(b["x"])
+            for s in range(0, len(ida), STEP):
+                out += kernel(ida[s : s + STEP], xa[s : s + STEP], idb, xb)
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[] for _ in names]
+        return pa.table({c: pa.array(v, t) for (c, t), v in zip(names.items(), columns, strict=True)})
+
+    kinds = {pa.int64(): "long", pa.float64(): "double"}
+    return left.groupBy("p", "o").cogroup(right.groupBy("p", "o")).applyInArrow(run, ", ".join(f"{c} {kinds[t]}" for c, t in names.items()))
+
+
+def _apart(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray) -> np.ndarray:
+    d = masked_distances(xa, xb)
+    d[ida[:, None] == idb[None, :]] = np.nan
+    return d
+
+
 def nearest(rows: DataFrame, k: int, other: DataFrame | None = None) -> DataFrame:
     """(id long, nid long, distance double, rank int): the ``k`` rows of ``other`` (default: the same) nearest to each row (id, x
     array<double>), ties to the smaller id, a row never its own neighbour."""
-    other = rows if other is None else other
-    n, m = rows.count(), other.count()
-    parts, others = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
-    here, there = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64("id"), F.lit(others))
-    left = rows.select("id", "x", here.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<long>")).alias("o")).toDF("id", "x", "p", "o")
-    right = other.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("p"), there.alias("o")).toDF("id", "x", "p", "o")
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table({"id": pa.array([], pa.int64()), "nid": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        ida, idb = a["id"].to_numpy(), b["id"].to_numpy()
-        d = masked_distances(_matrix(a["x"]), _matrix(b["x"]))
-        d[ida[:, None] == idb[None, :]] = np.nan
-        order = np.lexsort((np.broadcast_to(idb, d.shape), np.round(np.where(np.isnan(d), np.inf, d), 12)), axis=1)[:, :k]
-        best = np.take_along_axis(d, order, axis=1)
-        ok = ~np.isnan(best)
-        return pa.table({"id": np.repeat(ida, ok.sum(axis=1)), "nid": idb[order[ok]], "distance": best[ok]})
-
-    found = left.groupBy("p", "o").cogroup(right.groupBy("p", "o")).applyInArrow(run, "id long, nid long, distance double")
+    def kernel(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray) -> list[tuple]:
+        d = _apart(ida, xa, idb, xb)
+        row, place = _smallest(d, idb, k)
+        return [(ida[row], idb[place], d[row, place])]
+
+    found = _blocks(rows, rows if other is None else other, kernel, {"id": pa.int64(), "nid": pa.int64(), "distance": pa.float64()})
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 12), "nid"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def nearest_having(rows: DataFrame, k: int) -> DataFrame:
+    """(id long, fi long, value double, distance double): for each missing value of each row (id, x array<double>) the values of the ``k``
+    nearest rows that have that feature, ties to the smaller id."""
+
+    def kernel(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray) -> list[tuple]:
+        d, out = _apart(ida, xa, idb, xb), []
+        for j in np.flatnonzero(np.isnan(xa).any(axis=0)):
+            ask, have = np.flatnonzero(np.isnan(xa[:, j])), np.flatnonzero(~np.isnan(xb[:, j]))
+            if len(have):
+                part = d[np.ix_(ask, have)]
+                row, place = _smallest(part, idb[have], k)
+                out.append((ida[ask[row]], np.full(len(row), j), idb[have[place]], xb[have[place], j], part[row, place]))
+        return out
+
+    asking = rows.filter(F.exists("x", lambda v: v.isNull()))
+    found = _blocks(asking, rows, kernel, {"id": pa.int64(), "fi": pa.int64(), "nid": pa.int64(), "value": pa.float64(), "distance": pa.float64()})
+    rank = F.row_number().over(Window.partitionBy("id", "fi").orderBy(F.round("distance", 12), "nid"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank", "nid")

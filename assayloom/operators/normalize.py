@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.operators.stats import pair_sums
+
 safe = F.try_divide
 
 
@@ -68,13 +70,13 @@ def pca_scores(arrays: DataFrame, holdout: DataFrame, keep: list[str], k: int) -
 def effective_dimension(long: DataFrame) -> DataFrame:
     """One row: exp of the entropy of the covariance eigenvalues, missing values as 0. The covariance has a row a feature pair."""
     filled = long.select("id", "fi", F.coalesce("value", F.lit(0.0)).alias("value"))
-    a, b = filled.select("id", F.col("fi").alias("i"), F.col("value").alias("x")), filled.select("id", F.col("fi").alias("j"), F.col("value").alias("y"))
-    cov = a.join(b, "id").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c"))
+    covariance = safe(F.col("sxy") - safe(F.col("sx") * F.col("sy"), F.col("n")), F.col("n") - 1)
+    cov = pair_sums(filled).select(F.col("f_i").alias("i"), F.col("f_j").alias("j"), covariance.alias("c"))
 
     def run(table: pa.Table) -> pa.Table:
         i, j, c = (table[n].to_numpy() for n in ("i", "j", "c"))
         m = np.zeros((int(i.max()) + 1,) * 2)
-        m[i, j] = c
+        m[i, j] = m[j, i] = c
         w = np.linalg.eigvalsh(m)
         w = w[w > 1e-12 * max(w.max(), 1e-300)]
         p = w / w.sum()

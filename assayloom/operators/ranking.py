@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import product
 from math import factorial
 
 import numpy as np
@@ -10,27 +11,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.operators.folds import repeated_stratified_folds, shuffle_splits
+from assayloom.config import IMPORTANCES
+from assayloom.matrix import long_from_array
 from assayloom.operators.forest import learner
+from assayloom.operators.grid import Matrix, folds_of, grid, matrix_of, splits_of
+from assayloom.operators.information import information_cv
 from assayloom.operators.metrics import auc_exact, confusion, grid_summary, label_metrics, pareto_front, pr_scores, predict_labels, roc_grid, roc_points, youden
+from assayloom.operators.samplers import Genetic, Parzen
 
 #: The ranges searched for each learner, (low, high, log scale) or choices.
 SPACES = {
-    "xgboost": {"depth": (2, 3, False), "rate": (0.001, 0.1, True), "trees": (50, 500, False), "lam": (1e-8, 10.0, True)},
-    "balanced_random_forest": {"trees": (50, 1000, False), "depth": (2, 10, False), "features": ["sqrt", "all"]},
-    "random_forest": {"trees": (50, 500, False), "depth": (3, 5, False), "features": ["sqrt", "all"]},
-}
-
-
-def _xy(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    pdf = pdf.sort_values("id").reset_index(drop=True)
-    return pdf, np.array(pdf["x"].tolist(), float), pdf["target"].to_numpy()
-
-
-def fold_table(arrays: DataFrame, k: int, repeats: int, seed: int = 0) -> DataFrame:
-    """The rows (id, target, x) once a repeat and test fold, with test."""
-    rows = repeated_stratified_folds(arrays.select("id", "target", "x"), k, repeats, seed)
-    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<long>"))).withColumn("test", F.col("part") == F.col("fold")).drop("fold")
+    "xgboost": {
+        "depth": (2, 3, False), "rate": (0.001, 0.1, True), "trees": (50, 500, False), "subsample": (0.1, 1.0, False), "columns": (0.1, 1.0, False),
+        "child_weight": (0, 10, False), "gamma": (0, 5, False), "lam": (1e-8, 10.0, True), "alpha": (1e-8, 10.0, True),
+    },
+    "balanced_random_forest": {
+        "trees": (50, 1000, False), "depth": (2, 10, False), "min_split": (2, 10, False), "min_leaf": (3, 10, False), "features": ["sqrt", "log2", "all"],
+        "criterion": ["gini", "entropy"], "min_share": (0.0, 0.5, False),
+    },
+    "random_forest": {
+        "trees": (50, 500, False), "depth": (3, 5, False), "min_split": (2, 10, False), "min_leaf": (3, 10, False), "features": ["sqrt", "log2", "all"],
+        "criterion": ["gini", "entropy", "log_loss"], "min_share": (0.0, 0.5, False), "leaves": (10, 100, False),
+    },
+}
 
 
 def _rank_auc(y: np.ndarray, s: np.ndarray) -> float:
@@ -52,55 +55,76 @@ def _average_precision(y: np.ndarray, s: np.ndarray) -> float:
     return float((np.diff(recall, prepend=0) * precision).sum())
 
 
+SCORED = "id long, y int, score double"
+
+
+def _scored(m: Matrix, t: np.ndarray, scores: np.ndarray, **group: int) -> pd.DataFrame:
+    return pd.DataFrame({**group, "id": m.ids[t], "y": m.y[t].astype(int), "score": scores})
+
+
 def cv_scores(arrays: DataFrame, model: str = "xgboost", k: int = 4, repeats: int = 1, seed: int = 0, **params) -> DataFrame:
-    """(group, id, y, score) of every held-out row; group is repeat * k + fold. One task a fold."""
-    fit = learner(model)
+    """(group, id, y, score) of every held-out row; group is repeat * k + fold. A fit a fold."""
+    fit, m = learner(model), matrix_of(arrays)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x, y = _xy(pdf)
-        t = pdf["test"].to_numpy()
-        return pd.DataFrame({"group": key[0] * k + key[1], "id": pdf["id"][t], "y": y[t].astype(int), "score": fit(x[~t], y[~t], seed=seed, **params).predict(x[t])})
+    def run(shared: tuple, repeat: int, part: int) -> pd.DataFrame:
+        m, folds = shared
+        t = folds[repeat] == part
+        return _scored(m, t, fit(m.x[~t], m.y[~t], seed=seed, **params).predict(m.x[t]), group=repeat * k + part)
 
-    return fold_table(arrays, k, repeats, seed).groupBy("repeat", "part").applyInPandas(run, "group long, id long, y int, score double")
+    return grid(arrays.sparkSession, (m, folds_of(m, arrays, k, repeats, seed)), list(product(range(repeats), range(k))), run, f"group long, {SCORED}")
 
 
 def feature_importance(arrays: DataFrame, method: str = "shap", model: str = "xgboost", k: int = 2, repeats: int = 1, seed: int = 0, **params) -> DataFrame:
     """(fi, importance) averaged over training folds, a model fitted on each: mean absolute SHAP or eject-SHAP of its rows, or split gain."""
-    fit = learner(model)
+    fit, m = learner(model), matrix_of(arrays)
     if method == "eject_shap" and model != "xgboost":
         raise NotImplementedError("eject-SHAP is for boosted trees")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, x, y = _xy(pdf[~pdf["test"]])
-        forest = fit(x, y, seed=seed, **params)
+    def run(shared: tuple, repeat: int, part: int) -> pd.DataFrame:
+        m, folds = shared
+        t = folds[repeat] == part
+        x, forest = m.x[~t], fit(m.x[~t], m.y[~t], seed=seed, **params)
         game = {"shap": "expected", "eject_shap": "ejected"}.get(method)
         imp = np.abs(forest.shapley(x, game)).mean(axis=0) if game else forest.importance(x.shape[1])
         return pd.DataFrame({"fi": np.arange(len(imp)), "importance": imp})
 
-    return fold_table(arrays, k, repeats, seed).groupBy("repeat", "part").applyInPandas(run, "fi long, importance double").groupBy("fi").agg(F.avg("importance").alias("importance"))
+    each = grid(arrays.sparkSession, (m, folds_of(m, arrays, k, repeats, seed)), list(product(range(repeats), range(k))), run, "fi long, importance double")
+    return each.groupBy("fi").agg(F.avg("importance").alias("importance"))
+
+
+def importance_by(arrays: DataFrame, kind: str, model: str = "xgboost", k: int = 2, repeats: int = 1, seed: int = 0, **params) -> DataFrame:
+    """(fi, importance) of the kind asked for; one not known raises."""
+    if kind not in IMPORTANCES:
+        raise ValueError(f"no such importance: {kind}")
+    if kind == "mutual_information":
+        long = long_from_array(arrays.select("id", "target", "x"), "x", ["id", "target"])
+        return information_cv(long, k, repeats, seed).withColumnRenamed("mi", "importance")
+    if kind == "permutation_importance":
+        return permutation_importance(arrays, model, seed=seed, **params).select("fi", "importance")
+    return feature_importance(arrays, "gain" if kind == "tree_importance" else kind, model, k, repeats, seed, **params)
 
 
 def permutation_importance(arrays: DataFrame, model: str = "xgboost", repeats: int = 10, seed: int = 0, **params) -> DataFrame:
-    """(fi, importance, std): the loss of average precision when a feature is permuted, the model fitted once on all rows. One task a feature."""
-    fit = learner(model)
-    width = arrays.agg(F.max(F.size("x"))).first()[0] or 0
-    each = arrays.select("id", "target", "x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)).cast("array<long>")).alias("fi"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, x, y = _xy(pdf)
-        forest, rng, j = fit(x, y, seed=seed, **params), np.random.default_rng([seed, key[0]]), int(key[0])
-        base, drops = _average_precision(y, forest.predict(x)), []
+    """(fi, importance, std): the loss of average precision when a feature is permuted, the model fitted once on all rows. A task a feature."""
+    m = matrix_of(arrays)
+    forest = learner(model)(m.x, m.y, seed=seed, **params)
+
+    def run(shared: tuple, j: int) -> pd.DataFrame:
+        m, forest, base = shared
+        rng, drops = np.random.default_rng([seed, j]), []
         for _ in range(repeats):
-            z = x.copy()
+            z = m.x.copy()
             z[:, j] = rng.permutation(z[:, j])
-            drops.append(base - _average_precision(y, forest.predict(z)))
+            drops.append(base - _average_precision(m.y, forest.predict(z)))
         return pd.DataFrame({"fi": [j], "importance": [np.mean(drops)], "std": [np.std(drops)]})
 
-    return each.groupBy("fi").applyInPandas(run, "fi long, importance double, std double")
+    shared = (m, forest, _average_precision(m.y, forest.predict(m.x)))
+    return grid(arrays.sparkSession, shared, [(j,) for j in range(m.x.shape[1])], run, "fi long, importance double, std double")
 
 
-def _leaves(forest) -> list[tuple[float, list[tuple[int, float, float]]]]:
-    """Each leaf's share of the margin, and its path as (feature, low, high): a row is in where low < x <= high for all."""
+def _leaves(forest) -> list[tuple[float, list[tuple[int, float, float, bool]]]]:
+    """Each leaf's share of the margin, and its path as (feature, low, high, missing): a row is in where low < x <= high for all, or x is
+    missing and that goes there."""
     out = []
     for t in forest.trees:
         todo = [(0, {})]
@@ -110,27 +134,30 @@ def _leaves(forest) -> list[tuple[float, list[tuple[int, float, float]]]]:
             if f < 0:
                 out.append((forest.scale * float(t.value[n]), [(g, *span) for g, span in path.items()]))
                 continue
-            low, high = path.get(f, (-np.inf, np.inf))
-            todo += [(int(t.left[n]), {**path, f: (low, min(high, cut))}), (int(t.right[n]), {**path, f: (max(low, cut), high)})]
+            low, high, gone = path.get(f, (-np.inf, np.inf, True))
+            left = t.missing_left is not None and bool(t.missing_left[n])
+            todo += [(int(t.left[n]), {**path, f: (low, min(high, cut), gone and left)}), (int(t.right[n]), {**path, f: (max(low, cut), high, gone and not left)})]
     return out
 
 
+def _inside(v: np.ndarray, low: float, high: float, gone: bool) -> np.ndarray:
+    return (v > low) & (v <= high) | (np.isnan(v) & gone)
+
+
 def shap_report(arrays: DataFrame, background: DataFrame, model: str = "xgboost", seed: int = 0, **params) -> DataFrame:
     """(id, target, fi, shap) of the predicted probability: exact interventional Shapley values, averaged over all background rows.
 
     The model is fitted on the background. Against one background row the margin's values come from the leaves; they are scaled
     to the probability's difference, as the usual tree explainer does. A row's values add up to its prediction less the mean one.
     """
-    fit = learner(model)
-    rows = background.select("id", "target", "x").orderBy("id").toPandas()
-    _, x, y = _xy(rows)
-    forest = fit(x, y, seed=seed, **params)
-    sent = arrays.sparkSession.sparkContext.broadcast((forest, x))
+    m = matrix_of(background)
+    forest = learner(model)(m.x, m.y, seed=seed, **params)
+    sent = arrays.sparkSession.sparkContext.broadcast((forest, m.x))
 
     def run(parts):
         forest, base = sent.value
         leaves, margins, p = _leaves(forest), forest.margin(base), forest.predict(base)
-        inside = [np.array([(base[:, f] > low) & (base[:, f] <= high) for f, low, high in path]) for _, path in leaves]
+        inside = [np.array([_inside(base[:, f], *span) for f, *span in path]) for _, path in leaves]
         fact = np.array([float(factorial(k)) for k in range(max((len(path) for _, path in leaves), default=0) + 1)])
         for pdf in parts:
             out = []
@@ -142,12 +169,12 @@ def shap_report(arrays: DataFrame, background: DataFrame, model: str = "xgboost"
                 for (value, path), theirs in zip(leaves, inside, strict=True):
                     if not path:
                         continue
-                    mine = np.array([low < v[f] <= high for f, low, high in path])[:, None]
+                    mine = np.array([_inside(v[f], *span) for f, *span in path])[:, None]
                     plus, minus = mine & ~theirs, ~mine & theirs  # the leaf needs these features from the row, those from the background
                     s, n = plus.sum(axis=0), minus.sum(axis=0)
                     weight = (mine | theirs).all(axis=0) * slope * value / fact[s + n]
                     gain = plus * fact[np.maximum(s - 1, 0)] * fact[n] - minus * fact[s] * fact[np.maximum(n - 1, 0)]
-                    total[[f for f, _, _ in path]] += (gain * weight).sum(axis=1)
+                    total[[f for f, *_ in path]] += (gain * weight).sum(axis=1)
                 out.append(pd.DataFrame({"id": i, "target": t, "fi": np.arange(len(v)), "shap": total / len(base)}))
             if out:
                 yield pd.concat(out)
@@ -175,20 +202,19 @@ def lime(arrays: DataFrame, predict, samples: int = 500, seed: int = 0) -> DataF
 
 def addition_by_importance(arrays: DataFrame, importance: DataFrame, number: int = 30, model: str = "xgboost", k: int = 2, repeats: int = 25, seed: int = 0, **params) -> DataFrame:
     """One row a rank: mean and std over folds of AUC, MCC (labels at one half) and sensitivities at fixed specificities, and their
-    stabilities. Step i trains on all features with at least the i-th importance, in source order. One task a step and fold."""
-    fit = learner(model)
+    stabilities. Step i trains on all features with at least the i-th importance, in source order. A fit a step and fold."""
+    fit, m, spark = learner(model), matrix_of(arrays), arrays.sparkSession
     ranked = [(r[0], r[1]) for r in importance.orderBy(F.desc("importance"), "fi").limit(number).collect()]  # ``number`` rows
     panels = [[f for f, v in sorted(ranked) if v >= mark] for _, mark in ranked]
-    steps = arrays.sparkSession.createDataFrame([(i + 1, p) for i, p in enumerate(panels)], "rank long, panel array<long>")
-    grid = fold_table(arrays, k, repeats, seed).join(F.broadcast(steps))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x, y = _xy(pdf)
-        x, t = x[:, list(pdf["panel"].iloc[0])], pdf["test"].to_numpy()
-        return pd.DataFrame({"rank": key[0], "group": key[1] * k + key[2], "id": pdf["id"][t], "y": y[t].astype(int), "score": fit(x[~t], y[~t], seed=seed, **params).predict(x[t])})
+    def run(shared: tuple, repeat: int, part: int, rank: int, panel: list[int]) -> pd.DataFrame:
+        m, folds = shared
+        x, t = m.x[:, panel], folds[repeat] == part
+        return _scored(m, t, fit(x[~t], m.y[~t], seed=seed, **params).predict(x[t]), rank=rank, group=repeat * k + part)
 
-    scored = grid.groupBy("rank", "repeat", "part").applyInPandas(run, "rank long, group long, id long, y int, score double")
-    names = arrays.sparkSession.createDataFrame([(i + 1, f) for i, (f, _) in enumerate(ranked)], "rank long, fi long")
+    keys = [(r, p, i + 1, panel) for r in range(repeats) for p in range(k) for i, panel in enumerate(panels)]
+    scored = grid(spark, (m, folds_of(m, arrays, k, repeats, seed)), keys, run, f"rank long, group long, {SCORED}")
+    names = spark.createDataFrame([(i + 1, f) for i, (f, _) in enumerate(ranked)], "rank long, fi long")
     return rank_summary(scored).join(F.broadcast(names), "rank")
 
 
@@ -204,95 +230,99 @@ def rank_summary(scored: DataFrame) -> DataFrame:
 
 def addition_by_performance(arrays: DataFrame, number: int = 5, model: str = "xgboost", k: int = 2, repeats: int = 1, seed: int = 0, **params) -> DataFrame:
     """(rank, fi, mean_mcc, std_mcc, mean_roc_auc, std_roc_auc): greedily the feature that raises the mean MCC most; its own figures."""
-    fit, spark = learner(model), arrays.sparkSession
-    width = arrays.agg(F.max(F.size("x"))).first()[0] or 0
+    fit, m, spark = learner(model), matrix_of(arrays), arrays.sparkSession
+    width, shared = m.x.shape[1], (m, folds_of(m, arrays, k, repeats, seed))
     chosen: list[int] = []
     out: list[tuple] = []
-    folds = fold_table(arrays, k, repeats, seed).persist()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x, y = _xy(pdf)
-        x, t = x[:, list(pdf["panel"].iloc[0])], pdf["test"].to_numpy()
-        s = fit(x[~t], y[~t], seed=seed, **params).predict(x[t])
-        hard, truth = (s >= 0.5).astype(int), y[t]
+    def run(shared: tuple, repeat: int, part: int, f: int, panel: list[int]) -> pd.DataFrame:
+        m, folds = shared
+        x, t = m.x[:, panel], folds[repeat] == part
+        s, truth = fit(x[~t], m.y[~t], seed=seed, **params).predict(x[t]), m.y[t]
+        hard = (s >= 0.5).astype(int)
         tp, tn, fp, fn = (float(((hard == a) & (truth == b)).sum()) for a, b in ((1, 1), (0, 0), (1, 0), (0, 1)))
         d = np.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-        return pd.DataFrame({"fi": [key[0]], "mcc": [(tp * tn - fp * fn) / d if d else 0.0], "auc": [_rank_auc(truth, s)]})
+        return pd.DataFrame({"fi": [f], "mcc": [(tp * tn - fp * fn) / d if d else 0.0], "auc": [_rank_auc(truth, s)]})
 
     for rank in range(1, min(number, width) + 1):
-        panels = spark.createDataFrame([(f, sorted([*chosen, f])) for f in range(width) if f not in chosen], "fi long, panel array<long>")
-        each = folds.join(F.broadcast(panels)).groupBy("fi", "repeat", "part").applyInPandas(run, "fi long, mcc double, auc double")
+        keys = [(r, p, f, sorted([*chosen, f])) for r in range(repeats) for p in range(k) for f in range(width) if f not in chosen]
+        each = grid(spark, shared, keys, run, "fi long, mcc double, auc double")
         best = each.groupBy("fi").agg(F.avg("mcc"), F.stddev_pop("mcc"), F.avg("auc"), F.stddev_pop("auc")).orderBy(F.desc(F.col("avg(mcc)")), "fi").first()
         chosen.append(best[0])
         out.append((rank, *best))
-    folds.unpersist()
     return spark.createDataFrame(out, "rank long, fi long, mean_mcc double, std_mcc double, mean_roc_auc double, std_roc_auc double")
 
 
 def elimination(arrays: DataFrame, most: int = 40, model: str = "xgboost", splits: int = 10, test: float = 0.3, seed: int = 0, **params) -> tuple[DataFrame, DataFrame]:
     """Down from all features, one out a round by the model's importance: scores (group, rank = panel size, id, y, score) at sizes ``most``
-    to 1, and (rank, fi, count, importance): how often a size keeps a feature, and its mean importance. One task a split."""
-    fit = learner(model)
-    rows = shuffle_splits(arrays.select("id", "target", "x"), splits, test, seed)
+    to 1, and (rank, fi, count, importance): how often a size keeps a feature, and its mean importance. A task a split."""
+    fit, m = learner(model), matrix_of(arrays)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x, y = _xy(pdf)
-        t, left, out = pdf["test"].to_numpy(), list(range(x.shape[1])), []
+    def run(shared: tuple, split: int) -> pd.DataFrame:
+        m, tested = shared
+        t, left, out = tested[split], list(range(m.x.shape[1])), []
         while left:
-            forest = fit(x[~t][:, left], y[~t], seed=seed, **params)
+            forest = fit(m.x[~t][:, left], m.y[~t], seed=seed, **params)
             imp = forest.importance(len(left))
             if len(left) <= most:
-                out.append(pd.DataFrame({"group": key[0], "rank": len(left), "id": pdf["id"][t], "y": y[t].astype(float), "score": forest.predict(x[t][:, left]), "kept": False}))
-                out.append(pd.DataFrame({"group": key[0], "rank": len(left), "id": left, "y": 1.0, "score": imp, "kept": True}))
+                out.append(_scored(m, t, forest.predict(m.x[t][:, left]), group=split, rank=len(left)).assign(kept=False))
+                out.append(pd.DataFrame({"group": split, "rank": len(left), "id": left, "y": 1, "score": imp, "kept": True}))
             left.pop(int(imp.argmin()))
         return pd.concat(out)
 
-    done = rows.groupBy("repeat").applyInPandas(run, "group long, rank long, id long, y double, score double, kept boolean").persist()
-    scored = done.filter("not kept").select("group", "rank", "id", F.col("y").cast("int").alias("y"), "score")
+    done = grid(arrays.sparkSession, (m, splits_of(m, arrays, splits, test, seed)), [(i,) for i in range(splits)], run, f"group long, rank long, {SCORED}, kept boolean").persist()
     chosen = done.filter("kept").groupBy("rank", F.col("id").alias("fi")).agg((F.count("*") / float(splits)).alias("count"), (F.sum("score") / float(splits)).alias("importance"))
-    return scored, chosen
+    return done.filter("not kept").drop("kept"), chosen
 
 
-def search(arrays: DataFrame, model: str = "xgboost", trials: int = 1, scorers: tuple[str, ...] = ("auc",), k: int = 2, repeats: int = 1, seed: int = 0) -> DataFrame:
-    """(trial, params json, mean_test_<scorer>.., best): seeded random trials over the learner's ranges, trial 0 its defaults; best is the
-    first trial on the Pareto front. Scorers: mcc, auc, sens@99spec, average_precision, balanced_accuracy, f1. One task a trial and fold."""
+def search(arrays: DataFrame, model: str = "xgboost", trials: int = 1, scorers: tuple[str, ...] = ("auc",), k: int = 2, repeats: int = 1, seed: int = 0, batch: int = 10) -> DataFrame:
+    """(trial, params json, mean_test_<scorer>.., best): trial 0 has the learner's defaults, the others what a sampler asks for over the
+    learner's ranges (Parzen estimators for one scorer, NSGA-II for several), ``batch`` at a time, so that a batch's fits are one
+    job with a task a trial and fold. best is the first trial on the Pareto front. Scorers: mcc, auc, sens@99spec,
+    average_precision, balanced_accuracy, f1."""
     known = {"mcc": "mcc", "auc": "auc", "sens@99spec": "sens_at_99", "average_precision": "average_precision_scores", "balanced_accuracy": "balanced_accuracy", "f1": "f1"}
     if unknown := [s for s in scorers if s not in known]:
         raise ValueError(f"no such scorer: {unknown[0]}")
-    fit, rng = learner(model), np.random.default_rng(seed)
-
-    def one(space: object) -> object:
-        if isinstance(space, list):
-            return space[int(rng.integers(len(space)))]
-        low, high, log = space
-        v = float(np.exp(rng.uniform(np.log(low), np.log(high)))) if log else float(rng.uniform(low, high))
-        return int(round(v)) if isinstance(low, int) else v
-
-    plans = [{} if t == 0 else {p: one(s) for p, s in SPACES[model].items()} for t in range(trials)]
-    table = arrays.sparkSession.createDataFrame([(t, json.dumps(p, sort_keys=True)) for t, p in enumerate(plans)], "trial long, params string")
-    grid = fold_table(arrays, k, repeats, seed).join(F.broadcast(table))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x, y = _xy(pdf)
-        t = pdf["test"].to_numpy()
-        s = fit(x[~t], y[~t], seed=seed, **json.loads(pdf["params"].iloc[0])).predict(x[t])
-        return pd.DataFrame({"trial": key[0], "group": key[1] * k + key[2], "id": pdf["id"][t], "y": y[t].astype(int), "score": s})
-
-    by = ("trial", "group")
-    scored = grid.groupBy("trial", "repeat", "part").applyInPandas(run, "trial long, group long, id long, y int, score double")
-    points = roc_points(scored, by)
-    each = label_metrics(confusion(predict_labels(scored, 0.5), by), by).join(grid_summary(roc_grid(points, by), by), list(by)).join(pr_scores(points, by), list(by))
-    means = each.groupBy("trial").agg(*(F.round(F.avg(known[s]), 10).alias(f"mean_test_{s}") for s in scorers))
-    front = pareto_front(means, [f"mean_test_{s}" for s in scorers]).agg(F.min("trial").alias("__best"))
-    return table.join(means, "trial").crossJoin(F.broadcast(front)).withColumn("best", F.col("trial") == F.col("__best")).drop("__best")
+    fit, m, spark, by = learner(model), matrix_of(arrays), arrays.sparkSession, ("trial", "group")
+    sampler = (Parzen if len(scorers) == 1 else Genetic)(SPACES[model], seed)
+    shared = (m, folds_of(m, arrays, k, repeats, seed))
+
+    def run(shared: tuple, repeat: int, part: int, trial: int, own: dict) -> pd.DataFrame:
+        m, folds = shared
+        t = folds[repeat] == part
+        return _scored(m, t, fit(m.x[~t], m.y[~t], seed=seed, **own).predict(m.x[t]), trial=trial, group=repeat * k + part)
+
+    def scored(plans: list[tuple[int, dict]]) -> list[tuple]:
+        keys = [(r, p, t, own) for t, own in plans for r in range(repeats) for p in range(k)]
+        rows = grid(spark, shared, keys, run, f"trial long, group long, {SCORED}").persist()
+        points = roc_points(rows, by)
+        each = label_metrics(confusion(predict_labels(rows, 0.5), by), by).join(grid_summary(roc_grid(points, by), by), list(by)).join(pr_scores(points, by), list(by))
+        means = {r[0]: tuple(r)[1:] for r in each.groupBy("trial").agg(*(F.round(F.avg(known[s]), 10) for s in scorers)).collect()}  # a row a trial
+        rows.unpersist()
+        return [(t, json.dumps(own, sort_keys=True), *means[t]) for t, own in plans]
+
+    out = scored([(0, {})])
+    while len(out) < trials:
+        plans = list(enumerate(sampler.ask(min(batch, trials - len(out))), len(out)))
+        for (_, params), row in zip(plans, found := scored(plans), strict=True):
+            sampler.tell(params, row[2:])
+        out += found
+    names = [f"mean_test_{s}" for s in scorers]
+    table = spark.createDataFrame(out, "trial long, params string" + "".join(f", `{c}` double" for c in names))
+    front = pareto_front(table.select("trial", *(f"`{c}`" for c in names)), names).agg(F.min("trial").alias("__best"))
+    return table.join(F.broadcast(front)).withColumn("best", F.col("trial") == F.col("__best")).drop("__best")  # one row
+
+
+def with_panel(arrays: DataFrame, panel: list[int]) -> DataFrame:
+    """The rows with only the features at the places ``panel``."""
+    return arrays.withColumn("x", F.transform(F.array(*(F.lit(i) for i in panel)), lambda i: F.get("x", i)))
 
 
 def holdout_scores(train: DataFrame, holdout: DataFrame, model: str = "xgboost", panel: list[int] | None = None, seed: int = 0, **params) -> DataFrame:
-    """(group 0, id, y, score, label) of the holdout by a model fitted on all of ``train`` (a short matrix, checked by its caller)."""
-    fit = learner(model)
-    _, x, y = _xy(train.select("id", "target", "x").toPandas())
-    panel = list(range(x.shape[1])) if panel is None else panel
-    sent = train.sparkSession.sparkContext.broadcast(fit(x[:, panel], y, seed=seed, **params))
+    """(group 0, id, y, score) of the holdout by a model fitted on all of ``train`` (a short matrix, checked by its caller)."""
+    m = matrix_of(train)
+    panel = list(range(m.x.shape[1])) if panel is None else panel
+    sent = train.sparkSession.sparkContext.broadcast(learner(model)(m.x[:, panel], m.y, seed=seed, **params))
 
     def run(parts):
         for pdf in parts:

@@ -132,11 +132,27 @@ def edited(df: DataFrame, k: int = 3) -> DataFrame:
     return df.join(odd, "id", "left_anti")
 
 
+def name_new(rows: DataFrame, patients: DataFrame) -> DataFrame:
+    """``rows`` (id, target, x) with the patient_id and label that ``patients`` (id, patient_id, label) has; new rows, which it does not
+    have, are called AUG0, AUG1 and so on in both."""
+    known = rows.join(patients.select("id", F.col("patient_id").cast("string").alias("patient_id"), F.col("label").cast("string").alias("label")), "id", "left")
+    new = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("id"))) - 1  # as short as the matrix
+    made = known.filter("id < 0 and patient_id is null").withColumn("name", F.concat(F.lit("AUG"), new.cast("string")))
+    made = made.select("id", "target", "x", F.col("name").alias("patient_id"), F.col("name").alias("label"))
+    return known.filter("not (id < 0 and patient_id is null)").unionByName(made)
+
+
+def class_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(stage, total, positive, negative, ratio) before and after rows were added or left out; ratio is the share of class 1."""
+    one = lambda df, name: df.agg(F.lit(name).alias("stage"), F.count("*").alias("total"), F.count_if(F.col("target") == 1).alias("positive"), F.count_if(F.col("target") == 0).alias("negative"), F.avg(F.col("target").cast("double")).alias("ratio"))
+    return one(before, "before").unionByName(one(after, "after"))
+
+
 def augment(df: DataFrame, how: str, ratio: float = 0.5, total: int = 0, seed: int = 0) -> DataFrame:
     """Rows (id, target, x) rebalanced by name: none, kde, kde_balanced, smote_balanced, smote_tomek, smote_enn, ratio.
 
     ``ratio`` is class 1 to class 0 for kde; for "ratio" it is the share of class 1. ``total`` rescales the result, both classes alike.
-    New rows have negative ids; the sinks name them AUG<n>."""
+    New rows have negative ids; name_new names them."""
     df = df.select("id", "target", "x")
     n0, n1 = counts_of(df)
     if how == "none":

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +74,47 @@ def average_ranks(long: DataFrame, by: tuple[str, ...] = ("fi",)) -> DataFrame:
     return long.filter("value is not null").withColumn("r", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
 
 
+#: Features whose products with others are held at once.
+FEATURES = 512
+
+
+def pair_sums(long: DataFrame, value: str = "value") -> DataFrame:
+    """(f_i, f_j, n, sx, sy, sxy, sxx, syy) for f_i <= f_j over the ids that have both; values are taken from their feature's mean.
+
+    A partition adds up the products of its ids' rows as matrices, block of features by block, and sends a row a pair; so what is
+    shuffled does not grow with the ids beyond the partitions."""
+    means = long.groupBy("fi").agg(F.avg(value).alias("mu"))  # a row a feature
+    near = long.join(F.broadcast(means), "fi").filter(F.col(value).isNotNull()).select("id", "fi", (F.col(value) - F.col("mu")).alias("v"))
+    rows = near.groupBy("id").agg(F.collect_list("fi").alias("f"), F.collect_list("v").alias("v"))
+    names = np.array(sorted(r[0] for r in means.select("fi").collect()), np.int64)
+    kinds = ("n", "sx", "sy", "sxy", "sxx", "syy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            f, v = batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            x, have = np.zeros((batch.num_rows, len(names))), np.zeros((batch.num_rows, len(names)))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(f).to_numpy(zero_copy_only=False))
+            place = np.searchsorted(names, f.flatten().to_numpy())
+            x[row, place], have[row, place] = v, 1
+            for a in range(0, len(names), FEATURES):
+                for b in range(a, len(names), FEATURES):
+                    (xa, ha), (xb, hb) = ((x[:, c : c + FEATURES], have[:, c : c + FEATURES]) for c in (a, b))
+                    new = [ha.T @ hb, xa.T @ hb, ha.T @ xb, xa.T @ xb, (xa**2).T @ hb, ha.T @ xb**2]
+                    sums[a, b] = [p + q for p, q in zip(sums[a, b], new, strict=True)] if (a, b) in sums else new
+        for (a, b), totals in sums.items():
+            i, j = np.nonzero((a + np.arange(totals[0].shape[0]))[:, None] <= b + np.arange(totals[0].shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names[a + i]), pa.array(names[b + j]), *(pa.array(t[i, j]) for t in totals)], ["f_i", "f_j", *kinds])
+
+    parts = rows.select("f", "v").mapInArrow(run, "f_i long, f_j long, " + ", ".join(f"{c} double" for c in kinds))
+    return parts.groupBy("f_i", "f_j").agg(*(F.sum(c).alias(c) for c in kinds))
+
+
 def pair_correlations(long: DataFrame, value: str = "value") -> DataFrame:
-    """(f_i, f_j, corr) for i <= j over the ids that have both: ids meet themselves, never all rows each other."""
-    a = long.select("id", F.col("fi").alias("f_i"), F.col(value).alias("x")).filter("x is not null")
-    b = long.select("id", F.col("fi").alias("f_j"), F.col(value).alias("y")).filter("y is not null")
-    return a.join(b, "id").filter("f_i <= f_j").groupBy("f_i", "f_j").agg(F.corr("x", "y").alias("corr"))
+    """(f_i, f_j, corr) for i <= j over the ids that have both; null where one does not vary."""
+    n, sx, sy, sxy, sxx, syy = (F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy"))
+    corr = safe(n * sxy - sx * sy, F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0)) * F.greatest(n * syy - sy * sy, F.lit(0.0))))
+    return pair_sums(long, value).select("f_i", "f_j", corr.alias("corr"))
 
 
 def spearman(long: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, replace
+import json
+from dataclasses import dataclass, fields, is_dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from assayloom.operators import batch, folds, impute, information, metrics, norm
 from assayloom.sources.files import Extracted, load
 from assayloom.sources.sinks import save
 
-#: Most cells that the driver's fits take at once; the reference's matrices have far fewer.
+#: Most cells that the driver's fits take at once; the matrices of such studies have far fewer.
 MOST_CELLS = 50_000_000
+KEYS = ("id", "patient_id", "target", "label")
 
 
 @dataclass
@@ -27,15 +29,15 @@ class Frames:
     features: list[str]
 
 
-def frames(data: Extracted, seed: int = 0) -> Frames:
+def frames(data: Extracted) -> Frames:
+    """Ids, labels and batches of whatever type are carried along and are no features."""
     features = numeric_columns(data.train)
-    keep = ["id", "patient_id", "target", "label"]
     if data.train.count() * len(features) > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} cells; select features first")
 
     def one(df: DataFrame) -> DataFrame:
-        rows = df.withColumn("id", F.xxhash64(F.col("patient_id").cast("string"))).withColumn("target", F.col("target").cast("int"))
-        return long_from_wide(rows if "label" in rows.columns else rows.withColumn("label", F.lit(None).cast("string")), features, keep)
+        rows = df.withColumn("id", F.abs(F.xxhash64(F.col("patient_id").cast("string")))).withColumn("target", F.col("target").cast("int"))
+        return long_from_wide(rows if "label" in rows.columns else rows.withColumn("label", F.lit(None).cast("string")), features, list(KEYS))
 
     return Frames(one(data.train), one(data.holdout), features)
 
@@ -51,8 +53,11 @@ def chosen_features(long: DataFrame, options: Options, s: Selection, seed: int)
     return sorted(r[0] for r in kept.select("fi").collect())
 
 
-def narrowed(long: DataFrame, keep: list[int]) -> DataFrame:
-    return array_from_long(long.filter(F.col("fi").isin(keep)).withColumn("value", F.coalesce("value", F.lit(0.0))), ["id", "target"])
+def narrowed(long: DataFrame, keep: list[int], missing: bool = False) -> DataFrame:
+    """(id, patient_id, target, label, x) with the features at the places ``keep``; missing values are 0 unless ``missing`` leaves them."""
+    rows = long.filter(F.col("fi").isin(keep))
+    keys = [k for k in KEYS if k in long.columns]
+    return array_from_long(rows if missing else rows.withColumn("value", F.coalesce("value", F.lit(0.0))), keys)
 
 
 def panels(result: DataFrame, n: int, alpha: float) -> dict[str, list[int]]:
@@ -66,61 +71,124 @@ def panels(result: DataFrame, n: int, alpha: float) -> dict[str, list[int]]:
     return out
 
 
-def run(spark: SparkSession, options: Options, settings: Settings, model_id: str = "run", params: dict | None = None, boots: int = 1000) -> dict[str, DataFrame]:
+class _Run:
+    """What the steps of one feature-selection run share."""
+
+    def __init__(self, options: Options, settings: Settings, params: dict, boots: int, ci_repeats: int):
+        self.options, self.settings, self.params, self.boots, self.ci_repeats = options, settings, params, boots, ci_repeats
+        self.seed, self.model, self.selection = settings.random_state, options.model, settings.feature_selection
+        self.k, self.repeats = self.selection.cross_validation_splits, self.selection.cross_validation_repeats
+        self.tables: dict[str, DataFrame] = {}
+
+    def augmented(self, rows: DataFrame, step: str) -> DataFrame:
+        """The rows to learn from at a step, and the tables that say what was added."""
+        if self.options.augmentation == "none":
+            return rows
+        smote = self.settings.augmentation.smote
+        out = resample.augment(rows, self.options.augmentation, smote.new_cancer_ratio, smote.new_total_samples, self.seed).persist()
+        self.tables[f"augmented_{step}"] = resample.name_new(out, rows)
+        self.tables[f"classes_{step}"] = resample.class_report(rows, out)
+        return out
+
+    def searched(self, rows: DataFrame, optimise: bool, name: str) -> dict:
+        """The learner's parameters: those given, and where a search is asked for those of its best trial."""
+        if not optimise:
+            return self.params
+        search = self.settings.optimization.optuna
+        scorers = (search.scorer,) if isinstance(search.scorer, str) else search.scorer
+        trials = ranking.search(rows, self.model, search.trials, scorers, self.k, self.repeats, self.seed).persist()
+        self.tables[f"trials_{name}"] = trials
+        return self.params | json.loads(trials.filter("best").first()["params"])
+
+    def ranked(self, rows: DataFrame, params: dict, width: int) -> DataFrame:
+        """A row a panel: rank, the feature that it adds and its importance, and the scores over the folds."""
+        s, seed = self.selection, self.seed
+        if self.options.rec_feat_add and s.addition.method == "feature_importance":
+            importance = ranking.importance_by(rows, s.addition.importance_selection, self.model, self.k, self.repeats, seed, **params).persist()
+            scored = ranking.addition_by_importance(rows, importance, s.number_of_features, self.model, self.k, self.repeats, seed, **params)
+            return scored.join(F.broadcast(importance), "fi")  # a row a feature
+        if self.options.rec_feat_add:
+            scored = ranking.addition_by_performance(rows, s.number_of_features, self.model, self.k, self.repeats, seed, **params)
+            return scored.withColumn("stab_mcc", F.try_divide("mean_mcc", "std_mcc"))
+        scored, kept = ranking.elimination(rows, min(40, width), self.model, s.multisurf_cross_validation_splits, seed=seed, **params)
+        counts = kept.groupBy("fi").agg(F.sum("count").alias("times"), F.avg("importance").alias("importance"))
+        order = ranking.ranks(counts.withColumn("importance", F.col("times") + F.col("importance"))).select("rank", "fi", "importance")
+        return ranking.rank_summary(scored).join(F.broadcast(order), "rank")
+
+    def evaluated(self, name: str, panel: list[int], train: DataFrame, held: DataFrame, share: float) -> None:
+        """A panel fitted on part of the training rows and tested on the others, then fitted on all and tested on the holdout, at the
+        thresholds found on the former; its tables."""
+        model, seed = self.model, self.seed
+        part = folds.stratified_split(train, share, seed, "label")
+        at = None
+        for split, (fit, test) in {"semi_holdout": (part.filter("not test"), part.filter("test")), "holdout": (train, held)}.items():
+            fit, test = (ranking.with_panel(x.select(*KEYS, "x"), panel) for x in (fit, test))
+            learn = self.augmented(fit, f"{name}_{split}")
+            params = self.searched(learn, self.settings.optimization.optuna.before_validation, f"{name}_{split}")
+            scored = ranking.holdout_scores(learn, test, model, None, seed, **params).persist()
+            points = metrics.roc_points(scored)
+            at = metrics.thresholds(points).persist() if at is None else at
+            scores = metrics.metrics_at(scored, at).join(F.broadcast(at.select("group", "name", "threshold")), ["group", "name"])  # seven rows
+            wrong = metrics.predict_labels(scored, at.filter("name = 'youdens_j'")).join(F.broadcast(test.select("id", "patient_id", "label")), "id")  # a short matrix
+            wrong = wrong.filter("predicted <> y").select(F.lit("misclassified").alias("row"), F.col("patient_id").cast("string").alias("patient_id"), "label")
+            tables = {
+                "metrics": scores, "roc": metrics.roc_grid(points), "ci": ranking.bootstrap_report(scored, self.boots, seed),
+                "report": scores.withColumn("row", F.lit("metrics")).unionByName(wrong, allowMissingColumns=True),
+                "cv_ci": metrics.fold_report(ranking.cv_scores(fit.unionByName(test).select("id", "target", "x"), model, 4, self.ci_repeats, seed, **params)),
+            }
+            shap = ranking.shap_report(test, learn, model, seed, **params).persist()
+            tables |= {"shap_full": shap, **{f"shap_class_{c}": shap.filter(F.col("target") == c) for c in (0, 1)}}
+            tables["shap_mean"] = shap.groupBy("fi").agg(F.avg("shap").alias("mean"), F.avg(F.abs("shap")).alias("mean_abs"))
+            self.tables |= {f"{name}_{split}_{what}": df for what, df in tables.items()}
+
+
+def run(spark: SparkSession, options: Options, settings: Settings, model_id: str = "run", params: dict | None = None, boots: int = 1000, ci_repeats: int = 25) -> dict[str, DataFrame]:
     """A feature-selection run, its tables written to the target and returned by name."""
-    s, seed, params = settings.feature_selection, settings.random_state, dict(params or {})
+    s, seed, search = settings.feature_selection, settings.random_state, settings.optimization.optuna
     data = load(spark, options, settings)
-    f = frames(data, seed)
+    f = frames(data)
     train, holdout = f.train, f.holdout
     if options.best_pipeline:
         method, _, strategy = options.best_pipeline.partition(":")
-        keys = ("id", "patient_id", "target", "label")
-        train, holdout = (impute.impute(x.select(*keys, "fi", "value"), method, strategy or options.imputation_strategy, keep=keys) for x in (train, holdout))
+        train, holdout = (impute.impute(x.select(*KEYS, "fi", "value"), method, strategy or options.imputation_strategy, keep=KEYS) for x in (train, holdout))
     if options.use_batch_corrected:
         plates = data.cohort.select("patient_id", "plate")
         train, holdout = (batch.combat(x.join(plates, "patient_id"), "plate").drop("plate") for x in (train, holdout))
+    step = _Run(options, settings, dict(params or {}), boots, ci_repeats)
+    tables = step.tables
+    tables["ttest"] = stats.t_test(train.select("target", "fi", "value")).withColumn("significant", F.col("p_value") < settings.stats.pvalue_thresh)
     keep = chosen_features(train.select("id", "target", "fi", "value"), options, s, seed)
     if not keep:
         raise ValueError("no feature passes the filter")
-    arrays, held = narrowed(train, keep), narrowed(holdout, keep)
-    if options.augmentation != "none":
-        smote = settings.augmentation.smote
-        arrays = resample.augment(arrays, options.augmentation, smote.new_cancer_ratio, smote.new_total_samples, seed)
-    tables: dict[str, DataFrame] = {}
-    search = settings.optimization.optuna
-    scorers = (search.scorer,) if isinstance(search.scorer, str) else search.scorer
-    trials = ranking.search(arrays, options.model, search.trials if search.before_feature_selection else 1, scorers, seed=seed)
-    tables["trials"] = trials
-    if search.before_feature_selection:
-        import json
-
-        params |= json.loads(trials.filter("best").first()["params"])
-    k, repeats = s.cross_validation_splits, s.cross_validation_repeats
-    if options.rec_feat_add and s.addition.method == "feature_importance":
-        kind = "gain" if s.addition.importance_selection not in ("shap", "eject_shap") else s.addition.importance_selection
-        importance = ranking.feature_importance(arrays, kind, options.model, k, repeats, seed, **params)
-        result = ranking.addition_by_importance(arrays, importance, s.number_of_features, options.model, k, repeats, seed, **params)
-    elif options.rec_feat_add:
-        result = ranking.addition_by_performance(arrays, s.number_of_features, options.model, k, repeats, seed, **params).withColumn("stab_mcc", F.try_divide("mean_mcc", "std_mcc"))
-    else:
-        scored, _ = ranking.elimination(arrays, min(40, len(keep)), options.model, seed=seed, **params)
-        order = ranking.ranks(ranking.feature_importance(arrays, "gain", options.model, k, 1, seed, **params)).select("rank", "fi")
-        result = ranking.rank_summary(scored).join(order, "rank")
-    result = result.persist()
-    names = spark.createDataFrame([(i, f.features[j]) for i, j in enumerate(keep)], "fi long, feature string")
-    tables["result"] = result.join(F.broadcast(names), "fi").orderBy("rank")
+
+    def arrays(places: list[int]) -> tuple[DataFrame, DataFrame]:
+        missing = options.model == "xgboost" and options.augmentation == "none"  # which takes missing values as they are
+        return tuple(narrowed(x.select(*KEYS, "fi", "value"), places, missing).persist() for x in (train, holdout))
+
+    rows, held = arrays(keep)
+    learn = step.augmented(rows, "cv")
+    best = step.searched(learn, search.before_feature_selection, "before_feature_selection")
+    result = step.ranked(learn, best, len(keep)).persist()
+    if options.rec_feat_add and search.after_rfa:
+        # The features that were ranked go through the filter again, a search follows on those, and they are ranked anew.
+        ranked = sorted(keep[r[0]] for r in result.select("fi").collect())
+        again = chosen_features(train.filter(F.col("fi").isin(ranked)).select("id", "target", "fi", "value"), options, s, seed)
+        keep = again or ranked
+        tables["result_before_search"] = result
+        rows, held = arrays(keep)
+        learn = step.augmented(rows, "cv")
+        best = step.searched(learn, True, "after_rfa")
+        result = step.ranked(learn, best, len(keep)).persist()
+    step.params = best
+    names = F.broadcast(spark.createDataFrame([(i, f.features[j]) for i, j in enumerate(keep)], "fi long, feature string"))
+    tables["result"] = result.join(names, "fi").orderBy("rank")
     if 1 < len(keep) <= 1000:
         complete = train.filter(F.col("fi").isin(keep)).select("id", "target", "fi", "value")
         tables["spearman"], tables["mutual_information"] = stats.spearman(complete), information.information_matrix(complete)
-    part = folds.stratified_split(arrays, 0.2, seed)
-    for name, panel in panels(result, k * repeats, settings.stats.pvalue_thresh).items():
-        panel = sorted(panel)
-        for split, (fit, test) in {"semi_holdout": (part.filter("not test"), part.filter("test")), "holdout": (arrays, held)}.items():
-            scored = ranking.holdout_scores(fit, test, options.model, panel, seed, **params).persist()
-            points = metrics.roc_points(scored)
-            tables[f"{name}_{split}_metrics"] = metrics.metrics_at(scored, metrics.thresholds(points))
-            tables[f"{name}_{split}_roc"] = metrics.roc_grid(points)
-            tables[f"{name}_{split}_ci"] = ranking.bootstrap_report(scored, boots, seed)
+    n_train, n_held = rows.count(), held.count()
+    observed = s.cross_validation_splits * s.cross_validation_repeats if options.rec_feat_add else s.multisurf_cross_validation_splits
+    for name, panel in panels(result, observed, settings.stats.pvalue_thresh).items():
+        step.evaluated(name, sorted(panel), rows, held, min(0.5, n_held / max(1, n_train)))
     save(spark, options, settings, model_id, tables, fmt="parquet")
     result.unpersist()
     return tables
@@ -128,34 +196,41 @@ def run(spark: SparkSession, options: Options, settings: Settings, model_id: str
 
 def parameter_combinations(strategy: str) -> list[dict]:
     """Scalers times imputers by strategy, each once."""
-    mar = [{"method": "knn", "k": k, "weights": w} for k in (1, 3, 5, 7, 9) for w in ("uniform", "distance")] + [{"method": m} for m in ("mice", "mean", "median", "miss_forest")]
-    mnar = [{"method": "qrilc", "tune_sigma": t} for t in (1.0, 0.5)] + [{"method": "minprob", "quantile_percent": q, "tune_sigma": t} for q in (0.01, 0.1) for t in (1.0, 0.5)]
-    scalers = ["none"] if strategy != "mixed" else ["none", "standard", "min_max", "median", "quantile"]
+    # What is tried.
+    mar = [{"method": "knn", "k": k, "weights": w} for k in (4, 5, 6, 7, 8) for w in ("uniform", "distance")]
+    mar += [{"method": "mice", "estimator": e} for e in impute.ESTIMATORS] + [{"method": "mean"}, {"method": "miss_forest"}]
+    mnar = [{"method": "qrilc", "tune_sigma": t} for t in (0.5, 1.0)] + [{"method": "minprob", "quantile_percent": q, "tune_sigma": t} for q in (0.1, 0.01) for t in (0.5, 1.0)]
+    scalers = ("none", "min_max", "median", "log2", "quantile") if strategy == "mixed" else ("none",)
     first, second = ([None] if strategy == "mar" else mnar), ([None] if strategy == "mnar" else mar)
-    seen, out = set(), []
-    for s, a, b in itertools.product(scalers, first, second):
-        if (key := repr((s, a, b))) not in seen:
-            seen.add(key)
-            out.append({"scaler": s, "mnar": a, "mar": b})
-    return out
+    return [{"scaler": s, "mnar": a, "mar": b} for s, a, b in itertools.product(scalers, first, second)]
 
 
 def _scale(long: DataFrame, train: DataFrame, scaler: str) -> DataFrame:
     fitted = {"standard": normalize.standardise, "min_max": normalize.min_max_clip, "median": normalize.centre_on_median}
-    return fitted[scaler](long, train) if scaler in fitted else normalize.normalise(long, "quantile") if scaler == "quantile" else long
+    if scaler == "none":
+        return long
+    if scaler not in fitted and scaler not in normalize.METHODS:
+        raise ValueError(f"no such scaler: {scaler}")
+    return fitted[scaler](long, train) if scaler in fitted else normalize.normalise(long, scaler)
 
 
 def prepare(spark: SparkSession, long: DataFrame, strategy: str, model: str = "xgboost", combinations: list[dict] | None = None, seed: int = 0, **params) -> DataFrame:
-    """(pipeline, roc_auc, pr_auc, ppv, npv, sens_at_95, ..): every preprocessing on a 10% split; the best five by those, in this order."""
+    """(pipeline, roc_auc, pr_auc, ppv, npv, sens_at_95, ..): every preprocessing on a 10% split; the best five by those, in this order.
+
+    Rows are scaled by the training part, then imputed, as the pipelines say. An infinite value that scaling makes counts as
+    missing."""
     part = folds.stratified_split(long.select("id", "target").distinct(), 0.1, seed).select("id", "test")
+    places = [r[0] for r in long.select("fi").distinct().collect()]  # a row a feature
     out = None
     for c in combinations if combinations is not None else parameter_combinations(strategy):
-        done = long.select("id", "target", "fi", "value")
+        split = long.select("id", "target", "fi", "value").join(F.broadcast(part), "id")  # a row a patient
+        scaled = _scale(split, split.filter("not test"), c["scaler"])
+        done = scaled.select("id", "target", "fi", F.when(F.abs("value") < float("inf"), F.col("value")).alias("value"))
         for step, kind in (("mnar", strategy), ("mar", "mar")):
             if c[step]:
                 how = dict(c[step])
                 done = impute.impute(done, how.pop("method"), kind, **how)
-        rows = narrowed(_scale(done.join(part, "id"), done.join(part, "id").filter("not test"), c["scaler"]), [r[0] for r in long.select("fi").distinct().collect()]).join(part, "id")
+        rows = narrowed(done, places).join(F.broadcast(part), "id")
         scored = ranking.holdout_scores(rows.filter("not test"), rows.filter("test"), model, None, seed, **params)
         points = metrics.roc_points(scored)
         one = metrics.metrics_at(scored, metrics.youden(points).withColumn("name", F.lit("youdens_j"))).join(metrics.grid_summary(metrics.roc_grid(points)), "group").withColumn("pipeline", F.lit(pipeline_name(c)))
@@ -168,6 +243,17 @@ def pipeline_name(c: dict) -> str:
     return f"{c['scaler']}_{part(c['mnar'])}_{part(c['mar'])}"
 
 
+def _typed(default: object, value: object) -> object:
+    """A cell's text as the kind of value that the option or setting has."""
+    if not isinstance(value, str) or isinstance(default, str) or default is None:
+        return value
+    if isinstance(default, bool):
+        if value.strip().lower() not in ("true", "false", "1", "0"):
+            raise ValueError(f"{value!r} is neither true nor false")
+        return value.strip().lower() in ("true", "1")
+    return type(default)(value) if isinstance(default, int | float) else value
+
+
 def run_matrix(spark: SparkSession, rows: DataFrame, settings: Settings, go=run) -> list[str]:
     """Every row that is not blank is a run: columns cli_<option> and config_<setting>. Rows that name no input are left out. The runs' names."""
     done = []
@@ -176,8 +262,11 @@ def run_matrix(spark: SparkSession, rows: DataFrame, settings: Settings, go=run)
         if not (cli.get("input_path") or cli.get("s3_bucket") and cli.get("s3_input_path")):
             continue
         own = {k.removeprefix("config_"): v for k, v in row.items() if k.startswith("config_") and v is not None}
-        known = {k: v for k, v in own.items() if hasattr(settings, k)}
-        chosen = replace(settings, **known, feature_selection=replace(settings.feature_selection, **{k: v for k, v in own.items() if hasattr(settings.feature_selection, k)}))
-        go(spark, Options(**cli), chosen, f"run{i}")
+        take = lambda config: {k: _typed(getattr(config, k), v) for k, v in own.items() if hasattr(config, k) and not is_dataclass(getattr(config, k))}
+        if odd := sorted(k for k in own if not hasattr(settings, k) and not hasattr(settings.feature_selection, k)):
+            raise ValueError(f"unknown setting {odd[0]}")
+        chosen = replace(settings, **take(settings), feature_selection=replace(settings.feature_selection, **take(settings.feature_selection)))
+        defaults = {f.name: f.default for f in fields(Options)}
+        go(spark, Options(**{k: _typed(defaults.get(k), v) for k, v in cli.items()}), chosen, f"run{i}")
         done.append(f"run{i}")
     return done

@@ -119,7 +119,7 @@ def impute_median(spark: SparkSession, sf: str) -> DataFrame:
 d AS (SELECT fi, value AS mode FROM (SELECT *, row_number() OVER (PARTITION BY fi ORDER BY n DESC, value) AS k FROM c) WHERE k = 1)
 SELECT id, fi, coalesce(value, mode) AS value FROM b JOIN d USING (fi)""")
 def impute_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.fill_mode(r6(long(spark, sf, True), "value").withColumn("value", F.round("value", 1) + F.lit(0.0))).select("id", "fi", "value")
+    return impute.fill_mode(long(spark, sf, True).withColumn("value", F.round("value", 1) + F.lit(0.0))).select("id", "fi", "value")
 
 
 KNN_SQL = """d AS (SELECT a.id, b.id AS nid, round(sqrt(sum((a.value - b.value) * (a.value - b.value)) * 64.0 / count(*)), 12) AS d FROM {t} a JOIN {t} b ON a.fi = b.fi AND a.id <> b.id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL)"""

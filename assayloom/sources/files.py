@@ -60,19 +60,35 @@ def read_or_fallback(spark: SparkSession, path: str, model: str) -> DataFrame |
     return None
 
 
-def list_files(spark: SparkSession, pattern: str, containing: tuple[str, ...] = ()) -> list[str]:
-    """Files that a glob matches and whose names contain all of ``containing``; none is an error."""
+def list_files(spark: SparkSession, pattern: str, containing: tuple[str, ...] = (), recursive: bool = False) -> list[str]:
+    """Files that a glob matches, or that lie anywhere under what it matches if ``recursive``, and whose names contain all of
+    ``containing``; none is an error."""
     fs, p = _fs(spark, pattern)
-    found = sorted(str(s.getPath()) for s in fs.globStatus(p) or () if all(c in s.getPath().getName() for c in containing))
+    paths = [s.getPath() for s in fs.globStatus(p) or ()]
+    if recursive:
+        inside = []
+        for top in paths:
+            files = fs.listFiles(top, True)
+            while files.hasNext():
+                inside.append(files.next().getPath())
+        paths = inside
+    found = sorted(str(q) for q in paths if all(c in q.getName() for c in containing))
     if not found:
         raise FileNotFoundError(pattern)
     return found
 
 
-def read_folder(spark: SparkSession, pattern: str, containing: tuple[str, ...] = ()) -> DataFrame:
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """A table of runs, a row a run, with all columns as text; for spreadsheets save them as CSV."""
+    if ".txt" in path or ".csv" in path:
+        return drop_index(spark.read.option("header", True).option("sep", "\t" if ".txt" in path else ",").csv(path))
+    return read_table(spark, path)
+
+
+def read_folder(spark: SparkSession, pattern: str, containing: tuple[str, ...] = (), recursive: bool = False) -> DataFrame:
     """All matching files in one frame with the file each row is from as source; columns may differ."""
     out = None
-    for path in list_files(spark, pattern, containing):
+    for path in list_files(spark, pattern, containing, recursive):
         one = read_table(spark, path).withColumn("source", F.lit(path))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out

@@ -196,4 +196,6 @@ def test_masked_distances():
 
 def test_arrays_come_back(spark, long):
     back = long_from_array(array_from_long(long, ["id"]), "x", ["id"])
-    assert back.join(long, ["id", "fi"]).filter(~back.value.eqNullSafe(long.value)).count() == 0
+    both = back.alias("a").join(long.alias("b"), ["id", "fi"])
+    assert both.count() == long.count() == back.count()
+    assert both.filter(~F.col("a.value").eqNullSafe(F.col("b.value"))).count() == 0
