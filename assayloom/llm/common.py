@@ -84,6 +84,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             start = stop
 
 
+def dense(column: pa.ChunkedArray | pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    """A column of lists without nulls as a matrix, shorter lists followed by zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), width), kind)
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(31))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import cut, mix, spread_join
+from assayloom.llm.common import cut, dense, mix, spread_join
 from assayloom.llm.components import connected_components
 
 #: Nodes of a cell on average, at most in one task, and those from which on a cell is split by centroids of its own.
@@ -34,13 +34,6 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & fine & F.exists("e", lambda x: x != 0))
 
 
-def _rows(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
-    for i, v in enumerate(column.to_pylist()):
-        out[i, : len(v)] = v
-    return out
-
-
 def _unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.maximum(np.abs(rows).max(axis=1, keepdims=True), 1e-300)  # first by the largest, so that no square overflows
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -227,8 +220,8 @@ def _links(rows: pa.Table, width: int, least: float, overlap: int) -> pa.Table:
     cell, asked = rows.filter(rows["indexed"]), rows.filter(rows["asked"])
     if len(cell) and len(asked):
         ids, copies, homes = cell["rep"].to_numpy(), cell["copies"].to_numpy(), cell["cells"].to_pylist()
-        graph = _Cell(_unit(_rows(cell["e"], width)), overlap)
-        q_ids, q_unit, q_homes = asked["rep"].to_numpy(), _unit(_rows(asked["e"], width)), asked["cells"].to_pylist()
+        graph = _Cell(_unit(dense(cell["e"], width)), overlap)
+        q_ids, q_unit, q_homes = asked["rep"].to_numpy(), _unit(dense(asked["e"], width)), asked["cells"].to_pylist()
         for a in range(0, len(q_ids), BATCH):
             part = q_unit[a : a + BATCH]
             qi, vi = graph.search(part.astype(np.float32), least)
@@ -292,7 +285,7 @@ def _placed(reps: DataFrame, n: int, width: int, least: float, overlap: int, mos
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by("rep")
         size = group["size"][0].as_py()
-        c = _apart(_fit(_unit(_rows(group["e"], width)), min(CENTRES, max(1, -(-overlap * size // CELL)))), least, overlap)
+        c = _apart(_fit(_unit(dense(group["e"], width)), min(CENTRES, max(1, -(-overlap * size // CELL)))), least, overlap)
         return pa.table({"cell": group["cell"][:1], "centres": pa.array([c.tobytes()], pa.binary())})
 
     first = reps.filter(_sampled(F.lit(n), most_sample)).select("rep", "e", F.lit(0).cast("long").alias("cell"), F.lit(n).cast("long").alias("size"))
@@ -302,14 +295,14 @@ def _placed(reps: DataFrame, n: int, width: int, least: float, overlap: int, mos
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = _nearest(_unit(_rows(batch.column(0), width)), sent.value, overlap)
+            cells = _nearest(_unit(dense(batch.column(0), width)), sent.value, overlap)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist(), pa.list_(pa.int64()))], ["e", "rep", "copies", "cells"])
 
     placed = cut(reps.select("e", "rep", "copies").mapInArrow(assign, "e array<double>, rep long, copies long, cells array<long>"))
 
     def divide(members: pa.Table, centres: pa.Table) -> pa.Table:
         c = np.frombuffer(centres["centres"][0].as_py(), np.float32).reshape(-1, width) if len(centres) else np.zeros((1, width), np.float32)
-        near = _nearest(_unit(_rows(members["e"], width)), c, overlap).astype(np.uint64)
+        near = _nearest(_unit(dense(members["e"], width)), c, overlap).astype(np.uint64)
         cell = members["cell"].to_numpy().astype(np.uint64)[:, None]
         names = (mix(cell * np.uint64(CENTRES) + near) >> np.uint64(1)).astype(np.int64)
         return pa.table({"rep": members["rep"], "cells": pa.array(names.tolist(), pa.list_(pa.int64()))})
@@ -396,7 +389,7 @@ def audit(vectors: DataFrame, links: DataFrame, least: float = 0.95, queries: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            near = (_unit(_rows(batch.column(0), width)) @ q.T >= least) & (batch.column(1).to_numpy()[:, None] != ids)
+            near = (_unit(dense(batch.column(0), width)) @ q.T >= least) & (batch.column(1).to_numpy()[:, None] != ids)
             total += near.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["rep", "n"])
 

@@ -118,30 +118,54 @@ def test_query_1(spark):
 
 
 def best(rows, every, k=20):
-    kept = {}
-    for r in rows:
-        if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding):
-            kept.setdefault(r.vec_id, np.floor(64 * np.array(r.embedding, float)).astype(int))
-    ids = sorted(kept)
-    m = np.array([kept[i] for i in ids])
-    for q in (i for i in ids if i % every == 0):
-        s = m @ kept[q]
-        order = sorted((-int(v), i) for v, i in zip(s, ids, strict=True) if i != q)[:k]
-        yield from ((q, rank + 1, i, -v) for rank, (v, i) in enumerate(order))
+    """The ranked rows of every query by comparing all rows with all; vectors may have any length and whole numbers of any size."""
+    kept = [(r.vec_id, [int(np.floor(64 * x)) for x in r.embedding]) for r in rows if r.vec_id is not None and r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding)]
+    for i, (q, v) in enumerate(kept):
+        if q % every == 0:
+            scores = ((-sum(a * b for a, b in zip(v, w, strict=False)), d) for j, (d, w) in enumerate(kept) if i != j)
+            yield from ((q, rank + 1, d, -score) for rank, (score, d) in enumerate(sorted(scores)[:k]))
+
+
+@pytest.fixture(scope="module")
+def odd_vectors(spark, vectors):
+    """Also several empty vectors, short ones, repeated ids with vectors of their own, a query of zeros, and large components."""
+    rows = [(40, [], "z"), (3000, [], "z"), (60, [0.5, -0.25], "z"), (60, [-3.0] * 16, "z"), (80, [0.0] * 16, "z"), (100, [300.0] * 16, "z"), (3001, [-20_000.0] + [1.0] * 15, "z"), (3001, [2.0] * 16, "z")]
+    return vectors.unionAll(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string"))
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_top_k(spark, vectors, small, monkeypatch):
-    if small:  # many shards, batches and blocks
-        for name, n in (("SHARD", 64), ("BATCH", 8), ("BLOCK", 8)):
+def test_top_k(odd_vectors, vectors, small, monkeypatch):
+    if small:  # many shards, batches and summaries; some shards of one pivot are dealt out
+        for name, n in (("SHARD", 64), ("BATCH", 8), ("SUMMARIES", 4), ("PIVOTS", 6)):
             monkeypatch.setattr(topk, name, n)
-    rows = vectors.collect()
-    assert sorted(map(tuple, topk.top_k(vectors).collect())) == sorted(best(rows, 20))
-    few = vectors.filter("vec_id < 4 or vec_id > 1999")
-    assert sorted(map(tuple, topk.top_k(few).collect())) == sorted(best(few.collect(), 20))
+    for df in (odd_vectors, vectors.filter("vec_id < 4 or vec_id > 1999"), vectors.filter("vec_id = 2005"), vectors.filter("vec_id % 20 <> 0")):
+        assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(best(df.collect(), 20))
     assert topk.top_k(vectors.filter("false")).count() == 0
 
 
+def test_top_k_of_large_numbers(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (10.0**6 * rng.integers(-9, 9, 6) + rng.integers(0, 64, 6) / 64).tolist()) for i in range(90)]  # beyond what doubles add exactly
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, k=5).collect())) == sorted(best(df.collect(), 20, 5))
+    with pytest.raises(ValueError, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e300])], df.schema)).count()
+
+
+def test_top_k_sends_a_query_only_where_it_may_score(spark, monkeypatch):
+    for name, n in (("SHARD", 50), ("PIVOTS", 20)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(2)
+    centre = 4 * np.eye(8)
+    rows = [(i, (centre[i % 8] + 0.05 * rng.standard_normal(8)).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    whole = topk.cut
+    monkeypatch.setattr(topk, "cut", lambda frame: sent.append(whole(frame)) or sent[-1])
+    assert sorted(map(tuple, topk.top_k(df, every=10).collect())) == sorted(best(df.collect(), 10))
+    assert sent[-1].columns[:2] == ["shard", "part"] and sent[-1].count() < 0.5 * 80 * 16  # of the queries times the shards
+
+
 def test_query_3(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     assert sorted(map(tuple, op3_topk(spark, SF).collect())) == sorted(best(rows, 20))
