@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 PLAIN = 0x250
 LETTER, DIGIT, SPACE, OTHER = range(4)
 #: Distinct words a process remembers; past that it starts over, which costs time only.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def default_path() -> str:

@@ -5,6 +5,7 @@ Words are ``[^\\x20\\x09-\\x0D]+`` on the UTF-8 bytes of a text, which is what `
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 from itertools import chain
@@ -68,8 +69,15 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()))
 
 
+def tidy() -> None:
+    """Memory that is free goes back to the system. Workers live on from task to task, and what one task needed would stay with them."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches whose texts have about ``most`` bytes together (a longer text makes a slice of its own)."""
+    """Slices of the batches whose texts have about ``most`` bytes together (a longer text makes a slice of its own). Tidies up in the end."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -82,6 +90,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start), column.slice(start, stop - start).to_pylist()
             start = stop
+    tidy()
 
 
 def dense(column: pa.ChunkedArray | pa.Array, width: int, kind: type = np.float64) -> np.ndarray:

@@ -141,7 +141,7 @@ def fit(docs: DataFrame, most_rows: int = 20_000, dims: int = 1024, n: int = 3,
 
     sums = {lang: np.zeros(dims) for lang in langs}
     # All tasks filter; only the sample is dealt out anew, so 64 sums a language come to the driver whatever the input.
-    for lang, total in rows.filter(within).select("text", "lang").repartition(64).mapInArrow(run, "lang string, total binary").collect():
+    for lang, total in rows.filter(within).repartition(64, "doc_id").select("text", "lang").mapInArrow(run, "lang string, total binary").collect():
         sums[lang] += np.frombuffer(bytes(total), np.float64)  # whole numbers, so their order does not matter
     seen = [lang for lang in langs if np.linalg.norm(sums[lang])]
     unit = np.array([sums[lang] / np.linalg.norm(sums[lang]) for lang in seen], np.float32).reshape(len(seen), dims)

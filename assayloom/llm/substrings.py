@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayloom.llm.common import chunks, run_hashes, word_hashes
+from assayloom.llm.common import chunks, run_hashes, tidy, word_hashes
 
 #: Perfect difference sets by their period; every difference modulo the period occurs once.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -107,6 +107,7 @@ def _repeats(table: pa.Table) -> pa.Table:
     k1, k2, at = k1[order], k2[order], at[order]
     cuts = np.flatnonzero((np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1
     first = np.concatenate(([0], cuts)) if len(at) else np.zeros(0, np.int64)
+    tidy()
     return pa.table({"k1": k1[first], "k2": k2[first], "places": pa.array([x.tobytes() for x in np.split(at, cuts)] if len(at) else [], pa.binary())})
 
 
