@@ -46,7 +46,8 @@ def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def _blocks(rows: DataFrame, other: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple]], names: dict[str, pa.DataType]) -> DataFrame:
     """What ``kernel`` gives of (ids, matrix) of every block of ``rows`` and every block of ``other``. The blocks of ``other`` are sent to
     each block of ``rows``, so with few rows to ask for, little is sent."""
-    parts, others = max(1, -(-rows.count() // BLOCK)), max(1, -(-other.count() // OTHERS))
+    n, workers = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    parts, others = max(1, -(-n // BLOCK), min(workers, -(-n // STEP))), max(1, -(-other.count() // OTHERS))
     here, there = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64("id"), F.lit(others))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = rows.select("id", "x", here.alias("p"), every(others).alias("o")).toDF("id", "x", "p", "o")

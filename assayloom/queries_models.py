@@ -1,6 +1,8 @@
-"""Queries without a SQL counterpart: fits, searches, explanations and random draws over the fixture matrix.
+"""Queries about fits, searches, explanations and draws over the fixture matrix.
 
-They use fewer folds, trials and trees than a full run; those are arguments of the operators, and all rows and features take part.
+Where SQL can say the result, it is there (tails of distributions by numerical integration); the others are held against direct
+computation in tests/test_models.py. All rows and features take part; some use fewer folds, trials and trees than a full run, which
+are arguments of the operators.
 """
 
 from __future__ import annotations
@@ -10,26 +12,53 @@ from pyspark.sql import functions as F
 
 from assayloom.matrix import array_from_long, long_from_array
 from assayloom.operators import batch, impute, information, normalize, ranking, resample, selection, stats
-from assayloom.queries_core import arrays, long, masked_arrays, patients, scores
+from assayloom.operators.forest import learner
+from assayloom.operators.grid import matrix_of
+from assayloom.queries_core import LONG_SQL, T_SQL, arrays, long, masked_arrays, patients, r6, scores
 from assayloom.registry import query
 
 SMALL = {"trees": 20}
 
+#: Simpson's rule for the tail beyond ``t`` of a density, on u = t + x / (1 - x) with x from 0 to 1; ``{rows}`` has one row a tail.
+NODES = "nodes AS (SELECT k, (k + 0.0) / 4000 AS x, CASE WHEN k = 0 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 4000) AS r(k))"
 
-@query()
+
+def tails(rows: str, name: str = "tails") -> str:
+    """Two-sided p-values of t statistics: ``rows`` has key, t and df, a df of null meaning the normal distribution."""
+    density = "CASE WHEN df IS NULL THEN exp(-u * u / 2) / sqrt(2 * pi()) ELSE exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2 - (df + 1) / 2 * ln(1 + u * u / df)) END"
+    return f"""{NODES}, {name} AS (SELECT key, least(1.0, 2 * sum(w * {density} / ((1 - x) * (1 - x))) / 12000) AS p FROM (SELECT key, df, x, w, abs(t) + x / (1 - x) AS u FROM {rows}, nodes) GROUP BY key)"""
+
+
+BH_SQL = """least(1, min(p * m / r) OVER (PARTITION BY {by} ORDER BY r DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"""WITH {LONG_SQL}, {T_SQL}, rows AS (SELECT fi AS key, t, df FROM t), {tails("rows")}, k AS (SELECT fi, t, df, p, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM t JOIN tails ON key = fi)
+SELECT fi, round(t, 6) + 0.0 AS t, df, round(p, 6) AS p_value, round({BH_SQL.format(by="1")}, 6) AS p_adjusted FROM k""")
 def ttest_p_values(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.benjamini_hochberg(stats.t_test(long(spark, sf)), "p_value")
+    return r6(stats.benjamini_hochberg(stats.t_test(long(spark, sf)), "p_value"), "t", "p_value", "p_adjusted")
 
 
-@query()
+POSTHOC = [("class_0", "class_1"), ("class_2", "class_3"), ("class_4", "class_5"), ("class_6", "class_9")]
+
+
+@query(f"""WITH v AS (SELECT label, CAST(embedding[1] AS DOUBLE) + 0.05 * label * (label % 2) AS v FROM embeddings), pairs AS (SELECT * FROM (VALUES (0, 0, 1), (1, 2, 3), (2, 4, 5), (3, 6, 9)) AS x(key, a, b)),
+g AS (SELECT key, count(*) FILTER (label = a) AS n1, count(*) FILTER (label = b) AS n0, avg(v) FILTER (label = a) AS m1, avg(v) FILTER (label = b) AS m0, var_samp(v) FILTER (label = a) AS v1, var_samp(v) FILTER (label = b) AS v0 FROM v JOIN pairs ON label IN (a, b) GROUP BY key),
+rows AS (SELECT key, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS t, CAST(n1 + n0 - 2 AS DOUBLE) AS df FROM g), {tails("rows")},
+k AS (SELECT key, p, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM tails), q AS (SELECT key, {BH_SQL.format(by="1")} AS q FROM k)
+SELECT DISTINCT 'class_' || unnest([a, b]) AS label, CAST(1 AS INT) AS flag FROM q JOIN pairs USING (key) WHERE q <= 0.05""")
 def ttest_posthoc(spark: SparkSession, sf: str) -> DataFrame:
-    rows = patients(spark, sf).select("label", F.col("x")[0].alias("v"))
-    return stats.t_test_posthoc(rows, "label", "v", [("class_0", "class_1"), ("class_2", "class_3"), ("class_4", "class_5"), ("class_6", "class_9")], 0.5)
+    """Odd classes are shifted by a twentieth a class, so that some pairs differ and others do not."""
+    number = F.substring("label", 7, 1).cast("int")
+    rows = patients(spark, sf).select("label", (F.col("x")[0] + 0.05 * number * (number % 2)).alias("v"))
+    return stats.t_test_posthoc(rows, "label", "v", POSTHOC, 0.05)
 
 
-@query()
+@query(f"""WITH {LONG_SQL}, {T_SQL}, rows AS (SELECT fi AS key, t, df FROM t), {tails("rows")}, s AS (SELECT fi, t * t AS f, p, -log10(p) AS s FROM t JOIN tails ON key = fi)
+SELECT fi, round(f, 5) AS f, round(p, 6) AS p, round(2 * (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) - 1, 5) + 0.0 AS score FROM s""")
 def univariate_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.univariate_scores(long(spark, sf))
+    """F over two classes is the square of t, so its tail is t's."""
+    found = stats.univariate_scores(long(spark, sf))
+    return found.select("fi", F.round("f", 5).alias("f"), F.round("p", 6).alias("p"), (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
 @query()
@@ -62,17 +91,17 @@ def minprob(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def mice(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.mice(masked_arrays(spark, sf), ["id", "target"], rounds=3)
+    return impute.mice(masked_arrays(spark, sf), ["id", "target"])
 
 
 @query()
 def missforest(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.miss_forest(masked_arrays(spark, sf), ["id", "target"], rounds=1, trees=5, depth=4)
+    return impute.miss_forest(masked_arrays(spark, sf), ["id", "target"])
 
 
 @query()
 def mi_knn(spark: SparkSession, sf: str) -> DataFrame:
-    return information.information_cv(long(spark, sf, True), n_splits=2, n_repeats=2)
+    return information.information_cv(long(spark, sf, True))
 
 
 @query()
@@ -88,17 +117,27 @@ def ward_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def mi_selected(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.select_features(long(spark, sf), 10, number=10, n_repeats=2)
+    return selection.select_features(long(spark, sf), 10, number=10)
 
 
-@query()
+@query(f"""WITH {LONG_SQL}, r AS (SELECT id, target, unnest(range(0, 2)) AS rep FROM m), s AS (SELECT rep, id, target, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('-', '0', rep, id)), id) <= ceil(0.3 * count(*) OVER (PARTITION BY rep)) AS test FROM r),
+z AS (SELECT rep, long.id, long.target, fi, (value - min(value) OVER w) / greatest(max(value) OVER w - min(value) OVER w, 1e-12) AS z FROM long JOIN s ON s.id = long.id WHERE NOT test WINDOW w AS (PARTITION BY rep, fi)),
+d AS (SELECT a.rep, a.id, b.id AS nid, a.target = b.target AS hit, sum(abs(a.z - b.z)) AS d FROM z a JOIN z b ON a.rep = b.rep AND a.fi = b.fi AND a.id <> b.id GROUP BY ALL),
+near AS (SELECT rep, id, nid, CASE WHEN hit THEN -1.0 ELSE 1.0 END / count(*) OVER (PARTITION BY rep, id, hit) AS w FROM (SELECT *, avg(d) OVER (PARTITION BY rep, id) - stddev_pop(d) OVER (PARTITION BY rep, id) / 2 AS radius FROM d) WHERE d < radius),
+i AS (SELECT a.rep, a.fi, sum(w * abs(a.z - b.z)) / (SELECT count(DISTINCT id) FROM z) AS importance FROM near JOIN z a ON a.rep = near.rep AND a.id = near.id JOIN z b ON b.rep = near.rep AND b.id = near.nid AND b.fi = a.fi GROUP BY ALL)
+SELECT rep AS repeat, fi, round(importance * c, 6) + 0.0 AS importance FROM i JOIN (SELECT rep, (SELECT count(DISTINCT id) FROM z) / count(DISTINCT id) AS c FROM z GROUP BY rep) USING (rep)""")
 def multisurf(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.importance_counts(selection.relief_cv(long(spark, sf), splits=4))
+    return r6(selection.relief_cv(long(spark, sf), splits=2), "importance")
+
+
+@query()
+def multisurf_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.importance_counts(selection.relief_cv(long(spark, sf)))
 
 
 @query()
 def boruta_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.boruta(long(spark, sf), trials=12, trees=10)
+    return selection.boruta(long(spark, sf))
 
 
 @query()
@@ -133,7 +172,7 @@ def eject_shap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.permutation_importance(arrays(spark, sf), repeats=5, **SMALL)
+    return ranking.permutation_importance(arrays(spark, sf), **SMALL)
 
 
 @query()
@@ -151,23 +190,23 @@ def cv_scores(spark: SparkSession, sf: str) -> DataFrame:
 def cv_ci(spark: SparkSession, sf: str) -> DataFrame:
     from assayloom.operators.metrics import fold_report
 
-    return fold_report(ranking.cv_scores(arrays(spark, sf), k=4, repeats=3, **SMALL))
+    return fold_report(ranking.cv_scores(arrays(spark, sf), k=4, repeats=25, **SMALL))
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.bootstrap_report(scores(spark, sf), 200)
+    return ranking.bootstrap_report(scores(spark, sf))
 
 
 @query()
 def rfa_curve(spark: SparkSession, sf: str) -> DataFrame:
     rows = arrays(spark, sf)
-    return ranking.addition_by_importance(rows, ranking.feature_importance(rows, "gain", **SMALL), number=8, k=2, repeats=2, **SMALL)
+    return ranking.addition_by_importance(rows, ranking.feature_importance(rows, "gain", **SMALL), k=2, repeats=25, **SMALL)
 
 
 @query()
 def rfa_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.addition_by_performance(arrays(spark, sf), number=2, trees=8)
+    return ranking.addition_by_performance(arrays(spark, sf), trees=8)
 
 
 @query()
@@ -183,7 +222,7 @@ def rfe_selected(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def search_trials(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.search(arrays(spark, sf), "random_forest", trials=3, scorers=("auc", "mcc"))
+    return ranking.search(arrays(spark, sf), "random_forest", trials=60, scorers=("auc", "mcc"))
 
 
 @query()
@@ -194,12 +233,17 @@ def holdout_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def lime_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.lime(patients(spark, sf).filter("holdout"), lambda x: x[:, 0] - 0.5 * x[:, 1], samples=200)
+    """Of a forest fitted on the training rows, around each holdout row."""
+    rows = patients(spark, sf)
+    m = matrix_of(rows.filter("not holdout"))
+    return ranking.lime(rows.filter("holdout"), learner("random_forest")(m.x, m.y, **SMALL).predict, samples=200)
 
 
-@query()
+@query(f"""WITH {LONG_SQL}, d AS (SELECT a.id, b.id AS nid, sqrt(sum((a.value - b.value) * (a.value - b.value)) * 64.0 / count(*)) AS d FROM gaps a JOIN gaps b ON a.fi = b.fi AND a.id <> b.id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL),
+h AS (SELECT g.id, g.fi, n.value, d, row_number() OVER (PARTITION BY g.id, g.fi ORDER BY round(d.d, 12), d.nid) AS k FROM gaps g JOIN d ON d.id = g.id JOIN gaps n ON n.id = d.nid AND n.fi = g.fi AND n.value IS NOT NULL WHERE g.value IS NULL),
+f AS (SELECT id, fi, sum(value / d) / sum(1 / d) AS v FROM h WHERE k <= 3 GROUP BY ALL) SELECT id, fi, round(coalesce(g.value, f.v), 5) + 0.0 AS value FROM gaps g LEFT JOIN f USING (id, fi)""")
 def knn_through_facade(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.impute(long(spark, sf, True), "knn", k=3, weights="distance").select("id", "fi", "value")
+    return impute.impute(long(spark, sf, True), "knn", k=3, weights="distance").select("id", "fi", (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
 @query()
@@ -207,6 +251,26 @@ def mnar_mixed_imputation(spark: SparkSession, sf: str) -> DataFrame:
     return impute.impute(long(spark, sf, True), "qrilc", strategy="mixed")
 
 
-@query()
+@query(f"WITH {LONG_SQL} SELECT id, fi, round(value, 6) + 0.0 AS value FROM long")
 def round_trip_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return long_from_array(array_from_long(long(spark, sf), ["id"]), "x", ["id"])
+    return r6(long_from_array(array_from_long(long(spark, sf), ["id"]), "x", ["id"]), "value")
+
+
+@query(f"""WITH {LONG_SQL}, h AS (SELECT n, -0.57721566490153286 + coalesce(sum(1.0 / n) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS psi FROM range(1, 5001) AS r(n)),
+p AS (SELECT a.fi, a.id, a.target, b.target AS other, abs(a.value - b.value) AS d, row_number() OVER (PARTITION BY a.fi, a.id, a.target = b.target ORDER BY abs(a.value - b.value)) AS k FROM long a JOIN long b ON a.fi = b.fi AND a.id <> b.id),
+r AS (SELECT fi, id, d AS radius FROM p WHERE target = other AND k = 3), nearer AS (SELECT fi, id, 1 + count(*) FILTER (d < radius) AS c FROM p JOIN r USING (fi, id) GROUP BY ALL),
+c AS (SELECT target, count(*) AS n FROM embeddings, (SELECT unnest([0, 1]) AS target) WHERE CAST(label < 5 AS INT) = target GROUP BY 1), own AS (SELECT vec_id AS id, n FROM embeddings JOIN c ON target = CAST(label < 5 AS INT))
+SELECT fi, round(greatest(0, (SELECT psi FROM h WHERE h.n = (SELECT count(*) FROM embeddings)) + (SELECT psi FROM h WHERE h.n = 3) - avg(hn.psi) - avg(hm.psi)), 6) + 0.0 AS mi FROM nearer JOIN own USING (id) JOIN h hn ON hn.n = own.n JOIN h hm ON hm.n = nearer.c GROUP BY fi""")
+def mi_of_complete_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each feature's information about the class over all rows, by nearest neighbours within the class."""
+    return r6(information.information_of(long(spark, sf)), "mi")
+
+
+@query(f"""WITH {LONG_SQL}, c AS (SELECT fi, count(*) FILTER (value IS NULL AND target = 0)::DOUBLE AS g1, count(value) FILTER (target = 0)::DOUBLE AS t1, count(*) FILTER (value IS NULL AND target = 1)::DOUBLE AS g2, count(value) FILTER (target = 1)::DOUBLE AS t2 FROM gaps GROUP BY fi),
+e AS (SELECT *, g1 + t1 + g2 + t2 AS n, abs(g1 - (g1 + t1) * (g1 + g2) / (g1 + t1 + g2 + t2)) AS o FROM c), rows AS (SELECT fi AS key, sqrt((o - least(0.5, o)) * (o - least(0.5, o)) * (n / ((g1 + t1) * (g1 + g2)) + n / ((g1 + t1) * (t1 + t2)) + n / ((g2 + t2) * (g1 + g2)) + n / ((g2 + t2) * (t1 + t2)))) AS t, NULL::DOUBLE AS df FROM e), {tails("rows")}
+SELECT key AS fi, round(p, 6) AS p_least, p < 0.05 AS mnar FROM tails""")
+def mnar_p_values(spark: SparkSession, sf: str) -> DataFrame:
+    """With two classes there is one pair a feature, and its chi-squared is a square of a normal."""
+    from assayloom.operators.missing import detect_mnar
+
+    return r6(detect_mnar(long(spark, sf, True)), "p_least")
