@@ -50,20 +50,32 @@ def cut(df: DataFrame) -> DataFrame:
 HOT_KEYS = 1024
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: str | list[str], copies: str = "copies", how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: str | list[str], copies: str = "copies", how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined by ``keys`` with ``table``, which has each key once and in ``copies`` how many rows carry it (that column goes).
 
     A key with more than one row in HOT_KEYS is met where its rows are: HOT_KEYS such rows of ``table`` at most are sent to all
     tasks, and only rows with other keys are shuffled, so no task gets more of a hot key than its share. Null keys meet none.
+    ``total`` is the sum of ``copies``, or less than a few times it, where the caller knows it.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    total = table.agg(F.sum(copies)).first()[0] or 0
+    total = (table.agg(F.sum(copies)).first()[0] or 0) if total is None else total
     hot, cold = (table.filter(f).drop(copies) for f in (F.col(copies) * HOT_KEYS > total, F.col(copies) * HOT_KEYS <= total))
     marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
     near = marked.filter("__hot").drop("__hot").join(F.broadcast(hot), keys)
     return near.unionByName(marked.filter("__hot is null").drop("__hot").join(cold, keys, how))
 
 
+#: Bytes of a shuffle's partition where a size is known.
+PART_BYTES = 128 << 20
+
+
+def dealt(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``df`` in partitions by ``keys`` of about PART_BYTES, if its ``size`` in bytes asks for more than the session's number; else as it
+    is, and the operation that follows deals it out by those keys."""
+    parts = -(-size // PART_BYTES)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; further columns, whatever their names, are left behind."""
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()))

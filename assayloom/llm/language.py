@@ -186,12 +186,13 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None, least:
     be learned (no row has a lang), only texts without a letter are rejected. An empty table gives no rows.
     """
     fitted = fit(docs) if model is None else model
-    sent, place, schema = docs.sparkSession.sparkContext.broadcast(fitted), docs.columns.index("text"), docs.schema
+    sent, place = docs.sparkSession.sparkContext.broadcast(fitted), docs.columns.index("text")
     named = docs.columns.index("lang") if "lang" in docs.columns else None
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the names are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch, texts in chunks(batches, schema[place].name, 1 << 19):
+        for batch, texts in chunks(batches, f"c{place}", 1 << 19):
             if not model.langs:
                 yield batch.filter(pa.array(_Space.of(model.dims, model.n).grams(texts)[0]))
                 continue
@@ -200,4 +201,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None, least:
                 batch = batch.set_column(named, batch.schema.field(named), pc.coalesce(batch.column(named), pa.array(lang, batch.schema.field(named).type)))
             yield batch.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(lang, score, strict=True)]))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

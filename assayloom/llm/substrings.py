@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayloom.llm.common import chunks, run_hashes, tidy, word_hashes
+from assayloom.llm.common import chunks, dealt, run_hashes, tidy, word_hashes
 
 #: Perfect difference sets by their period; every difference modulo the period occurs once.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -136,7 +136,7 @@ def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
 
 
-def _anchors(keyed: DataFrame, length: int, buckets: int) -> DataFrame:
+def _anchors(keyed: DataFrame, length: int, buckets: int, size: int) -> DataFrame:
     """(k1, k2, places binary): anchors, at cover positions only, that occur more than once anywhere."""
     period, cover = cover_for(length)
     member = np.isin(np.arange(period), cover)
@@ -150,7 +150,7 @@ def _anchors(keyed: DataFrame, length: int, buckets: int) -> DataFrame:
             yield from gather.add(texts, b.runs(at, length - period + 1, ANCHOR_BYTES), b.doc[at], b.at[at], k1, k2)
         yield from gather.flush()
 
-    return keyed.mapInArrow(emit, ITEMS).groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, places binary")
+    return dealt(keyed.mapInArrow(emit, ITEMS), ["bucket"], size).groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, places binary")
 
 
 def _merge(found: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _places(values: list | None) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(v) for v in values), np.int32).astype(np.int64) if values else np.zeros(0, np.int64)
 
 
-def _windows(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
+def _windows(candidates: DataFrame, length: int, buckets: int, size: int) -> DataFrame:
     """(k1, k2, places binary): windows around repeated anchors, extended to full length, that start more than once anywhere."""
     period, _ = cover_for(length)
 
@@ -180,7 +180,7 @@ def _windows(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
             yield from gather.add(texts, b.runs(at, length, WINDOW_BYTES), b.doc[at], b.at[at], k1, k2)
         yield from gather.flush()
 
-    return candidates.mapInArrow(emit, ITEMS).groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, places binary")
+    return dealt(candidates.mapInArrow(emit, ITEMS), ["bucket"], size).groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, places binary")
 
 
 def _keyed(docs: DataFrame, also: str | None = None) -> DataFrame:
@@ -196,10 +196,11 @@ def repeated_windows(docs: DataFrame, length: int = 35, also: str | None = None)
     # About a word in six bytes, and a quarter of the words start an anchor; at most all of them a window.
     buckets, more = max(LEAST_GROUPS, -(-size // (24 * GROUP_ITEMS))), max(LEAST_GROUPS, -(-size // (12 * GROUP_ITEMS)))
     rows = keyed.select("k1", "k2", "text")
-    anchors = _merge(_anchors(rows, length, buckets))
+    anchors = _merge(_anchors(rows, length, buckets, size))  # items take about as many bytes as the texts
+    keyed = dealt(keyed, ["k1", "k2"], size)
     # The same columns as below, so that the texts are shuffled once and that exchange is used again.
     candidates = keyed.join(anchors, ["k1", "k2"])
-    windows = _merge(_windows(candidates, length, more))
+    windows = _merge(_windows(candidates, length, more, size))
     return keyed.join(windows, ["k1", "k2"], "left").select("doc_id", "text", "places", *([also] if also else []))
 
 
@@ -222,9 +223,9 @@ def rewrite(docs: DataFrame, length: int = 35) -> DataFrame:
     A document nothing is cut from keeps its text as it is, white space included; n_chars, where there is such a column,
     follows the new text.
     """
-    own = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # All but the text, which travels once.
-    found = repeated_windows(docs.withColumn("__own", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))), length, "__own")
+    # All but the text, which travels once, under a name of its own.
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("__own")
+    found = repeated_windows(docs.select("doc_id", "text", rest), length, "__own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -235,7 +236,7 @@ def rewrite(docs: DataFrame, length: int = 35) -> DataFrame:
 
     schema = T.StructType([T.StructField("__own", found.schema["__own"].dataType), T.StructField("__text", T.StringType()), T.StructField("__cut", T.BooleanType())])
     new = found.mapInArrow(run, schema)  # all columns, so that the exchange of the texts is the one used before
-    size = F.when(F.col("__cut"), F.char_length("__text")).otherwise(F.col("__own.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in own else None
+    size = F.when(F.col("__cut"), F.char_length("__text")).otherwise(F.col("__own.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return new.select(*(F.col("__text").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"__own.`{c}`").alias(c) for c in docs.columns))
 
 

@@ -98,7 +98,7 @@ def _refined(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: n
     return np.unique(fine, return_inverse=True)[1]  # no empty grade in between
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int = 16_000, most_bytes: int = 128 << 20, rounds: int = 200, rate: float = 0.05, strengths: tuple[float, ...] = (0.1, 0.01)) -> SeverityModel:
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int = 16_000, most_bytes: int = 64 << 20, rounds: int = 200, rate: float = 0.05, strengths: tuple[float, ...] = (0.1, 0.01)) -> SeverityModel:
     """A model of the severity ``grade`` (0, 1, ..; int) that ``labels`` (doc_id, grade) gives documents outside the held-out fold.
 
     Fitted on a bounded sample: about ``most_rows`` labelled rows, half of the room for grade 0 and the rest shared by the

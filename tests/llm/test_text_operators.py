@@ -2,8 +2,12 @@
 
 import collections
 import hashlib
+import itertools
+import random
 import re
+import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assayloom.llm import language, mixing, packing, simhash, substrings, toxicity
+from assayloom.llm import common, language, mixing, packing, simhash, substrings, toxicity
 from assayloom.llm.bpe import Bpe
 from assayloom.llm.components import connected_components
 from assayloom.llm.cutting import solve, whole_patterns
@@ -170,6 +174,31 @@ def test_windows_are_equal_only_if_their_words_are(spark):
     assert substrings.remove_repeats(long.unionAll(long), 1024).agg(F.sum("n_removed")).first()[0] == 4096
 
 
+def test_large_inputs_are_dealt_into_more_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "PART_BYTES", 1 << 14)
+    want = [tuple(r) for r in substrings.remove_repeats(docs).orderBy("doc_id").collect()]
+    assert spark.range(10).select(F.col("id").alias("k")).transform(lambda df: common.dealt(df, ["k"], 1 << 20)).rdd.getNumPartitions() == 64
+    monkeypatch.undo()
+    assert [tuple(r) for r in substrings.remove_repeats(docs).orderBy("doc_id").collect()] == want
+
+
+def test_a_hot_key_is_met_where_its_rows_are(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id") % 5).cast("long").alias("k"), "id").unionAll(spark.createDataFrame([(None, 300), (99, 301)], "k long, id long"))
+    table = rows.filter("k < 99").groupBy("k").agg(F.count("*").alias("copies")).withColumn("v", F.col("k") * 10)
+    got = common.spread_join(rows, table, "k")
+    assert sorted((r.id, r.v) for r in got.collect()) == [(i, 70 if i < 200 else i % 5 * 10) for i in range(300)] and got.columns == ["k", "id", "v"]
+    kept = common.spread_join(rows, table, ["k"], how="left").filter("v is null").collect()
+    assert sorted(r.id for r in kept) == [300, 301]
+
+
+def test_columns_with_dots_and_inner_names_stay(spark):
+    df = spark.createDataFrame([(i, f"{PASSAGE} tail {i} of its own", "s", i, "x") for i in range(4)], "doc_id long, text string, source string, `a.b` int, __own string")
+    for f in (substrings.rewrite, mixing.resample, simhash.keep_one):
+        got = f(df)
+        assert got.columns == df.columns and all(r["a.b"] == r.doc_id and r["__own"] == "x" for r in got.collect()) and got.count() > 0
+
+
 def test_every_cover_meets_every_difference():
     for v, d in substrings.COVERS.items():
         assert {(a - b) % v for a in d for b in d} == set(range(v))
@@ -195,6 +224,20 @@ def test_language(spark, odd, docs, nothing):
     sure = {r.doc_id for r in language.predict(odd, model).filter(F.col("score") >= language.LEAST_SCORE).collect()}
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in odd.collect() if r.doc_id in sure)
     assert {1, 8, 9} <= sure and not sure & {3, 4, 5, 11}
+    # By hand: cosines with prototypes from sums over the training rows, all in whole numbers.
+    space, sums = language._Space.of(1024, 3), collections.defaultdict(lambda: np.zeros(1024))
+    bundle = lambda t: space.bundles([(t or "").encode()])[1][0].astype(float)
+    rows = docs.collect()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5:
+            sums[r.lang] += bundle(r.text)
+    names = sorted(sums)
+    unit = np.array([sums[x] / np.linalg.norm(sums[x]) for x in names])
+    by = {r.doc_id: r for r in got}
+    for r in rows[:60]:
+        v = bundle(r.text)
+        cosine = unit @ v / np.linalg.norm(v)
+        assert by[r.doc_id].lang_pred == names[cosine.argmax()] and by[r.doc_id].score == pytest.approx(max(0, cosine.max()), abs=1e-5)
     unnamed = language.keep_identified(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), model).collect()
     named = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
     assert all(r.lang == named[r.doc_id] for r in unnamed if r.doc_id % 2)
@@ -249,6 +292,62 @@ def test_targets_reshare_what_is_above():
     assert got == {"a": 30.0, "b": 120.0, "c": 60.0}
 
 
+def cheapest(patterns, targets):
+    """The most words that can be sent and the least cost of sending as many, by trying every flow of whole words."""
+    edges = [(p, s) for p in patterns for s in p]
+    best = (0, 0)
+    for amounts in itertools.product(*(range(3 * patterns[p] + 1) for p, _ in edges)):
+        use, got = collections.Counter(), collections.Counter()
+        for (p, s), n in zip(edges, amounts, strict=True):
+            use[p] += n
+            got[s] += n
+        if all(use[p] <= 3 * n for p, n in patterns.items()) and all(got[s] <= round(t) for s, t in targets.items()):
+            cost = sum(sum(c * min(n, max(0, use[p] - i * n)) for i, c in enumerate(mixing.COSTS)) for p, n in patterns.items())
+            best = max(best, (sum(amounts), -cost))
+    return best
+
+
+@pytest.mark.parametrize("case", range(12))
+def test_flow_is_the_cheapest_of_the_largest(case):
+    rng = np.random.default_rng(case)
+    sources = ["a", "b", None][: 2 + case % 2]
+    kinds = [p for k in (1, 2, 3) for p in itertools.combinations(sources, k)]
+    patterns = {kinds[i]: int(rng.integers(1, 3)) for i in rng.choice(len(kinds), 3, replace=False)}
+    targets = {s: float(rng.integers(0, 6)) for s in sources if any(s in p for p in patterns)}
+    sent = mixing.route(patterns, targets)
+    use = {p: sum(sent[p].values()) for p in patterns}
+    cost = sum(sum(c * min(n, max(0, use[p] - i * n)) for i, c in enumerate(mixing.COSTS)) for p, n in patterns.items())
+    assert all(use[p] <= 3 * n for p, n in patterns.items()) and all(sum(v.get(s, 0) for v in sent.values()) <= t for s, t in targets.items())
+    assert (sum(use.values()), -cost) == cheapest(patterns, targets)
+
+
+def test_flow_over_many_patterns_ends_soon():
+    rng = np.random.default_rng(0)
+    patterns = {tuple(sorted(rng.choice(400, 3, replace=False).tolist())): int(rng.integers(1, 1000)) for _ in range(20_000)}
+    share = 3 * sum(patterns.values()) / 400 / 2
+    start = time.perf_counter()
+    sent = mixing.route({tuple(f"s{i:03}" for i in p): n for p, n in patterns.items()}, {f"s{i:03}": share * (1 + i % 3 / 4) for i in range(400)})
+    assert time.perf_counter() - start < 60 and sum(sum(v.values()) for v in sent.values()) > 0.95 * share * 400
+
+
+def test_targets_are_those_of_the_contract_when_reckoned_exactly():
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = {s: rng.randrange(1, 1000) for s in "abcde"[: rng.randrange(1, 6)]}
+        weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sizes)}
+        capped, target = set(), {}
+        while True:  # exact fractions, and everything is reckoned anew each time
+            left = sum(sizes.values()) - sum(3 * sizes[s] for s in capped)
+            weight = sum(w for s, w in weights.items() if s not in capped)
+            target = {s: Fraction(3 * sizes[s]) if s in capped else Fraction(left * weights[s], weight) for s in sizes}
+            over = {s for s in sizes if target[s] > 3 * sizes[s]}
+            if not over:
+                break
+            capped |= over
+        got = mixing.shared_targets(sizes, weights)
+        assert all(abs(got[s] - target[s]) < 1e-6 for s in sizes)
+
+
 def test_flow_serves_overlapping_sources_with_few_repeats():
     sent = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 20, "b": 10})
     assert sum(v.get("a", 0) for v in sent.values()) == 20 and sum(v.get("b", 0) for v in sent.values()) == 10
@@ -321,6 +420,42 @@ def test_cutting_stock_covers_the_demand_closely():
     assert solve({}, 64) == []
 
 
+def test_severity_is_fitted_to_the_likelihood():
+    """The fit's slopes against differences of the loss written out, and its predictions against the formula."""
+    rng = np.random.default_rng(0)
+    n, m, grades = 60, 5, 3
+    x = rng.integers(0, 2, (n, m))
+    grade = np.clip(x @ [1, 1, 0, -1, 0] + rng.integers(0, 2, n), 0, grades - 1)
+    weight = rng.uniform(0.5, 2, n)
+    model = toxicity._descend(x.sum(axis=1), np.nonzero(x)[1], grade, weight, grades, 3000, 0.02, 0.0)
+
+    def loss(w, theta):
+        reach = np.concatenate((np.ones((n, 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - theta))), np.zeros((n, 1))), axis=1)
+        p = reach[np.arange(n), grade] - reach[np.arange(n), grade + 1]
+        return -(weight * np.log(p)).sum() / weight.sum()
+
+    w, theta = model.weights[:m].copy(), model.thresholds.copy()
+    assert (np.diff(theta) > 0).all() and not model.weights[m:].any()
+    for vector in (w, theta):
+        for i in range(len(vector)):
+            for step in (1e-2, -1e-2):
+                vector[i] += step
+                assert loss(w, theta) >= loss(model.weights[:m], model.thresholds) - 1e-7
+                vector[i] -= step
+    strong = toxicity._descend(x.sum(axis=1), np.nonzero(x)[1], grade, weight, grades, 500, 0.05, 2.0)
+    assert (strong.weights != 0).sum() < (model.weights != 0).sum()
+
+
+def test_a_long_sample_is_cut_in_bytes(spark):
+    rows = [(i, "calm words here " * 50 + ("grim vile" if i % 2 else "")) for i in range(400)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, grade int")
+    for most in (1 << 30, 60_000):
+        got = toxicity.predict(df, toxicity.fit(df, lab, most_bytes=most)).collect()
+        assert np.mean([r.toxic == bool(r.doc_id % 2) for r in got]) > 0.95
+    repeated = df.unionAll(df).withColumn("grade", F.lit("z"))  # rows that repeat, and a column named like one inside
+    assert toxicity.rate(repeated, lab.withColumnRenamed("grade", "toxic").unionAll(spark.createDataFrame([(None, 1), (7, None), (8, -1)], "doc_id long, grade int"))).count() == 800
+
+
 def test_toxicity(spark, odd, nothing):
     bad = ["grim", "vile", "foul"]
     rng = np.random.default_rng(3)
@@ -360,4 +495,30 @@ def test_pipeline(spark, docs, tmp_path):
     taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix(steps["substring_dedup"]).collect() if r.taken}
     assert dict(collections.Counter(r.doc_id for r in steps["mix"].collect())) == taken
     assert {r.doc_id for r in frame.collect()} == set(taken)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in frame.collect())
     assert [tuple(r) for r in corpus_pipeline.run(spark, SF).orderBy("doc_id", "start", "sequence_id").collect()] == [tuple(r) for r in frame.orderBy("doc_id", "start", "sequence_id").collect()]
+
+
+def test_pipeline_on_odd_rows_and_on_none(spark, odd, nothing):
+    for df in (odd.withColumn("a.b", F.lit(1)), nothing, odd.withColumn("lang", F.lit(None).cast("string"))):
+        frame, counts = df, []
+        for name, stage in corpus_pipeline.STAGES:
+            frame = stage(spark, frame, SF)
+            assert name == "pack" or frame.columns == df.columns
+            counts.append(frame.count())
+        assert counts == [0] * 5 if df is nothing else all(counts)
+    packed = collections.Counter()
+    for r in frame.collect():
+        packed[r.doc_id] += r.length
+    assert not set(packed) & {3, 4, 5, 11} and 9 not in packed  # nothing in them, and a copy of 8
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Far:
+        """A session on a cluster that names no folder."""
+
+        conf = type("", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("", (), {"master": "spark://host:7077", "getConf": lambda self: Far.conf, "_jsc": type("", (), {"sc": lambda self: type("", (), {"getCheckpointDir": lambda self: type("", (), {"isEmpty": lambda self: True})()})()})()})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.work_dir(Far)
