@@ -16,24 +16,29 @@ from assayloom.operators.missing import detect_mnar
 from assayloom.operators.neighbours import nearest_having
 
 
-def fill_mean(long: DataFrame) -> DataFrame:
-    """A feature without values stays missing."""
-    return long.withColumn("value", F.coalesce("value", F.avg("value").over(Window.partitionBy("fi"))))
+def fill_mean(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """Means of ``reference`` (default: the same rows); a feature without values there stays missing."""
+    means = (long if reference is None else reference).groupBy("fi").agg(F.avg("value").alias("__fill"))
+    return _filled_by(long, means)
 
 
-def fill_median(long: DataFrame) -> DataFrame:
-    return long.join(long.groupBy("fi").agg(F.median("value").alias("md")), "fi").withColumn("value", F.coalesce("value", "md")).drop("md")
+def _filled_by(long: DataFrame, table: DataFrame) -> DataFrame:
+    """Gaps filled by (fi, __fill)."""
+    return long.join(F.broadcast(table), "fi", "left").withColumn("value", F.coalesce("value", "__fill")).select(long.columns)  # a row a feature
 
 
-def fill_mode(long: DataFrame) -> DataFrame:
+def fill_median(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    return _filled_by(long, (long if reference is None else reference).groupBy("fi").agg(F.median("value").alias("__fill")))
+
+
+def fill_mode(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """The most frequent value, the smallest of several."""
-    counts = long.filter("value is not null").groupBy("fi", "value").count()
-    modes = counts.groupBy("fi").agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("mode"))
-    return long.join(modes, "fi", "left").withColumn("value", F.coalesce("value", "mode")).drop("mode")
+    counts = (long if reference is None else reference).filter("value is not null").groupBy("fi", "value").count()
+    return _filled_by(long, counts.groupBy("fi").agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("__fill")))
 
 
-def fill_knn(long: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame:
-    """The mean of the ``k`` nearest rows that have the feature, by distance over shared coordinates; weights may go by distance. A
+def fill_knn(long: DataFrame, k: int = 5, weights: str = "uniform", reference: DataFrame | None = None) -> DataFrame:
+    """The mean of the ``k`` nearest rows (of ``reference``, default: the same rows) that have the feature, by distance over shared coordinates; weights may go by distance. A
     feature nobody has becomes 0, and where no neighbour can be compared its mean is used.
 
     Blocks of rows meet blocks of rows, and each pair of blocks sends the best ``k`` offers for a gap, so what is shuffled grows
@@ -42,15 +47,16 @@ def fill_knn(long: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame
 
     if weights not in ("uniform", "distance"):
         raise ValueError(f"weights: {weights!r} is neither uniform nor distance")
-    best = nearest_having(array_from_long(long, ["id"]), k)
+    others = None if reference is None else array_from_long(reference, ["id"])
+    best = nearest_having(array_from_long(long, ["id"]), k, others)
     if weights == "distance":
         zero = F.max(F.when(F.col("distance") == 0, 1).otherwise(0)).over(Window.partitionBy("id", "fi"))
         w = F.when(zero == 1, (F.col("distance") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("distance")))
     else:
         w = F.lit(1.0)
     filled = best.withColumn("w", w).groupBy("id", "fi").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("fill"))
-    means = F.broadcast(long.groupBy("fi").agg(F.avg("value").alias("mean")))  # a row a feature
-    met = long.join(means, "fi").join(filled, ["id", "fi"], "left").withColumn("value", F.coalesce("value", "fill", "mean", F.lit(0.0)))
+    means = F.broadcast((long if reference is None else reference).groupBy("fi").agg(F.avg("value").alias("mean")))  # a row a feature
+    met = long.join(means, "fi", "left").join(filled, ["id", "fi"], "left").withColumn("value", F.coalesce("value", "fill", "mean", F.lit(0.0)))
     return met.select(long.columns)
 
 
@@ -110,11 +116,13 @@ def minprob_parameters(long: DataFrame, quantile_percent: float = 0.01, observed
     return at, stds.agg(F.median("sd").alias("sd"))
 
 
-def minprob(long: DataFrame, arrays: DataFrame, keep: list[str], quantile_percent: float = 0.01, tune_sigma: float = 1.0, observed: float = 0.5, lower: float = 0.0, seed: int = 0) -> DataFrame:
-    """Draws around each sample's low quantile; bounds are in standard units, lower to mean + sd, so draws lie at or above the mean."""
+def minprob(long: DataFrame, arrays: DataFrame, keep: list[str], quantile_percent: float = 0.01, tune_sigma: float = 1.0, observed: float = 0.5, lower: float = 0.0, seed: int = 0, reference: DataFrame | None = None) -> DataFrame:
+    """Draws around each sample's low quantile; bounds are in standard units, lower to mean + sd, so draws lie at or above the mean. The
+    features' spread is that of ``reference`` (default: the same rows)."""
     if lower < 0:
         raise ValueError("the lower bound is not negative")
-    at, spread = minprob_parameters(long, quantile_percent, observed)
+    at = minprob_parameters(long, quantile_percent, observed)[0]
+    spread = minprob_parameters(long if reference is None else reference, quantile_percent, observed)[1]
     sd = (spread.first()[0] or 0.0) * tune_sigma
     means = arrays.join(at, "id", "left").select(*keep, F.array_append("x", F.col("mean")).alias("x"))
 
@@ -128,18 +136,20 @@ def minprob(long: DataFrame, arrays: DataFrame, keep: list[str], quantile_percen
     return _by_row(means, fill, keep)
 
 
-def _rounds(x: np.ndarray, fit, most: int, stop_early: bool) -> np.ndarray:
-    """Features in ascending order of gaps, each regressed on the others; all-missing features become 0."""
+def _rounds(x: np.ndarray, own: np.ndarray, fit, most: int, stop_early: bool) -> np.ndarray:
+    """Features in ascending order of gaps, each regressed on the others; regressions and means are those of the rows ``own``. Features
+    that are missing in all of those become 0."""
     gone = np.isnan(x)
-    means = np.array([np.nanmean(c) if not np.isnan(c).all() else 0.0 for c in x.T])
+    means = np.array([np.nanmean(c) if not np.isnan(c).all() else 0.0 for c in x[own].T])
     now = np.where(gone, means, x)
-    order = [j for j in np.argsort(gone.sum(axis=0), kind="stable") if 0 < gone[:, j].sum() < len(x)]
+    order = [j for j in np.argsort(gone.sum(axis=0), kind="stable") if gone[:, j].any() and (~gone[own, j]).any()]
     last, before = np.inf, now
     for _ in range(most):
         new = now.copy()
         for j in order:
             rest = np.delete(new, j, axis=1)
-            new[gone[:, j], j] = fit(rest[~gone[:, j]], x[~gone[:, j], j], rest[gone[:, j]], j)
+            learn = own & ~gone[:, j]
+            new[gone[:, j], j] = fit(rest[learn], x[learn, j], rest[gone[:, j]], j)
         change = ((new - now)[gone] ** 2).sum() / max((new[gone] ** 2).sum(), 1e-300) if gone.any() else 0.0
         if stop_early and change >= last:
             return before if before is not None else now
@@ -149,9 +159,13 @@ def _rounds(x: np.ndarray, fit, most: int, stop_early: bool) -> np.ndarray:
     return now
 
 
-def _whole(arrays: DataFrame, keep: list[str], fit, most: int, stop_early: bool, most_cells: int) -> DataFrame:
-    """The reference's matrices are short: the whole of one is completed in one task, after a check of its size."""
-    cells = arrays.agg(F.sum(F.size("x"))).first()[0] or 0
+def _whole(arrays: DataFrame, keep: list[str], fit, most: int, stop_early: bool, most_cells: int, reference: DataFrame | None = None) -> DataFrame:
+    """Such matrices are short: the whole of one is completed in one task, after a check of its size. Regressions learn from
+    ``reference`` (arrays with an id too; default: the same rows), which is sent along and not given back."""
+    own = arrays.select(*keep, "x").withColumn("__own", F.lit(True))
+    if reference is not None:
+        own = own.unionByName(reference.select("id", "x").withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    cells = own.agg(F.sum(F.size("x"))).first()[0] or 0
     if cells > most_cells:
         raise ValueError(f"{cells} cells are more than the {most_cells} that one task may complete; split the rows by a column and impute within")
     kinds = ", ".join(f"`{c}` {t}" for c, t in arrays.select(*keep).dtypes)
@@ -161,10 +175,11 @@ def _whole(arrays: DataFrame, keep: list[str], fit, most: int, stop_early: bool,
         x = np.array([[np.nan if v is None else v for v in r] for r in pdf["x"]], float)
         if np.isinf(x).any():
             raise ValueError("infinite values cannot be imputed")
-        pdf["x"] = _rounds(x, fit, most, stop_early).tolist()
-        return pdf[[*keep, "x"]]
+        mine = pdf["__own"].to_numpy(bool)
+        pdf["x"] = _rounds(x, mine if mine.all() else ~mine, fit, most, stop_early).tolist()
+        return pdf.loc[mine, [*keep, "x"]]
 
-    return arrays.select(*keep, "x").groupBy(F.lit(0).alias("all")).applyInPandas(run, f"{kinds}, x array<double>")
+    return own.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"{kinds}, x array<double>")
 
 
 def _linear(ridge: float):
@@ -180,7 +195,7 @@ def _linear(ridge: float):
 ESTIMATORS = ("linear", "forest", "boosted")
 
 
-def mice(arrays: DataFrame, keep: list[str], rounds: int = 10, estimator: str = "linear", ridge: float = 1e-3, trees: int | None = None, seed: int = 0, most_cells: int = 50_000_000) -> DataFrame:
+def mice(arrays: DataFrame, keep: list[str], rounds: int = 10, estimator: str = "linear", ridge: float = 1e-3, trees: int | None = None, seed: int = 0, most_cells: int = 50_000_000, reference: DataFrame | None = None) -> DataFrame:
     """Chained regressions in rounds: "linear" ones with a small ridge, random "forest"s (100 ``trees``) or "boosted" trees (500)."""
     if estimator not in ESTIMATORS:
         raise ValueError(f"estimator: {estimator!r} is none of {', '.join(ESTIMATORS)}")
@@ -191,17 +206,17 @@ def mice(arrays: DataFrame, keep: list[str], rounds: int = 10, estimator: str =
     def boosted(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
         return boost(a, y, trees or 500, 0.3, 6, lam=1.0, logistic=False, seed=seed + j).predict(b)
 
-    return _whole(arrays, keep, {"linear": _linear(ridge), "forest": forest, "boosted": boosted}[estimator], rounds, False, most_cells)
+    return _whole(arrays, keep, {"linear": _linear(ridge), "forest": forest, "boosted": boosted}[estimator], rounds, False, most_cells, reference)
 
 
-def miss_forest(arrays: DataFrame, keep: list[str], rounds: int = 4, trees: int = 20, depth: int = 6, seed: int = 0, most_cells: int = 5_000_000) -> DataFrame:
+def miss_forest(arrays: DataFrame, keep: list[str], rounds: int = 4, trees: int = 20, depth: int = 6, seed: int = 0, most_cells: int = 5_000_000, reference: DataFrame | None = None) -> DataFrame:
     """Random-forest regressions in rounds until the change grows; the iterate before that is returned (Stekhoven and Buehlmann, 2012)."""
 
     def fit(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
         forest: Forest = grow_forest(a, y, trees, depth, seed=seed + j, features="sqrt")
         return forest.predict(b)
 
-    return _whole(arrays, keep, fit, rounds, True, most_cells)
+    return _whole(arrays, keep, fit, rounds, True, most_cells, reference)
 
 
 #: The parameters that each method of the facade takes.
@@ -211,10 +226,11 @@ PARAMETERS = {
 }
 
 
-def impute(long: DataFrame, method: str | None, strategy: str = "mar", keep: tuple[str, ...] = ("id", "target"), **how) -> DataFrame:
-    """Facade: ``mar`` fills all features, ``mnar`` too, ``mixed`` with a censored method only those found missing not at random. The
-    statistics are those of the rows given, also when these are a holdout. A method not known and a parameter that it does not
-    take raise."""
+def impute(long: DataFrame, method: str | None, strategy: str = "mar", keep: tuple[str, ...] = ("id", "target"), reference: DataFrame | None = None, **how) -> DataFrame:
+    """Facade: ``mar`` fills all features, ``mnar`` too, ``mixed`` with a censored method only those found missing not at random.
+
+    Statistics, neighbours and regressions are those of ``reference``, so a holdout is completed as its training rows say; by
+    default they are those of the rows themselves. A method not known and a parameter that it does not take raise."""
     from assayloom.matrix import array_from_long, long_from_array
 
     if method in (None, "none"):
@@ -225,13 +241,14 @@ def impute(long: DataFrame, method: str | None, strategy: str = "mar", keep: tup
         raise ValueError(f"{method} takes no {odd[0]}; it takes {', '.join(PARAMETERS[method]) or 'nothing'}")
     simple = {"mean": fill_mean, "median": fill_median, "mode": fill_mode, "knn": fill_knn}
     if method in simple:
-        return simple[method](long, **how)
+        return simple[method](long, reference=reference, **how)
     arrays = array_from_long(long, list(keep))
     if method in ("mice", "miss_forest"):
-        return long_from_array({"mice": mice, "miss_forest": miss_forest}[method](arrays, list(keep), **how), "x", list(keep))
-    done = qrilc(arrays, list(keep), **how) if method == "qrilc" else minprob(long, arrays, list(keep), **how)
+        others = None if reference is None else array_from_long(reference, ["id"])
+        return long_from_array({"mice": mice, "miss_forest": miss_forest}[method](arrays, list(keep), reference=others, **how), "x", list(keep))
+    done = qrilc(arrays, list(keep), **how) if method == "qrilc" else minprob(long, arrays, list(keep), reference=reference, **how)
     filled = long_from_array(done, "x", list(keep))
     if strategy == "mixed":
-        chosen = detect_mnar(long).filter("mnar").select("fi")
+        chosen = detect_mnar(long if reference is None else reference).filter("mnar").select("fi")
         filled = filled.join(chosen, "fi", "left_semi").unionByName(long.select(filled.columns).join(chosen, "fi", "left_anti"))
     return filled

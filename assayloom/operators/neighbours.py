@@ -86,9 +86,9 @@ def nearest(rows: DataFrame, k: int, other: DataFrame | None = None) -> DataFram
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def nearest_having(rows: DataFrame, k: int) -> DataFrame:
+def nearest_having(rows: DataFrame, k: int, other: DataFrame | None = None) -> DataFrame:
     """(id long, fi long, value double, distance double): for each missing value of each row (id, x array<double>) the values of the ``k``
-    nearest rows that have that feature, ties to the smaller id."""
+    nearest rows of ``other`` (default: the same) that have that feature, ties to the smaller id."""
 
     def kernel(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray) -> list[tuple]:
         d, out = _apart(ida, xa, idb, xb), []
@@ -101,6 +101,6 @@ def nearest_having(rows: DataFrame, k: int) -> DataFrame:
         return out
 
     asking = rows.filter(F.exists("x", lambda v: v.isNull()))
-    found = _blocks(asking, rows, kernel, {"id": pa.int64(), "fi": pa.int64(), "nid": pa.int64(), "value": pa.float64(), "distance": pa.float64()})
+    found = _blocks(asking, rows if other is None else other, kernel, {"id": pa.int64(), "fi": pa.int64(), "nid": pa.int64(), "value": pa.float64(), "distance": pa.float64()})
     rank = F.row_number().over(Window.partitionBy("id", "fi").orderBy(F.round("distance", 12), "nid"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank", "nid")

@@ -150,7 +150,9 @@ def run(spark: SparkSession, options: Options, settings: Settings, model_id: str
     train, holdout = f.train, f.holdout
     if options.best_pipeline:
         method, _, strategy = options.best_pipeline.partition(":")
-        train, holdout = (impute.impute(x.select(*KEYS, "fi", "value"), method, strategy or options.imputation_strategy, keep=KEYS) for x in (train, holdout))
+        raw, how = train.select(*KEYS, "fi", "value"), strategy or options.imputation_strategy
+        train = impute.impute(raw, method, how, keep=KEYS)
+        holdout = impute.impute(holdout.select(*KEYS, "fi", "value"), method, how, keep=KEYS, reference=raw)
     if options.use_batch_corrected:
         plates = data.cohort.select("patient_id", "plate")
         train, holdout = (batch.combat(x.join(plates, "patient_id"), "plate").drop("plate") for x in (train, holdout))
