@@ -32,6 +32,29 @@ def masked_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(both > 0, np.sqrt(np.maximum(d, 0) * a.shape[1] / both), np.nan)
 
 
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(size > 0, 1 - a @ b.T / size, np.nan)
+
+
+#: Distances by name, of every row of one matrix to every row of another; all but the first need complete rows.
+METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "masked_euclidean": masked_distances,
+    "euclidean": lambda a, b: np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0)),
+    "manhattan": lambda a, b: np.abs(a[:, None] - b[None]).sum(axis=2),
+    "chebyshev": lambda a, b: np.abs(a[:, None] - b[None]).max(axis=2),
+    "cosine": _cosine,
+    "correlation": lambda a, b: _cosine(a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)),
+}
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str = "masked_euclidean") -> np.ndarray:
+    if metric not in METRICS:
+        raise ValueError(f"metric: {metric!r} is none of {', '.join(METRICS)}")
+    return METRICS[metric](a, b)
+
+
 def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of the ``k`` smallest of each row of ``d``, equal ones by id; nan is none. Rows are only sorted as far as the kth goes."""
     d = np.round(np.where(np.isnan(d), np.inf, d), 12)
@@ -66,18 +89,20 @@ def _blocks(rows: DataFrame, other: DataFrame, kernel: Callable[[np.ndarray, np.
     return left.groupBy("p", "o").cogroup(right.groupBy("p", "o")).applyInArrow(run, ", ".join(f"{c} {kinds[t]}" for c, t in names.items()))
 
 
-def _apart(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray) -> np.ndarray:
-    d = masked_distances(xa, xb)
+def _apart(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray, metric: str = "masked_euclidean") -> np.ndarray:
+    d = distances(xa, xb, metric)
     d[ida[:, None] == idb[None, :]] = np.nan
     return d
 
 
-def nearest(rows: DataFrame, k: int, other: DataFrame | None = None) -> DataFrame:
+def nearest(rows: DataFrame, k: int, other: DataFrame | None = None, metric: str = "masked_euclidean") -> DataFrame:
     """(id long, nid long, distance double, rank int): the ``k`` rows of ``other`` (default: the same) nearest to each row (id, x
-    array<double>), ties to the smaller id, a row never its own neighbour."""
+    array<double>) by one of METRICS, ties to the smaller id, a row never its own neighbour."""
+    if metric not in METRICS:
+        raise ValueError(f"metric: {metric!r} is none of {', '.join(METRICS)}")
 
     def kernel(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray) -> list[tuple]:
-        d = _apart(ida, xa, idb, xb)
+        d = _apart(ida, xa, idb, xb, metric)
         row, place = _smallest(d, idb, k)
         return [(ida[row], idb[place], d[row, place])]
 

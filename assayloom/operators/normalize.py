@@ -53,6 +53,8 @@ def quantile_normalise(long: DataFrame) -> DataFrame:
 
 
 METHODS = {"log2": log2, "top_l": top_l, "quantile": quantile_normalise}
+#: Those that learn from training rows.
+FITTED = {"standard": standardise, "min_max": min_max_clip, "median": centre_on_median}
 
 
 def normalise(long: DataFrame, method: str) -> DataFrame:
@@ -60,6 +62,37 @@ def normalise(long: DataFrame, method: str) -> DataFrame:
     return long if method in ("none", None) else METHODS.get(method, top_l)(long)
 
 
+class Normaliser:
+    """A method by name with its parameters: fitted on some rows, then applied to any. Methods that learn nothing ignore the fit."""
+
+    def __init__(self, method: str = "none", **params):
+        self.method, self.params, self.rows = method, params, None
+        self.set_params(**params)
+
+    def set_params(self, **params) -> Normaliser:
+        method = params.pop("method", self.method)
+        if method != "none" and method not in METHODS and method not in FITTED:
+            raise ValueError(f"no such scaler: {method}")
+        if odd := sorted(set(params) - ({"l"} if method == "top_l" else set())):
+            raise ValueError(f"{method} takes no {odd[0]}")
+        self.method, self.params = method, params
+        return self
+
+    def get_params(self) -> dict:
+        return {"method": self.method, **self.params}
+
+    def fit(self, long: DataFrame) -> Normaliser:
+        self.rows = long
+        return self
+
+    def transform(self, long: DataFrame) -> DataFrame:
+        if self.method in FITTED:
+            if self.rows is None:
+                raise ValueError(f"{self.method} is not fitted")
+            return FITTED[self.method](long, self.rows)
+        return long if self.method == "none" else METHODS[self.method](long, **self.params)
+
+
 def pca_scores(arrays: DataFrame, holdout: DataFrame, keep: list[str], k: int) -> tuple[DataFrame, DataFrame]:
     """(``keep``, PCA_0..) of both frames (x array<double>, standardised and complete), components fitted on the first. Signs are free."""
     model = PCA(k=k, inputCol="features", outputCol="scores").fit(arrays.withColumn("features", array_to_vector("x")))

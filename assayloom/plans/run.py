@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import logging
 from dataclasses import dataclass, fields, is_dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from assayloom.operators import batch, folds, impute, information, metrics, norm
 from assayloom.sources.files import Extracted, load
 from assayloom.sources.sinks import save
 
+log = logging.getLogger(__name__)
+
 #: Most cells that the driver's fits take at once; the matrices of such studies have far fewer.
 MOST_CELLS = 50_000_000
 KEYS = ("id", "patient_id", "target", "label")
@@ -162,6 +165,7 @@ def run(spark: SparkSession, options: Options, settings: Settings, model_id: str
     keep = chosen_features(train.select("id", "target", "fi", "value"), options, s, seed)
     if not keep:
         raise ValueError("no feature passes the filter")
+    log.info("the filter keeps %d of %d features: %s", len(keep), len(f.features), ", ".join(f.features[j] for j in keep))
 
     def arrays(places: list[int]) -> tuple[DataFrame, DataFrame]:
         missing = options.model == "xgboost" and options.augmentation == "none"  # which takes missing values as they are
@@ -184,11 +188,14 @@ def run(spark: SparkSession, options: Options, settings: Settings, model_id: str
     step.params = best
     names = F.broadcast(spark.createDataFrame([(i, f.features[j]) for i, j in enumerate(keep)], "fi long, feature string"))
     tables["result"] = result.join(names, "fi").orderBy("rank")
+    if "importance" in result.columns:
+        tables["most_important"] = tables["result"].orderBy(F.desc("importance"), "rank").select("feature", "importance").limit(20)
     if 1 < len(keep) <= 1000:
         complete = train.filter(F.col("fi").isin(keep)).select("id", "target", "fi", "value")
         tables["spearman"], tables["mutual_information"] = stats.spearman(complete), information.information_matrix(complete)
     n_train, n_held = rows.count(), held.count()
     observed = s.cross_validation_splits * s.cross_validation_repeats if options.rec_feat_add else s.multisurf_cross_validation_splits
+    log.info("%d features are ranked", result.count())
     for name, panel in panels(result, observed, settings.stats.pvalue_thresh).items():
         step.evaluated(name, sorted(panel), rows, held, min(0.5, n_held / max(1, n_train)))
     save(spark, options, settings, model_id, tables, fmt="parquet")
@@ -207,15 +214,6 @@ def parameter_combinations(strategy: str) -> list[dict]:
     return [{"scaler": s, "mnar": a, "mar": b} for s, a, b in itertools.product(scalers, first, second)]
 
 
-def _scale(long: DataFrame, train: DataFrame, scaler: str) -> DataFrame:
-    fitted = {"standard": normalize.standardise, "min_max": normalize.min_max_clip, "median": normalize.centre_on_median}
-    if scaler == "none":
-        return long
-    if scaler not in fitted and scaler not in normalize.METHODS:
-        raise ValueError(f"no such scaler: {scaler}")
-    return fitted[scaler](long, train) if scaler in fitted else normalize.normalise(long, scaler)
-
-
 def prepare(spark: SparkSession, long: DataFrame, strategy: str, model: str = "xgboost", combinations: list[dict] | None = None, seed: int = 0, **params) -> DataFrame:
     """(pipeline, roc_auc, pr_auc, ppv, npv, sens_at_95, ..): every preprocessing on a 10% split; the best five by those, in this order.
 
@@ -226,7 +224,7 @@ def prepare(spark: SparkSession, long: DataFrame, strategy: str, model: str = "x
     out = None
     for c in combinations if combinations is not None else parameter_combinations(strategy):
         split = long.select("id", "target", "fi", "value").join(F.broadcast(part), "id")  # a row a patient
-        scaled = _scale(split, split.filter("not test"), c["scaler"])
+        scaled = normalize.Normaliser(c["scaler"]).fit(split.filter("not test")).transform(split)
         done = scaled.select("id", "target", "fi", F.when(F.abs("value") < float("inf"), F.col("value")).alias("value"))
         for step, kind in (("mnar", strategy), ("mar", "mar")):
             if c[step]:

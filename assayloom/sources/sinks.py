@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import getpass
 import json
+import logging
 import subprocess
 import time
 
@@ -47,4 +48,6 @@ def save(spark: SparkSession, options: Options, settings: Settings, model_id: st
     if with_metadata:
         paths.append(f"{base}/{model_id}_metadata.json")
         metadata(spark, options, settings, model_id, paths[:-1]).write.mode("overwrite").json(paths[-1])
+    for path in paths:
+        logging.getLogger(__name__).info("written: %s", path)
     return paths

@@ -502,3 +502,35 @@ def test_learners_take_missing_values_and_their_settings():
     for forest in (boost(x, y, 40), boost(x, y, 60, subsample=0.5, columns=0.6, alpha=0.1, gamma=0.05, child_weight=0.5), grow_forest(x, y, 40, 4), grow_forest(x, y, 40, 4, criterion="entropy", features="log2", min_leaf=3, leaves=8)):
         assert ranking._rank_auc(y, forest.predict(x)) > 0.8
     assert np.corrcoef(boost(x[:, 1:], x[:, 2] * 3, 60, logistic=False).predict(x[:, 1:]), x[:, 2])[0, 1] > 0.98
+
+
+def test_normalisers_by_name(gaps):
+    for method, by in (("standard", normalize.standardise), ("min_max", normalize.min_max_clip), ("median", normalize.centre_on_median)):
+        got = normalize.Normaliser(method).fit(gaps.filter("id < 200")).transform(gaps)
+        same = by(gaps, gaps.filter("id < 200"))
+        assert np.allclose(wide(got)[1], wide(same)[1], equal_nan=True)
+        with pytest.raises(ValueError, match="not fitted"):
+            normalize.Normaliser(method).transform(gaps)
+    top = normalize.Normaliser("top_l", l=3)
+    assert top.get_params() == {"method": "top_l", "l": 3} and np.allclose(wide(top.transform(gaps))[1], wide(normalize.top_l(gaps, 3))[1], equal_nan=True)
+    assert top.set_params(method="none").transform(gaps) is gaps
+    for bad in ({"method": "odd"}, {"method": "log2", "l": 3}):
+        with pytest.raises(ValueError):
+            normalize.Normaliser(**bad)
+
+
+def test_neighbours_by_any_distance(rows):
+    m = matrix_of(rows)
+    one = {
+        "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum()), "manhattan": lambda a, b: np.abs(a - b).sum(), "chebyshev": lambda a, b: np.abs(a - b).max(),
+        "cosine": lambda a, b: 1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b), "correlation": lambda a, b: 1 - np.corrcoef(a, b)[0, 1], "masked_euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum()),
+    }
+    assert set(one) == set(neighbours.METRICS)
+    for metric, f in one.items():
+        want = []
+        for i in range(60):
+            near = sorted((round(f(m.x[i], m.x[j]), 12), m.ids[j]) for j in range(60) if j != i)[:3]
+            want += [(m.ids[i], n, d, k + 1) for k, (d, n) in enumerate(near)]
+        same_rows(numbers(neighbours.nearest(rows.select("id", "x"), 3, metric=metric), "id", "nid", "distance", "rank"), want)
+    with pytest.raises(ValueError, match="metric"):
+        neighbours.nearest(rows, 1, metric="odd")
