@@ -370,8 +370,8 @@ def near_links(vectors: DataFrame, least: float = 0.95, overlap: int = 2, most_s
 def audit(vectors: DataFrame, links: DataFrame, least: float = 0.95, queries: int = 256) -> float:
     """Recall of n_near against brute force over all distinct vectors; copies are left out, so they hide nothing.
 
-    The queries are distinct vectors with the smallest hashes: ``queries`` of all and as many of those with neighbours found. A query's recall is the smaller count over the larger, so that counting twice is seen too; the result
-    is the smaller mean of both choices, over queries with a neighbour. Ids that name several vectors are not asked.
+    The queries are distinct vectors with the smallest hashes: ``queries`` of all and as many of those with neighbours found. A
+    query's recall is the smaller count over the larger, so that counting twice is seen too; the result is the smaller mean of both choices, over queries with a neighbour. Ids that name several vectors are not asked.
     """
     reps = cut(usable(vectors).groupBy("e").agg(F.min("vec_id").alias("rep")))
     own = links.groupBy(F.col("vec_id").alias("rep")).agg(F.min("n_near").alias("n"), F.max("n_near").alias("most")).filter("n = most").drop("most")
@@ -400,11 +400,12 @@ def audit(vectors: DataFrame, links: DataFrame, least: float = 0.95, queries: in
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, least_recall: float = 0.9, **how) -> DataFrame:
-    """near_links with its recall audited; where it is under ``least_recall``, shards overlap more, and at last an error says so."""
+    """near_links with the audit's figure as a column ``recall``, the same in all rows; where it is under ``least_recall``, cells and shards
+    overlap more, and at last an error says so. The rest, nulls and repeated rows included, is as there."""
     for overlap in (2, 4, 8):
         links = cut(near_links(vectors, least, overlap=overlap, **how))
         recall = audit(vectors, links, least)
-        logging.getLogger(__name__).warning("recall of links with overlap %d: %.4f", overlap, recall)
+        logging.getLogger(__name__).info("recall of links with overlap %d: %.4f", overlap, recall)
         if recall >= least_recall:
-            return links
+            return links.withColumn("recall", F.lit(recall))
     raise RuntimeError(f"recall stays under {least_recall}")
