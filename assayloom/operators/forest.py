@@ -228,6 +228,33 @@ def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = 200, depth: int = 3,
     return Forest(out, 1 / max(1, trees))
 
 
+def nodes_of(forest: Forest) -> list[tuple]:
+    """A row a node: tree, node, feature (-1 for a leaf), threshold, left, right, value, cover, gain, missing_left; and on each row the
+    forest's scale, base and whether it predicts by the logistic function. What a model is stored as."""
+    out = []
+    for i, t in enumerate(forest.trees):
+        missing = np.zeros(len(t.feature), bool) if t.missing_left is None else t.missing_left
+        columns = (t.feature, t.threshold, t.left, t.right, t.value, t.cover, t.gain, missing)
+        out += [(i, n, *(v.item() for v in row), forest.scale, forest.base, forest.logit) for n, row in enumerate(zip(*columns, strict=True))]
+    return out
+
+
+NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, cover double, gain double, missing_left boolean, scale double, base double, logit boolean"
+
+
+def from_nodes(rows: list[tuple]) -> Forest:
+    """The forest that nodes_of wrote down, from its rows in any order."""
+    trees: dict[int, list[tuple]] = {}
+    for r in sorted(tuple(r) for r in rows):
+        trees.setdefault(r[0], []).append(r[2:10])
+    made = []
+    for own in trees.values():
+        f, t, a, b, v, c, g, m = (np.array(x) for x in zip(*own, strict=True))
+        made.append(Tree(f.astype(np.int64), t.astype(float), a.astype(np.int64), b.astype(np.int64), v.astype(float), c.astype(float), g.astype(float), m.astype(bool)))
+    scale, base, logit = next((r[10:13] for r in rows), (1.0, 0.0, False))
+    return Forest(made, scale, base, logit)
+
+
 #: The settings of each learner where nothing is searched.
 LEARNERS = {
     "xgboost": lambda x, y, seed=0, **p: boost(x, y, **{"trees": 200, "rate": 0.05, "depth": 2, "seed": seed, **p}),

@@ -8,12 +8,12 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayloom.config import IMPORTANCES
 from assayloom.matrix import long_from_array
-from assayloom.operators.forest import learner
+from assayloom.operators.forest import NODES, learner, nodes_of
 from assayloom.operators.grid import Matrix, folds_of, grid, matrix_of, splits_of
 from assayloom.operators.information import information_cv
 from assayloom.operators.metrics import auc_exact, confusion, grid_summary, label_metrics, pareto_front, pr_scores, predict_labels, roc_grid, roc_points, youden
@@ -318,19 +318,33 @@ def with_panel(arrays: DataFrame, panel: list[int]) -> DataFrame:
     return arrays.withColumn("x", F.transform(F.array(*(F.lit(i) for i in panel)), lambda i: F.get("x", i)))
 
 
-def holdout_scores(train: DataFrame, holdout: DataFrame, model: str = "xgboost", panel: list[int] | None = None, seed: int = 0, **params) -> DataFrame:
-    """(group 0, id, y, score) of the holdout by a model fitted on all of ``train`` (a short matrix, checked by its caller)."""
+def fitted(train: DataFrame, model: str = "xgboost", panel: list[int] | None = None, seed: int = 0, **params):
+    """The learner fitted on all of ``train``, on the features at the places ``panel`` (default: all)."""
     m = matrix_of(train)
-    panel = list(range(m.x.shape[1])) if panel is None else panel
-    sent = train.sparkSession.sparkContext.broadcast(learner(model)(m.x[:, panel], m.y, seed=seed, **params))
+    return learner(model)(m.x if panel is None else m.x[:, panel], m.y, seed=seed, **params)
+
+
+def scored_by(forest, rows: DataFrame, panel: list[int] | None = None) -> DataFrame:
+    """(group 0, id, y, score) of rows (id, target, x)."""
+    sent = rows.sparkSession.sparkContext.broadcast(forest)
 
     def run(parts):
         for pdf in parts:
             if len(pdf):
-                z = np.array(pdf["x"].tolist(), float)[:, panel]
-                yield pd.DataFrame({"group": 0, "id": pdf["id"], "y": pdf["target"].astype(int), "score": sent.value.predict(z)})
+                z = np.array(pdf["x"].tolist(), float)
+                yield pd.DataFrame({"group": 0, "id": pdf["id"], "y": pdf["target"].astype(int), "score": sent.value.predict(z if panel is None else z[:, panel])})
+
+    return rows.select("id", "target", "x").mapInPandas(run, "group long, id long, y int, score double")
+
+
+def holdout_scores(train: DataFrame, holdout: DataFrame, model: str = "xgboost", panel: list[int] | None = None, seed: int = 0, **params) -> DataFrame:
+    """(group 0, id, y, score) of the holdout by a model fitted on all of ``train``."""
+    return scored_by(fitted(train, model, panel, seed, **params), holdout, panel)
+
 
-    return holdout.select("id", "target", "x").mapInPandas(run, "group long, id long, y int, score double")
+def model_table(spark: SparkSession, forest) -> DataFrame:
+    """The model's nodes as a table, which any reader of the run's format can load; forest.from_nodes makes it a model again."""
+    return spark.createDataFrame(nodes_of(forest), NODES)
 
 
 def bootstrap_report(scored: DataFrame, n_bootstraps: int = 1000, seed: int = 0) -> DataFrame:

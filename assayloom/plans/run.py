@@ -128,14 +128,15 @@ class _Run:
             fit, test = (ranking.with_panel(x.select(*KEYS, "x"), panel) for x in (fit, test))
             learn = self.augmented(fit, f"{name}_{split}")
             params = self.searched(learn, self.settings.optimization.optuna.before_validation, f"{name}_{split}")
-            scored = ranking.holdout_scores(learn, test, model, None, seed, **params).persist()
+            forest = ranking.fitted(learn, model, None, seed, **params)
+            scored = ranking.scored_by(forest, test).persist()
             points = metrics.roc_points(scored)
             at = metrics.thresholds(points).persist() if at is None else at
             scores = metrics.metrics_at(scored, at).join(F.broadcast(at.select("group", "name", "threshold")), ["group", "name"])  # seven rows
             wrong = metrics.predict_labels(scored, at.filter("name = 'youdens_j'")).join(F.broadcast(test.select("id", "patient_id", "label")), "id")  # a short matrix
             wrong = wrong.filter("predicted <> y").select(F.lit("misclassified").alias("row"), F.col("patient_id").cast("string").alias("patient_id"), "label")
             tables = {
-                "metrics": scores, "roc": metrics.roc_grid(points), "ci": ranking.bootstrap_report(scored, self.boots, seed),
+                "model": ranking.model_table(train.sparkSession, forest), "metrics": scores, "roc": metrics.roc_grid(points), "ci": ranking.bootstrap_report(scored, self.boots, seed),
                 "report": scores.withColumn("row", F.lit("metrics")).unionByName(wrong, allowMissingColumns=True),
                 "cv_ci": metrics.fold_report(ranking.cv_scores(fit.unionByName(test).select("id", "target", "x"), model, 4, self.ci_repeats, seed, **params)),
             }

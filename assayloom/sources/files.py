@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayloom.config import Options, Settings
 from assayloom.matrix import long_from_wide, nan_to_null, numeric_columns
+from assayloom.operators.forest import NODES, Forest, from_nodes
 from assayloom.operators.labels import check, sub_cohort
 from assayloom.operators.normalize import pca_scores, standardise
 
@@ -51,6 +52,11 @@ def read_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def read_forest(spark: SparkSession, path: str) -> Forest:
+    """A run's model from the table of its nodes."""
+    return from_nodes(read_table(spark, path).select(*(c.split()[0] for c in NODES.split(", "))).collect())  # as many rows as one model has nodes
+
+
 def read_or_fallback(spark: SparkSession, path: str, model: str) -> DataFrame | None:
     """The table, or that of the same name after ``<model>_``, or None."""
     folder, _, name = path.rpartition("/")

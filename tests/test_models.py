@@ -534,3 +534,16 @@ def test_neighbours_by_any_distance(rows):
         same_rows(numbers(neighbours.nearest(rows.select("id", "x"), 3, metric=metric), "id", "nid", "distance", "rank"), want)
     with pytest.raises(ValueError, match="metric"):
         neighbours.nearest(rows, 1, metric="odd")
+
+
+@pytest.mark.parametrize("model", ["xgboost", "random_forest"])
+def test_a_model_comes_back_from_its_table(spark, rows, tmp_path, model):
+    from assayloom.sources.files import read_forest
+
+    m = matrix_of(rows)
+    forest = ranking.fitted(rows, model, None, 2, **SMALL)
+    ranking.model_table(spark, forest).repartition(3).write.parquet(str(tmp_path / "model.parquet"))
+    again = read_forest(spark, str(tmp_path / "model.parquet"))
+    x = np.where(np.random.default_rng(0).random(m.x.shape) < 0.2, np.nan, m.x)
+    assert np.array_equal(again.predict(x), forest.predict(x)) and np.array_equal(again.importance(5), forest.importance(5))
+    assert np.array_equal(ranking.scored_by(again, rows).orderBy("id").toPandas()["score"].to_numpy(), forest.predict(m.x))
