@@ -15,6 +15,8 @@ from assayloom.llm.components import connected_components
 
 #: Nodes of a cell on average, at most in one task, and those from which on a cell is split by centroids of its own.
 CELL, MOST, SPLIT = 4096, 8192, 32_768
+#: Components of vectors that one task holds; wide vectors make smaller slices of cells and smaller samples.
+COMPONENTS = 1 << 22
 #: Nodes of a build shard within a cell.
 SHARD = 2048
 #: Centroids that one fit learns at most, and how often a cell is split at most.
@@ -345,9 +347,10 @@ def near_links(vectors: DataFrame, least: float = 0.95, overlap: int = 2, most_s
     own_id = F.col("vec_id").cast("long").alias("vec_id")
     if not n:
         return vectors.filter("vec_id is not null").select(own_id, F.lit(0).cast("long").alias("n_links"), own_id.alias("component_id"), F.lit(0).cast("long").alias("n_near"))
-    placed = _placed(reps, n, width, least, overlap, most_sample)
+    most = max(1, min(MOST, COMPONENTS // width))
+    placed = _placed(reps, n, width, least, overlap, max(1, min(most_sample, COMPONENTS // width)))
     members = placed.select("e", "rep", "copies", "cells", F.explode("cells").alias("cell"), F.xxhash64("rep", F.lit(5)).alias("order"))
-    sizes = cut(members.groupBy("cell").agg(F.ceil(F.count("*") / MOST).alias("parts"), F.count("*").alias("weight")))
+    sizes = cut(members.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts"), F.count("*").alias("weight")))
     dealt = spread_join(members, sizes, "cell", "weight").withColumn("own", F.pmod("order", "parts"))
     # A slice is indexed beside the queries of every slice, and asks in every slice; most cells have one.
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)

@@ -17,6 +17,8 @@ BLOCK, SHARD, BATCH, SUMMARIES = 64, 16_384, 4096, 1024
 WAVE = 4
 #: Shards' pivots at most, and the rows they are taken from.
 PIVOTS, SAMPLE = 1024, 16_384
+#: Components that one task (or the driver, for the sample) holds; wide vectors make smaller shards, batches and samples.
+COMPONENTS = 1 << 22
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -107,13 +109,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     if most >= 2.0**63:
         raise ValueError("components are too large for scores of 64 bits")
     kind = np.float64 if most < 2.0**53 else np.int64
+    shard_rows, batch_rows, sample_rows = (max(1, min(n_rows, COMPONENTS // width)) for n_rows in (SHARD, BATCH, SAMPLE))
 
     share = (F.shiftright(F.xxhash64("uid"), 11) + F.lit(1 << 52)) / float(1 << 53)  # 0 to 1
-    sample = [r[0] for r in rows.filter(share * n < SAMPLE).select("v").limit(SAMPLE).collect()] if n > SHARD else []
+    sample = [r[0] for r in rows.filter(share * n < sample_rows).select("v").limit(sample_rows).collect()] if n > shard_rows else []
     pivots = np.zeros((1, width))
     if sample:
         sample.sort()
-        pivots = dense(pa.array(sample, pa.list_(pa.int64())), width)[np.random.default_rng(1).choice(len(sample), min(len(sample), PIVOTS, -(-n // SHARD)), replace=False)]
+        pivots = dense(pa.array(sample, pa.list_(pa.int64())), width)[np.random.default_rng(1).choice(len(sample), min(len(sample), PIVOTS, -(-n // shard_rows)), replace=False)]
     sent = spark.sparkContext.broadcast(pivots)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(gap.argmin(axis=1))], ["uid", "vec_id", "v", "shard"])
 
     dealt = cut(rows.select("uid", "vec_id", "v").mapInArrow(deal, "uid long, vec_id long, v array<long>, shard long"))
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("parts"))
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).alias("parts"))
     placed = dealt.join(F.broadcast(sizes), "shard").withColumn("part", F.pmod(F.xxhash64("uid", F.lit(1)), "parts")).drop("parts")  # PIVOTS rows at most
 
     def first(group: pa.Table) -> pa.Table:
@@ -146,7 +149,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     # Summaries, a row a shard, and batches of queries meet once each.
     summaries = near.filter("uid is null").select("shard", "part", "most", "least")
     shards, queries = summaries.count(), asked.count()
-    slices, batches = max(1, -(-shards // SUMMARIES)), max(1, -(-queries // BATCH))
+    slices, batches = max(1, -(-shards // SUMMARIES)), max(1, -(-queries // batch_rows))
     span = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     met = summaries.withColumn("slice", F.pmod(F.xxhash64("shard", "part"), F.lit(slices))).withColumn("batch", span(batches))
     each = asked.withColumn("batch", F.pmod(F.xxhash64("uid", F.lit(2)), F.lit(batches))).withColumn("slice", span(slices))
@@ -167,7 +170,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
         return pa.table({**{c: pa.array(x, pa.int64()) for c, x in out.items()}, **{c: sent[c] for c in sent.column_names}})
 
     reached = cut(met.groupBy("slice", "batch").cogroup(each.groupBy("slice", "batch")).applyInArrow(reach, "shard long, part long, uid long, query_id long, v array<long>, low long"))
-    turns = reached.groupBy("shard", "part").agg(F.ceil(F.count("*") / BATCH).alias("turns"))
+    turns = reached.groupBy("shard", "part").agg(F.ceil(F.count("*") / batch_rows).alias("turns"))
     docs = placed.join(turns, ["shard", "part"]).select("shard", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "uid", "vec_id", "v")
     wanted = reached.join(turns, ["shard", "part"]).withColumn("turn", F.pmod(F.xxhash64("uid", F.lit(3)), "turns")).drop("turns")
 
