@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import language, mixing, neardup_graph, packing, simhash, substrings, topk, toxicity, urls, warc
+from assayloom.llm import collocations, contamination, language, merkle, mixing, neardup_graph, packing, simhash, substrings, topk, toxicity, urls, warc
 from assayloom.llm.common import work_dir
 
 
@@ -66,8 +66,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionAll(again.select(page("record_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", ""), "record_type", page("refers_to")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), {"text": tampered})
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_mixing, op3_topk, op4_simhash, op5_toxicity, op6_substrings, op7_language, op8_packing, op9_urls, op10_warc)}
+    return {f.__name__: f for f in (op1_embeddings, op2_mixing, op3_topk, op4_simhash, op5_toxicity, op6_substrings, op7_language, op8_packing, op9_urls, op10_warc, op11_merkle, op12_decontamination, op13_collocations)}
 
 
 def _op9_sql() -> str:
@@ -108,6 +124,52 @@ OP10_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM q"""
 
 
+LOWERED = f"translate({{}}, '{urls.UPPER}', '{urls.LOW}')"
+
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"
+
+
+def _op11_sql(levels: int = 14, sources: int = 6) -> str:
+    """One table a level: leaves under sources, then sources under the root; paths and folds follow them up."""
+    value = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(value(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    even = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c >> 8, tab[xor(c, b) & 255 + 1])), 4294967295) % 2 = 0".replace("& 255 + 1", "& 255) + 1").replace("tab[xor(c, b)", "tab[(xor(c, b)")
+    up = lambda t, k: f"{t}{k} AS (SELECT sid, p // 3 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, max((n + 2) // 3) AS n FROM {t}{k - 1} WHERE n > 1 GROUP BY sid, p // 3)"
+    beside = lambda t, k: f"{t}x{k} AS (SELECT a.sid, a.p, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p < a.p), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p > a.p), '') AS r FROM {t}{k} a JOIN {t}{k} b ON a.sid = b.sid AND a.p // 3 = b.p // 3 WHERE a.n > 1 GROUP BY a.sid, a.p)"
+    step = lambda c, t, k: f"{c}{k + 1} AS (SELECT c.uid, c.sid, c.p // 3 AS p, c.proof || coalesce(l || r, '') AS proof, CASE WHEN x.p IS NULL THEN c.f ELSE sha256(l || c.f || r) END AS f FROM {c}{k} c LEFT JOIN {t}x{k} x ON x.sid = c.sid AND x.p = c.p)"
+    tables = [
+        f"tab AS (SELECT {_CRC_TABLE} AS tab)",
+        f"d AS (SELECT *, {leaf('text')} AS leaf, CASE WHEN {even} THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS claim FROM documents, tab)",
+        "l AS (SELECT row_number() OVER () AS uid, doc_id, leaf, claim, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM d)",
+        "t0 AS (SELECT sid, p, leaf AS h, n FROM l)", *(up("t", k) for k in range(1, levels + 1)),
+        "roots AS (" + " UNION ALL ".join(f"SELECT sid, h FROM t{k} WHERE n = 1" for k in range(levels + 1)) + ")",
+        "s0 AS (SELECT 0 AS sid, sid AS p, h, count(*) OVER () AS n FROM roots)", *(up("s", k) for k in range(1, sources + 1)),
+        "top AS (" + " UNION ALL ".join(f"SELECT h FROM s{k} WHERE n = 1" for k in range(sources + 1)) + ")",
+        *(beside("t", k) for k in range(levels)), *(beside("s", k) for k in range(sources)),
+        "c0 AS (SELECT uid, sid, p, '' AS proof, claim AS f FROM l)", *(step("c", "t", k) for k in range(levels)),
+        f"e0 AS (SELECT uid, 0 AS sid, sid AS p, proof, f FROM c{levels})", *(step("e", "s", k) for k in range(sources)),
+    ]
+    return f"WITH {', '.join(tables)} SELECT l.doc_id, l.leaf, roots.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = top.h AS verified FROM l JOIN roots USING (sid) JOIN e{sources} e ON e.uid = l.uid, top"
+
+
+OP12_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(regexp_extract_all({LOWERED.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all({LOWERED.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT *, least(10, len(w)) AS m, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT uid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM g)), o AS (SELECT uid, i, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM p),
+h AS (SELECT uid, i, o.m, item_id FROM o JOIN g ON g.m = o.m AND g.g = o.g), c AS (SELECT uid, count(DISTINCT j) AS n FROM (SELECT uid, unnest(range(i, i + m)) AS j FROM h) GROUP BY 1),
+k AS (SELECT uid, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT uid, item_id FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(k.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, c.n IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (uid) LEFT JOIN k USING (uid)"""
+
+OP13_SQL = rf"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1), x AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) r(k)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM x GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS v, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, l.a AS l, r.a AS r, n, 1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a) AS score, j FROM c JOIN n ON n.lang = c.lang JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(v[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(v[j + 1:c.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+y AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND f.k > b.k AND 100 * f.a >= 100 * b.a AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Fingerprints (XXH64), seeded choices, learned models and token ids have no SQL."""
-    return {"op1_embeddings": OP1_SQL, "op3_topk": OP3_SQL, "op6_substrings": OP6_SQL, "op9_urls": _op9_sql(), "op10_warc": OP10_SQL}
+    return {"op1_embeddings": OP1_SQL, "op3_topk": OP3_SQL, "op6_substrings": OP6_SQL, "op9_urls": _op9_sql(), "op10_warc": OP10_SQL, "op11_merkle": _op11_sql(), "op12_decontamination": OP12_SQL, "op13_collocations": OP13_SQL}
