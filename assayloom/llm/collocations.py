@@ -16,9 +16,13 @@ from assayloom.llm.common import LOWER, chunks, cut, mix, spread_join, tidy
 
 #: Text bytes whose phrases are counted together before they become rows.
 TOGETHER = 8 << 20
-#: Bits of the filter that says which shorter phrases may be frequent. Its size is the same for any input; where it fills up, more
-#: phrases are counted, and the counts say what is frequent.
+#: Bits of the filter that says which shorter phrases may be frequent, a power of two. Its size is the same for any input; where it fills
+#: up, more phrases are counted, and the counts say what is frequent.
 FILTER_BITS = 1 << 26
+#: Bits of a pair's hash, beyond those of its place in the filter, by which pairs are told apart when they are counted for it.
+MORE_BITS = 9
+#: Hashes of pairs that are kept before they are added up, and groups that they are dealt out to at most.
+MOST_PAIRS, MOST_BUCKETS = 1 << 22, 1 << 12
 
 #: Bytes that end a piece, A-Z in lower case, and tabs as spaces.
 _NORMAL = bytearray(LOWER)
@@ -71,7 +75,7 @@ class _Phrases:
         """Places where a phrase of ``size`` words starts all of whose parts of ``known`` words may be frequent."""
         ok = self.last >= size
         if bits is not None and len(ok):
-            at = self.hashes(known) % np.uint64(FILTER_BITS)
+            at = self.hashes(known) >> np.uint64(65 - FILTER_BITS.bit_length())
             hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             for k in range(size - known + 1):
                 ok[: len(ok) - k] &= hit[k:]
@@ -124,19 +128,14 @@ def _exploded(docs: DataFrame, sizes: range, bits: np.ndarray | None, known: int
 
 
 def _filter(frequent: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, set where a phrase of ``frequent`` (lang, phrase) hashes to."""
+    """FILTER_BITS bits, set where a word of ``frequent`` (lang, phrase) hashes to."""
     slice_bytes = 1 << 15
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS >> 3, np.uint8)
         for batch in batches:
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                seed = xxhash.xxh64_intdigest(lang.encode())
-                words = [np.array([xxhash.xxh64_intdigest(w.encode(), seed)], np.uint64) for w in phrase.split(" ")]
-                out = words[0]
-                for w in words[1:]:
-                    out = _follow(out, w)
-                at = int(out[0]) % FILTER_BITS
+                at = xxhash.xxh64_intdigest(phrase.encode(), xxhash.xxh64_intdigest(lang.encode())) >> 65 - FILTER_BITS.bit_length()
                 bits[at >> 3] |= 1 << (at & 7)
         rows = bits.reshape(-1, slice_bytes)
         used = np.flatnonzero(rows.any(axis=1))
@@ -158,13 +157,100 @@ def _filter(frequent: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.diff(k, prepend=-1))
+    return k[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def _gaps(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys as 16-bit steps from one to the next, a long step as several, and where the steps of each key end; at the
+    places ``first`` they begin anew, from -1."""
+    step = np.diff(keys, prepend=-1)
+    step[first] = keys[first] + 1
+    long, rest = np.divmod(step - 1, 65535)
+    ends = np.cumsum(long + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 65535, np.uint16)
+    out[ends - 1] = rest
+    return out, ends
+
+
+def _from_gaps(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint16).astype(np.int64)
+    return (np.cumsum(steps + (steps < 65535)) - 1)[steps < 65535]
+
+
+def _pair_filter(rows: DataFrame, bits: np.ndarray, least: int, words: int) -> np.ndarray:
+    """FILTER_BITS bits, set where a pair of words of ``rows`` hashes to that may occur ``least`` times; ``bits`` is the filter of words.
+
+    Pairs are counted by a few more bits of their hash than the filter has places, so their strings need not travel: each task adds up its
+    own and packs them by ranges of hashes, about two bytes a pair; each range is then a stretch of the filter.
+    """
+    places = FILTER_BITS.bit_length() - 1
+    buckets = 64
+    while buckets < min(MOST_BUCKETS, FILTER_BITS >> 3, words >> 20):
+        buckets *= 2
+    per = (1 << places + MORE_BITS) // buckets
+    kind = np.uint8 if least < 256 else np.int64
+
+    def packed(keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not sum(map(len, keys)):
+            return
+        k, c = _added(keys, counts)
+        c = np.minimum(c, least).astype(kind)  # as good as any higher count
+        bucket = k // per
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        steps, ends = _gaps(k % per, first)
+        stops = np.append(first[1:], len(k))
+        cuts = np.concatenate(([0], ends[stops - 1]))
+        data = [steps[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [c[a:b].tobytes() for a, b in zip(first, stops, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), *(pa.array(v, pa.binary()) for v in data)], ["bucket", "steps", "counts"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, n = [], [], 0
+        for phrases in _langs(batches):
+            own = phrases.hashes(2)[phrases.maybe(2, bits, 1)] >> np.uint64(64 - places - MORE_BITS)
+            k, c = np.unique(own.astype(np.int64), return_counts=True)
+            keys.append(k)
+            counts.append(c)
+            n += len(k)
+            if n > MOST_PAIRS:
+                yield from packed(keys, counts)
+                keys, counts, n = [], [], 0
+        yield from packed(keys, counts)
+        tidy()
+
+    def union(bucket: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, n = [], [], 0
+        for batch in parts:
+            for steps, own in zip(batch.column("steps").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                keys.append(_from_gaps(steps))
+                counts.append(np.frombuffer(own, kind).astype(np.int64))
+                n += len(counts[-1])
+                if n > MOST_PAIRS:
+                    keys, counts = ([v] for v in _added(keys, counts))
+                    n = len(keys[0])
+        k, c = _added(keys, counts)
+        flags = np.zeros(FILTER_BITS // buckets, bool)
+        flags[k[c >= least] >> MORE_BITS] = True
+        yield pa.RecordBatch.from_arrays([pa.array([bucket[0].as_py()], pa.int64()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+
+    out = np.zeros(FILTER_BITS >> 3, np.uint8).reshape(buckets, -1)
+    for r in rows.mapInArrow(emit, "bucket long, steps binary, counts binary").groupBy("bucket").applyInArrow(union, "bucket long, bits binary").toLocalIterator():  # at most FILTER_BITS
+        out[r.bucket] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def counts(docs: DataFrame, max_n: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, n) with every language's words, and (lang, phrase, a) with all phrases of 1 to ``max_n`` words that occur ``least`` times.
 
     Phrases become rows and are added up per language. A phrase occurs at most as often as any part of it, so those with a part that is too rare are
-    left out before they become rows: words and their number first, then pairs of words that may be frequent, then longer phrases
-    all of whose pairs may be. ``may be`` is a filter of a fixed size, which is never wrong the other way; what is frequent,
-    the counts say.
+    left out before they become rows: words first, then pairs of frequent words by their hashes, then all phrases of two and more words whose
+    pairs may be frequent. ``may be`` is a filter of a fixed size, which is never wrong the other way; what is frequent, the counts
+    of the phrases themselves say.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
@@ -174,10 +260,8 @@ def counts(docs: DataFrame, max_n: int = 5, least: int = 100) -> tuple[DataFrame
     words = summed(range(1, 2), None, 1)
     total, found = words.filter("phrase is null").select("lang", F.col("a").alias("n")), words.filter("phrase is not null")
     if max_n > 1:
-        pairs = summed(range(2, 3), _filter(found), 1)
-        found = found.unionAll(pairs)
-        if max_n > 2:
-            found = found.unionAll(summed(range(3, max_n + 1), _filter(pairs), 2))
+        n = total.agg(F.sum("n")).first()[0] or 0
+        found = found.unionAll(summed(range(2, max_n + 1), _pair_filter(rows, _filter(found), least, n), 2))
     return total, found
 
 
