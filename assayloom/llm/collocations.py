@@ -75,7 +75,7 @@ class _Phrases:
         """Places where a phrase of ``size`` words starts all of whose parts of ``known`` words may be frequent."""
         ok = self.last >= size
         if bits is not None and len(ok):
-            at = self.hashes(known) >> np.uint64(65 - FILTER_BITS.bit_length())
+            at = self.hashes(known) >> np.uint64(65 - (len(bits) << 3).bit_length())
             hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             for k in range(size - known + 1):
                 ok[: len(ok) - k] &= hit[k:]
@@ -86,26 +86,26 @@ def _follow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9FB21C651E98DF25) + (b ^ (b >> np.uint64(31))))
 
 
-def _parts(text: bytes) -> Iterator[bytes]:
+def _parts(text: bytes, most: int) -> Iterator[bytes]:
     """A text; a very long one from one end of a piece to another, since no phrase crosses it."""
     a = 0
     while a < len(text):
-        end = _END.search(text, a + TOGETHER)
+        end = _END.search(text, a + most)
         b = end.end() if end else len(text)
         yield text[a:b]
         a = b
 
 
-def _langs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Phrases]:
+def _langs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Phrases]:
     """Phrases of slices of the batches, a language at a time."""
     held: dict[str, list[bytes]] = {}
     size = 0
-    for batch, texts in chunks(batches, most=TOGETHER):
+    for batch, texts in chunks(batches, most=most):
         for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
-            for part in _parts(text or b""):
+            for part in _parts(text or b"", most):
                 held.setdefault(lang, []).append(part)
                 size += len(part)
-                if size >= TOGETHER:
+                if size >= most:
                     yield from (_Phrases(k, v) for k, v in held.items())
                     held, size = {}, 0
     yield from (_Phrases(k, v) for k, v in held.items())
@@ -115,7 +115,7 @@ def _exploded(docs: DataFrame, sizes: range, bits: np.ndarray | None, known: int
     """(lang, phrase, c): phrases of these sizes as rows, counted within a few megabytes of text; a null phrase has the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for phrases in _langs(batches):
+        for phrases in _langs(batches, TOGETHER):
             if sizes[0] == 1:
                 yield pa.RecordBatch.from_arrays([pa.array([phrases.lang], pa.string()), pa.array([None], pa.string()), pa.array([len(phrases.code)], pa.int64())], ["lang", "phrase", "c"])
             for size in sizes:
@@ -211,7 +211,7 @@ def _pair_filter(rows: DataFrame, bits: np.ndarray, least: int, words: int) -> n
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, n = [], [], 0
-        for phrases in _langs(batches):
+        for phrases in _langs(batches, TOGETHER):
             own = phrases.hashes(2)[phrases.maybe(2, bits, 1)] >> np.uint64(64 - places - MORE_BITS)
             k, c = np.unique(own.astype(np.int64), return_counts=True)
             keys.append(k)
