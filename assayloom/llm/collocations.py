@@ -74,7 +74,7 @@ class _Phrases:
     def maybe(self, size: int, bits: np.ndarray | None, known: int) -> np.ndarray:
         """Places where a phrase of ``size`` words starts all of whose parts of ``known`` words may be frequent."""
         ok = self.last >= size
-        if bits is not None and len(ok):
+        if bits is not None and len(ok) >= size:
             at = self.hashes(known) >> np.uint64(65 - (len(bits) << 3).bit_length())
             hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             for k in range(size - known + 1):
