@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.operators.ordered import running
+
 
 def draw(seed: int, *parts: str | Column) -> Column:
     """A text to order rows by, as good as random: md5 of the seed and the parts."""
@@ -16,24 +18,30 @@ def _repeated(df: DataFrame, repeats: int) -> DataFrame:
     return df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)).cast("array<long>")))
 
 
+def drawn(df: DataFrame, by: tuple[str, ...], digest: Column) -> DataFrame:
+    """``df`` with __rank, a row's place (from 1) in its group by the digest, then the id, and all___rank, the group's rows.
+
+    The digest's first three digits are the row's stretch, so a group of any size is spread over 4,096 of them."""
+    ranked = running(df.withColumn("__digest", digest), by, F.substring("__digest", 1, 3), [F.col("__digest"), F.col("id")], {"__rank": F.lit(1).cast("long")})
+    return ranked.drop("__digest")
+
+
 def repeated_stratified_folds(df: DataFrame, k: int, repeats: int, seed: int = 0, target: str = "target") -> DataFrame:
     """``df`` once a repeat, with repeat and fold (0..k-1): each fold's share of every class differs by one row at most."""
-    w = Window.partitionBy("repeat", target).orderBy(draw(seed, "repeat", "id"), "id")
-    return _repeated(df, repeats).withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("long"))
+    ranked = drawn(_repeated(df, repeats), ("repeat", target), draw(seed, "repeat", "id"))
+    return ranked.withColumn("fold", F.pmod(F.col("__rank") - 1, F.lit(k)).cast("long")).drop("__rank", "all___rank")
 
 
 def shuffle_splits(df: DataFrame, splits: int, test: float = 0.3, seed: int = 0) -> DataFrame:
     """``df`` once a split, with repeat and test: ceil(test * n) rows of each split, whatever their class."""
-    w = Window.partitionBy("repeat")
-    rank = F.row_number().over(w.orderBy(draw(seed, "repeat", "id"), "id"))
-    return _repeated(df, splits).withColumn("test", rank <= F.ceil(F.lit(test) * F.count("*").over(w)))
+    ranked = drawn(_repeated(df, splits), ("repeat",), draw(seed, "repeat", "id"))
+    return ranked.withColumn("test", F.col("__rank") <= F.ceil(F.lit(test) * F.col("all___rank"))).drop("__rank", "all___rank")
 
 
 def stratified_split(df: DataFrame, share: float, seed: int = 0, target: str = "target") -> DataFrame:
     """``df`` with test: round(share * n) rows of each class."""
-    w = Window.partitionBy(target)
-    rank = F.row_number().over(w.orderBy(draw(seed, "id"), "id"))
-    return df.withColumn("test", rank <= F.floor(F.lit(share) * F.count("*").over(w) + 0.5))
+    ranked = drawn(df, (target,), draw(seed, "id"))
+    return ranked.withColumn("test", F.col("__rank") <= F.floor(F.lit(share) * F.col("all___rank") + 0.5)).drop("__rank", "all___rank")
 
 
 def bootstrap(df: DataFrame, n_bootstraps: int, seed: int = 0) -> DataFrame:

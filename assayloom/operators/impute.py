@@ -14,6 +14,7 @@ from assayloom.functions.dist import norm_cdf, norm_ppf
 from assayloom.operators.forest import Forest, boost, grow_forest
 from assayloom.operators.missing import detect_mnar
 from assayloom.operators.neighbours import nearest_having
+from assayloom.operators.ordered import medians
 
 
 def fill_mean(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def _filled_by(long: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def fill_median(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    return _filled_by(long, (long if reference is None else reference).groupBy("fi").agg(F.median("value").alias("__fill")))
+    return _filled_by(long, medians(long if reference is None else reference, ("fi",)).withColumnRenamed("median", "__fill"))
 
 
 def fill_mode(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.operators.ordered import quantiles, running, with_stretch
+
 #: Where the 101-point grid of false positive rates has specificity 99, 95, 90, 85 and 80 percent.
 SPECIFICITY_STEPS = {99: 1, 95: 5, 90: 10, 85: 15, 80: 20}
 
@@ -15,32 +17,41 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def roc_points(scored: DataFrame, by: tuple[str, ...] = ("group",)) -> DataFrame:
-    """(by, score, tp, fp, p, n): counts at or above each distinct score, and each class's size."""
+    """(by, score, tp, fp, p, n, dp, dn, k, last, above): counts at or above each distinct score, and each class's size; the score's own
+    rows, its number from the highest on, whether it is the lowest, and the next higher score.
+
+    A group of any size is shared by many tasks (``ordered.running``)."""
     w = F.coalesce(F.col("weight"), F.lit(1)) if "weight" in scored.columns else F.lit(1)
     at = scored.groupBy(*by, "score").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("dp"), F.sum(F.when(F.col("y") == 0, w).otherwise(0)).alias("dn"))
-    run = Window.partitionBy(*by).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*by)
-    return at.select(*by, "score", F.sum("dp").over(run).alias("tp"), F.sum("dn").over(run).alias("fp"), F.sum("dp").over(whole).alias("p"), F.sum("dn").over(whole).alias("n"))
+    cut = with_stretch(at, "score")
+    sums = {"tp": F.col("dp"), "fp": F.col("dn"), "k": F.lit(1).cast("long")}
+    run = running(cut, by, -F.col("__stretch"), [F.desc("score")], sums, {"above": F.col("score")}, -F.col("score"))
+    return run.select(*by, "score", "tp", "fp", F.col("all_tp").alias("p"), F.col("all_fp").alias("n"), "dp", "dn", "k", (F.col("k") == F.col("all_k")).alias("last"), "above")
 
 
 def roc_curve(points: DataFrame, by: tuple[str, ...] = ("group",)) -> DataFrame:
     """(by, k, fpr, tpr, threshold) from the origin on; the origin's threshold is the largest score, so no infinity arises."""
-    curve = points.filter("p > 0 and n > 0").select(*by, "score", (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"))
-    origin = curve.groupBy(*by).agg(F.max("score").alias("score")).select(*by, "score", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(0).alias("o"))
-    k = F.row_number().over(Window.partitionBy(*by).orderBy("o", F.desc("score")))
-    return origin.unionByName(curve.withColumn("o", F.lit(1))).select(*by, k.cast("long").alias("k"), "fpr", "tpr", F.col("score").alias("threshold"))
+    curve = points.filter("p > 0 and n > 0").select(*by, (F.col("k") + 1).alias("k"), (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"), F.col("score").alias("threshold"))
+    origin = curve.filter("k = 2").select(*by, F.lit(1).cast("long").alias("k"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), "threshold")
+    return origin.unionByName(curve)
 
 
 def roc_grid(points: DataFrame, by: tuple[str, ...] = ("group",), steps: int = 101) -> DataFrame:
-    """(by, step, tpr, threshold) on an even grid of false positive rates, linear between points and the last (highest) of equal ones."""
-    curve = roc_curve(points, by)
-    nxt = Window.partitionBy(*by).orderBy("k")
-    seg = curve.select(*by, "fpr", "tpr", "threshold", F.lead("fpr").over(nxt).alias("fpr2"), F.lead("tpr").over(nxt).alias("tpr2"), F.lead("threshold").over(nxt).alias("threshold2"))
+    """(by, step, tpr, threshold) on an even grid of false positive rates, linear between points and the last (highest) of equal ones.
+
+    Every point has the line that leads to it from the one before (the origin has the largest score), the lowest also what is left of the grid."""
+    seen = points.filter("p > 0 and n > 0")
+    x, y, t = F.col("fp") / F.col("n"), F.col("tp") / F.col("p"), F.col("score")
+    x0, y0, t0 = (F.col("fp") - F.col("dn")) / F.col("n"), (F.col("tp") - F.col("dp")) / F.col("p"), F.coalesce("above", "score")
+    none = F.lit(None).cast("double")
+    line = lambda *v: F.struct(*(c.alias(name) for c, name in zip(v, ("fpr", "tpr", "threshold", "fpr2", "tpr2", "threshold2"), strict=True)))
+    here, rest = line(x0, y0, t0, x, y, t), line(x, y, t, none, none, none)
+    seg = seen.select(*by, F.explode(F.when(F.col("last"), F.array(here, rest)).otherwise(F.array(here))).alias("s")).select(*by, "s.*")
     first, last = F.ceil(F.col("fpr") * (steps - 1) - 1e-9), F.when(F.col("fpr2").isNull(), steps - 1).otherwise(F.ceil(F.col("fpr2") * (steps - 1) - 1e-9) - 1)
     placed = seg.withColumns({"a": first.cast("long"), "b": last.cast("long")}).filter("a <= b").withColumn("step", F.explode(F.sequence("a", "b")))
     u = F.coalesce(F.try_divide(F.col("step") / float(steps - 1) - F.col("fpr"), F.col("fpr2") - F.col("fpr")), F.lit(0.0))
-    line = lambda x, y: F.col(x) + u * (F.coalesce(F.col(y), F.col(x)) - F.col(x))
-    return placed.select(*by, F.col("step").cast("long").alias("step"), line("tpr", "tpr2").alias("tpr"), line("threshold", "threshold2").alias("threshold"))
+    between = lambda x, y: F.col(x) + u * (F.coalesce(F.col(y), F.col(x)) - F.col(x))
+    return placed.select(*by, F.col("step").cast("long").alias("step"), between("tpr", "tpr2").alias("tpr"), between("threshold", "threshold2").alias("threshold"))
 
 
 def grid_summary(grid: DataFrame, by: tuple[str, ...] = ("group",), steps: int = 101) -> DataFrame:
@@ -51,15 +62,13 @@ def grid_summary(grid: DataFrame, by: tuple[str, ...] = ("group",), steps: int =
 
 def auc_exact(points: DataFrame, by: tuple[str, ...] = ("group",)) -> DataFrame:
     """(by, roc_auc): the chance that a positive scores above a negative, ties half; null where a class is empty."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    area = (F.col("fp") - F.coalesce(F.lag("fp").over(w), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(w), F.lit(0))) / 2.0
+    area = F.col("dn") * (2 * F.col("tp") - F.col("dp")) / 2.0
     return points.withColumn("area", area).groupBy(*by).agg(F.try_divide(F.sum("area"), F.max(F.col("p") * F.col("n"))).alias("roc_auc"))
 
 
 def pr_scores(points: DataFrame, by: tuple[str, ...] = ("group",)) -> DataFrame:
     """(by, average_precision_scores): the step-wise area under precision over recall of the scores."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    part = (F.col("tp") - F.coalesce(F.lag("tp").over(w), F.lit(0))) * ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+    part = F.col("dp") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     return points.withColumn("part", part).groupBy(*by).agg(ratio(F.sum("part"), F.max("p")).alias("average_precision_scores"))
 
 
@@ -121,8 +130,8 @@ def misclassified(labelled: DataFrame) -> DataFrame:
 
 def percentile_interval(values: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
     """(metric, mean, low, high): mean and the 2.5 and 97.5 percentiles, linear between values, rounded to five places."""
-    p = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return values.groupBy(metric).agg(F.avg(value).alias("m"), p.alias("p")).select(metric, F.round("m", 5).alias("mean"), F.round(F.col("p")[0], 5).alias("low"), F.round(F.col("p")[1], 5).alias("high"))
+    means = values.groupBy(metric).agg(F.avg(value).alias("m"))
+    return means.join(quantiles(values, (metric,), [0.025, 0.975], value), metric, "left").select(metric, F.round("m", 5).alias("mean"), F.round(F.col("q")[0], 5).alias("low"), F.round(F.col("q")[1], 5).alias("high"))
 
 
 def fold_report(scored: DataFrame, by: tuple[str, ...] = ("group",)) -> DataFrame:

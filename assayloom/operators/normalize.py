@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.operators.ordered import medians
 from assayloom.operators.stats import pair_sums
 
 safe = F.try_divide
@@ -28,8 +29,9 @@ def min_max_clip(long: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def centre_on_median(long: DataFrame, train: DataFrame) -> DataFrame:
-    fit = train.groupBy("fi").agg(F.median("value").alias("md"))
-    return long.join(fit, "fi").withColumn("value", F.col("value") - F.col("md")).drop("md")
+    """Each value less the median of ``train`` by feature; a feature without values there becomes missing."""
+    fit = train.select("fi").distinct().join(medians(train, ("fi",)), "fi", "left")
+    return long.join(fit, "fi").withColumn("value", F.col("value") - F.col("median")).drop("median")
 
 
 def log2(long: DataFrame) -> DataFrame:

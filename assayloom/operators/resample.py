@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.operators.folds import draw
+from assayloom.operators.folds import draw, drawn
 from assayloom.operators.neighbours import nearest
+from assayloom.operators.ordered import running, with_stretch
 
 #: The bandwidths tried, 20 from a tenth to ten on a log scale.
 BANDWIDTHS = np.logspace(-1, 1, 20)
@@ -37,8 +38,8 @@ def deltas(n0: int, n1: int, ratio: float, total: int) -> tuple[int, int]:
 def down_sample(df: DataFrame, wanted: dict[int, int], seed: int = 0) -> DataFrame:
     """``wanted`` rows of each class named, without replacement; other classes stay."""
     limit = F.coalesce(*(F.when(F.col("target") == c, F.lit(n)) for c, n in wanted.items()), F.lit(None).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("target").orderBy(draw(seed, "id"), "id"))
-    return df.withColumn("__r", rank).filter(limit.isNull() | (F.col("__r") <= limit)).drop("__r")
+    ranked = drawn(df, ("target",), draw(seed, "id"))
+    return ranked.filter(limit.isNull() | (F.col("__rank") <= limit)).drop("__rank", "all___rank")
 
 
 def _log_likelihood(train: np.ndarray, test: np.ndarray, h: float) -> float:
@@ -65,7 +66,9 @@ def best_bandwidth(df: DataFrame, folds: int = 5) -> float:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("__k", F.row_number().over(Window.partitionBy("target").orderBy("id")) - 1)
+    """``df`` with __k, the row's number in its class by id, from 0."""
+    ranked = running(with_stretch(df, "id"), ("target",), F.col("__stretch"), [F.col("id")], {"__k": F.lit(1).cast("long")})
+    return ranked.withColumn("__k", F.col("__k") - 1).drop("__stretch", "all___k")
 
 
 def kde_up_sample(df: DataFrame, target: int, extra: int, seed: int = 0, first: int = 0) -> DataFrame:

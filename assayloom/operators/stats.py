@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.dist import p_of_f, p_of_t
+from assayloom.operators.ordered import running, with_stretch
 
 safe = F.try_divide
 
@@ -68,10 +69,11 @@ def univariate_scores(long: DataFrame) -> DataFrame:
 
 
 def average_ranks(long: DataFrame, by: tuple[str, ...] = ("fi",)) -> DataFrame:
-    """Ranks of values by feature, ties sharing their mean."""
-    w = Window.partitionBy(*by).orderBy("value")
-    ties = Window.partitionBy(*by, "value")
-    return long.filter("value is not null").withColumn("r", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
+    """Ranks of values by feature, ties sharing their mean. Distinct values are ranked, whatever rows have them, and meet the rows again."""
+    there = long.filter("value is not null")
+    at = with_stretch(there.groupBy(*by, "value").agg(F.count("*").alias("c")), "value")
+    ranked = running(at, by, F.col("__stretch"), [F.col("value")], {"r": F.col("c")})
+    return there.join(ranked.select(*by, "value", (F.col("r") - (F.col("c") - 1) / 2.0).alias("r")), [*by, "value"])
 
 
 #: Features whose products with others are held at once.

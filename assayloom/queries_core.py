@@ -201,14 +201,14 @@ CURVE_SQL = f"{POINTS_SQL}, {GRID_SQL}"
 
 @query(f"""WITH {POINTS_SQL} SELECT g AS "group", score, tp::BIGINT AS tp, fp::BIGINT AS fp, p::BIGINT AS p, n::BIGINT AS n FROM pts""")
 def roc_points(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.roc_points(scores(spark, sf))
+    return metrics.roc_points(scores(spark, sf)).select("group", "score", "tp", "fp", "p", "n")
 
 
 @query("""WITH s AS (SELECT l_discount AS score, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS y FROM lineitem), d AS (SELECT score, sum(y) AS dp, sum(1 - y) AS dn FROM s GROUP BY score)
 SELECT CAST(0 AS BIGINT) AS "group", round(score, 6) AS score, sum(dp) OVER w ::BIGINT AS tp, sum(dn) OVER w ::BIGINT AS fp, sum(dp) OVER () ::BIGINT AS p, sum(dn) OVER () ::BIGINT AS n FROM d WINDOW w AS (ORDER BY score DESC)""")
 def roc_points_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(F.lit(0).cast("long").alias("group"), F.col("l_discount").alias("score"), (F.col("l_linestatus") == "F").cast("int").alias("y"))
-    return r6(metrics.roc_points(rows), "score")
+    return r6(metrics.roc_points(rows).select("group", "score", "tp", "fp", "p", "n"), "score")
 
 
 @query(f"""WITH {CURVE_SQL} SELECT g AS "group", step, round(tpr, 6) + 0.0 AS tpr, round(threshold, 6) + 0.0 AS threshold FROM grid""")
