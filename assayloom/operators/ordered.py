@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a stretch that are aimed at, and stretches at most: SIDE squared, found in two steps of SIDE.
-ROWS, SIDE = 1 << 16, 32
+#: Rows of a stretch that are aimed at, and stretches at most, a power of two.
+ROWS, STRETCHES = 1 << 18, 1024
 #: Cuts of a quantile's first look at a group, and the accuracy of Spark's sketch, whose rank is off by one in so many rows at most.
 CUTS, ACCURACY = 512, 10_000
 
 
 def _sketch(value: str, shares: list[float]) -> Column:
-    """Spark's approximate percentiles; as text, since a call a number takes longer than the query."""
-    return F.expr(f"percentile_approx(`{value}`, array({', '.join(f'{x!r}D' for x in shares)}), {ACCURACY})")
+    """Spark's approximate percentiles. The shares are one text: as many literals would take longer to plan than to run."""
+    return F.expr(f"percentile_approx(`{value}`, cast(split('{' '.join(map(repr, shares))}', ' ') as array<double>), {ACCURACY})")
 
 
 def with_stretch(df: DataFrame, value: str, name: str = "__stretch") -> DataFrame:
@@ -25,12 +25,11 @@ def with_stretch(df: DataFrame, value: str, name: str = "__stretch") -> DataFram
 
     Cuts are quantiles of the whole table, so a group that holds most of it is cut as finely as that. They are one row, which is joined
     to all; tables of up to ROWS rows are one stretch."""
-    most = SIDE * SIDE
+    most = STRETCHES
     cuts = df.agg(_sketch(value, [(i + 1) / most for i in range(most)]).alias("__cuts"), F.least(F.lit(most), F.ceil(F.count(value) / ROWS)).alias("__k"))
     v = F.col(value)
-    under = lambda cuts: F.size(F.filter(cuts, lambda c: c < v))
-    block = under(F.transform(F.sequence(F.lit(SIDE), F.lit(most), F.lit(SIDE)), lambda i: F.get("__cuts", i - 1)))
-    place = F.least(F.lit(most - 1), block * SIDE + under(F.slice("__cuts", block * SIDE + 1, F.lit(SIDE))))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(most.bit_length() - 1))))
+    place = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("__cuts", at + step - 1) < v, step).otherwise(F.lit(0)))  # how many cuts are below
     stretch = F.when((F.col("__k") > 1) & v.isNotNull(), F.floor(place * F.col("__k") / most)).otherwise(F.when(v.isNull(), -1).otherwise(0))
     return df.crossJoin(F.broadcast(cuts)).withColumn(name, stretch.cast("long")).drop("__cuts", "__k")
 

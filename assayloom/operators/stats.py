@@ -80,12 +80,13 @@ def average_ranks(long: DataFrame, by: tuple[str, ...] = ("fi",)) -> DataFrame:
 FEATURES = 512
 
 
-def pair_sums(long: DataFrame, value: str = "value") -> DataFrame:
-    """(f_i, f_j, n, sx, sy, sxy, sxx, syy) for f_i <= f_j over the ids that have both; values are taken from their feature's mean.
+def pair_sums(long: DataFrame, value: str = "value", means: DataFrame | None = None) -> DataFrame:
+    """(f_i, f_j, n, sx, sy, sxy, sxx, syy) for f_i <= f_j over the ids that have both; values are taken from their feature's mean
+    (``means``: fi, mu, where they are known).
 
     A partition adds up the products of its ids' rows as matrices, block of features by block, and sends a row a pair; so what is
     shuffled does not grow with the ids beyond the partitions."""
-    means = long.groupBy("fi").agg(F.avg(value).alias("mu"))  # a row a feature
+    means = long.groupBy("fi").agg(F.avg(value).alias("mu")) if means is None else means  # a row a feature
     near = long.join(F.broadcast(means), "fi").filter(F.col(value).isNotNull()).select("id", "fi", (F.col(value) - F.col("mu")).alias("v"))
     rows = near.groupBy("id").agg(F.collect_list("fi").alias("f"), F.collect_list("v").alias("v"))
     names = np.array(sorted(r[0] for r in means.select("fi").collect()), np.int64)
@@ -112,16 +113,17 @@ def pair_sums(long: DataFrame, value: str = "value") -> DataFrame:
     return parts.groupBy("f_i", "f_j").agg(*(F.sum(c).alias(c) for c in kinds))
 
 
-def pair_correlations(long: DataFrame, value: str = "value") -> DataFrame:
+def pair_correlations(long: DataFrame, value: str = "value", means: DataFrame | None = None) -> DataFrame:
     """(f_i, f_j, corr) for i <= j over the ids that have both; null where one does not vary."""
     n, sx, sy, sxy, sxx, syy = (F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy"))
     corr = safe(n * sxy - sx * sy, F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0)) * F.greatest(n * syy - sy * sy, F.lit(0.0))))
-    return pair_sums(long, value).select("f_i", "f_j", corr.alias("corr"))
+    return pair_sums(long, value, means).select("f_i", "f_j", corr.alias("corr"))
 
 
 def spearman(long: DataFrame) -> DataFrame:
     """Spearman's correlation of every pair of features without missing values: Pearson's on average ranks."""
-    return pair_correlations(average_ranks(long), "r")
+    means = long.groupBy("fi").agg(((F.count("value") + 1) / 2).alias("mu"))  # of ranks
+    return pair_correlations(average_ranks(long), "r", means)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: tuple[str, ...] = (), out: str = "p_adjusted") -> DataFrame:
