@@ -124,10 +124,8 @@ def keep_one(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42) -
     first = F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("i"), "key")).alias("first")
     # The best of each fingerprint first, so that copies are settled before anything is joined.
     best = prints.groupBy("fp").agg(first).join(labels, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    chosen = best.select(F.col("first.i").alias("__id"), F.col("first.key").alias("__key"))
-    met = docs.withColumns({"__id": F.coalesce(doc_id, F.lit(0)), "__key": key}).join(chosen, ["__id", "__key"], "left_semi")
-    own = {c: F.col(f"`{c}`") for c in docs.columns}
-    rest = [c for c in own if c not in ("doc_id", "text")]
-    others = [F.min_by(F.struct(*(own[c] for c in rest)), F.xxhash64(*own.values())).alias("__rest")] if rest else []
-    once = met.groupBy("__id", "__key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), *others)
-    return once.select(*(own[c] if c in ("doc_id", "text") else F.col(f"__rest.`{c}`").alias(c) for c in own))
+    chosen = best.select(F.col("first.i").alias("i"), F.col("first.key").alias("key"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("i"), key.alias("key"), F.xxhash64(*own).alias("by"), F.struct(*own).alias("row"))
+    once = rows.join(chosen, ["i", "key"], "left_semi").groupBy("i", "key").agg(F.min_by("row", "by").alias("row"))
+    return once.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

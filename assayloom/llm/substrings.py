@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayloom.llm.common import chunks, dealt, run_hashes, tidy, word_hashes
+from assayloom.llm.common import HOT_KEYS, chunks, cut, dealt, run_hashes, tidy, word_hashes
 
 #: Perfect difference sets by their period; every difference modulo the period occurs once.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -105,6 +105,9 @@ def _repeats(table: pa.Table) -> pa.Table:
     k1, k2, at = k1[dup], k2[dup], at[dup]
     order = np.lexsort((at, k2, k1))
     k1, k2, at = k1[order], k2[order], at[order]
+    once = np.ones(len(at), bool)  # rows repeated whole share a key and their places
+    once[1:] = (np.diff(k1) != 0) | (np.diff(k2) != 0) | (np.diff(at) != 0)
+    k1, k2, at = k1[once], k2[once], at[once]
     cuts = np.flatnonzero((np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1
     first = np.concatenate(([0], cuts)) if len(at) else np.zeros(0, np.int64)
     tidy()
@@ -154,7 +157,7 @@ def _anchors(keyed: DataFrame, length: int, buckets: int, size: int) -> DataFram
 
 
 def _merge(found: DataFrame) -> DataFrame:
-    """One row a document with all its places; a document has as many pieces as buckets at most."""
+    """One row a key with its places, each twice at most: where its hash belongs, and where those known to repeat are sent."""
     return found.groupBy("k1", "k2").agg(F.collect_list("places").alias("places"))
 
 
@@ -172,8 +175,9 @@ def _windows(candidates: DataFrame, length: int, buckets: int, size: int) -> Dat
             k1, k2 = _keys(batch)
             b = _Batch(texts)
             near = np.zeros(len(b.at) + 1, np.int64)  # a window holds an anchor up to period - 1 words after its start
-            for i, places in enumerate(batch.column(batch.schema.get_field_index("places")).to_pylist()):
-                at = _places(places)
+            places, whole = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("places", "whole"))
+            for i, (own, every) in enumerate(zip(places, whole, strict=True)):
+                at = np.arange(b.counts[i]) if every else _places(own)
                 np.add.at(near, b.first[i] + np.maximum(at - period + 1, 0), 1)
                 np.add.at(near, b.first[i] + at + 1, -1)
             at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & b.fits(length))
@@ -190,24 +194,38 @@ def _keyed(docs: DataFrame, also: str | None = None) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int = 35, also: str | None = None) -> DataFrame:
-    """(doc_id, text, places array<binary>) of every row of ``docs``: starts, as 32-bit integers, of windows that occur elsewhere too."""
+    """(doc_id, text, places array<binary>, whole boolean) of every row of ``docs``: starts, as 32-bit integers, of windows that occur
+    elsewhere too; ``whole``: all of them do.
+
+    Rows repeated whole have one key and one set of places. A key with more than one row in HOT_KEYS needs none, since its
+    rows repeat all of each other's windows: they stay where they are, only other texts are dealt out by their keys.
+    """
     keyed = _keyed(docs, also)
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sizes = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    more = F.col("n") > 1
+    sizes = cut(sizes.groupBy(F.when(more, F.col("k1")).alias("k1"), F.when(more, F.col("k2")).alias("k2")).agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
+    size, n = (v or 0 for v in sizes.agg(F.sum("size"), F.sum("n")).first())
+    hot = sizes.filter(F.col("k2").isNotNull() & (F.col("n") > 1) & (F.col("n") * HOT_KEYS > n)).select("k1", "k2")
     # About a word in six bytes, and a quarter of the words start an anchor; at most all of them a window.
     buckets, more = max(LEAST_GROUPS, -(-size // (24 * GROUP_ITEMS))), max(LEAST_GROUPS, -(-size // (12 * GROUP_ITEMS)))
     rows = keyed.select("k1", "k2", "text")
     anchors = _merge(_anchors(rows, length, buckets, size))  # items take about as many bytes as the texts
-    keyed = dealt(keyed, ["k1", "k2"], size)
+    own = ["k1", "k2", "text", "doc_id", *([also] if also else [])]
+    hot_rows = keyed.join(F.broadcast(hot), ["k1", "k2"], "left_semi").select(*own, F.lit(None).cast("array<binary>").alias("places"), F.lit(True).alias("whole"))
+    cold = dealt(keyed.join(F.broadcast(hot), ["k1", "k2"], "left_anti"), ["k1", "k2"], size)
     # The same columns as below, so that the texts are shuffled once and that exchange is used again.
-    candidates = keyed.join(anchors, ["k1", "k2"])
+    candidates = cold.join(anchors, ["k1", "k2"]).select(*own, "places", F.lit(False).alias("whole")).unionAll(hot_rows)
     windows = _merge(_windows(candidates, length, more, size))
-    return keyed.join(windows, ["k1", "k2"], "left").select("doc_id", "text", "places", *([also] if also else []))
+    found = cold.join(windows, ["k1", "k2"], "left").select(*own, "places", F.lit(False).alias("whole")).unionAll(hot_rows)
+    return found.select("doc_id", "text", "places", "whole", *([also] if also else []))
 
 
-def _cleaned(text: bytes | None, values: list | None, length: int) -> tuple[int, int, bytes]:
+def _cleaned(text: bytes | None, values: list | None, whole: bool, length: int) -> tuple[int, int, bytes]:
     """Words, words removed, and the kept ones joined by a space."""
     words = (text or b"").split()
     n = len(words)
+    if whole and n >= length:
+        return n, n, b""
     if not values:
         return n, 0, b" ".join(words)
     at, cover = _places(values), np.zeros(n + 1, np.int64)
@@ -229,10 +247,10 @@ def rewrite(docs: DataFrame, length: int = 35) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            places = batch.column(batch.schema.get_field_index("places")).to_pylist()
-            new = [_cleaned(t, v, length)[2] if v else t for t, v in zip(texts, places, strict=True)]
+            done = [(t, _cleaned(t, v, whole, length)) for t, v, whole in zip(texts, *(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("places", "whole")), strict=True)]
+            new = [kept if removed else t for t, (_, removed, kept) in done]
             own = batch.column(batch.schema.get_field_index("__own"))
-            yield pa.RecordBatch.from_arrays([own, pa.array(new, pa.binary()).cast(pa.string()), pa.array([bool(v) for v in places])], ["__own", "__text", "__cut"])
+            yield pa.RecordBatch.from_arrays([own, pa.array(new, pa.binary()).cast(pa.string()), pa.array([removed > 0 for _, (_, removed, _) in done])], ["__own", "__text", "__cut"])
 
     schema = T.StructType([T.StructField("__own", found.schema["__own"].dataType), T.StructField("__text", T.StringType()), T.StructField("__cut", T.BooleanType())])
     new = found.mapInArrow(run, schema)  # all columns, so that the exchange of the texts is the one used before
@@ -255,7 +273,7 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            done = [_cleaned(t, v, length) for t, v in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            done = [_cleaned(t, v, whole, length) for t, v, whole in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             n_words, n_removed, kept = ([x[i] for x in done] for i in range(3))
             text = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text], ["doc_id", "n_words", "n_removed", "kept_text"])

@@ -23,7 +23,7 @@ from assayloom.llm.cutting import solve, whole_patterns
 from ..conftest import SF
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, places string, h string, size string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, places string, h string, size string, __id string, __key string, __hot boolean, __own string, __text string, whole string"
 PASSAGE = " ".join(f"w{i}" for i in range(40))
 
 
@@ -35,7 +35,7 @@ def odd(spark):
         (1, PASSAGE + " tail one", "en", "a", 3), (2, "head " + PASSAGE, "en", "a", 3), (3, None, None, None, None), (4, "", "en", "b", 0), (5, " \t\n ", "fr", None, 3), (None, "no id " + PASSAGE, "en", "a", 1),
         (7, long_text, "de", "b", 9), (8, "Same Words here", "en", "c", 1), (8, "Same Words here", "en", "c", 1), (9, "same  words\there", "en", "c", 1), (10, "été où ça 日本語 " + "x" * 400, "fr", "c", 1), (11, "123 ,.;", "de", "a", 2), (-5, PASSAGE, "en", "é", 2),
     ]
-    return spark.createDataFrame([(*r, None, "z", "z", "z") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, None, "z", "z", "z", "i", "k", True, "o", "t", "w") for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +114,30 @@ def test_one_of_each_group_stays(spark, odd, docs):
         assert sorted(map(str, simhash.keep_one(df.repartition(3)).collect())) == sorted(map(str, kept.collect()))
 
 
+def test_kept_rows_keep_every_column(odd):
+    """Whatever a column is called, it comes back as it was."""
+    rows = {str(r) for r in odd.collect()}
+    for stage in (simhash.keep_one, language.keep_identified, mixing.resample):
+        kept = stage(odd)
+        assert kept.columns == odd.columns and kept.count()
+        if stage is not language.keep_identified:  # which fills in a lang
+            assert {str(r) for r in kept.collect()} <= rows
+    assert all((r["__id"], r["__key"], r["__hot"], r["__own"], r["__text"], r.whole) == ("i", "k", True, "o", "t", "w") for f in (substrings.rewrite, language.keep_identified) for r in f(odd).collect())
+
+
+@pytest.mark.parametrize("copies", [3, 1000])
+def test_rows_repeated_whole_have_places_once(spark, copies):
+    """What is sent for n copies of a row grows with n, whether its key is hot or not, and what it shares with others is found."""
+    text = " ".join(f"r{i}" for i in range(1000))
+    rows = [(1, text)] * copies + [(2, "a b c " + " ".join(f"r{i}" for i in range(300, 360)) + " d"), (3, "alone"), (4, "short twin"), (4, "short twin")]
+    rows += [(10 + i, f"other {i} words") for i in range(5000 if copies == 3 else 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    places = substrings.repeated_windows(docs).select(F.aggregate(F.coalesce("places", F.array().cast("array<binary>")), F.lit(0), lambda n, p: n + F.length(p)).alias("b")).agg(F.max("b"), F.sum("b")).first()
+    assert places[0] <= 2 * 4 * 1000 and places[1] <= 2 * 4 * 1000 * (copies if copies == 3 else 1) + 2000
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(docs).collect() if r.doc_id < 10)
+    assert got == collections.Counter({(1, 1000, 1000, ""): copies, (2, 64, 60, "a b c d"): 1, (3, 1, 0, "alone"): 1, (4, 2, 0, "short twin"): 2})
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     more = spark.createDataFrame([(100, 101), (101, 100), (7, 7), (None, 3)], "src long, dst long")
