@@ -1,4 +1,4 @@
-"""k nearest neighbours of rows of a short, wide matrix: blocks of rows against blocks of rows, best k merged by row."""
+"""k nearest neighbours of the rows of a wide matrix: candidates in blocks of near ones, rows sent to the blocks that may hold their best."""
 
 from __future__ import annotations
 
@@ -10,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.runtime import kept
+
+#: What is offered for rows (ids, matrix) by candidates (ids, matrix).
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple]]
+
 #: Rows of a block of queries and of a block of candidates; a task compares one of each.
 BLOCK, OTHERS = 4096, 2048
 #: Queries compared at once.
@@ -66,15 +71,85 @@ def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return row[rank < k], place[rank < k]
 
 
-def _blocks(rows: DataFrame, other: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple]], names: dict[str, pa.DataType]) -> DataFrame:
-    """What ``kernel`` gives of (ids, matrix) of every block of ``rows`` and every block of ``other``. The blocks of ``other`` are sent to
-    each block of ``rows``, so with few rows to ask for, little is sent."""
-    n, workers = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
-    parts, others = max(1, -(-n // BLOCK), min(workers, -(-n // STEP))), max(1, -(-other.count() // OTHERS))
-    here, there = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64("id"), F.lit(others))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = rows.select("id", "x", here.alias("p"), every(others).alias("o")).toDF("id", "x", "p", "o")
-    right = other.select("id", "x", every(parts).alias("p"), there.alias("o")).toDF("id", "x", "p", "o")
+#: Blocks of candidates, and numbers that the summaries of all of them hold together, at most; more rows make larger blocks.
+MOST_BLOCKS, SUMMARY = 4096, 1 << 22
+
+
+class _Summaries:
+    """What is known of every block of candidates: the range of each coordinate among its rows, and how few of them a row has."""
+
+    def __init__(self, block: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray, counts: np.ndarray):
+        self.block, self.low, self.high, self.least, self.counts = block, low, high, least, counts
+
+    def bounds(self, x: np.ndarray, metric: str) -> np.ndarray:
+        """No row of a block (a column each) is nearer to the rows of ``x`` than this. Where coordinates are missing a distance is a
+        mean over those shared, so the bound is that of as few as may be, the nearest ones."""
+        x = _spread(x, metric)
+        out = np.empty((len(x), len(self.block)))
+        for r, row in enumerate(x):
+            off = np.maximum(np.maximum(self.low - row, row - self.high), 0)  # infinite where a block has no such coordinate, nan where the row has none
+            if metric == "chebyshev":
+                out[r] = off.max(axis=1)
+            elif metric == "manhattan":
+                out[r] = off.sum(axis=1)
+            elif metric == "masked_euclidean":
+                shared = np.maximum(1, (~np.isnan(row)).sum() + self.least - len(row))
+                near = np.sort(np.where(np.isnan(off), np.inf, off) ** 2, axis=1)
+                out[r] = np.sqrt(len(row) * np.take_along_axis(np.cumsum(near, axis=1), shared[:, None] - 1, axis=1)[:, 0] / shared)
+            else:
+                out[r] = np.sqrt((off**2).sum(axis=1)) if metric == "euclidean" else (off**2).sum(axis=1) / 2
+        return np.where(np.isnan(out), 0, out) * (1 - 1e-9)
+
+
+def _spread(x: np.ndarray, metric: str) -> np.ndarray:
+    """Rows whose Euclidean distances give those of the metric."""
+    if metric == "correlation":
+        x = x - x.mean(axis=1, keepdims=True)
+    if metric in ("cosine", "correlation"):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
+def _placed(other: DataFrame, metric: str) -> tuple[DataFrame, _Summaries | None]:
+    """(id, x, block) of the candidates, near ones together: with the nearest of some of them, a row in OTHERS. Where many are with the
+    same one, blocks are parts of its rows."""
+    n = other.count()
+    width = (other.select(F.max(F.size("x"))).first()[0] or 1) if n > OTHERS else 1
+    cells = min(-(-n // OTHERS), MOST_BLOCKS, max(1, SUMMARY // width))
+    if cells <= 1:
+        return other.select("id", "x", F.lit(0).cast("long").alias("block")), None
+    chosen = other.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(cells).collect()
+    pivots = np.array([[np.nan if v is None else v for v in r.x] for r in chosen], float)
+
+    def place(batches):
+        for batch in batches:
+            x = _matrix(pa.chunked_array([batch.column("x")])) if batch.num_rows else np.zeros((0, width))
+            cell = np.concatenate([np.argmin(np.nan_to_num(distances(x[s : s + STEP], pivots, metric), nan=np.inf), axis=1) for s in range(0, len(x), STEP)]) if len(x) else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], ["id", "x", "cell"])
+
+    placed = kept(other.select("id", "x").mapInArrow(place, "id long, x array<double>, cell long"))
+    size = -(-n // cells) * 2
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("parts"))  # a row a pivot
+    cut = placed.join(F.broadcast(parts), "cell").select("id", "x", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+
+    def ranges(table: pa.Table) -> pa.Table:
+        raw = _matrix(table["x"])
+        x = _spread(raw, metric)
+        there = ~np.isnan(x)
+        low, high = np.where(there, x, np.inf).min(axis=0), np.where(there, x, -np.inf).max(axis=0)
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "low": pa.array([low.tolist()]), "high": pa.array([high.tolist()]), "least": pa.array([int(there.sum(axis=1).min())], pa.int64()), "counts": pa.array([(~np.isnan(raw)).sum(axis=0).tolist()])})
+
+    found = cut.groupBy("block").applyInArrow(ranges, "block long, low array<double>, high array<double>, least long, counts array<long>").orderBy("block").collect()  # SUMMARY numbers
+    return cut, _Summaries(*(np.array([r[c] for r in found]) for c in ("block", "low", "high", "least", "counts")))
+
+
+def _met(rows: DataFrame, placed: DataFrame, kernel: Kernel, names: dict[str, pa.DataType]) -> DataFrame:
+    """What ``kernel`` gives of (ids, matrix) of the ``rows`` (id, x, block) and of the candidates of their block. Where many rows ask for a block, they
+    are dealt out and the block is sent to each part."""
+    asked = rows.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))  # a row a block
+    left = rows.join(F.broadcast(asked), "block").select("id", "x", "block", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).toDF("id", "x", "block", "part")
+    right = placed.join(F.broadcast(asked), "block").select("id", "x", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).toDF("id", "x", "block", "part")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -86,7 +161,42 @@ def _blocks(rows: DataFrame, other: DataFrame, kernel: Callable[[np.ndarray, np.
         return pa.table({c: pa.array(v, t) for (c, t), v in zip(names.items(), columns, strict=True)})
 
     kinds = {pa.int64(): "long", pa.float64(): "double"}
-    return left.groupBy("p", "o").cogroup(right.groupBy("p", "o")).applyInArrow(run, ", ".join(f"{c} {kinds[t]}" for c, t in names.items()))
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, ", ".join(f"{c} {kinds[t]}" for c, t in names.items()))
+
+
+def _searched(rows: DataFrame, other: DataFrame, metric: str, kernel: Kernel, names: dict[str, pa.DataType], reach: Callable[[DataFrame, np.ndarray], DataFrame]) -> DataFrame:
+    """The kernel's offers, among them the best of all candidates for each of ``rows``.
+
+    A row is first compared with the block it is nearest to. ``reach`` says from those offers how far (id, far) the best may still be, null
+    for anywhere; then the row is sent to the other blocks whose summary allows as near a row, and to no more. So among rows in
+    clusters the work grows with the rows, not with their pairs; where nothing can be ruled out, all blocks are asked."""
+    rows = rows.select("id", "x")
+    placed, seen = _placed(other, metric)
+    if seen is None:
+        workers = rows.sparkSession.sparkContext.defaultParallelism
+        n = rows.count()
+        parts = max(1, -(-n // BLOCK), min(workers, -(-n // STEP)))
+        spread = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block"))  # one block of candidates, for each part of the rows
+        return _met(spread, placed.select("id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block")), kernel, names)
+
+    def home(batches):
+        for batch in batches:
+            x = _matrix(pa.chunked_array([batch.column("x")])) if batch.num_rows else np.zeros((0, seen.low.shape[1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen.block[seen.bounds(x, metric).argmin(axis=1)] if len(x) else [], pa.int64())], ["id", "x", "block"])
+
+    def away(batches):
+        for batch in batches:
+            x = _matrix(pa.chunked_array([batch.column("x")])) if batch.num_rows else np.zeros((0, seen.low.shape[1]))
+            far, own = pc.fill_null(batch.column("far"), np.inf).to_numpy(zero_copy_only=False), batch.column("block").to_numpy(zero_copy_only=False)
+            row, to = np.nonzero((seen.bounds(x, metric) <= far[:, None]) & (seen.block[None, :] != own[:, None])) if len(x) else (np.zeros(0, int),) * 2
+            for s in range(0, len(row), 4096):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[s : s + 4096])), batch.column(1).take(pa.array(row[s : s + 4096])), pa.array(seen.block[to[s : s + 4096]], pa.int64())], ["id", "x", "block"])
+
+    at_home = kept(rows.mapInArrow(home, "id long, x array<double>, block long"))
+    first = kept(_met(at_home, placed, kernel, names))
+    asking = at_home.join(reach(first, seen.counts.sum(axis=0)), "id", "left")
+    more = _met(kept(asking.select("id", "x", "block", "far").mapInArrow(away, "id long, x array<double>, block long")), placed, kernel, names)
+    return first.unionByName(more)
 
 
 def _apart(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray, metric: str = "masked_euclidean") -> np.ndarray:
@@ -106,7 +216,10 @@ def nearest(rows: DataFrame, k: int, other: DataFrame | None = None, metric: str
         row, place = _smallest(d, idb, k)
         return [(ida[row], idb[place], d[row, place])]
 
-    found = _blocks(rows, rows if other is None else other, kernel, {"id": pa.int64(), "nid": pa.int64(), "distance": pa.float64()})
+    def reach(first: DataFrame, _: np.ndarray) -> DataFrame:
+        return first.groupBy("id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("distance")).alias("d")).select("id", F.when(F.col("n") >= k, F.get("d", F.lit(k - 1))).alias("far"))
+
+    found = _searched(rows, rows if other is None else other, metric, kernel, {"id": pa.int64(), "nid": pa.int64(), "distance": pa.float64()}, reach)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 12), "nid"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -126,6 +239,15 @@ def nearest_having(rows: DataFrame, k: int, other: DataFrame | None = None) -> D
         return out
 
     asking = rows.filter(F.exists("x", lambda v: v.isNull()))
-    found = _blocks(asking, rows if other is None else other, kernel, {"id": pa.int64(), "fi": pa.int64(), "nid": pa.int64(), "value": pa.float64(), "distance": pa.float64()})
+
+    def reach(first: DataFrame, having: np.ndarray) -> DataFrame:
+        """Of a row's gaps the one whose kth offer is farthest; anywhere, while one that can be filled has fewer."""
+        wanted = asking.sparkSession.createDataFrame([(j, int(min(k, n))) for j, n in enumerate(having) if n], "fi long, want long")  # a row a feature
+        gaps = asking.select("id", F.posexplode("x").alias("fi", "v")).filter("v is null").select("id", F.col("fi").cast("long").alias("fi")).join(F.broadcast(wanted), "fi")
+        held = first.groupBy("id", "fi").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+        met = gaps.join(held, ["id", "fi"], "left")
+        return met.groupBy("id").agg(F.bool_and(F.coalesce(F.col("n") >= F.col("want"), F.lit(False))).alias("full"), F.max("d").alias("d")).select("id", F.when(F.col("full"), F.col("d")).alias("far"))
+
+    found = _searched(asking, rows if other is None else other, "masked_euclidean", kernel, {"id": pa.int64(), "fi": pa.int64(), "nid": pa.int64(), "value": pa.float64(), "distance": pa.float64()}, reach)
     rank = F.row_number().over(Window.partitionBy("id", "fi").orderBy(F.round("distance", 12), "nid"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank", "nid")

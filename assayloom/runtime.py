@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -27,3 +27,15 @@ def ship(spark: SparkSession) -> SparkSession:
             spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
         sc._assayloom_sent = True
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder that spark.checkpoint.dir names. Only a local master without one takes a folder of
+    its own; the executors of a cluster would each write to a disk that the others do not see."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="assayloom-"))
+    return df.checkpoint(eager=True)
