@@ -144,7 +144,7 @@ def _placed(other: DataFrame, metric: str) -> tuple[DataFrame, _Summaries | None
     return cut, _Summaries(*(np.array([r[c] for r in found]) for c in ("block", "low", "high", "least", "counts")))
 
 
-def _met(rows: DataFrame, placed: DataFrame, kernel: Kernel, names: dict[str, pa.DataType]) -> DataFrame:
+def met_in_blocks(rows: DataFrame, placed: DataFrame, kernel: Kernel, names: dict[str, pa.DataType]) -> DataFrame:
     """What ``kernel`` gives of (ids, matrix) of the ``rows`` (id, x, block) and of the candidates of their block. Where many rows ask for a block, they
     are dealt out and the block is sent to each part."""
     asked = rows.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))  # a row a block
@@ -177,7 +177,7 @@ def _searched(rows: DataFrame, other: DataFrame, metric: str, kernel: Kernel, na
         n = rows.count()
         parts = max(1, -(-n // BLOCK), min(workers, -(-n // STEP)))
         spread = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block"))  # one block of candidates, for each part of the rows
-        return _met(spread, placed.select("id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block")), kernel, names)
+        return met_in_blocks(spread, placed.select("id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block")), kernel, names)
 
     def home(batches):
         for batch in batches:
@@ -193,9 +193,9 @@ def _searched(rows: DataFrame, other: DataFrame, metric: str, kernel: Kernel, na
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[s : s + 4096])), batch.column(1).take(pa.array(row[s : s + 4096])), pa.array(seen.block[to[s : s + 4096]], pa.int64())], ["id", "x", "block"])
 
     at_home = kept(rows.mapInArrow(home, "id long, x array<double>, block long"))
-    first = kept(_met(at_home, placed, kernel, names))
+    first = kept(met_in_blocks(at_home, placed, kernel, names))
     asking = at_home.join(reach(first, seen.counts.sum(axis=0)), "id", "left")
-    more = _met(kept(asking.select("id", "x", "block", "far").mapInArrow(away, "id long, x array<double>, block long")), placed, kernel, names)
+    more = met_in_blocks(kept(asking.select("id", "x", "block", "far").mapInArrow(away, "id long, x array<double>, block long")), placed, kernel, names)
     return first.unionByName(more)
 
 

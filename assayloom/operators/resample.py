@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.operators.folds import draw, drawn
-from assayloom.operators.neighbours import nearest
+from assayloom.operators.neighbours import OTHERS, met_in_blocks, nearest
 from assayloom.operators.ordered import running, with_stretch
+from assayloom.runtime import kept
 
 #: The bandwidths tried, 20 from a tenth to ten on a log scale.
 BANDWIDTHS = np.logspace(-1, 1, 20)
@@ -42,27 +43,41 @@ def down_sample(df: DataFrame, wanted: dict[int, int], seed: int = 0) -> DataFra
     return ranked.filter(limit.isNull() | (F.col("__rank") <= limit)).drop("__rank", "all___rank")
 
 
-def _log_likelihood(train: np.ndarray, test: np.ndarray, h: float) -> float:
-    d2 = ((test[:, None, :] - train[None, :, :]) ** 2).sum(axis=2) / (-2 * h * h)
-    top = d2.max(axis=1, keepdims=True)
-    return float((top[:, 0] + np.log(np.exp(d2 - top).sum(axis=1)) - np.log(len(train)) - train.shape[1] * (np.log(h) + 0.5 * np.log(2 * np.pi))).sum())
+def _kernel_sums(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray) -> list[tuple]:
+    """(id, b, top, rest) of each row and bandwidth: exp(top) * rest is the kernels' sum over the rows of other folds (the last coordinate)."""
+    a, b = xa[:, :-1], xb[:, :-1]
+    d2 = np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0)
+    d2[xa[:, -1][:, None] == xb[:, -1]] = np.inf
+    seen = np.isfinite(d2).any(axis=1)
+    d2, ids, out = d2[seen], ida[seen], []
+    nearest_d2 = d2.min(axis=1) if len(d2) else np.zeros(0)
+    for k, h in enumerate(BANDWIDTHS):
+        scale = -2 * h * h
+        out.append((ids, np.full(len(ids), k), nearest_d2 / scale, np.exp((d2 - nearest_d2[:, None]) / scale).sum(axis=1)))
+    return out
 
 
 def best_bandwidth(df: DataFrame, folds: int = 5) -> float:
-    """The Gaussian bandwidth with the best held-out likelihood of (id, x array<double>); one task a bandwidth and fold."""
-    rows = df.select("id", "x")
-    n = rows.count()
-    k = max(2, min(folds, n))
-    numbered = rows.withColumn("f", F.pmod(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - 1, F.lit(k)))
-    grid = numbered.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(len(BANDWIDTHS) * k - 1))))
+    """The Gaussian bandwidth with the best held-out likelihood of (id, x array<double>); a single row has the smallest.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = int(pdf["g"].iloc[0])
-        x, test = np.array(pdf["x"].tolist(), float), (pdf["f"] == g % k).to_numpy()
-        return pd.DataFrame({"b": [g // k], "ll": [_log_likelihood(x[~test], x[test], BANDWIDTHS[g // k])]})
-
-    scored = grid.groupBy("g").applyInPandas(run, "b long, ll double").groupBy("b").agg(F.sum("ll").alias("ll"))
-    return float(BANDWIDTHS[scored.orderBy(F.desc("ll"), "b").first()[0]])
+    Blocks of rows meet blocks of rows once; the distances of a pair of blocks serve all bandwidths and folds, and a block sends its
+    largest term and the sum relative to it, which can be added up in any order."""
+    n = df.count()
+    k = max(2, min(folds, n))
+    numbered = running(with_stretch(df.select("id", "x"), "id"), (), F.col("__stretch"), [F.col("id")], {"__k": F.lit(1).cast("long")})
+    folded = kept(numbered.select("id", F.array_append(F.col("x").cast("array<double>"), F.pmod(F.col("__k") - 1, F.lit(k)).cast("double")).alias("x")))
+    blocks = max(1, -(-n // OTHERS))
+    asked = folded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    placed = folded.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    parts = met_in_blocks(asked, placed, _kernel_sums, {"id": pa.int64(), "b": pa.int64(), "top": pa.float64(), "rest": pa.float64()})
+    state = parts.groupBy("id", "b").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "rest")).alias("s"))
+    total = F.aggregate("s", F.lit(0.0), lambda t, s: t + s["rest"] * F.exp(s["top"] - F.col("top")))
+    sizes = folded.groupBy(F.element_at("x", -1).alias("fold")).agg((F.lit(n) - F.count("*")).alias("train"))
+    rows = folded.select("id", F.element_at("x", -1).alias("fold"), (F.size("x") - 1).alias("width")).join(F.broadcast(sizes), "fold")  # a row a fold
+    log_h = F.element_at(F.array(*(F.lit(float(np.log(h) + 0.5 * np.log(2 * np.pi))) for h in BANDWIDTHS)), (F.col("b") + 1).cast("int"))
+    scored = state.withColumn("total", total).join(rows, "id").groupBy("b").agg(F.sum(F.col("top") + F.log("total") - F.log("train") - F.col("width") * log_h).alias("ll"))
+    best = scored.orderBy(F.desc("ll"), "b").first()
+    return float(BANDWIDTHS[best[0] if best else 0])
 
 
 def _numbered(df: DataFrame) -> DataFrame:

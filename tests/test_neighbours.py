@@ -93,8 +93,8 @@ def test_rows_sent_grow_with_the_rows(spark, n, monkeypatch):
     rng = np.random.default_rng(1)
     x = np.repeat(rng.normal(0, 50, (n // 40, 8)), 40, axis=0) + rng.normal(0, 0.1, (n, 8))
     asked = []
-    real = neighbours._met
-    monkeypatch.setattr(neighbours, "_met", lambda rows, *a: (asked.append(rows.count()), real(rows, *a))[1])
+    real = neighbours.met_in_blocks
+    monkeypatch.setattr(neighbours, "met_in_blocks", lambda rows, *a: (asked.append(rows.count()), real(rows, *a))[1])
     found = neighbours.nearest(table(spark, x), 3)
     assert found.count() == 3 * n
     assert asked[0] == n and asked[1] <= 4 * n
