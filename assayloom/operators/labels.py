@@ -30,18 +30,43 @@ def sub_cohort(df: DataFrame, pattern: str) -> DataFrame:
     return df.filter(F.col("label").rlike(f"(?i){pattern}"))
 
 
+#: Edits within which nearest labels are sought by their parts, one after the other; only labels without one are compared with all.
+EDITS = (1, 3)
+
+
+def near_labels(old: DataFrame, new: DataFrame, edits: int) -> DataFrame:
+    """(old, new) of all pairs of different labels of ``old`` (old) and ``new`` (new) that are at most so many edits apart, and of some others.
+
+    Each of ``new`` is cut into one part more than there may be edits, so one of them stands unchanged in any label that near, at most so
+    many places off; labels meet at such parts. As many rows as labels, a fixed number each; labels shorter than the parts' number all meet."""
+    parts, length = edits + 1, "(((i + 1) * n) div {p} - (i * n) div {p})".format(p=edits + 1)
+    start = f"((i * n) div {parts})"
+    index = new.select("new", F.char_length("new").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i")).select("new", "n", "i", F.expr(f"substring(new, {start} + 1, {length})").alias("part"))
+    sizes = F.explode(F.sequence(F.greatest(F.lit(0), F.char_length("old") - edits), F.char_length("old") + edits)).alias("n")
+    asked = old.select("old", sizes).select("old", "n", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i")).select("old", "n", "i", F.explode(F.sequence(F.lit(-edits), F.lit(edits))).alias("off"))
+    asked = asked.filter(f"{start} + off >= 0 and {start} + off + {length} <= char_length(old)").select("old", "n", "i", F.expr(f"substring(old, {start} + off + 1, {length})").alias("part")).distinct()
+    return asked.join(index, ["n", "i", "part"]).filter("old <> new").select("old", "new").distinct()
+
+
 def repair_labels(df: DataFrame, threshold: int = 1, metric: str = "levenshtein") -> DataFrame:
     """Labels of ``threshold`` rows or fewer become the nearest label with more than one row: by edits, then by rows, then by name.
 
-    Without such a label nothing changes. As many pairs are compared as there are rare labels times others."""
+    Without such a label nothing changes, and null labels stay. Near labels are found by common parts (near_labels), within growing
+    numbers of edits; only a rare label that has none within the last is compared with all others."""
     if metric != "levenshtein":
         raise ValueError(f"no such metric: {metric}")
-    counts = df.groupBy("label").agg(F.count("*").alias("n"))
-    rare = counts.filter(F.col("n") <= threshold).select(F.col("label").alias("old"))
-    common = counts.filter("n > 1").select(F.col("label").alias("new"), "n")
-    pairs = rare.join(common, F.col("old") != F.col("new"))
-    best = pairs.groupBy("old").agg(F.min(F.struct(F.levenshtein("old", "new"), -F.col("n"), F.col("new"))).alias("b"))
-    return df.join(best.select(F.col("old").alias("label"), F.col("b")["new"].alias("__new")), "label", "left").withColumn("label", F.coalesce("__new", "label")).select(*df.columns)
+    counts = df.filter("label is not null").groupBy("label").agg(F.count("*").alias("n"))
+    left = counts.filter(F.col("n") <= threshold).select(F.col("label").alias("old"))
+    common = counts.filter("n > 1").select(F.col("label").alias("new"), F.col("n").alias("rows"))
+    best = None
+    for edits in (*EDITS, None):
+        pairs = left.join(common.select("new"), F.col("old") != F.col("new")) if edits is None else near_labels(left, common.select("new"), edits)
+        apart = pairs.withColumn("d", F.levenshtein("old", "new"))
+        apart = (apart if edits is None else apart.filter(F.col("d") <= edits)).join(common, "new")
+        found = apart.groupBy("old").agg(F.min(F.struct("d", -F.col("rows"), F.col("new"))).alias("b")).select(F.col("old").alias("label"), F.col("b")["new"].alias("__new"))
+        best = found if best is None else best.unionByName(found)
+        left = left.join(found.select(F.col("label").alias("old")), "old", "left_anti")
+    return df.join(best, "label", "left").withColumn("label", F.coalesce("__new", "label")).select(*df.columns)
 
 
 def most_correlated_label(long: DataFrame, rare: list[str]) -> DataFrame:

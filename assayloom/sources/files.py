@@ -91,27 +91,51 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path)
 
 
-def read_folder(spark: SparkSession, pattern: str, containing: tuple[str, ...] = (), recursive: bool = False) -> DataFrame:
-    """All matching files in one frame with the file each row is from as source; columns may differ."""
+def _kind(path: str) -> str:
+    return "txt" if ".txt" in path else "csv" if ".csv" in path else "parquet"
+
+
+#: The path a row is from as list_files gives it: decoded, and for a table in parts the folder of these.
+SOURCE = "regexp_replace(regexp_replace(url_decode(replace(_metadata.file_path, '+', '%2B')), '^file:/+', 'file:/'), '/part-[^/]*$', '')"
+
+
+def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Tables of any number of files in one frame, with the path each row is from as source; columns may differ, index columns are dropped.
+
+    Texts are read in one scan for each header there is, Parquet in one for all, with the schemas merged. Headers are read once, a row a file."""
+    scans = []
+    for kind in ("txt", "csv", "parquet"):
+        own = [p for p in paths if _kind(p) == kind]
+        if kind == "parquet":
+            scans += [spark.read.option("mergeSchema", True).parquet(*own)] if own else []
+            continue
+        sep = "\t" if kind == "txt" else ","
+        heads = spark.read.text(own).select(F.expr(SOURCE).alias("path"), F.monotonically_increasing_id().alias("k"), "value").groupBy("path").agg(F.min_by("value", "k").alias("head")) if own else None
+        by_head: dict[str, list[str]] = {}
+        for r in heads.collect() if own else []:  # a row a file
+            by_head.setdefault(r.head, []).append(r.path)
+        scans += [spark.read.option("header", True).option("inferSchema", True).option("sep", sep).csv(sorted(group)) for _, group in sorted(by_head.items())]
     out = None
-    for path in list_files(spark, pattern, containing, recursive):
-        one = read_table(spark, path).withColumn("source", F.lit(path))
+    for scan in scans:
+        one = nan_to_null(drop_index(scan.select("*", F.expr(SOURCE).alias("source"))))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
 
+def read_folder(spark: SparkSession, pattern: str, containing: tuple[str, ...] = (), recursive: bool = False) -> DataFrame:
+    """All matching files in one frame with the file each row is from as source; columns may differ."""
+    return read_many(spark, list_files(spark, pattern, containing, recursive))
+
+
 def model_name(path: str) -> str:
     """What follows the last ``rfe_important_features_`` in a result's file name, without its ending."""
     return path.rpartition("/")[2].rpartition("rfe_important_features_")[2].rpartition(".")[0]
 
 
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Result tables with their model's name."""
-    out = None
-    for path in paths:
-        one = read_table(spark, path).withColumn("model", F.lit(model_name(path)))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+    """Result tables with their model's name, as model_name says."""
+    name = F.regexp_extract("source", r"^(?:.*/)?(?:[^/]*rfe_important_features_)?([^/]*)\.[^./]*$", 1)
+    return read_many(spark, paths).withColumn("model", name).drop("source")
 
 
 def extract(spark: SparkSession, folder: str, cohort: str | None = None) -> Extracted:
