@@ -10,10 +10,9 @@ from dataclasses import fields
 from pyspark.sql import SparkSession
 
 from assayloom.config import Options, Settings, read_settings
-from assayloom.plans.run import frames, parameter_combinations, prepare, run, run_matrix
+from assayloom.plans.run import prepare_and_store, run, run_matrix
 from assayloom.runtime import ship
-from assayloom.sources.files import load, read_runs
-from assayloom.sources.sinks import save
+from assayloom.sources.files import read_runs
 
 
 def parse(argv: list[str] | None = None) -> tuple[Options | None, str | None, str | None]:
@@ -42,8 +41,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     name = f"{options.model}_{int(time.time())}"
     if options.prepare_data:
-        long = frames(load(spark, options, settings)).train
-        save(spark, options, settings, name, {"pipelines": prepare(spark, long, options.imputation_strategy, options.model, parameter_combinations(options.imputation_strategy))})
+        prepare_and_store(spark, options, settings, name)
     else:
         run(spark, options, settings, name)
     logging.info("done: %s", name)

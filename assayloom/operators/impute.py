@@ -13,29 +13,37 @@ from pyspark.sql import functions as F
 from assayloom.functions.dist import norm_cdf, norm_ppf
 from assayloom.operators.forest import Forest, boost, grow_forest
 from assayloom.operators.missing import detect_mnar
-from assayloom.operators.neighbours import nearest_having
+from assayloom.operators.neighbours import filled_by_nearest, nearest_having
 from assayloom.operators.ordered import medians
 
 
-def fill_mean(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """Means of ``reference`` (default: the same rows); a feature without values there stays missing."""
-    means = (long if reference is None else reference).groupBy("fi").agg(F.avg("value").alias("__fill"))
-    return _filled_by(long, means)
+def fill_table(reference: DataFrame, method: str) -> DataFrame:
+    """(fi, __fill): what mean, median or mode (the most frequent value, the smallest of several) puts into a feature's gaps."""
+    if method == "mean":
+        return reference.groupBy("fi").agg(F.avg("value").alias("__fill"))
+    if method == "median":
+        return medians(reference, ("fi",)).withColumnRenamed("median", "__fill")
+    counts = reference.filter("value is not null").groupBy("fi", "value").count()
+    return counts.groupBy("fi").agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("__fill"))
 
 
-def _filled_by(long: DataFrame, table: DataFrame) -> DataFrame:
-    """Gaps filled by (fi, __fill)."""
+def filled_by(long: DataFrame, table: DataFrame) -> DataFrame:
+    """Gaps filled by (fi, __fill); a feature without a fill stays missing."""
     return long.join(F.broadcast(table), "fi", "left").withColumn("value", F.coalesce("value", "__fill")).select(long.columns)  # a row a feature
 
 
+def fill_mean(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """Means of ``reference`` (default: the same rows); a feature without values there stays missing."""
+    return filled_by(long, fill_table(long if reference is None else reference, "mean"))
+
+
 def fill_median(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    return _filled_by(long, medians(long if reference is None else reference, ("fi",)).withColumnRenamed("median", "__fill"))
+    return filled_by(long, fill_table(long if reference is None else reference, "median"))
 
 
 def fill_mode(long: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """The most frequent value, the smallest of several."""
-    counts = (long if reference is None else reference).filter("value is not null").groupBy("fi", "value").count()
-    return _filled_by(long, counts.groupBy("fi").agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("__fill")))
+    return filled_by(long, fill_table(long if reference is None else reference, "mode"))
 
 
 def fill_knn(long: DataFrame, k: int = 5, weights: str = "uniform", reference: DataFrame | None = None) -> DataFrame:
@@ -87,27 +95,28 @@ def _by_row(arrays: DataFrame, fill, keep: list[str]) -> DataFrame:
     return arrays.select(*keep, "x").mapInPandas(run, f"{kinds}, x array<double>")
 
 
+def qrilc_row(key: object, x: np.ndarray, tune_sigma: float = 1.0, seed: int = 0) -> np.ndarray:
+    """A sample with left-censored draws in its gaps; one without gaps, without values or with one value is left alone."""
+    gone = np.isnan(x)
+    n = len(x) - gone.sum()
+    if not gone.any() or n < 2:
+        return x
+    share = gone.mean()
+    q = np.linspace(share + 0.001, 0.99, 100)
+    line = np.polyfit(norm_ppf(q), np.quantile(x[~gone], (q - share) / (1 - share)), 1)
+    sigma, mu = abs(line[0]) * tune_sigma, line[1]
+    upper = mu + sigma * float(norm_ppf(np.array([share + 0.001]))[0])
+    upper = float(np.nanmax(x)) if np.isnan(upper) else abs(upper)
+    x = x.copy()
+    x[gone] = truncated_normal(_seeded(seed, key), int(gone.sum()), mu, sigma, 0.0, upper)
+    return x
+
+
 def qrilc(arrays: DataFrame, keep: list[str], tune_sigma: float = 1.0, seed: int = 0) -> DataFrame:
     """Left-censored draws for each sample: a normal fitted to its upper quantiles, cut off at the quantile of its missing share.
 
     Samples without gaps, without values or with one value are left alone."""
-
-    def fill(key: object, x: np.ndarray) -> np.ndarray:
-        gone = np.isnan(x)
-        n = len(x) - gone.sum()
-        if not gone.any() or n < 2:
-            return x
-        share = gone.mean()
-        q = np.linspace(share + 0.001, 0.99, 100)
-        line = np.polyfit(norm_ppf(q), np.quantile(x[~gone], (q - share) / (1 - share)), 1)
-        sigma, mu = abs(line[0]) * tune_sigma, line[1]
-        upper = mu + sigma * float(norm_ppf(np.array([share + 0.001]))[0])
-        upper = float(np.nanmax(x)) if np.isnan(upper) else abs(upper)
-        x = x.copy()
-        x[gone] = truncated_normal(_seeded(seed, key), int(gone.sum()), mu, sigma, 0.0, upper)
-        return x
-
-    return _by_row(arrays, fill, keep)
+    return _by_row(arrays, lambda key, x: qrilc_row(key, x, tune_sigma, seed), keep)
 
 
 def minprob_parameters(long: DataFrame, quantile_percent: float = 0.01, observed: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -117,33 +126,35 @@ def minprob_parameters(long: DataFrame, quantile_percent: float = 0.01, observed
     return at, stds.agg(F.median("sd").alias("sd"))
 
 
-def minprob(long: DataFrame, arrays: DataFrame, keep: list[str], quantile_percent: float = 0.01, tune_sigma: float = 1.0, observed: float = 0.5, lower: float = 0.0, seed: int = 0, reference: DataFrame | None = None) -> DataFrame:
+def minprob_row(key: object, x: np.ndarray, mean: float, sd: float, lower: float = 0.0, seed: int = 0) -> np.ndarray:
+    """A sample with draws around its low quantile ``mean`` in its gaps; one without gaps, without values or of four features at most is left alone."""
+    gone = np.isnan(x)
+    if gone.any() and not gone.all() and len(x) > 4 and not np.isnan(mean):
+        x = x.copy()
+        x[gone] = mean + sd * truncated_normal(_seeded(seed, key), int(gone.sum()), 0.0, 1.0, lower, max(lower, mean + sd))
+    return x
+
+
+def minprob(long: DataFrame, arrays: DataFrame, keep: list[str], quantile_percent: float = 0.01, tune_sigma: float = 1.0, observed: float = 0.5, lower: float = 0.0, seed: int = 0, reference: DataFrame | None = None, spread: float | None = None) -> DataFrame:
     """Draws around each sample's low quantile; bounds are in standard units, lower to mean + sd, so draws lie at or above the mean. The
-    features' spread is that of ``reference`` (default: the same rows)."""
+    features' spread is ``spread``, or that of ``reference`` (default: the same rows)."""
     if lower < 0:
         raise ValueError("the lower bound is not negative")
     at = minprob_parameters(long, quantile_percent, observed)[0]
-    spread = minprob_parameters(long if reference is None else reference, quantile_percent, observed)[1]
-    sd = (spread.first()[0] or 0.0) * tune_sigma
+    spread = minprob_parameters(long if reference is None else reference, quantile_percent, observed)[1].first()[0] if spread is None else spread
+    sd = (spread or 0.0) * tune_sigma
     means = arrays.join(at, "id", "left").select(*keep, F.array_append("x", F.col("mean")).alias("x"))
-
-    def fill(key: object, x: np.ndarray) -> np.ndarray:
-        x, mean = x[:-1].copy(), x[-1]
-        gone = np.isnan(x)
-        if gone.any() and not gone.all() and len(x) > 4 and not np.isnan(mean):
-            x[gone] = mean + sd * truncated_normal(_seeded(seed, key), int(gone.sum()), 0.0, 1.0, lower, max(lower, mean + sd))
-        return x
-
-    return _by_row(means, fill, keep)
+    return _by_row(means, lambda key, x: minprob_row(key, x[:-1], x[-1], sd, lower, seed), keep)
 
 
 def _rounds(x: np.ndarray, own: np.ndarray, fit, most: int, stop_early: bool) -> np.ndarray:
-    """Features in ascending order of gaps, each regressed on the others; regressions and means are those of the rows ``own``. Features
-    that are missing in all of those become 0."""
+    """Features in ascending order of gaps, each regressed on the others; regressions, means, that order and when to stop are those of the
+    rows ``own`` (without gaps in them, all rounds are run), so no other row bears on what a row gets. Features that are missing in all of those become 0."""
     gone = np.isnan(x)
+    felt = gone & own[:, None]
     means = np.array([np.nanmean(c) if not np.isnan(c).all() else 0.0 for c in x[own].T])
     now = np.where(gone, means, x)
-    order = [j for j in np.argsort(gone.sum(axis=0), kind="stable") if gone[:, j].any() and (~gone[own, j]).any()]
+    order = [j for j in np.argsort(felt.sum(axis=0), kind="stable") if gone[:, j].any() and (~gone[own, j]).any()]
     last, before = np.inf, now
     for _ in range(most):
         new = now.copy()
@@ -151,11 +162,11 @@ def _rounds(x: np.ndarray, own: np.ndarray, fit, most: int, stop_early: bool) ->
             rest = np.delete(new, j, axis=1)
             learn = own & ~gone[:, j]
             new[gone[:, j], j] = fit(rest[learn], x[learn, j], rest[gone[:, j]], j)
-        change = ((new - now)[gone] ** 2).sum() / max((new[gone] ** 2).sum(), 1e-300) if gone.any() else 0.0
-        if stop_early and change >= last:
-            return before if before is not None else now
+        change = ((new - now)[felt] ** 2).sum() / max((new[felt] ** 2).sum(), 1e-300) if felt.any() else last
+        if stop_early and felt.any() and change >= last:
+            return before
         last, before, now = change, new, new
-        if change < 1e-6:
+        if change < 1e-6 or not gone.any():
             break
     return now
 
@@ -183,6 +194,20 @@ def _whole(arrays: DataFrame, keep: list[str], fit, most: int, stop_early: bool,
     return own.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"{kinds}, x array<double>")
 
 
+def _regressor(estimator: str = "linear", ridge: float = 1e-3, trees: int | None = None, seed: int = 0):
+    """fit(a, y, b, j): what a regression of y on a says of b, by one of ESTIMATORS."""
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"estimator: {estimator!r} is none of {', '.join(ESTIMATORS)}")
+
+    def forest(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
+        return grow_forest(a, y, trees or 100, 32, seed=seed + j, features="all").predict(b)
+
+    def boosted(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
+        return boost(a, y, trees or 500, 0.3, 6, lam=1.0, logistic=False, seed=seed + j).predict(b)
+
+    return {"linear": _linear(ridge), "forest": forest, "boosted": boosted}[estimator]
+
+
 def _linear(ridge: float):
     def fit(a: np.ndarray, y: np.ndarray, b: np.ndarray, _: int) -> np.ndarray:
         mu, m = a.mean(axis=0), y.mean()
@@ -198,26 +223,37 @@ ESTIMATORS = ("linear", "forest", "boosted")
 
 def mice(arrays: DataFrame, keep: list[str], rounds: int = 10, estimator: str = "linear", ridge: float = 1e-3, trees: int | None = None, seed: int = 0, most_cells: int = 50_000_000, reference: DataFrame | None = None) -> DataFrame:
     """Chained regressions in rounds: "linear" ones with a small ridge, random "forest"s (100 ``trees``) or "boosted" trees (500)."""
-    if estimator not in ESTIMATORS:
-        raise ValueError(f"estimator: {estimator!r} is none of {', '.join(ESTIMATORS)}")
+    return _whole(arrays, keep, _regressor(estimator, ridge, trees, seed), rounds, False, most_cells, reference)
 
-    def forest(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
-        return grow_forest(a, y, trees or 100, 32, seed=seed + j, features="all").predict(b)
 
-    def boosted(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
-        return boost(a, y, trees or 500, 0.3, 6, lam=1.0, logistic=False, seed=seed + j).predict(b)
+def _sampled_forest(trees: int = 20, depth: int = 6, seed: int = 0):
+    def fit(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
+        forest: Forest = grow_forest(a, y, trees, depth, seed=seed + j, features="sqrt")
+        return forest.predict(b)
 
-    return _whole(arrays, keep, {"linear": _linear(ridge), "forest": forest, "boosted": boosted}[estimator], rounds, False, most_cells, reference)
+    return fit
 
 
 def miss_forest(arrays: DataFrame, keep: list[str], rounds: int = 4, trees: int = 20, depth: int = 6, seed: int = 0, most_cells: int = 5_000_000, reference: DataFrame | None = None) -> DataFrame:
     """Random-forest regressions in rounds until the change grows; the iterate before that is returned (Stekhoven and Buehlmann, 2012)."""
-
-    def fit(a: np.ndarray, y: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
-        forest: Forest = grow_forest(a, y, trees, depth, seed=seed + j, features="sqrt")
-        return forest.predict(b)
-
-    return _whole(arrays, keep, fit, rounds, True, most_cells, reference)
+    return _whole(arrays, keep, _sampled_forest(trees, depth, seed), rounds, True, most_cells, reference)
+
+
+def completed(ids: np.ndarray, x: np.ndarray, own: np.ndarray, method: str | None, rounds: int | None = None, seed: int = 0, **how) -> np.ndarray:
+    """A matrix that is in a task already, completed as ``impute`` does with the rows ``own`` as reference, by mean, knn, mice or miss_forest."""
+    if method == "mean":
+        seen = ~np.isnan(x[own])
+        means = np.where(seen.any(axis=0), np.where(seen, x[own], 0).sum(axis=0) / np.maximum(1, seen.sum(axis=0)), np.nan)
+        return np.where(np.isnan(x), means, x)
+    if method == "knn":
+        return filled_by_nearest(ids, x, own, [(how.get("k", 5), how.get("weights", "uniform"))])[0]
+    if method == "mice":
+        return _rounds(x, own, _regressor(seed=seed, **how), rounds or 10, False)
+    if method == "miss_forest":
+        return _rounds(x, own, _sampled_forest(seed=seed, **how), rounds or 4, True)
+    if method not in (None, "none"):
+        raise ValueError(f"{method} completes no matrix in a task")
+    return x
 
 
 #: The parameters that each method of the facade takes.
@@ -243,13 +279,21 @@ def impute(long: DataFrame, method: str | None, strategy: str = "mar", keep: tup
     simple = {"mean": fill_mean, "median": fill_median, "mode": fill_mode, "knn": fill_knn}
     if method in simple:
         return simple[method](long, reference=reference, **how)
-    arrays = array_from_long(long, list(keep))
     if method in ("mice", "miss_forest"):
+        arrays = array_from_long(long, list(keep))
         others = None if reference is None else array_from_long(reference, ["id"])
         return long_from_array({"mice": mice, "miss_forest": miss_forest}[method](arrays, list(keep), reference=others, **how), "x", list(keep))
-    done = qrilc(arrays, list(keep), **how) if method == "qrilc" else minprob(long, arrays, list(keep), reference=reference, **how)
+    chosen = detect_mnar(long if reference is None else reference).filter("mnar").select("fi") if strategy == "mixed" else None
+    return censored(long, method, keep, chosen, None if method == "qrilc" else minprob_parameters(long if reference is None else reference, observed=how.get("observed", 0.5))[1].first()[0], **how)
+
+
+def censored(long: DataFrame, method: str, keep: tuple[str, ...], chosen: DataFrame | None, spread: float | None = None, **how) -> DataFrame:
+    """Left-censored draws by qrilc, or by minprob with the features' ``spread``, in the features of ``chosen`` (default: all)."""
+    from assayloom.matrix import array_from_long, long_from_array
+
+    arrays = array_from_long(long, list(keep))
+    done = qrilc(arrays, list(keep), **how) if method == "qrilc" else minprob(long, arrays, list(keep), spread=spread or 0.0, **how)
     filled = long_from_array(done, "x", list(keep))
-    if strategy == "mixed":
-        chosen = detect_mnar(long if reference is None else reference).filter("mnar").select("fi")
+    if chosen is not None:
         filled = filled.join(chosen, "fi", "left_semi").unionByName(long.select(filled.columns).join(chosen, "fi", "left_anti"))
     return filled

@@ -251,3 +251,35 @@ def nearest_having(rows: DataFrame, k: int, other: DataFrame | None = None) -> D
     found = _searched(asking, rows if other is None else other, "masked_euclidean", kernel, {"id": pa.int64(), "fi": pa.int64(), "nid": pa.int64(), "value": pa.float64(), "distance": pa.float64()}, reach)
     rank = F.row_number().over(Window.partitionBy("id", "fi").orderBy(F.round("distance", 12), "nid"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank", "nid")
+
+
+def filled_by_nearest(ids: np.ndarray, x: np.ndarray, own: np.ndarray, wants: list[tuple[int, str]]) -> list[np.ndarray]:
+    """A matrix that is in a task already with each gap filled from its nearest rows among ``own``, once for each (k, weights) wanted:
+    neighbours are looked for once, as far as the largest k. A gap without any is filled by the feature's mean there, or 0."""
+    learn, idl = x[own], ids[own]
+    seen = ~np.isnan(learn)
+    means = np.where(seen, learn, 0).sum(axis=0) / np.maximum(1, seen.sum(axis=0))
+    out = [np.where(np.isnan(x), means, x) for _ in wants]
+    asking, most = np.flatnonzero(np.isnan(x).any(axis=1)), max(k for k, _ in wants)
+    for start in range(0, len(asking), STEP):
+        rows = asking[start : start + STEP]
+        d = _apart(ids[rows], x[rows], idl, learn)
+        for j in np.flatnonzero(np.isnan(x[rows]).any(axis=0)):
+            ask, have = np.flatnonzero(np.isnan(x[rows, j])), np.flatnonzero(seen[:, j])
+            if not len(have):
+                continue
+            part = d[np.ix_(ask, have)]
+            row, place = _smallest(part, idl[have], most)
+            rank, apart, value = np.arange(len(row)) - np.searchsorted(row, row), part[row, place], learn[have[place], j]
+            for (k, weights), done in zip(wants, out, strict=True):
+                near = rank < k
+                r, a = row[near], apart[near]
+                w = np.ones(len(r))
+                if weights == "distance":
+                    zero = np.zeros(len(ask), bool)
+                    zero[r[a == 0]] = True
+                    w = np.where(zero[r], (a == 0).astype(float), 1 / np.where(a == 0, 1, a))
+                total = np.bincount(r, w, len(ask))
+                met = total > 0
+                done[rows[ask[met]], j] = np.bincount(r, w * value[near], len(ask))[met] / total[met]
+    return out

@@ -39,19 +39,29 @@ def log2(long: DataFrame) -> DataFrame:
     return long.withColumn("value", F.when(F.col("value") > 0, F.log2("value")).when(F.col("value") == 0, F.lit(float("-inf"))))
 
 
-def top_l(long: DataFrame, l: int = 10) -> DataFrame:  # noqa: E741
-    """Each feature over (the median of its l largest values / mu0); mu0 is the sum of those medians over the number of rows."""
+def top_l_scales(long: DataFrame, l: int = 10) -> DataFrame:  # noqa: E741
+    """(fi, scale): the median of a feature's l largest values over mu0, the sum of those medians over the number of rows."""
     w = Window.partitionBy("fi").orderBy(F.desc_nulls_last("value"), "id")
     tops = long.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= l).groupBy("fi").agg(F.median("value").alias("md"))
     mu0 = tops.agg(F.sum("md").alias("all")).crossJoin(long.agg(F.count_distinct("id").alias("rows"))).select((F.col("all") / F.col("rows")).alias("mu0"))
-    return long.join(tops, "fi").crossJoin(F.broadcast(mu0)).withColumn("value", safe(F.col("value"), safe(F.col("md"), F.col("mu0")))).drop("md", "mu0")
+    return tops.crossJoin(F.broadcast(mu0)).select("fi", safe(F.col("md"), F.col("mu0")).alias("scale"))
+
+
+def top_l(long: DataFrame, l: int = 10) -> DataFrame:  # noqa: E741
+    """Each feature over its scale, as top_l_scales says."""
+    return long.join(F.broadcast(top_l_scales(long, l)), "fi").withColumn("value", safe(F.col("value"), F.col("scale"))).drop("scale")  # a row a feature
+
+
+def ranked(long: DataFrame) -> DataFrame:
+    """With k: a value's rank among those of its row, ties by feature; missing ones rank last."""
+    return long.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.asc_nulls_last("value"), "fi")))
 
 
 def quantile_normalise(long: DataFrame) -> DataFrame:
     """Each sample's values replaced by the mean over samples at their rank; missing ones rank last and stay missing."""
-    ranked = long.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.asc_nulls_last("value"), "fi")))
-    means = ranked.groupBy("k").agg(F.avg("value").alias("m"))
-    return ranked.join(means, "k").withColumn("value", F.when(F.col("value").isNotNull(), F.coalesce("m", "value"))).drop("k", "m")
+    at = ranked(long)
+    means = at.groupBy("k").agg(F.avg("value").alias("m"))
+    return at.join(means, "k").withColumn("value", F.when(F.col("value").isNotNull(), F.coalesce("m", "value"))).drop("k", "m")
 
 
 METHODS = {"log2": log2, "top_l": top_l, "quantile": quantile_normalise}

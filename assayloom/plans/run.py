@@ -7,14 +7,20 @@ import json
 import logging
 from dataclasses import dataclass, fields, is_dataclass, replace
 
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.config import Options, Selection, Settings
 from assayloom.matrix import array_from_long, long_from_wide, numeric_columns
-from assayloom.operators import batch, folds, impute, information, metrics, normalize, ranking, resample, selection, stats
-from assayloom.sources.files import Extracted, load
-from assayloom.sources.sinks import save
+from assayloom.operators import batch, folds, impute, information, metrics, ranking, resample, selection, stats
+from assayloom.operators.forest import learner
+from assayloom.operators.preprocess import best_of, over_pipelines, pipeline, pipeline_name
+from assayloom.runtime import kept
+from assayloom.sources.files import Extracted, exists, load, read_model
+from assayloom.sources.sinks import parameter_table, save
 
 log = logging.getLogger(__name__)
 
@@ -152,7 +158,11 @@ def run(spark: SparkSession, options: Options, settings: Settings, model_id: str
     data = load(spark, options, settings)
     f = frames(data)
     train, holdout = f.train, f.holdout
-    if options.best_pipeline:
+    stored = None
+    if options.best_pipeline and exists(spark, options.best_pipeline):
+        stored = stored_pipeline(options.best_pipeline, f.features)
+        train, holdout = (stored.transform(x.select(*KEYS, "fi", "value")) for x in (train, holdout))
+    elif options.best_pipeline:
         method, _, strategy = options.best_pipeline.partition(":")
         raw, how = train.select(*KEYS, "fi", "value"), strategy or options.imputation_strategy
         train = impute.impute(raw, method, how, keep=KEYS)
@@ -162,6 +172,8 @@ def run(spark: SparkSession, options: Options, settings: Settings, model_id: str
         train, holdout = (batch.combat(x.join(plates, "patient_id"), "plate").drop("plate") for x in (train, holdout))
     step = _Run(options, settings, dict(params or {}), boots, ci_repeats)
     tables = step.tables
+    if stored is not None:
+        tables["preprocessing"] = parameter_table(spark, stored)
     tables["ttest"] = stats.t_test(train.select("target", "fi", "value")).withColumn("significant", F.col("p_value") < settings.stats.pvalue_thresh)
     keep = chosen_features(train.select("id", "target", "fi", "value"), options, s, seed)
     if not keep:
@@ -215,33 +227,54 @@ def parameter_combinations(strategy: str) -> list[dict]:
     return [{"scaler": s, "mnar": a, "mar": b} for s, a, b in itertools.product(scalers, first, second)]
 
 
-def prepare(spark: SparkSession, long: DataFrame, strategy: str, model: str = "xgboost", combinations: list[dict] | None = None, seed: int = 0, **params) -> DataFrame:
-    """(pipeline, roc_auc, pr_auc, ppv, npv, sens_at_95, ..): every preprocessing on a 10% split; the best five by those, in this order.
-
-    Rows are scaled by the training part, then imputed, as the pipelines say. An infinite value that scaling makes counts as
-    missing."""
+def performance(long: DataFrame, strategy: str, model: str = "xgboost", combinations: list[dict] | None = None, seed: int = 0, **params) -> DataFrame:
+    """(pipeline, metrics of its labels at Youden's threshold, AUC and sensitivities of its ROC grid) of every preprocessing, fitted on nine
+    tenths of the rows (id, target, fi, value) and judged on the others. All pipelines are one job; what is still missing counts as 0."""
+    combinations = parameter_combinations(strategy) if combinations is None else combinations
     part = folds.stratified_split(long.select("id", "target").distinct(), 0.1, seed).select("id", "test")
-    places = [r[0] for r in long.select("fi").distinct().collect()]  # a row a feature
-    out = None
-    for c in combinations if combinations is not None else parameter_combinations(strategy):
-        split = long.select("id", "target", "fi", "value").join(F.broadcast(part), "id")  # a row a patient
-        scaled = normalize.Normaliser(c["scaler"]).fit(split.filter("not test")).transform(split)
-        done = scaled.select("id", "target", "fi", F.when(F.abs("value") < float("inf"), F.col("value")).alias("value"))
-        for step, kind in (("mnar", strategy), ("mar", "mar")):
-            if c[step]:
-                how = dict(c[step])
-                done = impute.impute(done, how.pop("method"), kind, **how)
-        rows = narrowed(done, places).join(F.broadcast(part), "id")
-        scored = ranking.holdout_scores(rows.filter("not test"), rows.filter("test"), model, None, seed, **params)
-        points = metrics.roc_points(scored)
-        one = metrics.metrics_at(scored, metrics.youden(points).withColumn("name", F.lit("youdens_j"))).join(metrics.grid_summary(metrics.roc_grid(points)), "group").withColumn("pipeline", F.lit(pipeline_name(c)))
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("sens_at_95"), F.desc("roc_auc"), F.desc("pr_auc"), F.desc("ppv"), F.desc("npv"), "pipeline").limit(5)
-
-
-def pipeline_name(c: dict) -> str:
-    part = lambda p: "none" if not p else "-".join(str(v) for v in p.values())
-    return f"{c['scaler']}_{part(c['mnar'])}_{part(c['mar'])}"
+    if long.count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells; select features first")
+    fit = learner(model)
+
+    def each(name: str, ids: np.ndarray, y: np.ndarray, test: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        x = np.nan_to_num(x, nan=0.0)
+        score = fit(x[~test], y[~test], seed=seed, **params).predict(x[test])
+        return pd.DataFrame({"group": name, "id": ids[test], "y": y[test], "score": score})
+
+    split = long.select("id", F.col("target").cast("int").alias("target"), "fi", "value").join(F.broadcast(part), "id")  # a row a patient
+    scored = kept(over_pipelines(split, combinations, each, "group string, id long, y int, score double", strategy, seed))
+    points = metrics.roc_points(scored)
+    at = metrics.youden(points).withColumn("name", F.lit("youdens_j"))
+    return metrics.metrics_at(scored, at).join(metrics.grid_summary(metrics.roc_grid(points)), "group").withColumnRenamed("group", "pipeline")
+
+
+def prepare(spark: SparkSession, long: DataFrame, strategy: str, model: str = "xgboost", combinations: list[dict] | None = None, seed: int = 0, **params) -> DataFrame:
+    """The best five of ``performance`` by sensitivity at 95 percent specificity, ROC and PR areas, and predictive values, in this order."""
+    return best_of(performance(long, strategy, model, combinations, seed, **params))
+
+
+def prepare_and_store(spark: SparkSession, options: Options, settings: Settings, model_id: str, combinations: list[dict] | None = None, **params) -> list[str]:
+    """The search over all preprocessings: the scores of all of them, and the best five fitted on all training rows, stored so that
+    a later run loads one by its path. The paths written."""
+    f = frames(load(spark, options, settings))
+    combinations = parameter_combinations(options.imputation_strategy) if combinations is None else combinations
+    long = f.train.select("id", "target", "fi", "value")
+    scores = kept(performance(long, options.imputation_strategy, options.model, combinations, settings.random_state, **params))
+    best, named = best_of(scores), {pipeline_name(c): c for c in combinations}
+    tables, models = {"model_performance": scores, "pipelines": best}, {}
+    for i, r in enumerate(best.collect(), 1):  # five
+        models[f"best_pipeline_{i}"] = pipeline(named[r.pipeline], options.imputation_strategy, f.features).fit(long)
+        tables[f"best_pipeline_{i}_parameters"] = parameter_table(spark, models[f"best_pipeline_{i}"])
+    return save(spark, options, settings, model_id, tables, models)
+
+
+def stored_pipeline(path: str, features: list[str]) -> PipelineModel:
+    """A stored preprocessing, if it was fitted on just these features."""
+    model = read_model(path)
+    for stage in model.stages:
+        if list(stage.getOrDefault("features")) != list(features):
+            raise ValueError(f"{path} was fitted on other features than those of this run")
+    return model
 
 
 def _typed(default: object, value: object) -> object:
