@@ -29,13 +29,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder that spark.checkpoint.dir names. Only a local master without one takes a folder of
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables, which spark.checkpoint.dir names. Only a local master without one takes a folder of
     its own; the executors of a cluster would each write to a disk that the others do not see."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="assayloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
