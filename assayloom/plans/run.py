@@ -167,6 +167,8 @@ def run(spark: SparkSession, options: Options, settings: Settings, model_id: str
         raw, how = train.select(*KEYS, "fi", "value"), strategy or options.imputation_strategy
         train = impute.impute(raw, method, how, keep=KEYS)
         holdout = impute.impute(holdout.select(*KEYS, "fi", "value"), method, how, keep=KEYS, reference=raw)
+    if options.best_pipeline:
+        train, holdout = kept(train), kept(holdout)  # all steps read them
     if options.use_batch_corrected:
         plates = data.cohort.select("patient_id", "plate")
         train, holdout = (batch.combat(x.join(plates, "patient_id"), "plate").drop("plate") for x in (train, holdout))
