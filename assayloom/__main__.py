@@ -13,6 +13,7 @@ from assayloom.config import Options, Settings, read_settings
 from assayloom.plans.run import prepare_and_store, run, run_matrix
 from assayloom.runtime import ship
 from assayloom.sources.files import read_runs
+from assayloom.sources.sinks import Lines, save_log
 
 
 def parse(argv: list[str] | None = None) -> tuple[Options | None, str | None, str | None]:
@@ -40,11 +41,17 @@ def main(argv: list[str] | None = None) -> None:
         logging.info("done: %s", ", ".join(run_matrix(spark, read_runs(spark, runs), settings)))
         return
     name = f"{options.model}_{int(time.time())}"
-    if options.prepare_data:
-        prepare_and_store(spark, options, settings, name)
-    else:
-        run(spark, options, settings, name)
-    logging.info("done: %s", name)
+    lines = Lines()
+    logging.getLogger().addHandler(lines)
+    try:
+        (prepare_and_store if options.prepare_data else run)(spark, options, settings, name)
+        logging.info("done: %s", name)
+    except Exception:
+        logging.exception("failed: %s", name)
+        raise
+    finally:
+        logging.getLogger().removeHandler(lines)
+        save_log(spark, options, name, lines.lines)
 
 
 if __name__ == "__main__":

@@ -36,6 +36,14 @@ def deltas(n0: int, n1: int, ratio: float, total: int) -> tuple[int, int]:
     return healthy - n0, total - healthy - n1
 
 
+def delta_table(df: DataFrame, ratio: float, total: int) -> DataFrame:
+    """(target long, delta long): the same as a table, counted in one aggregation."""
+    d0, d1 = deltas(0, 0, ratio, total)
+    counts = df.agg(F.count_if(F.col("target") == 0).alias("n0"), F.count_if(F.col("target") == 1).alias("n1"))
+    one = lambda c, d: F.struct(F.lit(c).cast("long").alias("target"), (F.lit(d) - F.col(f"n{c}")).cast("long").alias("delta"))
+    return counts.select(F.inline(F.array(one(0, d0), one(1, d1))))
+
+
 def down_sample(df: DataFrame, wanted: dict[int, int], seed: int = 0) -> DataFrame:
     """``wanted`` rows of each class named, without replacement; other classes stay."""
     limit = F.coalesce(*(F.when(F.col("target") == c, F.lit(n)) for c, n in wanted.items()), F.lit(None).cast("int"))

@@ -330,8 +330,7 @@ def enn_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT count(*) FILTER (label < 5) AS n1, count(*) FILTER (label >= 5) AS n0 FROM embeddings), w AS (SELECT *, CAST(round_even(1000 / 1.5, 0) AS BIGINT) AS h FROM c) SELECT CAST(0 AS BIGINT) AS target, h - n0 AS delta FROM w UNION ALL SELECT 1, 1000 - h - n1 FROM w""")
 def augment_counts(spark: SparkSession, sf: str) -> DataFrame:
-    d0, d1 = resample.deltas(*resample.counts_of(patients(spark, sf)), 0.5, 1000)
-    return spark.createDataFrame([(0, d0), (1, d1)], "target long, delta long")
+    return resample.delta_table(patients(spark, sf), 0.5, 1000)
 
 
 T_ALL = f"WITH {LONG_SQL}, {T_SQL}, i AS (SELECT fi, round(abs(t), 6) AS importance FROM t), k AS (SELECT *, row_number() OVER (ORDER BY importance DESC, fi) AS step FROM i)"

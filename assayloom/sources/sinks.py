@@ -28,6 +28,27 @@ def metadata(spark: SparkSession, options: Options, settings: Settings, model_id
     return spark.createDataFrame([row], "model_id string, user string, commit string, written string, path string, files array<string>, settings string, options string")
 
 
+class Lines(logging.Handler):
+    """Keeps what is logged, for a run's log."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines: list[str] = []
+        self.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+
+    def emit(self, record: logging.LogRecord) -> None:
+        self.lines.append(self.format(record))
+
+
+def save_log(spark: SparkSession, options: Options, model_id: str, lines: list[str]) -> str | None:
+    """A run's log as text under <target>/<model_id>_log.txt, wherever Spark can write; a dry run writes nothing."""
+    if options.dry_run:
+        return None
+    path = f"{options.target.rstrip('/')}/{model_id}_log.txt"
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON, for text formats."""
     return df.select(*(F.to_json(f"`{f.name}`").alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in df.schema.fields))

@@ -182,6 +182,31 @@ def test_preprocessing_search(spark, numbered):
         prepare(spark, long, "mar", combinations=[{"scaler": "other", "mnar": None, "mar": None}], trees=5)
 
 
+def test_a_log_is_written_where_the_results_go(spark, tmp_path, monkeypatch, caplog):
+    import logging
+
+    from assayloom import __main__ as command
+
+    def go(spark, options, settings, name):
+        logging.getLogger("x").warning("a step")
+        if options.model == "random_forest":
+            raise RuntimeError("it broke")
+
+    monkeypatch.setattr(command, "run", go)
+    caplog.set_level(logging.INFO)
+    for model in ("xgboost", "random_forest"):
+        at = tmp_path / model
+        argv = ["--input-path", "x", "--output-path", str(at), "--model", model]
+        if model == "xgboost":
+            command.main(argv)
+        else:
+            with pytest.raises(RuntimeError):
+                command.main(argv)
+        lines = [r.value for r in spark.read.text(str(next(at.glob("*_log.txt")))).collect()]
+        assert any("WARNING a step" in line for line in lines)
+        assert any(("done" if model == "xgboost" else "it broke") in line for line in lines)
+
+
 def test_a_matrix_of_runs(spark, tmp_path):
     rows = spark.createDataFrame([("a", None, 5), (None, None, None), (None, "b", 1), ("c", None, 7)], "`cli_input-path` string, `cli_s3-bucket` string, config_random_state int")
     seen = []
