@@ -24,6 +24,8 @@ CENTRES, LEVELS = 1024, 3
 #: Out-degree after pruning, candidates before it, random candidates among these, and the pruning factor.
 DEGREE, POOL, FAR, ALPHA = 24, 64, 16, 1.2
 BEAM, BATCH = 16, 512
+#: Pairs verified at once.
+PAIRS = 1 << 17
 #: Vectors this much farther than the range are still walked through.
 SLACK = 0.05
 SEED = 7
@@ -110,7 +112,7 @@ class _Cell:
     """Vectors of a cell with the union of the adjacency lists from its shards, and the shards' medoids."""
 
     def __init__(self, exact: np.ndarray, overlap: int):
-        self.exact, self.x = exact, exact.astype(np.float32)
+        self.x = exact.astype(np.float32)
         n = len(exact)
         near = _nearest(self.x, _fit(self.x, max(1, -(-overlap * n // SHARD))), overlap)
         pairs, medoids = [], []
@@ -215,19 +217,26 @@ def _common(a: list, b: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _all_pairs(indexed: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of all pairs in range, which a cell of MOST vectors and a batch of queries are small enough for."""
+    return np.nonzero(q @ indexed.T >= least - 1e-9)
+
+
 def _links(rows: pa.Table, width: int, least: float, overlap: int) -> pa.Table:
-    """What the queries among the rows find among the indexed ones: counts, hits that other cells may find too, and edges."""
+    """What the queries among the rows find among the indexed ones: counts, hits that other cells may find too, and edges. All pairs are
+    compared if there is no ``overlap``."""
     out_id, out_n, out_near, out_several, out_a, out_b = [], [], [], [], [], []
     rows = rows.sort_by([("order", "ascending"), ("rep", "ascending")])
     cell, asked = rows.filter(rows["indexed"]), rows.filter(rows["asked"])
     if len(cell) and len(asked):
         ids, copies, homes = cell["rep"].to_numpy(), cell["copies"].to_numpy(), cell["cells"].to_pylist()
-        graph = _Cell(_unit(dense(cell["e"], width)), overlap)
+        exact_rows = _unit(dense(cell["e"], width))
+        graph = _Cell(exact_rows, overlap) if overlap else None
         q_ids, q_unit, q_homes = asked["rep"].to_numpy(), _unit(dense(asked["e"], width)), asked["cells"].to_pylist()
         for a in range(0, len(q_ids), BATCH):
             part = q_unit[a : a + BATCH]
-            qi, vi = graph.search(part.astype(np.float32), least)
-            exact = np.einsum("ij,ij->i", part[qi], graph.exact[vi]) >= least
+            qi, vi = graph.search(part.astype(np.float32), least) if graph else _all_pairs(exact_rows, part, least)
+            exact = np.concatenate([np.einsum("ij,ij->i", part[qi[k : k + PAIRS]], exact_rows[vi[k : k + PAIRS]]) >= least for k in range(0, len(qi), PAIRS)] or [np.zeros(0, bool)])
             qi, vi = qi[exact], vi[exact]
             apart = q_ids[a + qi] != ids[vi]
             qi, vi = qi[apart], vi[apart]
@@ -272,27 +281,60 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampled(size, most: int):
     """Rows that a bounded sample of ``most`` of ``size`` takes, by a hash."""
-    part = (F.shiftright(F.xxhash64("rep"), 11) + F.lit(1 << 52)) / float(1 << 53)  # 0 to 1
+    part = (F.shiftright(F.xxhash64("e"), 11) + F.lit(1 << 52)) / float(1 << 53)  # 0 to 1
     return part * size < most
 
 
+def _reaching(reps: DataFrame, centres: np.ndarray, width: int, least: float) -> DataFrame:
+    """(e, rep, copies, cells, home): each node with the cell of its nearest centroid, where it is indexed, and all cells that may hold a
+    vector in its range: those whose centroid is no farther off than the range and the widest angle of a member together."""
+    sent = reps.sparkSession.sparkContext.broadcast(centres)
+
+    def angles(column: pa.Array) -> np.ndarray:
+        return np.arccos(np.clip(_unit(dense(column, width)) @ (_unit(sent.value.astype(np.float64)) if sent.value.any() else sent.value).T, -1, 1))
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.full(len(sent.value), -1.0)
+        for batch in batches:
+            far = angles(batch.column(0))
+            np.maximum.at(most, far.argmin(axis=1), far.min(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(most))), pa.array(most)], ["cell", "radius"])
+
+    radii = np.full(len(centres), -1.0)
+    for r in reps.select("e").mapInArrow(widest, "cell long, radius double").groupBy("cell").agg(F.max("radius")).collect():  # CENTRES rows
+        radii[r[0]] = r[1]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = angles(batch.column(0))
+            home = far.argmin(axis=1)
+            near = (far <= radii + np.arccos(min(1.0, max(-1.0, least))) + 1e-6) & (radii >= 0)
+            near[np.arange(len(home)), home] = True
+            cells = np.split(np.nonzero(near)[1], np.cumsum(near.sum(axis=1))[:-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tolist() for c in cells], pa.list_(pa.int64())), pa.array(home)], ["e", "rep", "copies", "cells", "home"])
+
+    return cut(reps.select("e", "rep", "copies").mapInArrow(assign, "e array<double>, rep long, copies long, cells array<long>, home long"))
+
+
 def _placed(reps: DataFrame, n: int, width: int, least: float, overlap: int, most_sample: int) -> DataFrame:
     """(e, rep, copies, cells array<long>): each node with the cells that it is in.
 
     Centroids are learned on a bounded sample, one for about CELL nodes, CENTRES at most; a node is in the cells of its ``overlap``
     nearest. Cells that are still large are split in the same way by centroids of their own, as often as LEVELS. Centroids in range
-    of another are left out.
+    of another are left out. No ``overlap`` places nodes as _reaching does.
     """
 
     def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rep")
+        group = group.sort_by("order")
         size = group["size"][0].as_py()
-        c = _apart(_fit(_unit(dense(group["e"], width)), min(CENTRES, max(1, -(-overlap * size // CELL)))), least, overlap)
+        c = _apart(_fit(_unit(dense(group["e"], width)), min(CENTRES, max(1, -(-max(1, overlap) * size // CELL)))), least, overlap)
         return pa.table({"cell": group["cell"][:1], "centres": pa.array([c.tobytes()], pa.binary())})
 
-    first = reps.filter(_sampled(F.lit(n), most_sample)).select("rep", "e", F.lit(0).cast("long").alias("cell"), F.lit(n).cast("long").alias("size"))
+    first = reps.filter(_sampled(F.lit(n), most_sample)).select(F.xxhash64("e", F.lit(5)).alias("order"), "e", F.lit(0).cast("long").alias("cell"), F.lit(n).cast("long").alias("size"))
     got = first.groupBy("cell").applyInArrow(fit, "cell long, centres binary").collect()  # of one cell, CENTRES rows of width at most
     top = np.frombuffer(bytes(got[0].centres), np.float32).reshape(-1, width) if got else np.zeros((1, width), np.float32)
+    if not overlap:
+        return _reaching(reps, top, width, least)
     sent = reps.sparkSession.sparkContext.broadcast(top)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +351,7 @@ def _placed(reps: DataFrame, n: int, width: int, least: float, overlap: int, mos
         names = (mix(cell * np.uint64(CENTRES) + near) >> np.uint64(1)).astype(np.int64)
         return pa.table({"rep": members["rep"], "cells": pa.array(names.tolist(), pa.list_(pa.int64()))})
 
-    before, overlap = None, min(overlap, 2)
+    before = None
     for _ in range(LEVELS):
         each = placed.select("e", "rep", F.explode("cells").alias("cell"))
         sizes = cut(each.groupBy("cell").agg(F.count("*").alias("size"), F.count("*").alias("weight")))
@@ -318,8 +360,8 @@ def _placed(reps: DataFrame, n: int, width: int, least: float, overlap: int, mos
             break
         before = left
         inside = spread_join(each, sizes, "cell", "weight")
-        large = inside.filter(F.col("size") > SPLIT).withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col("size") / MOST)))
-        centres = large.filter(_sampled(F.col("size"), most_sample)).select("rep", "e", "cell", "size").groupBy("cell").applyInArrow(fit, "cell long, centres binary")
+        large = inside.filter(F.col("size") > SPLIT).withColumn("slice", F.pmod(F.xxhash64("e", F.lit(3)), F.ceil(F.col("size") / MOST)))
+        centres = large.filter(_sampled(F.col("size"), most_sample)).select(F.xxhash64("e", F.lit(5)).alias("order"), "e", "cell", "size").groupBy("cell").applyInArrow(fit, "cell long, centres binary")
         slices = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / MOST) - 1))
         centres = centres.join(sizes.filter(F.col("size") > SPLIT), "cell").select("cell", slices.alias("slice"), "centres")
         children = large.select("e", "rep", "cell", "slice").groupBy("cell", "slice").cogroup(centres.groupBy("cell", "slice")).applyInArrow(divide, "rep long, cells array<long>")
@@ -334,36 +376,43 @@ def near_links(vectors: DataFrame, least: float = 0.95, overlap: int = 2, most_s
 
     Two vectors link at a cosine of ``least`` or more in double precision; vectors that are null, zero or hold null or
     non-finite components link with nothing. Shorter vectors count as if they ended in zeros. Equal vectors are one node with
-    a number of copies. Nodes go to overlapping cells (_placed), and within a cell to overlapping shards. Each shard builds a
+    a number of copies; different vectors are different nodes, whatever their ids. Nodes go to overlapping cells (_placed), and within a cell to overlapping shards. Each shard builds a
     robust-pruned graph; a node's lists from its shards are united; all members of the cell are searched for in it, greedily from
     the medoids and then outwards while neighbours are in range, and hits are verified. A cell that no centroids divide is dealt
     into slices of MOST nodes, and all pairs of slices are searched. A task sends counts and one edge a node; only hits that the
     query may meet in a further cell are sent themselves, packed a query, and counted once. ``n_near`` counts the other distinct
-    vectors in range, n_links all rows. An empty table gives no rows.
+    vectors in range, n_links all rows. An ``overlap`` of 0 is the exact way: a node is indexed in one cell, asks in all cells whose
+    centroid and radius allow a link, and all pairs there are compared. An empty table gives no rows.
     """
     rows = cut(usable(vectors))
-    reps = cut(rows.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    reps = cut(rows.groupBy("e").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     n, width = reps.agg(F.count("*"), F.max(F.size("e"))).first()
     own_id = F.col("vec_id").cast("long").alias("vec_id")
     if not n:
         return vectors.filter("vec_id is not null").select(own_id, F.lit(0).cast("long").alias("n_links"), own_id.alias("component_id"), F.lit(0).cast("long").alias("n_near"))
     most = max(1, min(MOST, COMPONENTS // width))
     placed = _placed(reps, n, width, least, overlap, max(1, min(most_sample, COMPONENTS // width)))
-    members = placed.select("e", "rep", "copies", "cells", F.explode("cells").alias("cell"), F.xxhash64("rep", F.lit(5)).alias("order"))
+    indexed = F.lit(True) if overlap else F.col("cell") == F.col("home")
+    members = placed.withColumn("cell", F.explode("cells")).select("e", "rep", "copies", F.col("cells") if overlap else F.array("home").alias("cells"), "cell", F.xxhash64("e", F.lit(5)).alias("order"), indexed.alias("lives"))
     sizes = cut(members.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts"), F.count("*").alias("weight")))
     dealt = spread_join(members, sizes, "cell", "weight").withColumn("own", F.pmod("order", "parts"))
     # A slice is indexed beside the queries of every slice, and asks in every slice; most cells have one.
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     place = lambda p, t, i, q: F.struct(p.alias("p"), t.alias("t"), F.lit(i).alias("indexed"), F.lit(q).alias("asked"))
     others = F.filter(every, lambda k: k != F.col("own"))
-    seats = F.concat(F.array(place(F.col("own"), F.col("own"), True, True)), F.transform(others, lambda k: place(F.col("own"), k, True, False)), F.transform(others, lambda k: place(k, F.col("own"), False, True)))
+    asks = F.transform(others, lambda k: place(k, F.col("own"), False, True))
+    seats = F.when(F.col("lives"), F.concat(F.array(place(F.col("own"), F.col("own"), True, True)), F.transform(others, lambda k: place(F.col("own"), k, True, False)), asks))
+    seats = seats.otherwise(F.concat(F.array(place(F.col("own"), F.col("own"), False, True)), asks))
     seated = dealt.withColumn("seat", F.explode(seats)).select("cell", "seat.*", "rep", "copies", "e", "cells", "order")
     found = cut(seated.groupBy("cell", "p", "t").applyInArrow(lambda group: _links(group, width, least, overlap), "rep long, n long, near long, several binary, to long"))
     again = found.filter("several is not null").groupBy("rep").agg(F.collect_list("several").alias("several")).mapInArrow(_settle, "rep long, n long, near long")
     counts = found.filter("n is not null").select("rep", "n", "near").unionAll(again).groupBy("rep").agg(F.sum("n").alias("n"), F.sum("near").alias("n_near"))
     roots = connected_components(found.filter("to is not null").select(F.col("rep").alias("src"), F.col("to").alias("dst")))
-    nodes = reps.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    nodes = cut(nodes.select("e", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_near", F.lit(0)).alias("n_near")))
+    # A component is named by its smallest vec_id: one row a component, met by its nodes where they are if it is large.
+    inside = cut(roots.withColumnRenamed("node", "rep").join(reps.select("rep", "low"), "rep"))
+    named = spread_join(inside.select("rep", "component"), inside.groupBy("component").agg(F.min("low").alias("name"), F.count("*").alias("copies")), "component")
+    nodes = reps.join(counts, "rep", "left").join(named.select("rep", "name"), "rep", "left")
+    nodes = cut(nodes.select("e", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "low").alias("component_id"), F.coalesce("n_near", F.lit(0)).alias("n_near")))
     linked = spread_join(rows, nodes, "e").select("vec_id", "n_links", "component_id", "n_near")
     alone = vectors.select(own_id, F.col("embedding").cast("array<double>").alias("e")).filter("vec_id is not null")
     odd = F.col("e").isNull() | F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("e", lambda x: F.coalesce(x, F.lit(0.0)) != 0)
@@ -377,7 +426,8 @@ def audit(vectors: DataFrame, links: DataFrame, least: float = 0.95, queries: in
     query's recall is the smaller count over the larger, so that counting twice is seen too; the result is the smaller mean of both choices, over queries with a neighbour. Ids that name several vectors are not asked.
     """
     reps = cut(usable(vectors).groupBy("e").agg(F.min("vec_id").alias("rep")))
-    own = links.groupBy(F.col("vec_id").alias("rep")).agg(F.min("n_near").alias("n"), F.max("n_near").alias("most")).filter("n = most").drop("most")
+    one = reps.groupBy("rep").agg(F.count("*").alias("vectors")).filter("vectors = 1").select("rep")
+    own = links.groupBy(F.col("vec_id").alias("rep")).agg(F.min("n_near").alias("n"), F.max("n_near").alias("most")).filter("n = most").drop("most").join(one, "rep")
     known = reps.join(own, "rep").withColumn("hash", F.xxhash64("rep", F.lit(11)))
     chosen = [known.filter(f).orderBy("hash", "rep").limit(queries).collect() for f in ("true", "n > 0")]
     picked = list({r.rep: r for part in chosen for r in part}.values())
@@ -404,11 +454,11 @@ def audit(vectors: DataFrame, links: DataFrame, least: float = 0.95, queries: in
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, least_recall: float = 0.9, **how) -> DataFrame:
     """near_links with the audit's figure as a column ``recall``, the same in all rows; where it is under ``least_recall``, cells and shards
-    overlap more, and at last an error says so. The rest, nulls and repeated rows included, is as there."""
-    for overlap in (2, 4, 8):
+    overlap more, and at last all cells that may hold links are compared whole. The rest, nulls and repeated rows included, is as there."""
+    for overlap in (2, 4, 0):
         links = cut(near_links(vectors, least, overlap=overlap, **how))
         recall = audit(vectors, links, least)
         logging.getLogger(__name__).info("recall of links with overlap %d: %.4f", overlap, recall)
         if recall >= least_recall:
-            return links.withColumn("recall", F.lit(recall))
-    raise RuntimeError(f"recall stays under {least_recall}")
+            break
+    return links.withColumn("recall", F.lit(recall))

@@ -86,21 +86,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_embeddings, op2_mixing, op3_topk, op4_simhash, op5_toxicity, op6_substrings, op7_language, op8_packing, op9_urls, op10_warc, op11_merkle, op12_decontamination, op13_collocations)}
 
 
-def _op9_sql() -> str:
-    """The rules as one CASE, and ten rounds of both walks as ten tables."""
+def _op9_sql(rounds: int = urls.rounds_for()) -> str:
+    """The rules as one CASE, and the rounds of both walks as two tables each: what hosts without links held, and all masses."""
     ordered = sorted(urls.RULES, key=lambda r: (-len(r.text), r.verdict != "block", r.text))
     case = lambda what: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{what(r)}'" for r in ordered) + " END"
     low = lambda x: f"translate({x}, '{urls.UPPER}', '{urls.LOW}')"
     link = urls.LINK.replace("'", "''")
     share = lambda mass, times, parts: f"greatest({mass} // ({parts}) * ({times}) + {mass} % ({parts}) * ({times}) // ({parts}), 1)"
-    rounds = [f"""h{k} AS (SELECT side, host, sum(mass)::HUGEINT AS mass FROM (SELECT side, host, {share("seed", "15::HUGEINT", "100::HUGEINT")} AS mass FROM seeds UNION ALL SELECT e.side, e.dst, {share("mass", "w * 85", "total * 100")} FROM edges e JOIN h{k - 1} h ON h.side = e.side AND h.host = e.src) GROUP BY ALL)""" for k in range(1, 11)]
+    steps = [f"""g{k} AS MATERIALIZED (SELECT side, sum(mass)::HUGEINT AS stuck FROM h{k - 1} h WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.side = h.side AND e.src = h.host) GROUP BY side),
+h{k} AS MATERIALIZED (SELECT side, host, sum(mass)::HUGEINT AS mass FROM (SELECT side, host, {share("seed", f"{100 - urls.DAMPING}::HUGEINT", "100::HUGEINT")} AS mass FROM seeds UNION ALL SELECT side, host, {share("stuck", f"n * {urls.DAMPING}", "total * 100")} FROM seeds JOIN g{k} USING (side)
+UNION ALL SELECT e.side, e.dst, {share("mass", f"w * {urls.DAMPING}", "total * 100")} FROM edges e JOIN h{k - 1} h ON h.side = e.side AND h.host = e.src) GROUP BY ALL)""" for k in range(1, rounds + 1)]
     return f"""WITH u AS (SELECT page_id, html, {low("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 r AS (SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM u),
-seeds AS (SELECT ruled AS side, host, count(*)::HUGEINT * 1000000000000000000000000::HUGEINT AS seed FROM r WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
+seeds AS MATERIALIZED (SELECT side, host, n, sum(n) OVER (PARTITION BY side)::HUGEINT AS total, n * {urls.UNIT}::HUGEINT AS seed FROM (SELECT ruled AS side, host, count(*)::HUGEINT AS n FROM r WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL)),
 l AS (SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all({low("html")}, '{link}', 1)) AS dst FROM u), p AS (SELECT src, dst, count(*)::HUGEINT AS w FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
-b AS (SELECT 'allow' AS side, src, dst, w FROM p UNION ALL SELECT 'block', dst, src, w FROM p), edges AS (SELECT *, sum(w) OVER (PARTITION BY side, src)::HUGEINT AS total FROM b),
-h0 AS (SELECT side, host, seed AS mass FROM seeds), {", ".join(rounds)},
-s AS (SELECT host, coalesce(sum(mass) FILTER (side = 'allow'), 0) AS t, coalesce(sum(mass) FILTER (side = 'block'), 0) AS d FROM h10 GROUP BY host)
+b AS (SELECT 'allow' AS side, src, dst, w FROM p UNION ALL SELECT 'block', dst, src, w FROM p), edges AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY side, src)::HUGEINT AS total FROM b),
+h0 AS MATERIALIZED (SELECT side, host, seed AS mass FROM seeds), {", ".join(steps)},
+s AS (SELECT host, coalesce(sum(mass) FILTER (side = 'allow'), 0) AS t, coalesce(sum(mass) FILTER (side = 'block'), 0) AS d FROM h{rounds} GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN t + d > 0 AND 2 * (t - d) < -(t + d) THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN s USING (host)"""
 
 
