@@ -43,7 +43,42 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(size > 0, 1 - a @ b.T / size, np.nan)
 
 
-#: Distances by name, of every row of one matrix to every row of another; all but the first need complete rows.
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return a / b
+
+
+def _canberra(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A coordinate that both rows have at 0 adds nothing."""
+    return np.nan_to_num(_ratio(np.abs(a[:, None] - b[None]), np.abs(a)[:, None] + np.abs(b)[None])).sum(axis=2)
+
+
+def _bray_curtis(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _ratio(np.abs(a[:, None] - b[None]).sum(axis=2), np.abs(a[:, None] + b[None]).sum(axis=2))
+
+
+def _sets(of: Callable[..., np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A distance of rows taken as sets, of what is not 0 in them: from how many features are in both, in one, and how many there are."""
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        u, v = (a != 0).astype(float), (b != 0).astype(float)
+        both = u @ v.T
+        return of(both, u.sum(axis=1)[:, None] + v.sum(axis=1)[None, :] - 2 * both, a.shape[1])
+
+    return run
+
+
+#: Distances of sets. They grow with what is in one alone and fall with what is in both, so at least r features in one alone bound them.
+SETS: dict[str, Callable[..., np.ndarray]] = {
+    "jaccard": lambda both, one, n: np.nan_to_num(_ratio(one, both + one)),
+    "dice": lambda both, one, n: np.nan_to_num(_ratio(one, 2 * both + one)),
+    "rogerstanimoto": lambda both, one, n: 2 * one / (n + one),
+    "sokalsneath": lambda both, one, n: np.nan_to_num(_ratio(2 * one, both + 2 * one)),
+    "russellrao": lambda both, one, n: (n - both) / n,
+}
+
+
+#: Distances by name, of every row of one matrix to every row of another; all but the first need complete rows. Minkowski's is of order 3.
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "masked_euclidean": masked_distances,
     "euclidean": lambda a, b: np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0)),
@@ -51,6 +86,12 @@ METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "chebyshev": lambda a, b: np.abs(a[:, None] - b[None]).max(axis=2),
     "cosine": _cosine,
     "correlation": lambda a, b: _cosine(a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)),
+    "sqeuclidean": lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=2),
+    "minkowski": lambda a, b: np.cbrt((np.abs(a[:, None] - b[None]) ** 3).sum(axis=2)),
+    "canberra": _canberra,
+    "braycurtis": _bray_curtis,
+    "hamming": lambda a, b: (a[:, None] != b[None]).mean(axis=2),
+    **{name: _sets(of) for name, of in SETS.items()},
 }
 
 
@@ -92,6 +133,18 @@ class _Summaries:
                 out[r] = off.max(axis=1)
             elif metric == "manhattan":
                 out[r] = off.sum(axis=1)
+            elif metric == "sqeuclidean":
+                out[r] = (off**2).sum(axis=1)
+            elif metric == "minkowski":
+                out[r] = np.cbrt((off**3).sum(axis=1))
+            elif metric == "canberra":  # least at the end that is nearer
+                out[r] = np.nan_to_num(_ratio(off, np.abs(row) + np.abs(np.clip(row, self.low, self.high)))).sum(axis=1)
+            elif metric == "braycurtis":
+                out[r] = _ratio(off.sum(axis=1), np.maximum(np.abs(row + self.low), np.abs(row + self.high)).sum(axis=1))
+            elif metric == "hamming":
+                out[r] = (off > 0).mean(axis=1)
+            elif metric in SETS:  # features that all rows of the block have and this one does not, or the other way
+                out[r] = SETS[metric](len(row) - off.sum(axis=1), off.sum(axis=1), len(row))
             elif metric == "masked_euclidean":
                 shared = np.maximum(1, (~np.isnan(row)).sum() + self.least - len(row))
                 near = np.sort(np.where(np.isnan(off), np.inf, off) ** 2, axis=1)
@@ -102,7 +155,9 @@ class _Summaries:
 
 
 def _spread(x: np.ndarray, metric: str) -> np.ndarray:
-    """Rows whose Euclidean distances give those of the metric."""
+    """Rows whose Euclidean distances give those of the metric; of sets, what is in them."""
+    if metric in SETS:
+        return (x != 0).astype(float)
     if metric == "correlation":
         x = x - x.mean(axis=1, keepdims=True)
     if metric in ("cosine", "correlation"):

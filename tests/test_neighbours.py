@@ -16,6 +16,53 @@ def best(d, ids, k):
     return order[:k]
 
 
+def one_pair(metric, a, b):
+    """The distance of two rows, a coordinate at a time; None where the metric is tested elsewhere."""
+    pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+    both, one = sum(x != 0 and y != 0 for x, y in pairs), sum((x != 0) != (y != 0) for x, y in pairs)
+    n, over = len(pairs), lambda x, y: x / y if y else 0.0
+    return {
+        "euclidean": sum((x - y) ** 2 for x, y in pairs) ** 0.5,
+        "manhattan": sum(abs(x - y) for x, y in pairs),
+        "chebyshev": max(abs(x - y) for x, y in pairs),
+        "sqeuclidean": sum((x - y) ** 2 for x, y in pairs),
+        "minkowski": sum(abs(x - y) ** 3 for x, y in pairs) ** (1 / 3),
+        "canberra": sum(over(abs(x - y), abs(x) + abs(y)) for x, y in pairs),
+        "braycurtis": over(sum(abs(x - y) for x, y in pairs), sum(abs(x + y) for x, y in pairs)) if any(x + y for x, y in pairs) else None,
+        "hamming": sum(x != y for x, y in pairs) / n,
+        "jaccard": over(one, both + one),
+        "dice": over(one, 2 * both + one),
+        "rogerstanimoto": 2 * one / (n + one),
+        "sokalsneath": over(2 * one, both + 2 * one),
+        "russellrao": (n - both) / n,
+    }.get(metric)
+
+
+def sparse(n=240):
+    """Whole numbers, mostly 0, in groups that share most of their features; some rows are 0 throughout."""
+    rng = np.random.default_rng(8)
+    x = (rng.random((8, 12)) < 0.4)[rng.integers(0, 8, n)] ^ (rng.random((n, 12)) < 0.05)
+    x = x * rng.integers(-3, 4, (n, 12)).astype(float)
+    x[5:8] = 0
+    return x
+
+
+@pytest.mark.parametrize("metric", sorted(set(neighbours.METRICS) - {"masked_euclidean", "cosine", "correlation"}))
+def test_distances_pair_by_pair(spark, metric, monkeypatch):
+    x = sparse()
+    d = neighbours.distances(x[:40], x[:40], metric)
+    for i in range(40):
+        for j in range(40):
+            want = one_pair(metric, x[i], x[j])
+            assert np.isnan(d[i, j]) if want is None else abs(d[i, j] - want) < 1e-9
+    if metric in neighbours.SETS or metric in ("canberra", "braycurtis", "hamming"):  # their bounds need rows with zeros
+        monkeypatch.setattr(neighbours, "OTHERS", 20)
+        got = {(r.id, r.rank): r.nid for r in neighbours.nearest(table(spark, x), 3, metric=metric).collect()}
+        whole = neighbours.distances(x, x, metric)
+        np.fill_diagonal(whole, np.nan)
+        assert got == {(i, k + 1): n for i in range(len(x)) for k, (_, n) in enumerate(best(whole[i], np.arange(len(x)), 3))}
+
+
 @pytest.fixture
 def clustered():
     rng = np.random.default_rng(3)
