@@ -312,6 +312,19 @@ def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return r6(neighbours.nearest(patients(spark, sf).select("id", "x"), 5), "distance")
 
 
+@query(f"""WITH {LONG_SQL}, pairs AS (SELECT a.id, b.id AS nid, sum(coalesce(abs(a.value - b.value) / nullif(abs(a.value) + abs(b.value), 0), 0)) AS canberra, sum(abs(a.value - b.value)) / sum(abs(a.value + b.value)) AS braycurtis,
+sum(abs(a.value - b.value) ** 3) ** (1.0 / 3) AS minkowski, avg(CASE WHEN a.value <> b.value THEN 1.0 ELSE 0.0 END) AS hamming FROM long a JOIN long b ON a.fi = b.fi AND a.id <> b.id GROUP BY ALL),
+named AS (UNPIVOT pairs ON canberra, braycurtis, minkowski, hamming INTO NAME metric VALUE d)
+SELECT metric, id, nid, CAST(k AS INT) AS rank, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY metric, id ORDER BY round(d, 12), nid) AS k FROM named) WHERE k <= 3""")
+def nearest_by_metric(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest patients of each by four distances."""
+    rows, out = patients(spark, sf).select("id", "x"), None
+    for metric in ("canberra", "braycurtis", "minkowski", "hamming"):
+        found = neighbours.nearest(rows, 3, metric=metric).select(F.lit(metric).alias("metric"), "id", "nid", "rank", "distance")
+        out = found if out is None else out.unionByName(found)
+    return r6(out, "distance")
+
+
 @query(f"""WITH {LONG_SQL}, c AS (SELECT CASE WHEN sum(target) <= count(*) - sum(target) THEN 1 ELSE 0 END AS small FROM m), own AS (SELECT long.* FROM long, c WHERE target = small), {KNN_SQL.format(t="own")}
 SELECT id, nid, CAST(k AS INT) AS rank FROM (SELECT id, nid, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS k FROM d) WHERE k <= 5""")
 def smote_neighbors(spark: SparkSession, sf: str) -> DataFrame:
