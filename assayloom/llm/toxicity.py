@@ -89,12 +89,21 @@ def _descend(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: n
     return SeverityModel(weights, theta)
 
 
-def _refined(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: np.ndarray, rounds: int, rate: float, strength: float) -> np.ndarray:
-    """Labels that only say toxic or not, as three grades of toxic: by how many words speak for it, cut at the thirds of those documents."""
-    model = _descend(counts, index, grade, weight, 2, rounds, rate, strength)
-    said = np.bincount(np.repeat(np.arange(len(counts)), counts), model.weights[index] > 0, len(counts))
-    cuts = np.unique(np.quantile(said[(grade == 1) & (said > 0)], (1 / 3, 2 / 3))) if ((grade == 1) & (said > 0)).any() else np.zeros(0)
-    fine = np.where(grade == 1, 1 + (said[:, None] > cuts[None, :]).sum(axis=1), 0)
+def _refined(counts: np.ndarray, index: np.ndarray, grade: np.ndarray, weight: np.ndarray, rounds: int, rate: float, strength: float, folds: int = 3) -> np.ndarray:
+    """Labels that only say toxic or not, as up to three grades of toxic: the odds that a fit which has not seen the document gives it, cut
+    at the thirds of the toxic documents whose odds its words raise."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    fold, odds = np.arange(len(counts)) % folds, np.zeros(len(counts))
+    for k in range(folds):
+        seen = fold != k
+        if not (grade[seen] == 1).any():
+            continue
+        model = _descend(counts[seen], index[seen[doc]], grade[seen], weight[seen], 2, rounds, rate, strength)
+        own = ~seen[doc]
+        odds += np.bincount(doc[own], model.weights[index[own]], len(counts))
+    raised = (grade == 1) & (odds > 0)
+    cuts = np.unique(np.quantile(odds[raised], (1 / 3, 2 / 3))) if raised.any() else np.zeros(0)
+    fine = np.where(grade == 1, 1 + (odds[:, None] > cuts[None, :]).sum(axis=1), 0)
     return np.unique(fine, return_inverse=True)[1]  # no empty grade in between
 
 
@@ -105,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", most_rows: int
     others, chosen by a hash of the id and weighted back to their shares; whole texts of the chosen are read. Where those texts
     are longer than ``most_bytes`` together, the same share of each grade's rows is left out, so what the driver gets is bounded in
     bytes too (a word of the sample is four bytes there). Labels of two grades only are refined to more by _refined: their
-    severity then says how much of what marks toxic documents a text holds, since no such label says how bad it is. Nulls and
+    severity then says how strongly the words of other documents speak for toxic, since no such label says how bad it is. Nulls and
     negative grades are not learned from. Without labels, nothing is toxic.
     """
     rated = pick(labels, doc_id="long", **{grade: "int"}).toDF("doc_id", "grade").filter((fold_of() != 0) & (F.col("grade") >= 0)).groupBy("doc_id").agg(F.max("grade").alias("grade"))
