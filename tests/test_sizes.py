@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayloom.operators import metrics, ranking
+from assayloom.operators import metrics, neighbours
 from assayloom.operators.forest import boost
 
 
@@ -42,3 +42,14 @@ def test_a_fit_holds_few_columns_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 * x.nbytes / 2  # codes and orders are short numbers; sorting all columns at each node took 10 times the matrix
+
+
+@pytest.mark.parametrize("metric", ["braycurtis", "canberra", "chebyshev", "hamming", "manhattan", "minkowski", "sqeuclidean"])
+def test_distances_hold_few_differences(metric):
+    rng = np.random.default_rng(0)
+    a, b = rng.standard_normal((64, 64)), rng.standard_normal((2048, 64))
+    tracemalloc.start()
+    neighbours.distances(a, b, metric)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 8 * len(a) * len(b)  # all differences of all features at once were 64 times the distances
