@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayloom.operators import metrics, neighbours
+from assayloom.operators import metrics, neighbours, ranking
 from assayloom.operators.forest import boost
 
 
@@ -44,6 +44,13 @@ def test_a_fit_holds_few_columns_at_a_time():
     assert peak < 4 * x.nbytes / 2  # codes and orders are short numbers; sorting all columns at each node took 10 times the matrix
 
 
+def test_steps_are_scored_once(spark, scored):
+    steps = scored.withColumn("rank", F.lit(1).cast("long"))
+    seen, made = watched(spark, steps)
+    assert ranking.rank_summary(seen).collect() == ranking.rank_summary(steps).collect()
+    assert made.value == 300
+
+
 @pytest.mark.parametrize("metric", ["braycurtis", "canberra", "chebyshev", "hamming", "manhattan", "minkowski", "sqeuclidean"])
 def test_distances_hold_few_differences(metric):
     rng = np.random.default_rng(0)
