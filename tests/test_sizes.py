@@ -51,6 +51,27 @@ def test_steps_are_scored_once(spark, scored):
     assert made.value == 300
 
 
+def test_boots_are_drawn_once(spark, scored, monkeypatch):
+    from assayloom.operators import folds
+
+    made, drawn = spark.sparkContext.accumulator(0), folds.bootstrap
+
+    def watch(*args):
+        out = drawn(*args)
+
+        def count(parts):
+            for pdf in parts:
+                made.add(int(pdf["weight"].sum()))
+                yield pdf
+
+        return out.mapInPandas(count, out.schema)
+
+    want = sorted(ranking.bootstrap_report(scored, 5).collect())
+    monkeypatch.setattr(folds, "bootstrap", watch)
+    assert sorted(ranking.bootstrap_report(scored, 5).collect()) == want
+    assert made.value == 5 * 300
+
+
 @pytest.mark.parametrize("metric", ["braycurtis", "canberra", "chebyshev", "hamming", "manhattan", "minkowski", "sqeuclidean"])
 def test_distances_hold_few_differences(metric):
     rng = np.random.default_rng(0)
