@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayloom.operators import metrics, neighbours, ranking
+from assayloom.operators import metrics, neighbours, ranking, selection
 from assayloom.operators.forest import boost
 
 
@@ -72,6 +72,17 @@ def test_boots_are_drawn_once(spark, scored, monkeypatch):
     assert made.value == 5 * 300
 
 
+def test_relief_holds_few_differences():
+    rng = np.random.default_rng(0)
+    x, y = rng.standard_normal((3000, 40)), rng.integers(0, 2, 3000)
+    tracemalloc.start()
+    whole = selection.multisurf(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * x.nbytes  # 64 rows' differences to all were 64 times the matrix
+    assert np.allclose(sum(selection.multisurf(x, y, p, 3) for p in range(3)), whole, atol=1e-12)
+
+
 @pytest.mark.parametrize("metric", ["braycurtis", "canberra", "chebyshev", "hamming", "manhattan", "minkowski", "sqeuclidean"])
 def test_distances_hold_few_differences(metric):
     rng = np.random.default_rng(0)
