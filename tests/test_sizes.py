@@ -1,12 +1,13 @@
 """What keeps large tables within time and memory: work is done once, and in pieces of a bounded size."""
 
+import time
 import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayloom.operators import metrics, neighbours, ranking, selection
+from assayloom.operators import information, metrics, neighbours, ranking, selection
 from assayloom.operators.forest import boost
 
 
@@ -83,6 +84,17 @@ def test_relief_holds_few_differences():
     assert np.allclose(sum(selection.multisurf(x, y, p, 3) for p in range(3)), whole, atol=1e-12)
 
 
+def test_points_of_many_columns_are_near_few():
+    """As many distances as points, about, on a plane whose points stand in stripes; each is the one found among all."""
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 3, 40_000).astype(float), rng.standard_normal(40_000)
+    began = time.time()
+    got = information.kth_in_plane(x, y, 3)
+    assert time.time() - began < 7
+    for i in range(0, 40_000, 1999):
+        assert got[i] == np.sort(np.maximum(np.abs(x - x[i]), np.abs(y - y[i])))[3]
+
+
 @pytest.mark.parametrize("metric", ["braycurtis", "canberra", "chebyshev", "hamming", "manhattan", "minkowski", "sqeuclidean"])
 def test_distances_hold_few_differences(metric):
     rng = np.random.default_rng(0)
