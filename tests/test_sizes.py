@@ -95,6 +95,17 @@ def test_points_of_many_columns_are_near_few():
         assert got[i] == np.sort(np.maximum(np.abs(x - x[i]), np.abs(y - y[i])))[3]
 
 
+def test_alike_rows_are_explained_once(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((60, 3)).round(1)
+    rows = spark.createDataFrame([(i, int(v[0] > 0), v.tolist()) for i, v in enumerate(x)], "id long, target int, x array<double>")
+    many = rows.crossJoin(spark.range(1000).withColumnRenamed("id", "copy")).withColumn("id", F.col("copy") * 60 + F.col("id")).drop("copy").cache()
+    many.count()
+    began = time.time()
+    got = ranking.shap_report(many, many, trees=20).groupBy("id").agg(F.sum("shap").alias("s")).count()
+    assert got == 60_000 and time.time() - began < 60
+
+
 @pytest.mark.parametrize("metric", ["braycurtis", "canberra", "chebyshev", "hamming", "manhattan", "minkowski", "sqeuclidean"])
 def test_distances_hold_few_differences(metric):
     rng = np.random.default_rng(0)
