@@ -19,6 +19,10 @@ Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple]]
 BLOCK, OTHERS = 4096, 2048
 #: Queries compared at once.
 STEP = 256
+#: Rows of a block where all blocks meet all, and candidates that single precision looks through at once.
+DENSE, WIDE = 1 << 16, 4096
+#: Rows that say whether blocks can be ruled out, and the share of blocks asked beyond which all meet all.
+TRIED, MOST_ASKED = 64, 0.125
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -257,10 +261,195 @@ def _placed(other: DataFrame, metric: str) -> tuple[DataFrame, _Summaries | None
     return cut, _Summaries(*(np.array([r[c] for r in found]) for c in ("block", "low", "high", "least", "counts")))
 
 
-def met_in_blocks(rows: DataFrame, placed: DataFrame, kernel: Kernel, names: dict[str, pa.DataType]) -> DataFrame:
+class _Sieve:
+    """Candidates in single precision, which passes on those that may be as near as a limit: all that are, by a bound of what rounding
+    does, and few more. Distances themselves are made in doubles, of what is passed on."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.width, self.there = x, x.shape[1], ~np.isnan(x)
+        size = np.where(self.there, np.abs(x), 0).max(initial=0)
+        self.sound = bool(size < 1e15)
+        count = self.there.sum(axis=0)
+        self.centre = np.where(self.there, x, 0).sum(axis=0) / np.maximum(1, count) if self.sound else np.zeros(self.width)
+        y = np.where(self.there, x - self.centre, 0)
+        self.far, self.made, self.y, self.gaps = float(np.sqrt((y**2).sum(axis=1).max(initial=0))), {}, y, not self.there.all()
+
+    def _side(self, gaps: bool) -> tuple[np.ndarray, np.ndarray]:
+        if gaps not in self.made:
+            self.made[gaps] = (np.concatenate([self.there, self.y**2, self.y], axis=1).astype(np.float32), self.there.astype(np.float32)) if gaps else (np.concatenate([self.y, (self.y**2).sum(axis=1)[:, None]], axis=1).astype(np.float32), None)
+        return self.made[gaps]
+
+    def apart(self, xa: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Distances of pairs; nan where they share no coordinate."""
+        out = np.empty(len(row))
+        for s in range(0, len(row), 1 << 14):
+            off = xa[row[s : s + (1 << 14)]] - self.x[place[s : s + (1 << 14)]]
+            both = (~np.isnan(off)).sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[s : s + (1 << 14)] = np.sqrt(np.nansum(off**2, axis=1) * self.width / both)
+        return out
+
+    def passed(self, ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, first: Callable, settle: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, distance) that ``settle`` leaves: it is given those found so far, gives which of them to keep and how far each row
+        still looks. ``first`` gives places to begin with for each row."""
+        ma = ~np.isnan(xa)
+        gaps = self.gaps or not ma.all()
+        x0 = np.where(ma, xa - self.centre, 0)
+        size = (x0**2).sum(axis=1)
+        left = np.concatenate([x0**2, ma, -2 * x0], axis=1).astype(np.float32) if gaps else np.concatenate([-2 * x0, np.ones((len(xa), 1))], axis=1).astype(np.float32)
+        right, there = self._side(gaps)
+        mask, slack = ma.astype(np.float32), (3 * self.width + 32) * 2.0**-23 * (np.sqrt(size) + self.far) ** 2
+        by_id = np.argsort(idb, kind="stable")
+        low, high = np.searchsorted(idb[by_id], ida), np.searchsorted(idb[by_id], ida, "right")
+        own = {(r, int(by_id[p])) for r in np.flatnonzero(high > low) for p in range(low[r], high[r])}
+        row, place = first()
+        row, place, d, limit = self._settled(xa, row, place, np.zeros(0), settle, own)
+        waiting: list[tuple] = []
+        buffer, other = np.empty((len(xa), WIDE), np.float32), np.empty((len(xa), WIDE), np.float32)
+        for c in range(0, len(self.x), WIDE):
+            part = slice(c, min(c + WIDE, len(self.x)))
+            found = np.matmul(left, right[part].T, out=buffer[:, : part.stop - c])
+            with np.errstate(over="ignore"):
+                bound = np.minimum(limit**2, 1e30) * (1 + 1e-5)
+            if gaps:
+                most = np.matmul(mask, there[part].T, out=other[:, : part.stop - c])
+                most *= (bound / self.width)[:, None].astype(np.float32)
+                most += slack[:, None].astype(np.float32)
+                hit = found <= most
+            else:
+                hit = found <= (bound - size + slack)[:, None].astype(np.float32)
+            r, p = np.divmod(np.flatnonzero(hit), part.stop - c)
+            waiting.append((r, p + c))
+            if sum(len(w[0]) for w in waiting) > 16 * len(xa) or part.stop == len(self.x):
+                r, p = (np.concatenate(w) for w in zip(*waiting, strict=True))
+                row, place, d, limit = self._settled(xa, np.concatenate([row, r]), np.concatenate([place, p]), d, settle, own)
+                waiting = []
+        return row, place, d
+
+    def _settled(self, xa: np.ndarray, row: np.ndarray, place: np.ndarray, d: np.ndarray, settle: Callable, own: set) -> tuple:
+        fresh = np.ones(len(row), bool)
+        fresh[: len(d)] = False
+        _, once = np.unique(row * len(self.x) + place, return_index=True)  # the earlier of equal pairs
+        d = np.concatenate([d, self.apart(xa, row[fresh], place[fresh])])
+        row, place, d = row[once], place[once], d[once]
+        for r, p in own:
+            d[(row == r) & (place == p)] = np.nan
+        there = ~np.isnan(d)
+        keep, limit = settle(row[there], place[there], d[there])
+        return row[there][keep], place[there][keep], d[there][keep], limit
+
+
+def _first(group: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` first of each group by rounded distance, then id."""
+    order = np.lexsort((ids, np.round(d, 12), group))
+    g = group[order]
+    return order[np.arange(len(g)) - np.searchsorted(g, g) < k]
+
+
+def _near(sieve: _Sieve, ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, distance) of the ``k`` nearest candidates of each row."""
+
+    def settle(row: np.ndarray, place: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep, limit = _first(row, d, idb[place], k), np.full(len(xa), np.inf)
+        full = np.flatnonzero(np.bincount(row[keep], minlength=len(xa)) >= k)
+        far = np.zeros(len(xa))
+        np.maximum.at(far, row[keep], d[keep])
+        limit[full] = far[full] + 1e-11
+        return keep, limit
+
+    def first() -> tuple[np.ndarray, np.ndarray]:
+        row, place = _smallest(_apart(ida, xa, idb[:1024], sieve.x[:1024]), idb[:1024], k)
+        return row, place
+
+    return sieve.passed(ida, xa, idb, first, settle)
+
+
+def _near_having(sieve: _Sieve, ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, k: int) -> list[tuple]:
+    """(id, feature, candidate's id, its value, distance): for each gap the ``k`` nearest candidates that have the feature."""
+    gone, having = np.isnan(xa), sieve.there.sum(axis=0)
+    often = having > WIDE  # the others' offers are all made first, and say nothing of how far to look
+
+    def offers(row: np.ndarray, place: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit, fi = np.nonzero(gone[row] & sieve.there[place])
+        best = _first(row[hit] * gone.shape[1] + fi, d[hit], idb[place[hit]], k)
+        return hit[best], fi[best]
+
+    def settle(row: np.ndarray, place: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit, fi = offers(row, place, d)
+        held, far = np.zeros(gone.shape, np.int64), np.zeros(len(xa))
+        np.add.at(held, (row[hit], fi), 1)
+        np.maximum.at(far, row[hit], np.where(often[fi], d[hit], 0))
+        return np.unique(hit), np.where(((held >= k) | ~gone | ~often).all(axis=1), far + 1e-11, np.inf)
+
+    def first() -> tuple[np.ndarray, np.ndarray]:
+        """Of features that few have all of those, else some of the first candidates."""
+        begin = _apart(ida, xa, idb[:1024], sieve.x[:1024])
+        rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for j in np.flatnonzero(gone.any(axis=0) & (having > 0)):
+            ask = np.flatnonzero(gone[:, j])
+            have = np.flatnonzero(sieve.there[:, j]) if not often[j] else np.flatnonzero(sieve.there[:1024, j])
+            if len(have):
+                part = _apart(ida[ask], xa[ask], idb[have], sieve.x[have]) if not often[j] else begin[np.ix_(ask, have)]
+                row, place = _smallest(part, idb[have], k)
+                rows.append(ask[row])
+                places.append(have[place])
+        return np.concatenate(rows), np.concatenate(places)
+
+    row, place, d = sieve.passed(ida, xa, idb, first, settle)
+    hit, fi = offers(row, place, d)
+    return [(ida[row[hit]], fi, idb[place[hit]], sieve.x[place[hit], fi], d[hit])]
+
+
+def _sieves() -> Callable[[np.ndarray], _Sieve]:
+    """The sieve of the candidates that were asked for last."""
+    held: list[_Sieve] = []
+
+    def of(x: np.ndarray) -> _Sieve:
+        if not held or held[0].x is not x:
+            held[:] = [_Sieve(x)]
+        return held[0]
+
+    return of
+
+
+def _all_asked(rows: DataFrame, other: DataFrame, seen: _Summaries, metric: str, kernel: Kernel, names: dict[str, pa.DataType], reach: Callable) -> bool:
+    """Whether a few of the rows, once they know how far their best are, would ask too many blocks for it to be worth while."""
+    few = rows.orderBy(F.xxhash64("id"), "id").limit(TRIED).toArrow()
+    ids, x = few["id"].to_numpy(), _matrix(few["x"])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                out = kernel(ids, x, batch.column("id").to_numpy(zero_copy_only=False), _matrix(pa.chunked_array([batch.column("x")])))
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in zip(names.values(), columns, strict=True)], list(names))
+
+    met = other.select("id", "x").mapInArrow(run, _schema(names))
+    far = {r["id"]: r["far"] for r in reach(met, seen.counts.sum(axis=0)).collect()}  # TRIED rows
+    limits = np.array([np.inf if far.get(i) is None else far[i] for i in ids])
+    asked = (seen.bounds(x, metric) <= limits[:, None]).sum(axis=1) - 1
+    return bool(asked.mean() > MOST_ASKED * (len(seen.block) - 1))
+
+
+def _met_densely(rows: DataFrame, other: DataFrame, kernel: Kernel, names: dict[str, pa.DataType]) -> DataFrame:
+    """What ``kernel`` gives of all rows and all candidates: DENSE rows at most meet as many candidates in a task, so copies that travel are few."""
+    n, m, workers = rows.count(), other.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-m // DENSE))
+    size = min(DENSE, max(BLOCK, -(-n * blocks // (4 * workers))))
+    dealt = lambda parts: F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    return met_in_blocks(rows.select("id", "x", every.alias("block")), other.select("id", "x", dealt(blocks).alias("block")), kernel, names, size)
+
+
+def _schema(names: dict[str, pa.DataType]) -> str:
+    kinds = {pa.int64(): "long", pa.float64(): "double"}
+    return ", ".join(f"{c} {kinds[t]}" for c, t in names.items())
+
+
+def met_in_blocks(rows: DataFrame, placed: DataFrame, kernel: Kernel, names: dict[str, pa.DataType], most: int | None = None) -> DataFrame:
     """What ``kernel`` gives of (ids, matrix) of the ``rows`` (id, x, block) and of the candidates of their block. Where many rows ask for a block, they
-    are dealt out and the block is sent to each part."""
-    asked = rows.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))  # a row a block
+    are dealt out, ``most`` (default: BLOCK) to a part about, and the block is sent to each part."""
+    asked = rows.groupBy("block").agg(F.ceil(F.count("*") / (most or BLOCK)).alias("parts"))  # a row a block
     left = rows.join(F.broadcast(asked), "block").select("id", "x", "block", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).toDF("id", "x", "block", "part")
     right = placed.join(F.broadcast(asked), "block").select("id", "x", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).toDF("id", "x", "block", "part")
 
@@ -273,8 +462,7 @@ def met_in_blocks(rows: DataFrame, placed: DataFrame, kernel: Kernel, names: dic
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[] for _ in names]
         return pa.table({c: pa.array(v, t) for (c, t), v in zip(names.items(), columns, strict=True)})
 
-    kinds = {pa.int64(): "long", pa.float64(): "double"}
-    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, ", ".join(f"{c} {kinds[t]}" for c, t in names.items()))
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, _schema(names))
 
 
 def _searched(rows: DataFrame, other: DataFrame, metric: str, kernel: Kernel, names: dict[str, pa.DataType], reach: Callable[[DataFrame, np.ndarray], DataFrame]) -> DataFrame:
@@ -282,7 +470,8 @@ def _searched(rows: DataFrame, other: DataFrame, metric: str, kernel: Kernel, na
 
     A row is first compared with the block it is nearest to. ``reach`` says from those offers how far (id, far) the best may still be, null
     for anywhere; then the row is sent to the other blocks whose summary allows as near a row, and to no more. So among rows in
-    clusters the work grows with the rows, not with their pairs; where nothing can be ruled out, all blocks are asked."""
+    clusters the work grows with the rows, not with their pairs; where little can be ruled out, large blocks of rows meet all candidates, and
+    what travels is a copy of the table for each of those."""
     rows = rows.select("id", "x")
     placed, seen = _placed(other, metric)
     if seen is None:
@@ -292,6 +481,9 @@ def _searched(rows: DataFrame, other: DataFrame, metric: str, kernel: Kernel, na
         spread = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block"))  # one block of candidates, for each part of the rows
         return met_in_blocks(spread, placed.select("id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block")), kernel, names)
 
+    if _all_asked(rows, other, seen, metric, kernel, names, reach):
+        return _met_densely(rows, other, kernel, names)
+
     def home(batches):
         for batch in batches:
             x = _matrix(pa.chunked_array([batch.column("x")])) if batch.num_rows else np.zeros((0, seen.low.shape[1]))
@@ -324,7 +516,12 @@ def nearest(rows: DataFrame, k: int, other: DataFrame | None = None, metric: str
     if metric not in METRICS:
         raise ValueError(f"metric: {metric!r} is none of {', '.join(METRICS)}")
 
+    sieve = _sieves()
+
     def kernel(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray) -> list[tuple]:
+        if metric == "masked_euclidean" and len(xb) > WIDE and sieve(xb).sound:
+            row, place, d = _near(sieve(xb), ida, xa, idb, k)
+            return [(ida[row], idb[place], d)]
         d = _apart(ida, xa, idb, xb, metric)
         row, place = _smallest(d, idb, k)
         return [(ida[row], idb[place], d[row, place])]
@@ -341,7 +538,11 @@ def nearest_having(rows: DataFrame, k: int, other: DataFrame | None = None) -> D
     """(id long, fi long, value double, distance double): for each missing value of each row (id, x array<double>) the values of the ``k``
     nearest rows of ``other`` (default: the same) that have that feature, ties to the smaller id."""
 
+    sieve = _sieves()
+
     def kernel(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray) -> list[tuple]:
+        if len(xb) > WIDE and sieve(xb).sound:
+            return _near_having(sieve(xb), ida, xa, idb, k)
         d, out = _apart(ida, xa, idb, xb), []
         for j in np.flatnonzero(np.isnan(xa).any(axis=0)):
             ask, have = np.flatnonzero(np.isnan(xa[:, j])), np.flatnonzero(~np.isnan(xb[:, j]))

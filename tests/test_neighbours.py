@@ -152,3 +152,47 @@ def test_no_candidates(spark):
     assert neighbours.nearest(none, 3).collect() == []
     assert neighbours.nearest(table(spark, np.ones((3, 2))), 3, none).collect() == []
     assert len(neighbours.nearest(table(spark, np.ones((1, 2))), 3).collect()) == 0
+
+
+@pytest.mark.parametrize("spread", [0.1, 1.0])
+def test_all_meet_all_in_large_blocks(spark, spread, monkeypatch):
+    """Rows that no block can be ruled out for: each travels as often as there are blocks of candidates, and single precision loses none."""
+    monkeypatch.setattr(neighbours, "OTHERS", 20)
+    monkeypatch.setattr(neighbours, "DENSE", 200)
+    monkeypatch.setattr(neighbours, "WIDE", 50)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((380, 12)), 100 + spread * rng.standard_normal((20, 12))])
+    x[20:30] = x[10]
+    asked, real = [], neighbours.met_in_blocks
+    monkeypatch.setattr(neighbours, "met_in_blocks", lambda rows, *a: (asked.append(rows.count()), real(rows, *a))[1])
+    got = {}
+    for r in neighbours.nearest(table(spark, x), 4).collect():
+        got.setdefault(r.id, {})[r.rank] = (round(r.distance, 9), r.nid)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.nan)
+    for i in range(len(d)):
+        assert [n for _, n in (got[i][k + 1] for k in range(4))] == [n for _, n in best(d[i], np.arange(len(d)), 4)]
+    assert asked == [2 * len(x)]  # 20 blocks were asked one by one
+    gone = np.where(rng.random(x.shape) < 0.1, np.nan, x)
+    gone[:, 3] = np.nan
+    gone[[7, 200], 3] = 1.5, -2.0
+    near = {}
+    for r in neighbours.nearest_having(table(spark, gone), 3).collect():
+        near.setdefault((r.id, r.fi), []).append(r.distance)
+    d = neighbours.masked_distances(gone, gone)
+    np.fill_diagonal(d, np.nan)
+    for i, j in zip(*np.nonzero(np.isnan(gone)), strict=True):
+        have = np.flatnonzero(~np.isnan(gone[:, j]))
+        assert sorted(near.get((i, j), [])) == pytest.approx([v for v, _ in best(d[i, have], have, 3)], abs=1e-6)
+
+
+def test_a_sieve_loses_nothing(monkeypatch):
+    monkeypatch.setattr(neighbours, "WIDE", 64)
+    rng = np.random.default_rng(2)
+    for x in (rng.standard_normal((3000, 9)) + 1000, rng.integers(0, 2, (3000, 9)).astype(float), rng.normal(0, 1e6, (3000, 9))):
+        ids = rng.permutation(3000)
+        row, place, d = neighbours._near(neighbours._Sieve(x), ids[:40], x[:40], ids, 6)
+        far = np.sqrt(((x[:40, None] - x[None]) ** 2).sum(axis=2))
+        far[np.arange(40), np.arange(40)] = np.nan
+        for i in range(40):
+            assert [ids[p] for p in place[row == i][np.lexsort((ids[place[row == i]], np.round(d[row == i], 12)))]] == [n for _, n in best(far[i], ids, 6)]
