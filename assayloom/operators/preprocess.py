@@ -278,11 +278,32 @@ def over_pipelines(split: DataFrame, combinations: list[dict], each: Callable[[s
 def completed_cells(split: DataFrame, combinations: list[dict], strategy: str = "mar", seed: int = 0) -> DataFrame:
     """(pipeline string, id long, place int, value double): every pipeline's completed matrix, features by their place in ascending order."""
 
-    def each(name: str, ids: np.ndarray, y: np.ndarray, test: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"pipeline": name, "id": ids, "x": list(x)})
+    by_mean = [c for c in combinations if not c["mar"] or c["mar"] == {"method": "mean"}]
+    others = [c for c in combinations if c not in by_mean]
+    parts = []
+    if by_mean:
+        parts.append(_cells_by_mean(split, by_mean, strategy, seed))
+    if others:
 
-    rows = over_pipelines(split, combinations, each, "pipeline string, id long, x array<double>", strategy, seed)
-    return rows.select("pipeline", "id", F.posexplode("x").alias("place", "value")).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+        def each(name: str, ids: np.ndarray, y: np.ndarray, test: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"pipeline": name, "id": ids, "x": list(x)})
+
+        rows = over_pipelines(split, others, each, "pipeline string, id long, x array<double>", strategy, seed)
+        parts.append(rows.select("pipeline", "id", F.posexplode("x").alias("place", "value")))
+    done = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return done.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def _cells_by_mean(split: DataFrame, combinations: list[dict], strategy: str, seed: int) -> DataFrame:
+    """Cells of pipelines that put means of the fitted rows, or nothing, into gaps: no task needs a whole matrix for that."""
+    options = _once([c["mnar"] for c in combinations])
+    names = [(c["scaler"], options.index(c["mnar"]), pipeline_name(c), bool(c["mar"])) for c in combinations]
+    table = split.sparkSession.createDataFrame(names, "scaler string, mnar int, pipeline string, fills boolean")
+    held = prefixes(split, combinations, strategy, seed)
+    cells = held.select("scaler", "mnar", "id", "test", F.posexplode("x").alias("place", "value"))
+    means = cells.filter("not test").groupBy("scaler", "mnar", "place").agg(F.avg("value").alias("mean"))
+    met = cells.join(F.broadcast(means), ["scaler", "mnar", "place"], "left").join(F.broadcast(table), ["scaler", "mnar"])  # a row a prefix and feature, a row a pipeline
+    return met.select("pipeline", "id", "place", F.coalesce("value", F.when(F.col("fills"), F.col("mean"))).alias("value"))
 
 
 def best_of(scores: DataFrame, by: tuple[str, ...] = ("sens_at_95", "roc_auc", "pr_auc", "ppv", "npv"), n: int = 5) -> DataFrame:
