@@ -33,7 +33,7 @@ def asked(monkeypatch, spark, name, operator):
     return found
 
 
-@pytest.mark.parametrize("name", ["rfe_curve"])
+@pytest.mark.parametrize("name", ["rfe_curve", "rfe_selected"])
 def test_elimination_is_whole(spark, monkeypatch, name):
     got = asked(monkeypatch, spark, name, "elimination")
     assert got["splits"] == Settings().feature_selection.multisurf_cross_validation_splits and got["most"] == 40
