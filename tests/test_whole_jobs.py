@@ -38,3 +38,9 @@ def test_elimination_is_whole(spark, monkeypatch, name):
     got = asked(monkeypatch, spark, name, "elimination")
     assert got["splits"] == Settings().feature_selection.multisurf_cross_validation_splits and got["most"] == 40
     assert got["params"].get("trees", inspect.signature(boost).parameters["trees"].default) == 200
+
+
+def test_search_is_whole(spark, monkeypatch):
+    got, whole = asked(monkeypatch, spark, "search_trials", "search"), Settings()
+    assert got["trials"] == whole.optimization.optuna.trials
+    assert (got["k"], got["repeats"]) == (whole.feature_selection.cross_validation_splits, whole.feature_selection.cross_validation_repeats)
