@@ -58,12 +58,14 @@ TILE = (32, 1024)
 
 def _summed(a: np.ndarray, b: np.ndarray, term: Callable[..., None], join: Callable = np.add) -> np.ndarray:
     """What ``term(u, v, out, spare)`` writes of each feature, u of the rows of ``a`` and v of those of ``b``, joined feature by feature."""
-    out, at, bt = np.zeros((len(a), len(b))), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    for r in range(0, len(a), TILE[0]):
+    kind = np.result_type(a, b, np.float32)
+    high = TILE[0] * 8 // kind.itemsize
+    out, at, bt = np.zeros((len(a), len(b)), kind), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for r in range(0, len(a), high):
         for c in range(0, len(b), TILE[1]):
-            total = out[r : r + TILE[0], c : c + TILE[1]]
-            own, one, spare = np.zeros(total.shape), np.empty(total.shape), np.empty(total.shape)
-            for u, v in zip(at[:, r : r + TILE[0], None], bt[:, c : c + TILE[1]], strict=True):
+            total = out[r : r + high, c : c + TILE[1]]
+            own, one, spare = np.zeros(total.shape, kind), np.empty(total.shape, kind), np.empty(total.shape, kind)
+            for u, v in zip(at[:, r : r + high, None], bt[:, c : c + TILE[1]], strict=True):
                 term(u, v, one, spare)
                 join(own, one, out=own)
             total[:] = own
@@ -86,8 +88,7 @@ def _cubed(u: np.ndarray, v: np.ndarray, out: np.ndarray, spare: np.ndarray) ->
 def _share(u: np.ndarray, v: np.ndarray, out: np.ndarray, spare: np.ndarray) -> None:
     """A coordinate that both rows have at 0 adds nothing."""
     _off(u, v, out, spare)
-    np.add(np.abs(u), np.abs(v), out=spare)
-    np.divide(out, np.maximum(spare, 5e-324, out=spare), out=out)
+    np.divide(out, np.add(np.abs(u), np.abs(v) + np.finfo(out.dtype).smallest_subnormal, out=spare), out=out)
 
 
 def _canberra(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,7 +102,11 @@ def _bray_curtis(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many features differ; counted in bytes, as many features at a time as one holds."""
+    """How many features differ; counted in bytes, as many features at a time as one holds. Values that single precision has are compared there."""
+    with np.errstate(over="ignore"):
+        single = [v.astype(np.float32) for v in (a, b)]
+    if (single[0] == a).all() and (single[1] == b).all():
+        a, b = single
     out, at, bt = np.zeros((len(a), len(b)), np.int64), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     for r in range(0, len(a), TILE[0]):
         for c in range(0, len(b), TILE[1]):
@@ -164,9 +169,16 @@ def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
     near = (d <= (kth + 1e-11 + np.abs(kth) * 1e-11)[:, None]) & np.isfinite(d)  # what may round to the kth
     if np.count_nonzero(near) > 4 * k * len(d):  # of many that equal it the first by id
-        by_id = np.argsort(ids, kind="stable")
-        level = (d == kth[:, None])[:, by_id]
-        near[:, by_id] &= ~level | (np.cumsum(level, axis=1, dtype=np.int32) <= k)
+        by_id, level = np.argsort(ids, kind="stable"), d == kth[:, None]
+        near &= ~level
+        found, wanted = np.zeros((len(d), 1), np.int64), np.minimum(k, np.count_nonzero(level, axis=1))[:, None]
+        for s in range(0, d.shape[1], WIDE):
+            at = by_id[s : s + WIDE]
+            some = level[:, at]
+            near[:, at] |= some & (np.cumsum(some, axis=1, dtype=np.int32) + found <= k)
+            found += np.count_nonzero(some, axis=1)[:, None]
+            if (found >= wanted).all():
+                break
     row, place = np.nonzero(near)
     order = np.lexsort((ids[place], np.round(d[row, place], 12), row))
     row, place = row[order], place[order]
@@ -346,6 +358,68 @@ def _first(group: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndar
     return order[np.arange(len(g)) - np.searchsorted(g, g) < k]
 
 
+#: Candidates whose least distance stands for them where a limit is looked for, and the share of pairs beyond which single precision tells too little.
+GROUP, MOST_PASSED = 64, 1 / 64
+
+
+def _kth_least(d: np.ndarray, k: int) -> np.ndarray:
+    """Of each row a limit that at least ``k`` values are within: the kth of the least ones of groups."""
+    edge = d.shape[1] // GROUP * GROUP
+    least = d[:, :edge].reshape(len(d), -1, GROUP).min(axis=2)
+    return np.partition(least, k - 1, axis=1)[:, k - 1].astype(float)
+
+
+def _pairs(u: np.ndarray, v: np.ndarray, term: Callable[..., None]) -> np.ndarray:
+    """What ``_summed`` gives of the pairs of rows alone."""
+    own, one, spare = (np.zeros(len(u)) for _ in range(3))
+    for a, b in zip(np.ascontiguousarray(u.T), np.ascontiguousarray(v.T), strict=True):
+        term(a, b, one, spare)
+        own += one
+    return own
+
+
+def _roughly(ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, xb: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(row, place, distance) of all candidates that may be among the ``k`` nearest of each row, their distances in doubles: single precision looks at all
+    and passes on those within the limit, with a bound of what rounding does (half of ``unit`` a step). None where it tells too little."""
+    size = np.abs(np.concatenate([xa, xb]))
+    if len(xb) < GROUP * k or not np.isfinite(size).all() or size.max(initial=0) > 1e9 or size[size > 0].min(initial=1) < 1e-30:
+        return None
+    a, b, width, unit, own = xa.astype(np.float32), xb.astype(np.float32), xa.shape[1], 2.0**-23, np.nonzero(ida[:, None] == idb[None, :])
+    if metric == "canberra":  # terms are 1 at most
+        d = _summed(a, b, _share)
+        d[own] = np.inf
+        limit = _kth_least(d, k) + 2 * unit * width * (width + 16)
+        hit = d <= limit[:, None].astype(np.float32)
+        apart = lambda u, v: _pairs(u, v, _share)
+    elif metric == "minkowski":
+        d = _summed(a, b, _cubed)
+        d[own] = np.inf
+        more, off = unit * (width + 16), unit * 2.1 * float(np.cbrt((size**3).sum(axis=1).max())) + 1e-12
+        limit = (np.cbrt(_kth_least(d, k)) * (1 + more) + 2 * off) * (1 + 2 * more)
+        hit = d <= (limit**3 * (1 + 1e-5)).astype(np.float32)[:, None]
+        apart = lambda u, v: np.cbrt(_pairs(u, v, _cubed))
+    else:
+        d, under = _summed(a, b, _off), _summed(a, -b, _off)
+        off = np.float32(unit * (width + 16) * 2 * size.sum(axis=1).max())
+        d[own] = np.inf
+        with np.errstate(divide="ignore", invalid="ignore"):
+            limit = _kth_least(np.where(under > off, (d + off) / (under - off), np.float32(np.inf)), k) * (1 + 1e-5)
+        if not np.isfinite(limit).all():
+            return None
+        under += off
+        hit = d - off <= limit[:, None].astype(np.float32) * under * np.float32(1 + 1e-5)
+        apart = lambda u, v: _ratio(_pairs(u, v, _off), _pairs(u, -v, _off))
+    place = np.flatnonzero(hit)
+    if len(place) > MOST_PASSED * hit.size:
+        return None
+    row, place = np.divmod(place, hit.shape[1])
+    exact = apart(xa[row], xb[place])
+    there = np.isfinite(exact) & (ida[row] != idb[place])
+    row, place, exact = row[there], place[there], exact[there]
+    best = _first(row, exact, idb[place], k)
+    return row[best], place[best], exact[best]
+
+
 def _near(sieve: _Sieve, ida: np.ndarray, xa: np.ndarray, idb: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, distance) of the ``k`` nearest candidates of each row."""
 
@@ -522,6 +596,9 @@ def nearest(rows: DataFrame, k: int, other: DataFrame | None = None, metric: str
         if metric == "masked_euclidean" and len(xb) > WIDE and sieve(xb).sound:
             row, place, d = _near(sieve(xb), ida, xa, idb, k)
             return [(ida[row], idb[place], d)]
+        if metric in ("canberra", "minkowski", "braycurtis") and len(xb) > WIDE and (rough := _roughly(ida, xa, idb, xb, k, metric)):
+            row, place, d = rough
+            return [(ida[row], idb[place], d)]
         d = _apart(ida, xa, idb, xb, metric)
         row, place = _smallest(d, idb, k)
         return [(ida[row], idb[place], d[row, place])]
